@@ -21,16 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import dropped, written
 
 WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 24
 REGISTERS = ROWS * BANDS
-ROUNDS = 3
-#: Nodes of a bucket that meet in one block of the last round, and the signature agreement below which
-#: a pair is not looked at: for a similarity of 0.8 over 96 registers it lies six deviations low.
-BLOCK, LEAST_AGREEMENT = 1024, 0.55
+ROUNDS = 2
+#: Nodes of a cluster that meet in one block of the last round, and the signature agreement below which
+#: a pair is not looked at: for a similarity of 0.8 over 96 registers it lies five deviations low.
+BLOCK, LEAST_AGREEMENT = 1024, 0.6
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLES = 400_000  # of documents that are sketched together
 
@@ -209,7 +209,9 @@ def components(links: DataFrame) -> DataFrame:
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        edges = written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
+        old, edges = edges, written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
+        dropped(old)
+        dropped(large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -222,28 +224,46 @@ def _rooted(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
     return buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _in_blocks(rest: DataFrame, multisets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different roots within a bucket whose signatures do not rule out similarity."""
-    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"))
-    blocks = rest.join(sizes, "bucket").withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-    dealt = dealt.join(multisets.select("node", "signature"), "node")
+def _in_blocks(rest: DataFrame, nodes: DataFrame, multisets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join different roots among all pairs of ``rest`` (bucket, node, root) that share a bucket.
 
-    def compare(key, group: pd.DataFrame) -> pd.DataFrame:
+    Nodes that buckets connect form a cluster, and each cluster is cut into blocks, so a multiset
+    travels once for each block of its cluster, not once for each bucket.  A pair of blocks is
+    compared in one group: pairs whose roots differ, which share a bucket, and whose signatures do
+    not rule similarity out are verified; a link joins the two roots there, so at most one link
+    less than there are roots comes out.
+    """
+    stars = rest.join(rest.groupBy("bucket").agg(F.min("node").alias("hub")), "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    hubs = components(stars).withColumnRenamed("root", "hub")
+    clustered = rest.select("node", "root").distinct().join(hubs, "node", "left").select("node", "root", F.coalesce("hub", "node").alias("cluster"))
+    sizes = clustered.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    dealt = clustered.join(sizes, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    full = multisets.join(nodes.select("node", "buckets"), "node")
+    dealt = dealt.join(full, "node")
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         signs = np.stack([np.frombuffer(s, "<u2") for s in group["signature"]])
-        roots, nodes, own = group["root"].to_numpy(), group["node"].to_numpy(), group["own"].to_numpy()
-        out_a, out_b = [], []
-        right = np.flatnonzero(own == key[2])
-        for x in np.flatnonzero(own == key[1]):
-            agree = (signs[right] == signs[x]).mean(axis=1)
-            hit = right[(agree >= LEAST_AGREEMENT) & (roots[right] != roots[x])]
+        buckets = np.stack(group["buckets"].to_list())
+        roots, nodes_, mine = group["root"].to_numpy().copy(), group["node"].to_numpy(), group["own"].to_numpy()
+        sets = list(zip(group["keys"], group["counts"]))
+        right, found = np.flatnonzero(mine == key[2]), []
+        for x in np.flatnonzero(mine == key[1]):
+            apart = right[roots[right] != roots[x]]
             if key[1] == key[2]:
-                hit = hit[hit > x]
-            out_a += [nodes[x]] * len(hit)
-            out_b += nodes[hit].tolist()
-        return pd.DataFrame({"a": out_a, "b": out_b}, dtype="int64")
+                apart = apart[apart > x]
+            if not len(apart):
+                continue
+            near = apart[(signs[apart] == signs[x]).mean(axis=1) >= LEAST_AGREEMENT]
+            near = near[(buckets[near] == buckets[x]).any(axis=1)]
+            for y in near:
+                if roots[x] != roots[y] and similarity(sets[x], sets[y]) >= least:
+                    found.append((nodes_[x], nodes_[y]))
+                    roots[roots == roots[y]] = roots[x]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
@@ -278,10 +298,11 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, rounds: i
     several = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     rest = written(rest.join(several, "bucket").select("bucket", "node", "root"), "rest")
     if not rest.isEmpty():
-        found = _verified(_in_blocks(rest, multisets, least), multisets, least)
+        found = written(_in_blocks(rest, nodes, multisets, least), "found")
         links = written(links.unionByName(found), "all-links")
     roots = nodes.select("node", "doc_id").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = written(roots, "roots")
+    dropped(multisets)
     classes = roots.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = written(roots.join(classes, "root").select("node", "class_id"), "classes")
     return marked.select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
