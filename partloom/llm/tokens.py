@@ -44,7 +44,7 @@ class CachedEncoder:
     A null text counts as empty and gives no ids.
     """
 
-    def __init__(self, path: str, capacity: int = 300_000):
+    def __init__(self, path: str, capacity: int = 550_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -107,6 +107,8 @@ class CachedEncoder:
                 ids = self._word(chunk.lower())
             elif chunk[0] == "\n":
                 ids = self.feed + self._word(chunk[1:])
+            elif chunk.isascii():  # byte-level BPE writes a space as this letter
+                ids = b"".join([self.four[x.id] for x in self.model.tokenize("\u0120" + chunk)])
             else:
                 ids = self._word(" " + chunk)
         if len(chunk) <= LONGEST_KEPT:
@@ -123,6 +125,8 @@ class CachedEncoder:
     def _word(self, word: str) -> bytes:
         """One pre-token, straight to the library's model."""
         four = self.four
+        if word.isascii() and word.isalpha():  # letters that stand for themselves
+            return b"".join([four[x.id] for x in self.model.tokenize(word)])
         return b"".join([four[x.id] for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
 
     def _whole(self, text: str) -> bytes:
