@@ -2,10 +2,528 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .adapters import view, with_views
+from .functions import keys as K
+from .operators import explode as X
+from .operators import graph as G
+from .operators import reconcile as C
+from .operators import resolve as R
+from .operators import tree as T
+from .operators import views as V
+from .sources import files as S
+from .sources import grids as I
+
+ROOT = "E0000001"
+POLICY = X.Policy(explode_unknown=True, root_strict_rev=False)
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- explosion -------------------------------------------------------------------------------
+
+_WALK = with_views("bom_headers", "bom_lines", "structure_revs", recursive=True) + """,
+hdr AS (SELECT DISTINCT code, revision, bom_id FROM bom_headers),
+strict AS (SELECT code, revision, arg_min(bom_id, bom_seq) AS bid FROM bom_headers GROUP BY code, revision),
+best AS (SELECT * FROM (SELECT code, bom_id AS tid, count(*) OVER (PARTITION BY code) AS n, row_number() OVER (PARTITION BY code ORDER BY revision DESC, bom_seq) AS rn FROM bom_headers) WHERE rn = 1),
+lines AS (SELECT l.*, COALESCE(r.rev, '') AS child_rev FROM bom_lines l LEFT JOIN structure_revs r ON r.code = l.internal_code WHERE l.kind <> 'DOCUMENT_REF'),
+adj AS (SELECT l.bom_id, h.code AS parent_code, h.revision AS parent_rev, l.line_no, l.internal_code AS child_code, l.child_rev, l.qty,
+  CASE WHEN upper(l.unit) IN ('PZ', 'NR') THEN 'NR' WHEN upper(l.unit) = 'MT' THEN 'M' ELSE upper(l.unit) END AS unit, COALESCE(s.bid, t.tid) AS next_bom_id,
+  CASE WHEN s.bid IS NOT NULL THEN 'OK' WHEN t.n IS NULL THEN 'MISSING_FILE' WHEN l.child_rev = '' AND t.n = 1 THEN 'OK' ELSE 'FALLBACK' END AS outcome
+  FROM lines l JOIN hdr h ON h.bom_id = l.bom_id LEFT JOIN strict s ON s.code = l.internal_code AND s.revision = l.child_rev AND l.child_rev <> '' LEFT JOIN best t ON t.code = l.internal_code),
+walk AS (
+  SELECT 1 AS depth, ['E0000001', a.child_code] AS path, lpad(CAST(line_no AS STRING), 2, '0') AS k, a.parent_code, a.parent_rev, a.child_code, a.child_rev, a.qty AS line_qty, a.qty AS qty, a.unit, a.bom_id, a.next_bom_id, a.outcome,
+    CASE WHEN a.qty IS NULL THEN 'MISSING_QTY' WHEN a.qty <= 0 THEN 'NON_POSITIVE' WHEN a.child_code = 'E0000001' THEN 'CYCLE' ELSE 'EDGE' END AS state
+  FROM adj a JOIN best b ON b.tid = a.bom_id WHERE b.code = 'E0000001'
+  UNION ALL
+  SELECT w.depth + 1, list_append(w.path, a.child_code), w.k || '.' || lpad(CAST(a.line_no AS STRING), 2, '0'), a.parent_code, a.parent_rev, a.child_code, a.child_rev, a.qty, w.qty * a.qty, a.unit, a.bom_id, a.next_bom_id, a.outcome,
+    CASE WHEN a.qty IS NULL THEN 'MISSING_QTY' WHEN a.qty <= 0 THEN 'NON_POSITIVE' WHEN list_contains(w.path, a.child_code) THEN 'CYCLE' ELSE 'EDGE' END
+  FROM walk w JOIN adj a ON a.bom_id = w.next_bom_id WHERE w.state = 'EDGE')
+"""
+
+
+def _exploded(spark, d) -> X.Explosion:
+    return X.explode(spark, view(spark, d, "bom_lines"), view(spark, d, "bom_headers"), ROOT, "", view(spark, d, "structure_revs"), POLICY)
+
+
+def _whole(c):
+    return F.col(c).cast("bigint")
+
+
+@_query(with_views("bom_edges", recursive=True) + """, w AS (SELECT child AS code, qty, 1 AS depth FROM bom_edges WHERE parent = 'E0000001' UNION ALL SELECT e.child, w.qty * e.qty, w.depth + 1 FROM w JOIN bom_edges e ON e.parent = w.code)
+SELECT code, CAST(SUM(qty) AS BIGINT) AS qty, count(*) AS visits, max(depth) AS max_depth FROM w GROUP BY code""")
+def explode_totals(spark, d):
+    return X.explode_totals(view(spark, d, "bom_edges"), spark.createDataFrame([(ROOT,)], "code string"))
+
+
+@_query(_WALK + "SELECT depth, array_to_string(path, '>') AS path, parent_code, child_code, child_rev, CAST(qty AS BIGINT) AS qty, unit, outcome FROM walk WHERE state = 'EDGE'")
+def explode_edges(spark, d):
+    return _exploded(spark, d).edges().select("depth", F.array_join("path", ">").alias("path"), "parent_code", "child_code", "child_rev", _whole("qty").alias("qty"), "unit", "outcome")
+
+
+@_query(_WALK + "SELECT array_to_string(path, ' -> ') AS path, CAST(qty AS BIGINT) AS qty FROM walk WHERE state = 'CYCLE'")
+def explode_cycles(spark, d):
+    return _exploded(spark, d).cycles().select(F.array_join("path", " -> ").alias("path"), _whole("qty").alias("qty"))
+
+
+@_query(_WALK + "SELECT parent_code, parent_rev, child_code, unit, count(*) AS n FROM walk WHERE state = 'MISSING_QTY' GROUP BY ALL")
+def explode_missing_qty(spark, d):
+    return _exploded(spark, d).missing().groupBy("parent_code", "parent_rev", "child_code", "unit").agg(F.count("*").alias("n"))
+
+
+@_query(_WALK + "SELECT child_code AS code, CAST(SUM(qty) AS BIGINT) AS qty, count(*) AS visits, max(depth) AS max_depth FROM walk WHERE state IN ('EDGE', 'CYCLE') GROUP BY child_code")
+def explode_qty_by_code(spark, d):
+    return _exploded(spark, d).totals().withColumn("qty", _whole("qty"))
+
+
+@_query(_WALK + "SELECT child_code AS code, child_rev AS rev, CAST(SUM(qty) AS BIGINT) AS qty FROM walk WHERE state IN ('EDGE', 'CYCLE') GROUP BY ALL")
+def explode_qty_by_code_rev(spark, d):
+    return _exploded(spark, d).totals_by_rev().withColumn("qty", _whole("qty"))
+
+
+@_query(_WALK + "SELECT child_code AS code, arg_min(unit, k) AS uom FROM walk WHERE unit <> '' GROUP BY child_code")
+def explode_uom_first(spark, d):
+    return _exploded(spark, d).units().select("code", "uom")
+
+
+@_query(_WALK + "SELECT DISTINCT child_code AS code FROM walk WHERE unit <> '' AND unit <> 'NR'")
+def non_nr_codes(spark, d):
+    return _exploded(spark, d).units().where("other").select("code")
+
+
+@_query(_WALK + ", e AS (SELECT bom_id FROM walk UNION SELECT next_bom_id FROM walk WHERE state = 'EDGE') SELECT DISTINCT h.code, h.revision AS rev FROM e JOIN hdr h ON h.bom_id = e.bom_id")
+def exploded_assemblies(spark, d):
+    return _exploded(spark, d).exploded()
+
+
+@_query(_WALK + "SELECT outcome, count(*) AS n, count(DISTINCT child_code) AS codes FROM walk WHERE state = 'EDGE' GROUP BY outcome")
+def resolution_outcomes(spark, d):
+    return _exploded(spark, d).edges().groupBy("outcome").agg(F.count("*").alias("n"), F.count_distinct("child_code").alias("codes"))
+
+
+@_query(_WALK + "SELECT DISTINCT parent_code AS parent, child_code AS child FROM walk WHERE state = 'EDGE' AND list_contains(path, 'E0000003') AND child_code <> 'E0000003' AND list_position(path, 'E0000003') < len(path)")
+def subtree_edges(spark, d):
+    return V.subtree(_exploded(spark, d).edges(), "E0000003")
+
+
+@_query(with_views("bom_edges") + "SELECT child AS code, count(DISTINCT parent) AS n_parents, string_agg(DISTINCT parent, ';' ORDER BY parent) AS parents FROM bom_edges GROUP BY child")
+def where_used(spark, d):
+    return G.where_used(view(spark, d, "bom_edges"))
+
+
+# --- resolution ------------------------------------------------------------------------------
+
+@_query(_WALK + """, wanted AS (SELECT DISTINCT internal_code AS code, child_rev AS rev FROM lines)
+SELECT w.code, w.rev, CASE WHEN w.rev <> '' AND s.bid IS NOT NULL THEN s.bid ELSE t.tid END AS bom_id, COALESCE(t.n, 0) AS n_candidates,
+CASE WHEN w.rev <> '' AND s.bid IS NOT NULL THEN 'OK' WHEN t.n IS NULL THEN 'MISSING_FILE' WHEN w.rev = '' AND t.n = 1 THEN 'OK' ELSE 'FALLBACK' END AS outcome
+FROM wanted w LEFT JOIN strict s ON s.code = w.code AND s.revision = w.rev LEFT JOIN best t ON t.code = w.code""")
+def resolve_child_bom(spark, d):
+    wanted = X.eligible_lines(view(spark, d, "bom_lines"), POLICY).select(F.col("internal_code").alias("code")).join(view(spark, d, "structure_revs"), "code", "left")
+    return R.resolve(wanted, view(spark, d, "bom_headers")).select("code", "rev", "bom_id", "n_candidates", "outcome")
+
+
+@_query(with_views("bom_headers") + "SELECT code, count(*) AS n, max(revision) AS revision FROM bom_headers GROUP BY code")
+def max_rev_pick(spark, d):
+    return R.max_revision(view(spark, d, "bom_headers")).select("code", "n", "revision")
+
+
+@_query(with_views("bom_headers", "pbs_rows") + ", i AS (SELECT code, revision, count(*) AS n FROM bom_headers GROUP BY ALL) SELECT p.seq, p.code, p.rev, CASE WHEN n IS NULL THEN 'MISSING' WHEN n = 1 THEN 'OK' ELSE 'AMBIGUOUS' END AS status FROM pbs_rows p LEFT JOIN i ON i.code = p.code AND i.revision = p.rev WHERE p.code <> ''")
+def link_pbs_bom(spark, d):
+    return R.link_rows(view(spark, d, "pbs_rows"), view(spark, d, "bom_headers")).select("seq", "code", "rev", "status")
+
+
+_VARIANT = "(SELECT code || CASE WHEN CAST(substr(code, 2) AS BIGINT) % 4 = 0 THEN 'X' ELSE '' END AS code, revision, bom_id, bom_seq FROM bom_headers)"
+
+
+@_query(with_views("bom_headers", "pbs_rows") + f", h AS {_VARIANT}, w AS (SELECT DISTINCT code, regexp_extract(code, '[0-9]{{6,}}') AS r FROM pbs_rows WHERE code <> '') SELECT w.code, string_agg(DISTINCT h.code, ';' ORDER BY h.code) AS candidates FROM w JOIN h ON regexp_extract(h.code, '[0-9]{{6,}}') = w.r AND h.code <> w.code GROUP BY w.code")
+def suspicious_same_root(spark, d):
+    h = view(spark, d, "bom_headers").withColumn("code", F.concat("code", F.when(F.substring("code", 2, 7).cast("int") % 4 == 0, "X").otherwise("")))
+    return R.same_root(view(spark, d, "pbs_rows").where("code <> ''"), h).select("code", F.array_join("candidates", ";").alias("candidates"))
+
+
+@_query(with_views("pbs_rows") + "SELECT * FROM (SELECT seq, code, lag(rev) OVER (PARTITION BY code ORDER BY seq) AS previous, rev FROM pbs_rows WHERE code <> '' AND rev <> '') WHERE previous <> rev")
+def rev_conflicts(spark, d):
+    return R.rev_conflicts(view(spark, d, "pbs_rows")).select("seq", "code", "previous", "rev")
+
+
+@_query(with_views("pbs_rows") + "SELECT code, arg_max(rev, seq) AS rev FROM pbs_rows WHERE code <> '' AND rev <> '' GROUP BY code")
+def structure_last_rev(spark, d):
+    return R.structure_revs(view(spark, d, "pbs_rows"))
+
+
+# --- structure trees -------------------------------------------------------------------------
+
+def _parents(rows: str) -> str:
+    return f"SELECT a.seq, a.level, a.code, (SELECT max(b.seq) FROM {rows} b WHERE b.seq < a.seq AND b.level < a.level) AS parent_seq FROM {rows} a"
+
+
+@_query(with_views("pbs_rows") + _parents("pbs_rows"))
+def pbs_parent(spark, d):
+    return T.level_parents(view(spark, d, "pbs_rows")).select("seq", "level", "code", "parent_seq")
+
+
+@_query(with_views("pbs_rows") + ", s AS (SELECT * FROM pbs_rows WHERE code <> '') " + _parents("s"))
+def pbs_parent_skip_blank(spark, d):
+    return T.level_parents(view(spark, d, "pbs_rows"), "skip").select("seq", "level", "code", "parent_seq")
+
+
+@_query(with_views("pbs_rows") + ", s AS (SELECT seq, CASE WHEN code = '' THEN 0 ELSE level END AS level, code FROM pbs_rows) " + _parents("s"))
+def pbs_parent_reset_blank(spark, d):
+    return T.level_parents(view(spark, d, "pbs_rows"), "reset").select("seq", "level", "code", "parent_seq")
+
+
+@_query(with_views("pbs_rows") + """, p AS (SELECT a.seq, a.level, a.code, (SELECT max(b.seq) FROM pbs_rows b WHERE b.seq < a.seq AND b.level = a.level - 1) AS up, (SELECT max(b.seq) FROM pbs_rows b WHERE b.seq < a.seq AND b.level < a.level - 1) AS higher FROM pbs_rows a)
+SELECT 'PBS__line__' || lpad(CAST(row_number() OVER (ORDER BY seq) AS STRING), 6, '0') AS external_id, seq, code, CASE WHEN higher IS NULL OR up > higher THEN up END AS parent_seq FROM p""")
+def pbs_export_lines(spark, d):
+    from .operators.sinks import export_lines
+
+    return export_lines(view(spark, d, "pbs_rows"), "PBS").select("external_id", "seq", "code", "parent_seq")
+
+
+@_query(with_views("pbs_rows") + "SELECT doc_id, seq, code, rev FROM pbs_rows WHERE code <> '' ORDER BY level, seq LIMIT 1")
+def pbs_root(spark, d):
+    return T.root_row(view(spark, d, "pbs_rows"))
+
+
+_UP = """, s AS (SELECT * FROM pbs_rows WHERE code <> ''), par AS (SELECT a.seq, a.code, CASE WHEN a.qty > 0 THEN a.qty ELSE 1 END AS f, (SELECT max(b.seq) FROM s b WHERE b.seq < a.seq AND b.level < a.level) AS parent_seq FROM s a)"""
+
+
+@_query(with_views("pbs_rows", recursive=True) + _UP + ", w AS (SELECT seq, code, f AS n FROM par WHERE parent_seq IS NULL UNION ALL SELECT p.seq, p.code, w.n * p.f FROM w JOIN par p ON p.parent_seq = w.seq) SELECT code, CAST(SUM(n) AS BIGINT) AS occurrences FROM w GROUP BY code")
+def pbs_occurrences(spark, d):
+    return T.occurrences(view(spark, d, "pbs_rows")).withColumn("occurrences", _whole("occurrences"))
+
+
+@_query(with_views("pbs_rows") + ", p AS (" + _parents("pbs_rows") + "), q AS (SELECT p.*, r.qty FROM p JOIN pbs_rows r ON r.seq = p.seq), c AS (SELECT parent_seq, count(*) AS n FROM q WHERE qty > 0 AND parent_seq IS NOT NULL GROUP BY parent_seq) SELECT q.code, max(COALESCE(n, 0)) AS most, CAST(sum(COALESCE(n, 0)) AS BIGINT) AS total FROM q LEFT JOIN c ON c.parent_seq = q.seq WHERE q.code <> '' GROUP BY q.code")
+def effective_children(spark, d):
+    return T.effective_children(view(spark, d, "pbs_rows"))
+
+
+# --- graph -----------------------------------------------------------------------------------
+
+_GRAPH = with_views("bom_headers", "bom_lines", recursive=True) + ", g AS (SELECT DISTINCT h.code AS parent, l.internal_code AS child FROM bom_lines l JOIN bom_headers h ON h.bom_id = l.bom_id)"
+
+
+def _graph(spark, d):
+    return G.list_graph(view(spark, d, "bom_lines"), view(spark, d, "bom_headers"))
+
+
+@_query(_GRAPH + ", i AS (SELECT child AS pn, count(*) AS n FROM g GROUP BY child), o AS (SELECT parent AS pn, count(*) AS n FROM g GROUP BY parent), k AS (SELECT pn FROM i UNION SELECT pn FROM o UNION SELECT code FROM bom_headers) SELECT k.pn, k.pn IN (SELECT code FROM bom_headers) AS is_header, COALESCE(i.n, 0) AS indegree, COALESCE(o.n, 0) AS outdegree FROM k LEFT JOIN i ON i.pn = k.pn LEFT JOIN o ON o.pn = k.pn ORDER BY indegree DESC, outdegree DESC, k.pn LIMIT 5000")
+def graph_degrees(spark, d):
+    return G.degrees(_graph(spark, d), view(spark, d, "bom_headers"))
+
+
+@_query(_GRAPH + " SELECT DISTINCT code FROM bom_headers WHERE code NOT IN (SELECT h.code FROM bom_headers h JOIN bom_lines l ON l.internal_code = h.code WHERE l.line_no < 4)")
+def root_inference(spark, d):
+    h = view(spark, d, "bom_headers")
+    return G.roots(G.list_graph(view(spark, d, "bom_lines").where("line_no < 4"), h), h)
+
+
+@_query(_GRAPH + ", r AS (SELECT 'E0000002' AS code UNION SELECT g.child FROM r JOIN g ON g.parent = r.code) SELECT count(*) AS reachable FROM r WHERE code IN (SELECT code FROM bom_headers)")
+def reachable_count(spark, d):
+    got = G.reach(_graph(spark, d), spark.createDataFrame([("E0000002",)], "code string"))
+    return got.join(R.header_index(view(spark, d, "bom_headers")).select("code").distinct(), "code", "left_semi").agg(F.count("*").alias("reachable"))
+
+
+@_query(_GRAPH.replace("JOIN bom_headers h ON h.bom_id = l.bom_id", "JOIN bom_headers h ON h.bom_id = l.bom_id WHERE l.line_no < 4 AND h.code > 'E0000004'") + """, hd AS (SELECT DISTINCT code FROM bom_headers WHERE code > 'E0000004'), rt AS (SELECT code FROM hd WHERE code NOT IN (SELECT child FROM g)),
+r AS (SELECT code AS start, code FROM rt UNION SELECT r.start, g.child FROM r JOIN g ON g.parent = r.code), n AS (SELECT start, count(*) AS reachable FROM r WHERE code IN (SELECT code FROM hd) GROUP BY start), o AS (SELECT parent, count(*) AS outdegree FROM g GROUP BY parent)
+SELECT rt.code, CAST(rt.code = 'E0000006' AS INTEGER) AS folder_match, reachable, outdegree, CAST(rt.code = 'E0000006' AS INTEGER) * 1000000 + reachable * 1000 + outdegree AS score, row_number() OVER (ORDER BY rt.code = 'E0000006' DESC, reachable DESC, outdegree DESC, rt.code) AS rank FROM rt JOIN n ON n.start = rt.code JOIN o ON o.parent = rt.code""")
+def root_ranking(spark, d):
+    h = view(spark, d, "bom_headers").where("code > 'E0000004'")
+    return G.rank_roots(G.list_graph(view(spark, d, "bom_lines").where("line_no < 4"), h), h, "E0000006")
+
+
+@_query(with_views("bom_headers") + ", h AS (SELECT DISTINCT code || CASE WHEN CAST(substr(code, 2) AS BIGINT) % 3 = 0 THEN '-01' ELSE '' END AS code FROM bom_headers UNION SELECT code || '-02' FROM bom_headers WHERE CAST(substr(code, 2) AS BIGINT) % 6 = 0), b AS (SELECT code, regexp_extract(code, '^(.+)-[0-9][0-9]$', 1) AS base FROM h) SELECT base, min(code) AS \"full\" FROM b WHERE base <> '' GROUP BY base HAVING count(*) = 1")
+def base_full_alias(spark, d):
+    h = view(spark, d, "bom_headers")
+    n = F.substring("code", 2, 7).cast("int")
+    more = h.where(n % 6 == 0).withColumn("code", F.concat("code", F.lit("-02")))
+    return G.base_aliases(h.withColumn("code", F.concat("code", F.when(n % 3 == 0, "-01").otherwise(""))).unionByName(more))
+
+
+@_query(_GRAPH + " SELECT parent FROM g WHERE parent = child")
+def self_child_edges(spark, d):
+    return _graph(spark, d).where("parent = child").select("parent")
+
+
+@_query(with_views("bom_headers", "bom_lines") + """, l AS (SELECT internal_code AS code, trim(description) AS description, trim(manufacturer) AS manufacturer, seq FROM bom_lines),
+r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY length(description) DESC, seq) AS a, row_number() OVER (PARTITION BY code ORDER BY length(manufacturer) DESC, seq) AS b FROM l) SELECT code, max(CASE WHEN a = 1 THEN description END) AS description, max(CASE WHEN b = 1 THEN manufacturer END) AS manufacturer FROM r GROUP BY code""")
+def part_master_best_of(spark, d):
+    return G.part_master(view(spark, d, "bom_lines"), K.norm(F.col("internal_code"))).select("code", "description", "manufacturer")
+
+
+@_query(with_views("bom_headers", "bom_lines") + "SELECT l.bom_id, h.code AS header, h.revision, l.line_no, l.description FROM bom_lines l JOIN bom_headers h ON h.bom_id = l.bom_id WHERE l.internal_code = 'E0000012'")
+def find_code(spark, d):
+    return V.find_code(view(spark, d, "bom_lines"), view(spark, d, "bom_headers"), "e0000012 ")
+
+
+# --- codes and scalars -----------------------------------------------------------------------
+
+@_query(with_views("raw_codes") + """, c AS (SELECT id, upper(trim(code)) AS c, suffix AS s FROM raw_codes)
+SELECT id, CASE WHEN regexp_matches(c, '^[A-Z]{1,3}[0-9]{4,}[ _/.-]+[0-9]{2}$') THEN regexp_extract(c, '^([A-Z]{1,3}[0-9]{4,})', 1) || '-' || CASE WHEN s <> '' THEN s ELSE right(c, 2) END
+WHEN regexp_matches(c, '^[A-Z]{1,3}[0-9]{7,}[0-9]{2}$') THEN left(c, length(c) - 2) || '-' || CASE WHEN s <> '' THEN s ELSE right(c, 2) END
+ELSE regexp_replace(c, '[ _/.-]+', '-', 'g') || CASE WHEN s <> '' THEN '-' || s ELSE '' END END AS pn FROM c""")
+def canonical_pn(spark, d):
+    return view(spark, d, "raw_codes").select("id", K.canonical_pn(F.col("code"), F.col("suffix")).alias("pn"))
+
+
+@_query(with_views("raw_codes") + "SELECT id, regexp_replace(upper(code), '[^A-Z0-9]', '', 'g') AS plain, regexp_extract(code, '[0-9]{6,}') AS root, regexp_extract(upper(trim(code)), '^[0-9]{6,}') AS leading, regexp_replace(code, '(.)PRTL$', '\\1') AS short FROM raw_codes")
+def numeric_roots(spark, d):
+    c = F.col("code")
+    return view(spark, d, "raw_codes").select("id", K.alnum(c).alias("plain"), K.digit_root(c).alias("root"), F.coalesce(K.leading_root(c), F.lit("")).alias("leading"), K.strip_lookup_suffix(c).alias("short"))
+
+
+@_query("SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'NR' WHEN 1 THEN 'M' WHEN 2 THEN 'GR' WHEN 3 THEN 'L' WHEN 4 THEN 'ROLL' ELSE '' END AS uom FROM part")
+def uom_normalize(spark, d):
+    raw = F.element_at(F.array(*[F.lit(x) for x in (" pcs", "mt", "g ", "LT", "roll", "")]), F.col("p_size") % 6 + 1)
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), K.unit(raw).alias("uom"))
+
+
+@_query("SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'DOCUMENT_REF' WHEN p_size % 3 = 0 THEN 'UNKNOWN' ELSE 'MATERIAL' END AS kind FROM part")
+def line_classification(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    qty = K.quantity(F.when(F.col("p_size") % 3 == 0, F.lit("-")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(",5"))))
+    return p.select(F.col("p_partkey").alias("id"), K.line_kind(F.lit(""), F.when(F.col("p_size") % 5 == 0, "assembly drawing").otherwise("part"), F.lit("NR"), qty).alias("kind"))
+
+
+@_query("SELECT p_partkey AS id, CASE WHEN abs(floor(v + 0.5) - v) <= 0.02 THEN floor(v + 0.5) WHEN abs(floor(v / 0.5 + 0.5) * 0.5 - v) <= 0.02 THEN floor(v / 0.5 + 0.5) * 0.5 ELSE round_even(v, 3) END AS value FROM (SELECT p_partkey, p_size / 8.0 AS v FROM part)")
+def quantize_steps(spark, d):
+    v = F.col("p_size") / F.lit(8.0)
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), K.quantized(v, [1.0, 0.5])["value"].alias("value"))
+
+
+# --- totals and findings ---------------------------------------------------------------------
+
+_STATUS = with_views("totals", "bom_totals", "units") + """, v AS (SELECT COALESCE(b.pn, t.pn) AS pn, b.qty AS qb, t.qty AS qt FROM bom_totals b FULL JOIN totals t ON t.pn = b.pn),
+s AS (SELECT v.pn, u.uom, qb AS qty_bom, qt AS qty_total, CASE WHEN u.other THEN 'SKIPPED_NON_NR' WHEN qb IS NULL THEN 'ERROR_EXTRA_IN_TOTAL' WHEN qt IS NULL THEN CASE WHEN qb > 0 THEN 'ERROR_MISSING_IN_TOTAL' ELSE 'OK' END WHEN qb <> qt THEN 'WARN_QTY_MISMATCH' ELSE 'OK' END AS status FROM v LEFT JOIN units u ON u.pn = v.pn) """
+
+
+def _statuses(spark, d):
+    return C.validate_totals(view(spark, d, "bom_totals"), view(spark, d, "totals"), view(spark, d, "units"))
+
+
+@_query(_STATUS + "SELECT * FROM s")
+def totalization_validation(spark, d):
+    return _statuses(spark, d)
+
+
+@_query(_STATUS + "SELECT status, count(*) AS n FROM s GROUP BY status")
+def totalization_status_counts(spark, d):
+    return _statuses(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_query(_STATUS + "SELECT pn, qty_total FROM s WHERE status = 'ERROR_EXTRA_IN_TOTAL'")
+def totalization_extra(spark, d):
+    return _statuses(spark, d).where("status = 'ERROR_EXTRA_IN_TOTAL'").select("pn", "qty_total")
+
+
+@_query(_STATUS + "SELECT pn, qty_bom FROM s WHERE status = 'ERROR_MISSING_IN_TOTAL'")
+def totalization_missing_nr(spark, d):
+    return _statuses(spark, d).where("status = 'ERROR_MISSING_IN_TOTAL'").select("pn", "qty_bom")
+
+
+@_query(_STATUS + "SELECT pn, qty_bom - qty_total AS delta FROM s WHERE status = 'WARN_QTY_MISMATCH'")
+def totalization_qty_delta(spark, d):
+    return _statuses(spark, d).where("status = 'WARN_QTY_MISMATCH'").select("pn", (F.col("qty_bom") - F.col("qty_total")).alias("delta"))
+
+
+@_query(_STATUS + "SELECT pn, uom, qty_bom FROM s WHERE status = 'SKIPPED_NON_NR' AND qty_bom IS NOT NULL")
+def non_nr_estimates(spark, d):
+    return _statuses(spark, d).where("status = 'SKIPPED_NON_NR' and qty_bom is not null").select("pn", "uom", "qty_bom")
+
+
+_CELLS = "SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS sheet_row, 'E' || CAST(l_partkey AS STRING) AS pn, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_linenumber <> 3"
+
+
+@_query(f"WITH c AS ({_CELLS}) SELECT pn, CAST(SUM(q) AS BIGINT) AS qty, count(*) AS n_rows, array_to_string(list_slice(list(sheet_row ORDER BY sheet_row), 1, 5), ',') AS samples FROM c GROUP BY pn")
+def totalization_load(spark, d):
+    return C.load_totalization(_cells(spark, d)).select("pn", _whole("qty").alias("qty"), "n_rows", F.array_join("samples", ",").alias("samples"))
+
+
+def _cells(spark, d):
+    line = spark.read.parquet(f"{d}/lineitem.parquet")
+    q = F.when(F.col("l_linenumber") == 3, "=A1").otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(",0")))
+    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("sheet_row"), F.concat(F.lit(" e"), F.col("l_partkey").cast("string")).alias("code"), q.alias("qty"))
+
+
+@_query(f"WITH c AS ({_CELLS}) SELECT pn, count(*) AS n_rows FROM c GROUP BY pn HAVING count(*) > 30")
+def totalization_duplicates(spark, d):
+    return C.load_totalization(_cells(spark, d)).where("n_rows > 30").select("pn", "n_rows")
+
+
+def _walk_with_structure() -> str:
+    return _WALK.replace("WITH RECURSIVE ", "WITH RECURSIVE " + with_views("pbs_rows").removeprefix("WITH ") + ",\n", 1) + """, done AS (SELECT DISTINCT h.code, h.revision AS rev FROM (SELECT bom_id FROM walk UNION SELECT next_bom_id FROM walk WHERE state = 'EDGE') e JOIN hdr h ON h.bom_id = e.bom_id),
+met AS (SELECT DISTINCT child_code AS code FROM walk WHERE state IN ('EDGE', 'CYCLE')) """
+
+
+@_query(_walk_with_structure() + "SELECT code FROM met WHERE code NOT IN (SELECT code FROM pbs_rows)")
+def introduced_not_in_pbs(spark, d):
+    return C.introduced(_exploded(spark, d).totals(), view(spark, d, "pbs_rows"))
+
+
+@_query(_walk_with_structure() + "SELECT DISTINCT code FROM pbs_rows WHERE code <> '' AND code IN (SELECT code FROM bom_headers) AND code NOT IN (SELECT code FROM done)")
+def unexploded_assemblies(spark, d):
+    return C.unexploded(view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), _exploded(spark, d).exploded())
+
+
+@_query(_walk_with_structure() + """SELECT 'INTRODUCED' AS kind, code FROM met WHERE code NOT IN (SELECT code FROM pbs_rows)
+UNION SELECT 'UNEXPLODED', code FROM pbs_rows WHERE code <> '' AND code IN (SELECT code FROM bom_headers) AND code NOT IN (SELECT code FROM done)
+UNION SELECT 'REV_CONFLICT', code FROM (SELECT code, rev, lag(rev) OVER (PARTITION BY code ORDER BY seq) AS p FROM pbs_rows WHERE code <> '' AND rev <> '') WHERE p <> rev
+UNION SELECT 'REV_MISMATCH', p.code FROM pbs_rows p JOIN done ON done.code = p.code WHERE p.rev <> '' AND done.rev <> '' AND p.rev <> done.rev""")
+def config_completeness(spark, d):
+    e = _exploded(spark, d)
+    return C.completeness(view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), e.totals(), e.exploded())
+
+
+@_query(_WALK + ", u AS (SELECT child_code AS code, arg_min(unit, k) AS uom FROM walk WHERE unit <> '' GROUP BY child_code) SELECT t.code AS pn, t.qty, COALESCE(u.uom, '') AS uom FROM (SELECT child_code AS code, CAST(SUM(qty) AS BIGINT) AS qty FROM walk WHERE state IN ('EDGE', 'CYCLE') GROUP BY child_code) t LEFT JOIN u ON u.code = t.code")
+def totals_view(spark, d):
+    e = _exploded(spark, d)
+    master = G.part_master(view(spark, d, "bom_lines"), K.norm(F.col("internal_code")))
+    return V.totals_view(e.totals(), e.units(), master).select("pn", _whole("qty").alias("qty"), "uom")
+
+
+# --- findings whose SQL would repeat the operator; tests hold them against plain Python ----------
+
+def _findings(spark, d):
+    rows, h, lines = view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), view(spark, d, "bom_lines")
+    return rows, h, lines, _exploded(spark, d)
+
+
+@_query()
+def unexploded_diagnosis(spark, d):
+    rows, h, lines, e = _findings(spark, d)
+    occurring = lines.join(R.header_index(h).select("bom_id", F.col("code").alias("parent")), "bom_id").select(K.norm(F.col("internal_code")).alias("code"), "parent")
+    return C.diagnose_unexploded(C.unexploded(rows, h, e.exploded()), T.effective_children(rows, "reset"), e.edges().select(F.col("child_code").alias("code")), occurring)
+
+
+def _breaks(spark, d):
+    rows, _, _, e = _findings(spark, d)
+    return C.chain_breaks(T.level_parents(rows), T.effective_children(rows), e.edges().select(F.col("child_code").alias("code")), e.exploded())
+
+
+@_query()
+def chain_break_roots(spark, d):
+    return _breaks(spark, d)[0]
+
+
+@_query()
+def chain_break_classification(spark, d):
+    return _breaks(spark, d)[1]
+
+
+@_query()
+def parent_child_mismatch(spark, d):
+    rows, h, lines, e = _findings(spark, d)
+    reached = e.edges().select(F.col("parent_code").alias("code"))
+    return C.parent_child_mismatches(T.level_parents(rows, "skip"), h, lines, reached, C.unexploded(rows, h, e.exploded()))
+
+
+@_query()
+def typo_suspects(spark, d):
+    rows, h, lines, _ = _findings(spark, d)
+    return C.typo_suspects(C.child_differences(T.level_parents(rows, "skip"), h, lines))
+
+
+@_query()
+def qty_inference(spark, d):
+    rows, _, _, e = _findings(spark, d)
+    pair = lambda df: df.select(F.col("parent_code").alias("parent"), F.col("child_code").alias("child"), "unit")
+    totals = view(spark, d, "totals").withColumnRenamed("pn", "code")
+    return C.infer_quantities(pair(e.missing()), pair(e.edges()), totals, T.occurrences(rows))
+
+
+@_query()
+def pbs_only_nodes(spark, d):
+    rows, _, _, e = _findings(spark, d)
+    return V.structure_only(T.level_parents(rows), e.edges())
+
+
+@_query()
+def explosion_view(spark, d):
+    _, _, lines, e = _findings(spark, d)
+    return V.explosion_view(e.edges(), G.part_master(lines, K.norm(F.col("internal_code"))), e.units()).withColumn("qty", _whole("qty"))
+
+
+@_query()
+def pbs_export_check(spark, d):
+    from .operators.sinks import check_export, export_lines
+
+    return check_export(export_lines(view(spark, d, "pbs_rows"), "PBS"))
+
+
+# --- sources ---------------------------------------------------------------------------------
+
+@_query("SELECT CAST(conv_id AS STRING) AS file_id, min(turn) AS first_turn, count(*) AS turns FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations) WHERE g > 0 GROUP BY conv_id, g")
+def continuation_merge(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").cast("string").alias("file_id"), F.col("turn").alias("row"), "role", F.lit("x").alias("mark"))
+    got = I.assembled_records(c, F.col("role") == "user", {"mark": ","})
+    return got.select("file_id", F.col("row").alias("first_turn"), F.size(F.split("mark", ",")).cast("bigint").alias("turns"))
+
+
+@_query("WITH v AS (SELECT l_returnflag AS file_id, l_extendedprice AS x FROM lineitem), g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY file_id ORDER BY x) > 20 THEN 1 ELSE 0 END AS b FROM v), c AS (SELECT file_id, x, sum(b) OVER (PARTITION BY file_id ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1 AS k FROM g) SELECT file_id, CAST(k AS BIGINT) AS cluster, count(*) AS n, min(x) AS low, max(x) AS high FROM c GROUP BY file_id, k")
+def x_cluster(spark, d):
+    v = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("file_id"), F.col("l_extendedprice").alias("x"))
+    return I.clusters(v, "x", 20.0, ["file_id"]).groupBy("file_id", F.col("cluster").cast("bigint").alias("cluster")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+@_query("SELECT CAST(n_nationkey AS STRING) AS word_id, n_regionkey AS col FROM nation")
+def word_to_column(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    words = n.select(F.lit("f").alias("file_id"), F.col("n_nationkey").cast("string").alias("word_id"), (F.col("n_regionkey") * 10.0 + 1).alias("x0"), (F.col("n_regionkey") * 10.0 + 5).alias("x1"))
+    edges = spark.read.parquet(f"{d}/region.parquet").select(F.lit("f").alias("file_id"), F.col("r_regionkey").alias("col"), (F.col("r_regionkey") * 10.0).alias("x0"), (F.col("r_regionkey") * 10.0 + 10).alias("x1"))
+    return I.words_to_columns(words, edges).select("word_id", "col")
+
+
+_PATHS = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/p/PBS REV ' || chr(65 + CAST(page_id % 7 AS INTEGER)) || '.xlsx' WHEN 1 THEN '/p/a/PRT LIST ' || CAST(page_id AS STRING) || '.xls' WHEN 2 THEN '/p/.git/BOM.pdf' WHEN 3 THEN '/p/x/y/BOM ' || CAST(page_id AS STRING) || '.pdf' ELSE '/p/a/b/c/d/e/BOM.pdf' END AS path FROM pages"
+
+
+def _files(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return spark.sql(_PATHS.replace("FROM pages", "FROM {pages}"), pages=p).withColumn("modification_time", F.timestamp_seconds(F.col("page_id")))
+
+
+@_query(f"WITH f AS ({_PATHS}) SELECT path, CASE page_id % 5 WHEN 0 THEN 'PBS' WHEN 1 THEN 'BOM_EXCEL' ELSE 'BOM_PDF' END AS kind FROM f WHERE page_id % 5 IN (0, 1, 3)")
+def discovery_classify(spark, d):
+    return S.classify(_files(spark, d), "/p")
+
+
+@_query(f"WITH f AS ({_PATHS}) SELECT path, CAST(1 AS BIGINT) AS rank_ties FROM f WHERE page_id % 5 = 0 ORDER BY page_id % 7 DESC, page_id DESC LIMIT 1")
+def choose_pbs(spark, d):
+    return S.choose_structure(_files(spark, d).where("page_id % 5 = 0"))
+
+
+@_query("SELECT 'PBS_EXCEL' AS mode")
+def mode_detect(spark, d):
+    return S.mode(_files(spark, d))
+
+
+@_query()
+def filename_match_top1(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    files = p.select(F.concat(F.lit("/f/"), (F.col("p_partkey") + 310000).cast("string"), F.lit(" REV A.pdf")).alias("name")).withColumn("path", F.col("name"))
+    targets = p.where("p_size % 3 = 0").select(F.concat((F.col("p_partkey") + 310000).cast("string"), F.lit("PRTL")).alias("target"), F.when(F.col("p_size") % 2 == 0, "A").otherwise("").alias("rev"))
+    return V.match_targets(files, targets)
+
+
+@_query()
+def header_verification(spark, d):
+    targets = view(spark, d, "structure_revs").select(F.col("code").alias("target"), "rev")
+    return V.verify_headers(view(spark, d, "bom_headers"), targets)
