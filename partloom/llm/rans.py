@@ -34,7 +34,7 @@ from .tokens import encoder, tokenizer_path
 MAGIC = b"PLR1"
 SCALE = 16
 BLOCK = 1 << 18
-LANES = 1024
+LANES = 2048
 #: Ids in a file; a task with more of them writes several files.
 FILE_TOKENS = 1 << 22
 
@@ -44,7 +44,9 @@ def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     One slot stays free, so that no frequency fills the whole range and 32-bit states suffice.
     """
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     total = (1 << SCALE) - 1
     if len(symbols) > total:
         raise ValueError(f"{len(symbols)} different ids; a table holds {total} at most")

@@ -44,7 +44,7 @@ class CachedEncoder:
     A null text counts as empty and gives no ids.
     """
 
-    def __init__(self, path: str, capacity: int = 550_000):
+    def __init__(self, path: str, capacity: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
