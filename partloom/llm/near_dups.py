@@ -166,10 +166,22 @@ def _multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["node", "keys", "counts", "signature"])
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
+    joined = _likely(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted).join(wanted, "doc_id").select("node", "text")
     return written(joined.mapInArrow(take, "node long, keys binary, counts binary, signature binary"), "multisets")
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be in ``wanted``: a bitmap of 2^24 bits, 4 MB whatever the input, is broadcast.
+
+    It only keeps texts that cannot match out of the exact join that follows.
+    """
+    h = F.xxhash64("doc_id")
+    place, bit = F.pmod(h, F.lit(1 << 18)).alias("__place"), F.shiftleft(F.lit(1).cast("long"), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int"))
+    bitmap = wanted.select(place, bit.alias("__bit")).groupBy("__place").agg(F.bit_or("__bit").alias("__bits"))
+    marked = docs.select("*", place, bit.alias("__bit")).join(F.broadcast(bitmap), "__place")
+    return marked.where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).select("doc_id", "text")
+
+
 def similarity(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
     """Weighted Jaccard of two multisets given as sorted keys and counts."""
     ka, kb = np.frombuffer(a[0], np.uint64), np.frombuffer(b[0], np.uint64)
@@ -299,7 +311,9 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, rounds: i
     rest = written(rest.join(several, "bucket").select("bucket", "node", "root"), "rest")
     if not rest.isEmpty():
         found = written(_in_blocks(rest, nodes, multisets, least), "found")
-        links = written(links.unionByName(found), "all-links")
+        links = found if links is None else written(links.unionByName(found), "all-links")
+    if links is None:
+        links = buckets.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
     roots = nodes.select("node", "doc_id").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = written(roots, "roots")
     dropped(multisets)
