@@ -176,7 +176,7 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     It only keeps texts that cannot match out of the exact join that follows.
     """
     h = F.xxhash64("doc_id")
-    place, bit = F.pmod(h, F.lit(1 << 18)).alias("__place"), F.shiftleft(F.lit(1).cast("long"), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int"))
+    place, bit = F.pmod(h, F.lit(1 << 18)).alias("__place"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int"))
     bitmap = wanted.select(place, bit.alias("__bit")).groupBy("__place").agg(F.bit_or("__bit").alias("__bits"))
     marked = docs.select("*", place, bit.alias("__bit")).join(F.broadcast(bitmap), "__place")
     return marked.where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).select("doc_id", "text")

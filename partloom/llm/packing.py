@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import before, written
-from .tokens import encoder, tokenizer_path
+from .tokens import encoder, slices, tokenizer_path
 
 CAPACITY = 4096
 
@@ -237,7 +237,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
 
         encode, width = encoder(tokenizer).encode_bytes, 4 * capacity
         names = ["doc_id", "start", "length", "doc_tokens", "ids"]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text) + closing

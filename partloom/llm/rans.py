@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import before, fresh_dir, written
-from .tokens import encoder, tokenizer_path
+from .tokens import encoder, slices, tokenizer_path
 
 MAGIC = b"PLR1"
 SCALE = 16
@@ -211,7 +211,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             out.append((part, number, path, held, len(data)))
             ids, docs_in, lengths, held = [], [], [], 0
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 coded = encode(text) + closing
                 ids.append(coded)

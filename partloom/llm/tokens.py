@@ -17,8 +17,10 @@ import numpy as np
 
 #: Longer chunks are encoded but not remembered.
 LONGEST_KEPT = 48
+_OWN_STOPS = ("\x02", "\x03")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
+_STOPS = ("..", ",,", ".,", ",.")
 _RARE_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _RARE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Letters of one pre-token, then marks of another one.
@@ -31,6 +33,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def slices(batches, rows: int = 512):
+    """The batches in parts of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters that byte-level BPE writes for bytes: printable Latin-1 ones stand for themselves."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -44,7 +53,7 @@ class CachedEncoder:
     A null text counts as empty and gives no ids.
     """
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,6 +69,8 @@ class CachedEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        #: chunks that do not end with a letter or digit, so that a stop after them would not stand alone
+        self.closed: set[str] = {""}
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")
@@ -67,12 +78,22 @@ class CachedEncoder:
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if "\x02" in text or "\x03" in text:  # signs that chunks use for themselves
+            return self._whole(text)
         if self.spaced:
             if not self._simple(text):
                 head, *rest = _BETWEEN.split(text)
                 return b"".join([self._whole(head), *self._ids([x if _PLAIN.fullmatch(x) else " " + x for x in rest])])
             # a chunk is a word after a space, or a line feed and a word
-            return b"".join(self._ids(f"\n{text}".replace("\n", " \n").split(" ")[1:]))[len(self.feed) :]
+            marked = f"\n{text}".replace("\n", " \n")
+            if not any(x in text for x in _STOPS):
+                # full stops and commas after a letter or digit are chunks of their own, so fewer kinds are met
+                chunks = marked.replace(".", " \x02").replace(",", " \x03").split(" ")[1:]
+                if self.closed.isdisjoint(chunks):
+                    ids = self._ids(chunks)
+                    if self.closed.isdisjoint(chunks):
+                        return b"".join(ids)[len(self.feed) :]
+            return b"".join(self._ids(marked.split(" ")[1:]))[len(self.feed) :]
         return b"".join(self._ids(text.replace("\n", " ").split(" ")))
 
     @staticmethod
@@ -93,9 +114,21 @@ class CachedEncoder:
                 pass
             if len(self.young) >= self.capacity:
                 self.old, self.young = self.young, {}
+                if len(self.closed) > self.capacity:  # only chunks of the two generations can be met unlearnt
+                    self.closed = {c for c in self.closed if c in self.old} | {""}
         return found
 
     def _learn(self, chunk: str) -> bytes:
+        if chunk[:1] in _OWN_STOPS:
+            # what follows a stop without a space belongs to the word after it, not to a stop
+            ids = self._whole((".", ",")[chunk[0] == "\x03"] + chunk[1:])
+            if not (chunk[1:] or "a")[-1].isalnum():
+                self.closed.add(chunk)
+            if len(chunk) <= LONGEST_KEPT:
+                self.young[chunk] = ids
+            return ids
+        if not chunk[-1:].isalnum():
+            self.closed.add(chunk)
         ids = self.old.get(chunk)
         if ids is None:
             plain = _PLAIN.fullmatch(chunk, 1 if self.spaced and chunk[:1] == "\n" else 0)
