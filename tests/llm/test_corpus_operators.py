@@ -108,11 +108,11 @@ def test_mix_is_unbiased(spark):
     rows = [(i, "s", 1 + i % 9, 0.3 + (i % 7) / 5.0) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long, expected double")
     mean = Counter()
-    for seed in range(12):
+    for seed in range(6):
         for r in mixing.pivotal_copies(df, seed).collect():
-            mean[r.doc_id] += r.copies / 12
-    assert abs(sum(mean.values()) / 60 - sum(r[3] for r in rows) / 60) < 0.08
-    assert all(abs(mean[r[0]] - r[3]) < 0.6 for r in rows)
+            mean[r.doc_id] += r.copies / 6
+    assert abs(sum(mean.values()) / 60 - sum(r[3] for r in rows) / 60) < 0.12
+    assert all(abs(mean[r[0]] - r[3]) < 0.85 for r in rows)
 
 
 def test_mix_edge_cases(spark):
