@@ -527,3 +527,68 @@ def filename_match_top1(spark, d):
 def header_verification(spark, d):
     targets = view(spark, d, "structure_revs").select(F.col("code").alias("target"), "rev")
     return V.verify_headers(view(spark, d, "bom_headers"), targets)
+
+
+# --- grids of cells and lines ----------------------------------------------------------------
+
+@_query("""WITH l AS (SELECT CAST(conv_id AS STRING) AS file_id, turn, CASE WHEN role = 'user' THEN '0010 u' ELSE 'more' END AS t FROM conversations), g AS (SELECT *, sum(CASE WHEN t = '0010 u' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY turn) AS k FROM l)
+SELECT file_id, CAST(k AS BIGINT) AS record, string_agg(t, ' ' ORDER BY turn) AS text FROM g WHERE k > 0 GROUP BY file_id, k""")
+def text_line_records(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    lines = c.select(F.col("conv_id").cast("string").alias("file_id"), F.col("turn").alias("line_no"), F.when(F.col("role") == "user", "0010 u").otherwise("more").alias("text"))
+    return I.line_records(lines).select("file_id", "record", "text")
+
+
+_SHEET = "SELECT CAST(p_size % 10 AS STRING) AS file_id, CAST(p_partkey % 4 AS INTEGER) + 1 AS row, CAST(p_partkey % 7 AS INTEGER) + 1 AS col, CASE p_partkey % 6 WHEN 0 THEN ' pos ' WHEN 1 THEN 'Description' WHEN 2 THEN 'QTY' WHEN 3 THEN 'rev.' WHEN 4 THEN 'note' ELSE 'other' END AS value FROM part WHERE p_partkey % 11 < 3"
+
+
+@_query(f"""WITH s AS ({_SHEET}), a AS (SELECT file_id, row, CASE upper(trim(value)) WHEN 'POS' THEN 'pos' WHEN 'DESCRIPTION' THEN 'description' WHEN 'QTY' THEN 'qty' WHEN 'REV.' THEN 'rev' WHEN 'NOTE' THEN 'notes' END AS c FROM s),
+k AS (SELECT file_id, row, count(DISTINCT c) AS score, count(DISTINCT CASE WHEN c IN ('pos', 'description', 'qty') THEN c END) AS must FROM a WHERE c IS NOT NULL GROUP BY file_id, row)
+SELECT file_id, row, score FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN must = 3 THEN 0 ELSE 1 END, CASE WHEN must = 3 THEN 0 ELSE -score END, row) AS r FROM k WHERE must = 3 OR score >= 3) WHERE r = 1""")
+def header_alias_score(spark, d):
+    cells = spark.sql(_SHEET.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{d}/part.parquet"))
+    return I.header_rows(cells, I.alias_table(spark), ["pos", "description", "qty"])
+
+
+@_query("""SELECT CAST(p_partkey AS STRING) AS file_id, k AS part, CASE WHEN k = 1 THEN '0001' ELSE '0002' END AS pos,
+CASE WHEN p_size % 3 = 0 THEN CASE WHEN k = 1 THEN 'a' ELSE '' END WHEN p_size % 2 = 0 AND k = 1 THEN 'a' WHEN p_size % 2 = 0 THEN 'b c' ELSE 'a b c' END AS notes
+FROM part CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) n WHERE k = 1 OR p_size % 2 = 0""")
+def cell_expand(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    rows = p.select(F.col("p_partkey").cast("string").alias("file_id"), F.lit(1).alias("row"), F.when(F.col("p_size") % 2 == 0, "0001\n0002").otherwise("0001").alias("pos"), F.when(F.col("p_size") % 3 == 0, "a").otherwise("a\nb\nnull\nc").alias("notes"))
+    return I.expanded_cells(rows, ["pos", "notes"], ["notes"]).select("file_id", "part", "pos", "notes")
+
+
+@_query("""WITH r AS (SELECT p_brand AS file_id, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT file_id, count(*) AS checked,
+CAST(sum(CASE WHEN p_size % 3 = 0 OR p_size % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS suspect, sum(CASE WHEN p_size % 3 = 0 OR p_size % 7 = 0 THEN 1 ELSE 0 END) / count(*) >= 0.35 AS misaligned FROM r WHERE k <= 500 GROUP BY file_id""")
+def misaligned_qty(spark, d):
+    p, size = spark.read.parquet(f"{d}/part.parquet"), F.col("p_size")
+    rows = p.select(F.col("p_brand").alias("file_id"), F.col("p_partkey").alias("row"), size.cast("string").alias("qty_text"), F.when(size % 3 == 0, F.lpad(size.cast("string"), 2, "0")).otherwise("Q").alias("rev"), F.when(size % 7 == 0, " ").otherwise("NR").alias("um"))
+    return I.misaligned_quantities(rows)
+
+
+_PARSED = "SELECT p_brand AS file_id, CASE p_partkey % 3 WHEN 0 THEN 'tables' WHEN 1 THEN 'grid' ELSE 'text' END AS parser, CASE WHEN p_size % 9 = 0 AND p_partkey % 3 = 0 THEN '' ELSE 'C' || CAST(p_size AS STRING) END AS internal_code, CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS qty FROM part"
+_SCORES = f"""WITH p AS ({_PARSED}), s AS (SELECT file_id, parser, count(*) AS n, avg(CASE WHEN internal_code <> '' THEN 1.0 ELSE 0.0 END) AS coverage, count(*) - count(DISTINCT internal_code) AS duplicates, count(qty) AS q FROM p GROUP BY file_id, parser),
+k AS (SELECT file_id, parser, n, coverage, duplicates, n * coverage + 0.25 * q - 0.5 * duplicates AS score FROM s) """
+
+
+def _parsed(spark, d):
+    return spark.sql(_PARSED.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{d}/part.parquet"))
+
+
+@_query(_SCORES + "SELECT file_id, parser, n, duplicates, round(score, 6) AS score FROM k")
+def parser_scores(spark, d):
+    return I.parser_scores(_parsed(spark, d)).select("file_id", "parser", "n", "duplicates", F.round("score", 6).alias("score"))
+
+
+@_query(_SCORES + """, f AS (SELECT file_id, arg_min(parser, r) AS parser, arg_min(score, r) AS score FROM (SELECT *, CASE parser WHEN 'tables' THEN 1 WHEN 'text' THEN 2 ELSE 3 END AS r FROM k) GROUP BY file_id),
+b AS (SELECT file_id, arg_max(parser, score) AS parser, max(score) AS score FROM k WHERE coverage >= 1 GROUP BY file_id) SELECT f.file_id, CASE WHEN b.score - f.score >= 1.5 THEN b.parser ELSE f.parser END AS parser FROM f LEFT JOIN b ON b.file_id = f.file_id""")
+def parser_arbitration(spark, d):
+    return I.chosen_parser(I.parser_scores(_parsed(spark, d)), ["tables", "text", "grid"])
+
+
+@_query(f"""WITH p AS ({_PARSED}), a AS (SELECT DISTINCT file_id, internal_code AS c FROM p WHERE parser = 'tables'), b AS (SELECT DISTINCT file_id, internal_code AS c FROM p WHERE parser = 'grid'), n AS (SELECT file_id, count(*) AS n FROM a GROUP BY file_id), m AS (SELECT file_id, count(*) AS n FROM b GROUP BY file_id),
+s AS (SELECT a.file_id, count(*) AS n FROM a JOIN b ON a.file_id = b.file_id AND a.c = b.c GROUP BY a.file_id) SELECT n.file_id, CAST(COALESCE(s.n, 0) AS INTEGER) AS shared, COALESCE(s.n, 0) / n.n AS share_a, COALESCE(s.n, 0) / m.n AS share_b FROM n JOIN m ON m.file_id = n.file_id LEFT JOIN s ON s.file_id = n.file_id""")
+def parser_overlap(spark, d):
+    p = _parsed(spark, d)
+    return I.parser_overlap(p.where("parser = 'tables'"), p.where("parser = 'grid'"))
