@@ -61,7 +61,7 @@ class CachedEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.spaced = self.tokenizer.normalizer is None  # byte-level BPE: a space belongs to the word after it
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.feed = self._whole("\n") if self.spaced else b""
@@ -89,10 +89,9 @@ class CachedEncoder:
             if not any(x in text for x in _STOPS):
                 # full stops and commas after a letter or digit are chunks of their own, so fewer kinds are met
                 chunks = marked.replace(".", " \x02").replace(",", " \x03").split(" ")[1:]
-                if self.closed.isdisjoint(chunks):
-                    ids = self._ids(chunks)
-                    if self.closed.isdisjoint(chunks):
-                        return b"".join(ids)[len(self.feed) :]
+                ids = self._ids(chunks)
+                if self.closed.isdisjoint(chunks):  # asked when all chunks are learnt
+                    return b"".join(ids)[len(self.feed) :]
             return b"".join(self._ids(marked.split(" ")[1:]))[len(self.feed) :]
         return b"".join(self._ids(text.replace("\n", " ").split(" ")))
 
@@ -105,13 +104,10 @@ class CachedEncoder:
     def _ids(self, chunks: list[str]) -> list[bytes]:
         found = list(map(self.young.get, chunks))
         if None in found:
-            get, at = self.young.get, -1
-            try:
-                while True:
-                    at = found.index(None, at + 1)
-                    found[at] = get(chunks[at]) or self._learn(chunks[at])
-            except ValueError:
-                pass
+            learn, get = self._learn, self.young.get
+            for i, f in enumerate(found):
+                if f is None:
+                    found[i] = get(chunks[i]) or learn(chunks[i])
             if len(self.young) >= self.capacity:
                 self.old, self.young = self.young, {}
                 if len(self.closed) > self.capacity:  # only chunks of the two generations can be met unlearnt
@@ -119,6 +115,14 @@ class CachedEncoder:
         return found
 
     def _learn(self, chunk: str) -> bytes:
+        if self.spaced and chunk.isalpha() and chunk.isascii():  # byte-level BPE writes a space as this letter
+            ids = self.old.get(chunk)
+            if ids is None:
+                four = self.four
+                ids = b"".join([four[x.id] for x in self.tokenize("\u0120" + chunk)])
+            if len(chunk) <= LONGEST_KEPT:
+                self.young[chunk] = ids
+            return ids
         if chunk[:1] in _OWN_STOPS:
             # what follows a stop without a space belongs to the word after it, not to a stop
             ids = self._whole((".", ",")[chunk[0] == "\x03"] + chunk[1:])
@@ -140,8 +144,6 @@ class CachedEncoder:
                 ids = self._word(chunk.lower())
             elif chunk[0] == "\n":
                 ids = self.feed + self._word(chunk[1:])
-            elif chunk.isascii():  # byte-level BPE writes a space as this letter
-                ids = b"".join([self.four[x.id] for x in self.model.tokenize("\u0120" + chunk)])
             else:
                 ids = self._word(" " + chunk)
         if len(chunk) <= LONGEST_KEPT:
@@ -159,8 +161,8 @@ class CachedEncoder:
         """One pre-token, straight to the library's model."""
         four = self.four
         if word.isascii() and word.isalpha():  # letters that stand for themselves
-            return b"".join([four[x.id] for x in self.model.tokenize(word)])
-        return b"".join([four[x.id] for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+            return b"".join([four[x.id] for x in self.tokenize(word)])
+        return b"".join([four[x.id] for x in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -169,8 +171,8 @@ class CachedEncoder:
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
-def encoder(path: str) -> CachedEncoder:
+def encoder(path: str, capacity: int = 300_000) -> CachedEncoder:
     """The encoder of this Python worker for the file; workers are reused, and so are its chunks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
+        _ENCODERS[path] = CachedEncoder(path, capacity)
     return _ENCODERS[path]
