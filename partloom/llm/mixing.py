@@ -51,8 +51,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
         (F.col("__all") - F.coalesce(F.sum("__cap").over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         / F.sum("__w").over(full.rowsBetween(0, Window.unboundedFollowing)),
     ).withColumn("__open", F.col("__cap") / F.col("__w") > F.col("__level"))
-    water = F.min(F.when(F.col("__open"), F.struct(F.col("__cap") / F.col("__w"), F.col("__level").alias("level")))).over(every)
-    return level.select("source", "source_size", F.when(F.col("__open"), F.col("__w") * water["level"]).otherwise(F.col("__cap")).alias("target"))
+    water = F.max(F.when(F.col("__open"), F.col("__level"))).over(every)  # the first open source's; levels fall from there on
+    return level.select("source", "source_size", F.when(F.col("__open"), F.col("__w") * water).otherwise(F.col("__cap")).alias("target"))
 
 
 def _meet(keys: Sequence[str]):
