@@ -136,7 +136,7 @@ def pivotal_copies(sized: DataFrame, seed: int = 20240229) -> DataFrame:
     total = sized.count()
     salts = 1 << max(0, (total // 4096).bit_length())
     rows = (
-        sized.withColumn("expected", F.coalesce("expected", F.lit(0.0)))
+        sized.withColumn("expected", F.when(F.col("size") > 0, F.coalesce("expected", F.lit(0.0))).otherwise(F.lit(0.0)))
         .withColumn("__base", F.floor(F.col("expected") + _EPS).cast("long"))
         .withColumn("__frac", F.greatest(F.col("expected") - F.col("__base"), F.lit(0.0)))
         .withColumn("__octave", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) * 2).cast("int"))
