@@ -235,7 +235,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode, width = encoder(tokenizer).encode_bytes, 4 * capacity
+        encode, width = encoder(tokenizer, 200_000).encode_bytes, 4 * capacity
         names = ["doc_id", "start", "length", "doc_tokens", "ids"]
         for batch in slices(batches):
             rows = []
