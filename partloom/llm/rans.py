@@ -196,7 +196,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
 
         files, base = _filesystem(folder)
         task = TaskContext.get()
-        part, attempt, encode = task.partitionId(), task.taskAttemptId(), encoder(tokenizer, 600_000).encode_bytes
+        part, attempt, encode = task.partitionId(), task.taskAttemptId(), encoder(tokenizer, 900_000).encode_bytes
         ids, docs_in, lengths, held, out = [], [], [], 0, []
         closing = end.tobytes()
 
