@@ -1,38 +1,60 @@
 """Cross-entropy difference: matched target and background bigram models score each document.
 
-Both models share the vocabulary of the VOCABULARY most frequent words of all documents (other
-words are one unknown word, and a text begins after a boundary), the same smoothing and order.
-Target counts come from the documents whose label marks good quality, background counts from all
-documents.  A document's own counts are taken out of both models while it is scored, so texts that
-were counted as target have no advantage over others.
+Both models share the vocabulary, the smoothing and the order.  The vocabulary grows with the data:
+it has every word that at least LEAST_ROWS rows hold; only rarer ones are one unknown word, and a
+text begins after a boundary.  Target counts come from the documents whose label marks good quality,
+background counts from all documents.  A document's own counts are taken out of both models while it
+is scored, so texts that were counted as target have no advantage over others.
+
+Words are 64-bit hashes.  Counts stay in tables: each row's distinct bigrams, counted before they
+leave the row, are joined with the corpus counts by bigram.  Workers hold a bitmap of fixed size.
 """
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rans import _filesystem
-from .store import fresh_dir, written
+from .store import written
 
-#: Words with numbers of their own; models are tables of at most (VOCABULARY + 2) squared counts.
-VOCABULARY = 2048
+#: Rows that hold a word of the vocabulary, at least.
+LEAST_ROWS = 5
+#: Rows are counted by slots of words, 2^SLOT_BITS: a word that shares its slot may be known with fewer rows, never the reverse.
+SLOT_BITS = 26
 #: Weight of the unigram distribution in each context, in words.
 PRIOR = 256.0
+#: Bigrams are joined in so many passes, by hash, so that less is on disk at a time.
+PASSES = 8
+UNKNOWN, BOUNDARY = -2, -1
 _DISTINCT = 200_000  # words that a task counts before it hands them on
 _TOKENS = 1_000_000
+_TEXTS = 500  # texts that are hashed together
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
+def _hashed(words: list[bytes]) -> np.ndarray:
+    from pandas.util import hash_array
+
+    return hash_array(np.array(words, dtype=object), categorize=False).view(np.int64) if words else np.zeros(0, np.int64)
+
+
+def _texts(column) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """First row and word hashes of each text, for runs of texts of an Arrow column."""
+    for i in range(0, len(column), _TEXTS):
+        split = [_words(t) for t in column.slice(i, _TEXTS).to_pylist()]
+        ends = np.cumsum([len(s) for s in split])
+        yield i, np.split(_hashed([w for s in split for w in s]), ends[:-1])
+
+
+def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
     """The most frequent words of all documents, ties by the words themselves."""
 
     def count(batches: Iterator) -> Iterator:
@@ -55,139 +77,167 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-def numbered(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """doc_id and ids (binary, uint16) of every text; the unknown word has the number after the last."""
-    unknown = len(words)
-
-    def number(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        get = {w: i for i, w in enumerate(words)}.get
-        for batch in batches:
-            ids = []
-            for text in batch.column(1).to_pylist():
-                found = _words(text)
-                ids.append(np.fromiter(map(get, found, repeat(unknown)), np.uint16, len(found)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(number, "doc_id long, ids binary")
-
+_COUNTS = ("n_rows", "n_all", "n_target", "ends_all", "ends_target")
 
-def _pairs(ids: bytes, size: int) -> np.ndarray:
-    """Keys of a text's bigrams; the first word follows the boundary, number ``size`` + 1."""
-    now = np.frombuffer(ids, np.uint16).astype(np.int64)
-    before = np.concatenate([[size + 1], now[:-1]])
-    return before * (size + 2) + now if len(now) else now
 
-
-def bigram_counts(marked: DataFrame, size: int) -> DataFrame:
-    """key, n_all, n_target over rows of (ids, target)."""
-    bins = (size + 2) ** 2
+def word_counts(marked: DataFrame) -> DataFrame:
+    """word and, of all and of target texts, rows that hold it, occurrences, texts that it ends; over rows of (text, target)."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        totals = [np.zeros(bins, np.int32), np.zeros(bins, np.int32)]
-        held: tuple[list, list] = ([], [])
+        held: list[np.ndarray] = []
         waiting = 0
 
-        def add() -> None:
-            for total, keys in zip(totals, held):
-                if keys:
-                    joined = np.concatenate(keys)
-                    if len(joined):
-                        total += np.bincount(joined, minlength=bins).astype(np.int32)
-                    keys.clear()
+        def told():
+            rows = np.concatenate(held, axis=1)
+            held.clear()
+            words, at = np.unique(rows[0], return_inverse=True)
+            sums = [np.bincount(at, weights=r, minlength=len(words)).astype(np.int64) for r in rows[1:]]
+            return pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, sums)], ["word", *_COUNTS])
 
         for batch in batches:
-            for ids, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = _pairs(ids, size)
-                held[0].append(keys)
-                if target:
-                    held[1].append(keys)
-                waiting += len(keys)
+            targets = batch.column(1).to_pylist()
+            for first, texts in _texts(batch.column(0)):
+                for i, h in enumerate(texts, first):
+                    if len(h):
+                        words, n = np.unique(h, return_counts=True)
+                        end = (words == h[-1]).astype(np.int64)
+                        held.append(np.stack([words, np.ones_like(words), n, n * targets[i], end, end * targets[i]]))
+                        waiting += len(words)
                 if waiting >= _TOKENS:
-                    add()
+                    yield told()
                     waiting = 0
-        add()
-        seen = np.flatnonzero(totals[0])
-        for i in range(0, len(seen), 100_000):
-            part = seen[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(totals[0][part].astype(np.int64)), pa.array(totals[1][part].astype(np.int64))], ["key", "n_all", "n_target"])
+        if held:
+            yield told()
 
-    counted = marked.select("ids", "target").mapInArrow(count, "key int, n_all long, n_target long")
-    return counted.groupBy("key").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
+    counted = marked.select("text", "target").mapInArrow(count, "word long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
-class Model:
-    """Smoothed bigram model; ``own`` counts of the scored text are left out."""
+def _known_slots(words: DataFrame) -> tuple[DataFrame, Callable[[np.ndarray], np.ndarray]]:
+    """``words`` with ``known``, and the same as a function of hashes that holds a bitmap of fixed size."""
+    slot = F.col("word").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    slots = written(words.groupBy(slot.alias("slot")).agg(F.sum("n_rows").alias("n")).where(F.col("n") >= LEAST_ROWS).select("slot"), "word-slots")
+    bits = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    packed = slots.groupBy(F.shiftright("slot", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits"))
+    for r in packed.collect():  # 4 KB for each of 2^SLOT_BITS / 32,768 places
+        bits[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = words.sparkSession.sparkContext.broadcast(bits)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, size: int):
-        self.size = size
-        self.pairs = np.zeros((size + 2) ** 2, np.int64 if counts.max(initial=0) > 2**31 - 1 else np.int32)
-        self.pairs[keys] = counts
-        table = self.pairs.reshape(size + 2, size + 2)
-        self.context, self.word = table.sum(axis=1, dtype=np.int64), table.sum(axis=0, dtype=np.int64)
-        self.total = int(self.word.sum())
+    def known(h: np.ndarray) -> np.ndarray:
+        at = h & ((1 << SLOT_BITS) - 1)
+        return (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-    def losses(self, keys: np.ndarray, out: bool) -> np.ndarray:
-        """Negative log probabilities of the bigrams ``keys``; ``out``: the text was counted."""
-        before, now = keys // (self.size + 2), keys % (self.size + 2)
-        pair, context, word, total = self.pairs[keys].astype(float), self.context[before].astype(float), self.word[now].astype(float), self.total
-        if out:
-            for values, groups in ((pair, keys), (context, before), (word, now)):
-                _, at, n = np.unique(groups, return_inverse=True, return_counts=True)
-                values -= n[at]
-            total -= len(keys)
-        unigram = (word + 1) / (total + self.size + 1)
-        return -np.log((pair + PRIOR * unigram) / (context + PRIOR))
+    return words.withColumn("slot", slot).join(slots.withColumn("known", F.lit(True)), "slot", "left"), known
 
 
-_MODELS: dict[str, tuple[Model, Model]] = {}
+def _known_listed(words: DataFrame, listed: list[bytes]) -> tuple[DataFrame, Callable[[np.ndarray], np.ndarray]]:
+    """As ``_known_slots``, for the vocabulary ``listed``."""
+    hashes = _hashed(listed)
+    table = words.sparkSession.createDataFrame([(int(h), True) for h in hashes], "word long, known boolean")
+    return words.join(table, "word", "left"), lambda h: np.isin(h, hashes)
 
 
-def _models(path: str, size: int) -> tuple[Model, Model]:
-    """Background and target model of the counts below ``path``, read once by a worker."""
-    if path not in _MODELS:
-        import pyarrow.dataset as ds
+def row_bigrams(marked: DataFrame, known: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Rows of (row, doc_id, text, target) with n_words and, as binary arrays, the distinct words (words),
+    how often each is a context (n_before) and a word (n_now), and for each pass the places in ``words`` of
+    its distinct bigrams and how often the text has them (p0, p1, ...: three runs of int32)."""
 
-        files, local = _filesystem(path)
-        table = ds.dataset(local, filesystem=files, format="parquet").to_table()
-        keys = table.column("key").to_numpy()
-        _MODELS.clear()
-        _MODELS[path] = tuple(Model(keys, table.column(c).to_numpy(), size) for c in ("n_all", "n_target"))
-    return _MODELS[path]
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for batch in batches:
+            for first, texts in _texts(batch.column(2)):
+                told: list[list[bytes]] = [[] for _ in range(PASSES + 3)]
+                for h in texts:
+                    own, at = np.unique(np.concatenate([[BOUNDARY], np.where(known(h), h, UNKNOWN)]), return_inverse=True)
+                    before, now = at[:-1], at[1:]
+                    pairs, n = np.unique(before * len(own) + now, return_counts=True)
+                    a, b = pairs // len(own), pairs % len(own)
+                    mixed = own.view(np.uint64)
+                    turn = (((mixed[a] * np.uint64(31) + mixed[b]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(PASSES)
+                    runs = np.stack([a, b, n]).astype(np.int32)
+                    sums = (np.bincount(x, minlength=len(own)).astype(np.int32) for x in (before, now))
+                    for values, column in zip((own, *sums, *[runs[:, turn == p] for p in range(PASSES)]), told):
+                        column.append(values.tobytes())
+                same = [batch.column(c).slice(first, len(texts)) for c in (0, 1, 3)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([len(h) for h in texts], pa.int64()), *[pa.array(c, pa.binary()) for c in told]], ["row", "doc_id", "target", "n_words", *binary])
+
+    binary = ["words", "n_before", "n_now", *[f"p{p}" for p in range(PASSES)]]
+    return marked.select("row", "doc_id", "text", "target").mapInArrow(count, "row long, doc_id long, target boolean, n_words long, " + ", ".join(f"{c} binary" for c in binary))
+
+
+def _bigrams(rows: DataFrame, part: str) -> DataFrame:
+    """row, target, n_words, a, b, n, n_a, n_b: the bigrams (a, b) of one pass, n of them in the row, with the row's counts of a as context and b as word."""
+
+    def unpack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
+        for batch in batches:
+            for first in range(0, batch.num_rows, _TEXTS):
+                some = batch.slice(first, _TEXTS)
+                columns = [[] for _ in range(5)]
+                lengths = []
+                for words, n_before, n_now, runs in zip(*(some.column(c).to_pylist() for c in range(3, 7))):
+                    a, b, n = np.frombuffer(runs, np.int32).reshape(3, -1)
+                    own = np.frombuffer(words, np.int64)
+                    for values, column in zip((own[a], own[b], n, np.frombuffer(n_before, np.int32)[a], np.frombuffer(n_now, np.int32)[b]), columns):
+                        column.append(values)
+                    lengths.append(len(n))
+                at = pa.array(np.repeat(np.arange(len(lengths)), lengths))
+                yield pa.RecordBatch.from_arrays([*[some.column(c).take(at) for c in range(3)], *[pa.array(np.concatenate(c)) for c in columns]], ["row", "target", "n_words", "a", "b", "n", "n_a", "n_b"])
+
+    return rows.select("row", "target", "n_words", "words", "n_before", "n_now", part).mapInArrow(unpack, "row long, target boolean, n_words long, a long, b long, n int, n_a int, n_b int")
+
+
+def _losses(rows: DataFrame, words: DataFrame, part: str, n: int, totals: tuple[int, int]) -> DataFrame:
+    """row, and what the bigrams of one pass add to its target and background loss."""
+    bigrams = _bigrams(rows, part)
+    pairs = bigrams.groupBy("a", "b").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("good"))
+    pairs = pairs.join(words.select(F.col("word").alias("b"), F.col("n_all").alias("b_all"), F.col("n_target").alias("b_good")), "b")
+    pairs = pairs.join(words.select(F.col("word").alias("a"), F.col("context_all").alias("a_all"), F.col("context_target").alias("a_good")), "a")
+
+    def loss(kind: str, total: int, out):
+        less = lambda c, own: F.col(c) - F.when(out, F.col(own)).otherwise(0)
+        unigram = (less(f"b_{kind}", "n_b") + 1) / (F.lit(total + n + 1) - F.when(out, F.col("n_words")).otherwise(0))
+        return F.sum(F.col("n") * (F.log(less(f"a_{kind}", "n_a") + PRIOR) - F.log(less(kind, "n") + PRIOR * unigram)))
+
+    return bigrams.join(pairs, ["a", "b"]).groupBy("row").agg(loss("good", totals[1], F.col("target")).alias("target_loss"), loss("all", totals[0], F.lit(True)).alias("background_loss"))
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | None = None) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, difference of every row of ``docs``.
 
     Losses are means per word in nats; difference = target_loss - background_loss, so a low one
     means a text more like the target.  Target: doc_ids whose label ``quality`` is 1 in any row.
     Texts without words (null ones too) have losses 0.  Without any target document the target
-    model is uniform over words.
+    model is uniform over words.  ``size``: only so many most frequent words are known.
     """
     spark = docs.sparkSession
-    words = vocabulary(docs, size)
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    marked = written(numbered(docs, words).join(good, "doc_id", "left").select("doc_id", "ids", F.coalesce("target", F.lit(False)).alias("target")), "numbered")
-    n, path = len(words), fresh_dir(spark, "bigrams")
-    bigram_counts(marked, n).write.parquet(path)
-
-    def score(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        background, target = _models(path, n)
-        for batch in batches:
-            counts, ours, theirs = [], [], []
-            for ids, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                keys = _pairs(ids, n)
-                counts.append(len(keys))
-                ours.append(float(target.losses(keys, own).mean()) if len(keys) else 0.0)
-                theirs.append(float(background.losses(keys, True).mean()) if len(keys) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ours), pa.array(theirs)], ["doc_id", "n_words", "target_loss", "background_loss"])
-
-    scored = marked.mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = texts.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    counted = written(word_counts(marked), "word-counts")
+    told, known = _known_slots(counted) if size is None else _known_listed(counted, vocabulary(docs, size))
+    sums = lambda *cs: [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cs]
+    merged = told.groupBy(F.when(F.col("known"), F.col("word")).otherwise(F.lit(UNKNOWN)).cast("long").alias("word")).agg(*sums(*_COUNTS[1:]))
+    start = counted.agg(*sums(*_COUNTS[3:])).select(F.lit(BOUNDARY).cast("long").alias("word"), F.lit(0).cast("long").alias("n_all"), F.lit(0).cast("long").alias("n_target"), F.col("ends_all").alias("context_all"), F.col("ends_target").alias("context_target"))
+    inner = merged.select("word", "n_all", "n_target", (F.col("n_all") - F.col("ends_all")).alias("context_all"), (F.col("n_target") - F.col("ends_target")).alias("context_target"))
+    words = written(inner.unionByName(start), "words")
+    sizes = words.agg(F.count_if(F.col("word") < UNKNOWN) + F.count_if(F.col("word") > BOUNDARY), *sums("n_all", "n_target")).first()
+    rows = written(row_bigrams(marked.withColumn("row", F.monotonically_increasing_id()), known), "row-bigrams")
+    parts = []
+    for p in range(PASSES):
+        parts.append(written(_losses(rows, words, f"p{p}", sizes[0], (sizes[1], sizes[2])), "losses"))
+        gc.collect()
+        spark._jvm.System.gc()  # lets Spark delete the shuffle files of the pass
+    losses = parts[0]
+    for more in parts[1:]:
+        losses = losses.unionByName(more)
+    losses = losses.groupBy("row").agg(F.sum("target_loss").alias("target_loss"), F.sum("background_loss").alias("background_loss"))
+    mean = lambda c: F.coalesce(F.col(c) / F.col("n_words"), F.lit(0.0)).alias(c)
+    scored = rows.select("row", "doc_id", "n_words").join(losses, "row", "left").select("doc_id", "n_words", mean("target_loss"), mean("background_loss"))
     return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 

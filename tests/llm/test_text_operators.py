@@ -175,3 +175,14 @@ def test_scoring_edge_cases(spark):
     docs, none = frame(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert Counter(r.doc_id for r in scoring.cross_entropy_difference(docs, none).collect()) == Counter(r.doc_id for r in docs.collect())
     assert scoring.cross_entropy_difference(empty(spark), none).count() == 0
+
+
+def test_scoring_knows_words_beyond_the_most_frequent(spark):
+    common = [f"c{i}" for i in range(3000)]
+    rows = [(i, " ".join(common), 0) for i in range(10)]
+    rows += [(100 + i, f"c0 {'tundra' if i % 2 else 'savanna'} c1", 0) for i in range(12)]
+    rows += [(200, "c0 tundra c1", 0), (201, "c0 savanna c1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    labels = spark.createDataFrame([(100 + i, 1) for i in range(1, 12, 2)], "doc_id long, quality int")
+    got = {r.doc_id: r.difference for r in scoring.cross_entropy_difference(docs, labels).collect()}
+    assert got[200] < got[201] - 0.1  # "tundra" and "savanna" come after 3,002 words more frequent or equal
