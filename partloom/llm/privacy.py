@@ -2,9 +2,10 @@
 
 Emails, IP addresses, card and telephone numbers are the protected entities.  A term near an
 entity reveals it when knowing the term says almost as much as the entity itself: with document
-frequencies over the whole corpus, PMI(entity, term) >= IC(entity) / ALPHA, in at least SUPPORT
-different contexts (copies of one context count once).  Such terms are removed or generalised in
-the documents that hold the entity.  All of it is DataFrame expressions; texts are not shuffled,
+frequencies over the whole corpus, PMI(entity, term) >= IC(entity) / ALPHA.  The share of a term's
+documents that hold the entity is shrunk towards the entity's share of all documents by PRIOR
+documents, so small counts weigh less, but entities that occur once are judged too.  Such terms are
+removed or generalised in the documents that hold the entity.  All of it is DataFrame expressions; texts are not shuffled,
 except where sanitised texts are asked for and too many terms were found to broadcast.
 """
 
@@ -17,8 +18,8 @@ from .store import let, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
-#: A term is disclosing if its PMI reaches the entity's information over ALPHA, in SUPPORT contexts.
-ALPHA, SUPPORT = 1.2, 2
+#: A term is disclosing if its PMI, smoothed by PRIOR documents, reaches the entity's information over ALPHA.
+ALPHA, PRIOR = 1.2, 1.0
 #: Context of an entity: so many terms within so many characters on each side.
 NEAR_TERMS, NEAR_CHARS = 8, 160
 TERM = r"[\p{L}\p{N}]++"
@@ -102,7 +103,7 @@ def contexts(text: Column, spans: Column) -> Column:
     return F.transform(spans, around)
 
 
-def find_personal(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def find_personal(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """doc_id, text_hash, spans (sorted; start, kind, end) of every row of ``docs``.
 
     Null texts count as empty; empty tables give no rows.  Equal rows come out as often as they
@@ -117,18 +118,18 @@ def find_personal(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT)
     )
     near = base.where(F.col("contexts").isNotNull()).select("doc_id", "text_hash", F.explode("contexts").alias("c")).select("doc_id", "text_hash", "c.entity", "c.context", "c.terms")
     terms = near.select("doc_id", "text_hash", "entity", "context", F.explode("terms").alias("t")).select("doc_id", "text_hash", "entity", "context", "t.*")
-    # distinct first, so that no group holds the copies of one context or the rows of one document
-    by_context = terms.select("entity", "value", "context").distinct().groupBy("entity", "value").agg(F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= support)
+    # distinct first, so that no group holds the rows of one document
     by_doc = terms.select("entity", "value", "doc_id", "text_hash").distinct().groupBy("entity", "value").agg(F.count("*").alias("n_both"))
     of_entity = near.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    candidates = written(by_context.join(by_doc, ["entity", "value"]).join(of_entity, "entity"), "candidate-terms")
+    candidates = written(by_doc.join(of_entity, "entity"), "candidate-terms")
     held = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: w)))
     if candidates.isEmpty():
         flagged = candidates.select("entity", "value")
     else:
         frequency = rows.select(held.alias("value")).groupBy("value").agg(F.count("*").alias("n_term"))
         total = F.lit(float(base.count()))
-        pmi = F.log(total * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term")))
+        share = F.col("n_entity") / total
+        pmi = F.log((F.col("n_both") + prior * share) / ((F.col("n_term") + prior) * share))
         flagged = candidates.join(frequency, "value").where(pmi * alpha >= F.log(total / F.col("n_entity"))).select("entity", "value")
     revealing = terms.join(flagged, ["entity", "value"]).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     revealing = written(revealing, "revealing-terms")

@@ -186,3 +186,10 @@ def test_scoring_knows_words_beyond_the_most_frequent(spark):
     labels = spark.createDataFrame([(100 + i, 1) for i in range(1, 12, 2)], "doc_id long, quality int")
     got = {r.doc_id: r.difference for r in scoring.cross_entropy_difference(docs, labels).collect()}
     assert got[200] < got[201] - 0.1  # "tundra" and "savanna" come after 3,002 words more frequent or equal
+
+
+def test_privacy_judges_entities_of_one_context(spark):
+    rows = [(0, f"{words(60, 1)} zanzibar wrote one@ex.com mail {words(60, 2)}", 0)]
+    rows += [(i, words(60, i) + " wrote mail", 0) for i in range(10, 310)]
+    clean = {r.doc_id: r.text for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    assert "zanzibar" not in clean[0] and " wrote " in clean[0] and " mail " in clean[0]
