@@ -1,12 +1,12 @@
 """Personal data: base patterns, and terms that reveal them by corpus co-occurrence.
 
-Emails, IP addresses, card and telephone numbers are the protected entities.  A term near an
-entity reveals it when knowing the term says almost as much as the entity itself: with document
+Emails, IP addresses, card and telephone numbers are the protected entities.  A term of a
+document that holds an entity reveals it when knowing the term says almost as much as the entity itself: with document
 frequencies over the whole corpus, PMI(entity, term) >= IC(entity) / ALPHA.  The share of a term's
 documents that hold the entity is shrunk towards the entity's share of all documents by PRIOR
 documents, so small counts weigh less, but entities that occur once are judged too.  Such terms are
-removed or generalised in the documents that hold the entity.  All of it is DataFrame expressions; texts are not shuffled,
-except where sanitised texts are asked for and too many terms were found to broadcast.
+removed or generalised wherever they stand in the documents that hold the entity.  All of it is DataFrame expressions; only texts that
+hold entities are shuffled, or where sanitised texts are asked for and too many were found to broadcast.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
 #: A term is disclosing if its PMI, smoothed by PRIOR documents, reaches the entity's information over ALPHA.
 ALPHA, PRIOR = 1.2, 1.0
-#: Context of an entity: so many terms within so many characters on each side.
-NEAR_TERMS, NEAR_CHARS = 8, 160
 TERM = r"[\p{L}\p{N}]++"
 
 # The contract's patterns with possessive repeats, which match the same and neither recurse nor
@@ -35,7 +33,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _FOUND = "array<struct<start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """All leftmost, non-overlapping matches: start, end (code points, exclusive) and value."""
 
     def located(found: Column) -> Column:
@@ -44,7 +42,7 @@ def matches(text: Column, pattern: str) -> Column:
         ends = F.aggregate(steps, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
         return let(ends, lambda e: F.transform(found, lambda v, i: F.struct((e[i + 1] - F.char_length(v)).alias("start"), e[i + 1].alias("end"), v.alias("value"))))
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     return let(found, lambda m: F.when(F.size(m) > 0, located(m)).otherwise(F.array().cast(_FOUND)))
 
 
@@ -83,24 +81,21 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(found(0, EMAIL, "@"), found(1, IP, "."), found(2, CARD, ""), found(3, PHONE, "+")))
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """For each span its entity, a hash of its surroundings, and the terms there (term, start, end)."""
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans, so that all else stays where it is."""
 
-    def around(s: Column) -> Column:
-        left = F.greatest(s["start"] - NEAR_CHARS, F.lit(0))
-        shift = lambda found, by: F.transform(found, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), F.lower(m["value"]).alias("value")))
-        before = let(matches(F.substring(text, left + 1, s["start"] - left), TERM), lambda m: F.filter(m, lambda x: (x["start"] > 0) | (left == 0)))
-        after = let(matches(F.substring(text, s["end"] + 1, F.lit(NEAR_CHARS)), TERM), lambda m: F.filter(m, lambda x: x["end"] < NEAR_CHARS))
-        n = lambda m: F.least(F.size(m), F.lit(NEAR_TERMS))
-        near = F.concat(let(before, lambda m: shift(F.slice(m, F.size(m) - n(m) + 1, n(m)), left)), let(after, lambda m: shift(F.slice(m, F.lit(1), n(m)), s["end"])))
+    def step(state: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], state["at"])
+        out = F.concat(state["out"], F.substring(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - start, F.lit(0))))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
-        def told(near: Column) -> Column:
-            own = F.filter(near, lambda t: (F.char_length(t["value"]) >= 3) & F.rlike(t["value"], F.lit(r"\p{L}")) & ~F.exists(spans, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
-            return F.struct(F.xxhash64(s["kind"], s["value"]).alias("entity"), F.xxhash64(F.transform(near, lambda t: t["value"])).alias("context"), own.alias("terms"))
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))))
 
-        return let(near, told)
 
-    return F.transform(spans, around)
+def _lowered(text: Column) -> Column:
+    """The distinct terms of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
 
 
 def find_personal(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
@@ -113,30 +108,34 @@ def find_personal(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -
     rows = docs.select("doc_id", text.alias("text"))
     spotted = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(F.col("text")).alias("spans"))
     base = written(
-        spotted.select("doc_id", "text_hash", "spans", F.when(F.size("spans") > 0, contexts(F.col("text"), F.col("spans"))).alias("contexts")),
+        spotted.select("doc_id", "text_hash", "spans", F.when(F.size("spans") > 0, blanked(F.col("text"), F.col("spans"))).alias("rest")),
         "personal",
     )
-    near = base.where(F.col("contexts").isNotNull()).select("doc_id", "text_hash", F.explode("contexts").alias("c")).select("doc_id", "text_hash", "c.entity", "c.context", "c.terms")
-    terms = near.select("doc_id", "text_hash", "entity", "context", F.explode("terms").alias("t")).select("doc_id", "text_hash", "entity", "context", "t.*")
-    # distinct first, so that no group holds the rows of one document
-    by_doc = terms.select("entity", "value", "doc_id", "text_hash").distinct().groupBy("entity", "value").agg(F.count("*").alias("n_both"))
-    of_entity = near.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    candidates = written(by_doc.join(of_entity, "entity"), "candidate-terms")
-    held = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: w)))
-    if candidates.isEmpty():
-        flagged = candidates.select("entity", "value")
-    else:
-        frequency = rows.select(held.alias("value")).groupBy("value").agg(F.count("*").alias("n_term"))
-        total = F.lit(float(base.count()))
-        share = F.col("n_entity") / total
-        pmi = F.log((F.col("n_both") + prior * share) / ((F.col("n_term") + prior) * share))
-        flagged = candidates.join(frequency, "value").where(pmi * alpha >= F.log(total / F.col("n_entity"))).select("entity", "value")
-    revealing = terms.join(flagged, ["entity", "value"]).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
-    revealing = written(revealing, "revealing-terms")
+    holders = base.where(F.col("rest").isNotNull()).withColumn("entities", F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], s["value"]))))
+    of_entity = written(holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
+    most = of_entity.agg(F.max("n_entity")).first()[0]
     plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    own = base.select("doc_id", "text_hash", plain.alias("spans"))
-    both = own.join(revealing.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"}), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash")), "left")
-    return both.select("doc_id", "text_hash", F.sort_array(F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more"))).alias("spans"))
+    if most is None:
+        return base.select("doc_id", "text_hash", plain.alias("spans"))
+    total = float(base.count())
+    # PMI needs (n_term + prior) <= (n_both + prior * share) * (1 / share) ^ (1 - 1 / alpha), and n_both is at most n_entity
+    reach = lambda n_both, n_entity: (n_both + n_entity * (prior / total)) * F.pow(F.lit(total) / n_entity, F.lit(1 - 1 / alpha)) * (1 + 1e-9) - prior
+    frequency = rows.select(F.explode(_lowered(F.col("text"))).alias("value")).groupBy("value").agg(F.count("*").alias("n_term"))
+    frequency = frequency.where(F.col("n_term") <= reach(F.lit(most), F.lit(most)))
+    terms = F.filter(_lowered(F.col("rest")), lambda t: (F.char_length(t) >= 3) & F.rlike(t, F.lit(r"\p{L}")))
+    rare = holders.select("doc_id", "text_hash", "entities", F.explode(terms).alias("value")).join(frequency, "value")
+    pairs = rare.select("doc_id", "text_hash", "value", "n_term", F.explode("entities").alias("entity")).join(of_entity, "entity")
+    pairs = written(pairs.where(F.col("n_term") <= reach(F.col("n_entity"), F.col("n_entity"))), "candidate-terms")
+    both = pairs.groupBy("entity", "value").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    flagged = both.where(F.col("n_term") <= reach(F.col("n_both"), F.col("n_entity"))).select("entity", "value")
+    told = pairs.join(flagged, ["entity", "value"]).groupBy("doc_id", "text_hash").agg(F.collect_set("value").alias("values"))
+    told = written(told, "revealing-terms").withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
+    joined = base.join(told, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash")), "left")
+    words = F.array_distinct(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)))
+    forms = F.array_join(F.filter(words, lambda w: F.array_contains(F.col("values"), F.lower(w))), "|")
+    marked = joined.select("doc_id", "text_hash", "spans", "rest", F.when(F.col("values").isNotNull(), F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), forms, F.lit(r")(?![\p{L}\p{N}])"))).alias("pattern"))
+    more = F.transform(matches(F.col("rest"), F.col("pattern")), lambda m: F.struct(m["start"].alias("start"), F.lit(4).alias("kind"), m["end"].alias("end")))
+    return marked.select("doc_id", "text_hash", F.when(F.col("pattern").isNull(), plain).otherwise(F.sort_array(F.concat(plain, more))).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -193,3 +193,12 @@ def test_privacy_judges_entities_of_one_context(spark):
     rows += [(i, words(60, i) + " wrote mail", 0) for i in range(10, 310)]
     clean = {r.doc_id: r.text for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
     assert "zanzibar" not in clean[0] and " wrote " in clean[0] and " mail " in clean[0]
+
+
+def test_privacy_terms_far_away_and_repeated(spark):
+    rows = [(i, f"Zanzibar {words(80, i)} mail jo@ex.com today {words(80, i + 50)} (ZANZIBAR) zanzibars", 0) for i in range(4)]
+    rows += [(i, words(60, i) + " mail", 0) for i in range(10, 300)]
+    clean = {r.doc_id: r.text for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    for i in range(4):
+        assert clean[i].startswith("[TERM] ") and "([TERM])" in clean[i] and " mail " in clean[i]
+    assert clean[12] == rows[6][1]
