@@ -15,8 +15,6 @@ from .store import BLANK, let, written
 
 #: Words in the common-word histogram of a language; one more bin takes all other words.
 COMMON = 16
-#: Languages with references of their own, those with most words first; others share one of all documents.
-LANGUAGES = 256
 #: Least sizes for which a distance counts.
 LEAST_CHARS, LEAST_WORDS = 400, 80
 #: Greatest distances (natural logarithms, so at most 0.833).
@@ -115,13 +113,12 @@ def base_features(docs: DataFrame) -> DataFrame:
     )
 
 
-def common_words(docs: DataFrame, common: int = COMMON, languages: int = LANGUAGES) -> DataFrame:
-    """lang, common (its most frequent words): at most ``languages`` rows."""
+def common_words(docs: DataFrame, common: int = COMMON) -> DataFrame:
+    """lang, common (its most frequent words) of every language that has words."""
     counted = docs.select(F.col("lang"), F.explode(words_of(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
     best = counted.withColumn("__r", top).where(F.col("__r") <= common)
-    lists = best.groupBy("lang").agg(F.sort_array(F.collect_list("w")).alias("common"), F.sum("n").alias("n"))
-    return lists.orderBy(F.desc("n"), F.col("lang").asc_nulls_last()).limit(languages).select("lang", "common")
+    return best.groupBy("lang").agg(F.sort_array(F.collect_list("w")).alias("common"))
 
 
 def rate(docs: DataFrame) -> DataFrame:
@@ -129,11 +126,10 @@ def rate(docs: DataFrame) -> DataFrame:
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
     common_distance, kept.  Null texts and texts of few words fail the base rules.  Documents whose
-    language is null form a language of their own; one without a reference of its own is compared
-    with the sums of all documents, and only by character classes.
+    language is null form a language of their own.
     """
     listed = common_words(docs).select(F.col("lang").alias("__lang"), F.transform("common", lambda w: F.xxhash64(w)).alias("__common"))
-    lists = F.broadcast(written(listed, "common-words"))  # LANGUAGES rows of COMMON words at most
+    lists = written(listed, "common-words")  # stored, so Spark knows the size and broadcasts it only where it is small
     features = base_features(docs)
     hits = let(
         F.filter("hashes", lambda h: F.array_contains(F.col("__common"), h)),
@@ -145,15 +141,14 @@ def rate(docs: DataFrame) -> DataFrame:
     narrow = written(with_hits.withColumn("commons", F.concat("__hits", F.array(rest))).drop("hashes", "__common", "__hits", "__lang"), "quality-features")
     n = len(CLASSES)
     sums = lambda c, k: F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0.0)) for i in range(k)])
-    # broadcast: a row for each of at most LANGUAGES languages with a word list
+    # a language without a word list has no words, so nothing of it is compared
     listed = narrow.where(F.col("commons").isNotNull())
-    by_lang = F.broadcast(listed.groupBy("lang").agg(sums("classes", n).alias("__classes"), sums("commons", COMMON + 1).alias("__commons")).withColumnRenamed("lang", "__lang"))
-    pooled = F.broadcast(narrow.agg(sums("classes", n).alias("__pooled")))
-    compared = narrow.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left").join(pooled, F.lit(True), "left")
+    by_lang = written(listed.groupBy("lang").agg(sums("classes", n).alias("__classes"), sums("commons", COMMON + 1).alias("__commons")).withColumnRenamed("lang", "__lang"), "references")
+    compared = narrow.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     k = F.size("commons")
     measured = compared.select(
         "*",
-        F.when(F.col("word_chars") > 0, distance(F.col("classes"), F.coalesce("__classes", "__pooled"))).otherwise(F.lit(0.0)).alias("class_distance"),
+        F.when(F.col("word_chars") > 0, distance(F.col("classes"), F.col("__classes"))).otherwise(F.lit(0.0)).alias("class_distance"),
         F.when(F.col("commons").isNotNull() & (F.col("n_words") > 0), distance(F.col("commons"), F.slice("__commons", F.lit(1), k))).otherwise(F.lit(0.0)).alias("common_distance"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -202,3 +202,10 @@ def test_privacy_terms_far_away_and_repeated(spark):
     for i in range(4):
         assert clean[i].startswith("[TERM] ") and "([TERM])" in clean[i] and " mail " in clean[i]
     assert clean[12] == rows[6][1]
+
+
+def test_quality_has_a_reference_for_every_language(spark):
+    rows = [(i, words(40, i), f"l{i:03}") for i in range(260)]
+    rows += [(1000, "aa bb cc dd", "zz"), (1001, "ee ff gg hh", "zz")]
+    got = {r.doc_id: r for r in quality.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == 262 and got[1000].common_distance > 0.1 and got[1001].common_distance > 0.1
