@@ -9,18 +9,47 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: dict[tuple[str, str], str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, on one machine only, a temporary one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="partloom-")
     atexit.register(shutil.rmtree, folder, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
     return f"file://{folder}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """The folder of this application, which is deleted when the driver's Python ends."""
+    shared, app = shared_folder(spark), spark.sparkContext.applicationId
+    if (shared, app) not in _FOLDERS:
+        _FOLDERS[shared, app] = f"{shared}/partloom-{app}-{uuid.uuid4().hex[:8]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS[shared, app])
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+        def clear() -> None:
+            try:
+                files.delete(path, True)
+            except Exception:  # the JVM may be gone by now
+                pass
+
+        atexit.register(clear)
+    return _FOLDERS[shared, app]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/partloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """``df`` as a table in the shared folder: it survives lost executors and is computed once."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
