@@ -10,6 +10,9 @@ bucket's leader, and what similarity on the whole multisets confirms is a link.
 take new leaders while a bucket spans several components; after ROUNDS of them all pairs of
 different components that still share a bucket are compared in blocks, so no link that could
 join two classes stays untested.  Links, buckets and classes are tables; none is collected.
+Rows are told apart by a number that they get when they are first stored, so null and repeated
+ids need no care.  A bucket of more than HOT nodes is dealt over several salts, and its leader is
+sent to each of them.
 """
 
 from __future__ import annotations
@@ -21,16 +24,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import dropped, written
+from .store import dropped, numbered, written
+from .tokens import slices
 
 WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 24
 REGISTERS = ROWS * BANDS
-ROUNDS = 2
-#: Nodes of a cluster that meet in one block of the last round, and the signature agreement below which
-#: a pair is not looked at: for a similarity of 0.8 over 96 registers it lies five deviations low.
-BLOCK, LEAST_AGREEMENT = 1024, 0.6
+ROUNDS = 3
+#: Nodes of a bucket that one salt gets, about.
+HOT = 1024
+#: Nodes of a cluster, and bytes of their multisets, that meet in one block of the last round, and the signature
+#: agreement below which a pair is not looked at: for a similarity of 0.8 over 96 registers it lies six deviations low.
+BLOCK, BLOCK_BYTES, LEAST_AGREEMENT = 1024, 16 << 20, 0.55
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLES = 400_000  # of documents that are sketched together
 
@@ -86,7 +92,7 @@ def bag_signatures(keys: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: i
             seed, doc, weight, time, rate, low, length, bits = (x[live] for x in (seed, doc, weight, time, rate, low, length, bits))
         if not len(seed):
             break
-        register = ((bits & np.uint64(0x7FF)) * np.uint64(m)) >> np.uint64(11)
+        register = ((_mix(bits ^ _GOLDEN) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         place = doc * m + register.astype(np.int64)
         wide = length > 1
         if wide.any():  # a point of a wide interval has a place in it, which the weight must cover
@@ -118,25 +124,26 @@ def _counted(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return joined[starts], np.diff(np.append(starts, len(joined))), owner[starts]
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, buckets (one for each band; none for texts without words) of every row."""
+def sketches(rows: DataFrame) -> DataFrame:
+    """row, doc_id, node, buckets (one for each band; none for texts without words) of rows of (row, doc_id, text)."""
 
     def sketch(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def done(ids, nodes, shingles):
             keys, counts, owner = _counted(shingles)
-            buckets = buckets_of(bag_signatures(keys, counts, owner, len(ids)))
+            buckets = buckets_of(bag_signatures(keys, counts, owner, len(nodes)))
             filled = np.array([len(s) > 0 for s in shingles])
             offsets = np.concatenate([[0], np.cumsum(np.where(filled, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets[filled].reshape(-1)))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "node", "buckets"])
+            told = zip(*ids)
+            return pa.RecordBatch.from_arrays([pa.array(next(told), pa.int64()), pa.array(next(told), pa.int64()), pa.array(nodes, pa.int64()), lists], ["row", "doc_id", "node", "buckets"])
 
         ids, nodes, shingles, held = [], [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in slices(batches):
+            for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = (text or "").encode().split()
-                ids.append(doc_id)
+                ids.append((row, doc_id))
                 nodes.append(node_of(words))
                 shingles.append(shingle_hashes(words))
                 held += len(words)
@@ -146,40 +153,38 @@ def sketches(docs: DataFrame) -> DataFrame:
         if ids:
             yield done(ids, nodes, shingles)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, node long, buckets array<long>")
+    return rows.select("row", "doc_id", "text").mapInArrow(sketch, "row long, doc_id long, node long, buckets array<long>")
 
 
-def _multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, keys, counts, signature (binary) of the nodes in ``wanted`` (node, doc_id of one of its texts)."""
+def _multisets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, keys, counts, signature (binary) of the nodes in ``wanted`` (node, row of one of its texts)."""
 
     def take(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            rows = []
+        for batch in slices(batches):
+            told = []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = (text or "").encode().split()
-                if node_of(words) == node:
-                    keys, counts, owner = _counted([shingle_hashes(words)])
-                    signature = bag_signatures(keys, counts, owner, 1)
-                    rows.append((node, keys.tobytes(), counts.astype("<u4").tobytes(), _mix(signature.view(np.uint64)).astype("<u2").tobytes()))
-            columns = zip(*rows) if rows else [()] * 4
+                keys, counts, owner = _counted([shingle_hashes((text or "").encode().split())])
+                signature = bag_signatures(keys, counts, owner, 1)
+                told.append((node, keys.tobytes(), counts.astype("<u4").tobytes(), _mix(signature.view(np.uint64)).astype("<u2").tobytes()))
+            columns = zip(*told) if told else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["node", "keys", "counts", "signature"])
 
-    joined = _likely(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted).join(wanted, "doc_id").select("node", "text")
+    joined = _likely(rows.select("row", "text"), wanted).join(wanted, "row").select("node", "text")
     return written(joined.mapInArrow(take, "node long, keys binary, counts binary, signature binary"), "multisets")
 
 
-def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id may be in ``wanted``: a bitmap of 2^24 bits, 4 MB whatever the input, is broadcast.
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose number may be in ``wanted``: a bitmap of 2^24 bits, 4 MB whatever the input, is broadcast.
 
     It only keeps texts that cannot match out of the exact join that follows.
     """
-    h = F.xxhash64("doc_id")
-    place, bit = F.pmod(h, F.lit(1 << 18)).alias("__place"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int"))
-    bitmap = wanted.select(place, bit.alias("__bit")).groupBy("__place").agg(F.bit_or("__bit").alias("__bits"))
-    marked = docs.select("*", place, bit.alias("__bit")).join(F.broadcast(bitmap), "__place")
-    return marked.where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).select("doc_id", "text")
+    h = F.xxhash64("row")
+    place, bit = F.pmod(h, F.lit(1 << 18)).alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int"))
+    bitmap = wanted.select(place, bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    marked = rows.select("row", "text", place, bit.alias("bit")).join(F.broadcast(bitmap), "place")
+    return marked.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("row", "text")
 
 
 def similarity(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
@@ -193,64 +198,82 @@ def similarity(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
 
 
 def _verified(pairs: DataFrame, multisets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose similarity is ``least`` or more."""
+    """ra, rb: the roots of the pairs (a, b, ra, rb) of ``pairs`` whose similarity is ``least`` or more."""
 
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            a, b, ka, ca, kb, cb = (c.to_pylist() for c in batch.columns)
-            good = [i for i in range(len(a)) if similarity((ka[i], ca[i]), (kb[i], cb[i])) >= least]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], ["a", "b"])
+        for batch in slices(batches):
+            ka, ca, kb, cb = (batch.column(c).to_pylist() for c in ("ka", "ca", "kb", "cb"))
+            good = pa.array([i for i in range(len(ka)) if similarity((ka[i], ca[i]), (kb[i], cb[i])) >= least], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("ra").take(good), batch.column("rb").take(good)], ["ra", "rb"])
 
     sides = [multisets.select(F.col("node").alias(x), F.col("keys").alias(f"k{x}"), F.col("counts").alias(f"c{x}")) for x in "ab"]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ka", "ca", "kb", "cb")
-    return joined.mapInArrow(verify, "a long, b long")
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("ra", "rb", "ka", "ca", "kb", "cb")
+    return joined.mapInArrow(verify, "ra long, rb long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) of all nodes in ``links`` (a, b).
+    """node, root (the least node of its component) of all nodes in ``links`` (a, b) but the roots.
 
-    Large-star and small-star steps in turn, each written, until nothing changes.
+    Large-star and small-star steps in turn until only stars are left.  The least neighbours of
+    nodes that are not the least themselves are stored before they are joined, so Spark knows
+    their size, and can split a node with many neighbours where it does not broadcast.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    state = None
     while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        old, edges = edges, written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
-        dropped(old)
-        dropped(large)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up = 1 and down > 0)").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        lower = written(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u"), "least-neighbours")
+        large = written(both.where("v > u").join(lower, "u", "left").select(F.col("v").alias("a"), F.coalesce("m", "u").alias("b")).distinct(), "large-star")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least-neighbours")
+        old, edges = edges, written(large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
+        for table in (old, lower, large, least):
+            dropped(table)
+
+
+def _salted(by_bucket: DataFrame) -> DataFrame:
+    """Rows of (bucket, salts, ...) once for each salt of their bucket."""
+    return by_bucket.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
 
-def _rooted(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
+def _rooted(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
         return buckets.withColumn("root", F.col("node"))
-    return buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return buckets.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``labels`` (node, root) after ``links`` (ra, rb) between roots; components are sought among these roots only."""
+    if links.isEmpty():
+        return labels
+    new = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    if labels is None:
+        return new
+    moved = labels.join(new.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(moved.unionByName(new), "labels")
 
 
 def _in_blocks(rest: DataFrame, nodes: DataFrame, multisets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that join different roots among all pairs of ``rest`` (bucket, node, root) that share a bucket.
+    """Links (ra, rb) between different roots from all pairs of ``rest`` (bucket, salt, salts, node, root) that share a bucket.
 
-    Nodes that buckets connect form a cluster, and each cluster is cut into blocks, so a multiset
-    travels once for each block of its cluster, not once for each bucket.  A pair of blocks is
-    compared in one group: pairs whose roots differ, which share a bucket, and whose signatures do
-    not rule similarity out are verified; a link joins the two roots there, so at most one link
-    less than there are roots comes out.
+    Nodes that buckets connect form a cluster, and each cluster is cut into blocks, by number and
+    by bytes, so a multiset travels once for each block of its cluster, not once for each bucket.
+    A pair of blocks is compared in one group: pairs whose roots differ, which share a bucket, and
+    whose signatures do not rule similarity out are verified; a link joins the two roots there, so
+    at most one link less than there are roots comes out.
     """
-    stars = rest.join(rest.groupBy("bucket").agg(F.min("node").alias("hub")), "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    hubs = components(stars).withColumnRenamed("root", "hub")
-    clustered = rest.select("node", "root").distinct().join(hubs, "node", "left").select("node", "root", F.coalesce("hub", "node").alias("cluster"))
-    sizes = clustered.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    hubs = _salted(rest.groupBy("bucket").agg(F.min("node").alias("hub"), F.first("salts").alias("salts")))
+    stars = rest.select("bucket", "salt", "node").join(hubs, ["bucket", "salt"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    clusters = components(stars).withColumnRenamed("root", "hub")
+    bytes_ = multisets.select("node", (F.octet_length("keys") + F.octet_length("counts")).cast("long").alias("bytes"))
+    clustered = rest.select("node", "root").distinct().join(clusters, "node", "left").select("node", "root", F.coalesce("hub", "node").alias("cluster")).join(bytes_, "node")
+    clustered = written(clustered, "clustered")
+    sizes = clustered.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    dealt = clustered.join(sizes, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = clustered.join(written(sizes, "cluster-sizes"), "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
     full = multisets.join(nodes.select("node", "buckets"), "node")
     dealt = dealt.join(full, "node")
@@ -258,7 +281,8 @@ def _in_blocks(rest: DataFrame, nodes: DataFrame, multisets: DataFrame, least: f
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         signs = np.stack([np.frombuffer(s, "<u2") for s in group["signature"]])
         buckets = np.stack(group["buckets"].to_list())
-        roots, nodes_, mine = group["root"].to_numpy().copy(), group["node"].to_numpy(), group["own"].to_numpy()
+        first, mine = group["root"].to_numpy(), group["own"].to_numpy()
+        roots = first.copy()
         sets = list(zip(group["keys"], group["counts"]))
         right, found = np.flatnonzero(mine == key[2]), []
         for x in np.flatnonzero(mine == key[1]):
@@ -271,67 +295,71 @@ def _in_blocks(rest: DataFrame, nodes: DataFrame, multisets: DataFrame, least: f
             near = near[(buckets[near] == buckets[x]).any(axis=1)]
             for y in near:
                 if roots[x] != roots[y] and similarity(sets[x], sets[y]) >= least:
-                    found.append((nodes_[x], nodes_[y]))
+                    found.append((first[x], first[y]))
                     roots[roots == roots[y]] = roots[x]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(found, columns=["ra", "rb"], dtype="int64")
 
-    return dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "ra long, rb long")
 
 
-def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) of every row of ``docs``.
+def _classes(rows: DataFrame, least: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Of a stored table (row, doc_id, text): row, doc_id, node of every row; node, first, root of every node.
 
-    Null and empty texts, and all without words, are copies of one another.  Rows of a null doc_id
-    get the class of their text's other rows; a text with none but such rows has class null.
-    Repeated rows come out as often as they went in; other columns are ignored.
+    ``first``: (doc_id is null, doc_id, row) of the node's first row.  A root is some node of the class.
     """
-    marked = written(sketches(docs), "sketches")
-    nodes = marked.groupBy("node").agg(F.first("buckets").alias("buckets"), F.min("doc_id").alias("doc_id"))
-    nodes = written(nodes, "nodes")
-    placed = nodes.where(F.col("doc_id").isNotNull()).select(F.explode("buckets").alias("bucket"), "node")
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = written(placed.join(shared, "bucket").select("bucket", "node"), "buckets")
-    wanted = written(nodes.select("node", "doc_id").join(buckets.select("node").distinct(), "node", "left_semi"), "candidates")
-    multisets = _multisets(docs, wanted)
-    links, open_buckets = None, buckets.withColumn("led", F.lit(False))
+    marked = written(sketches(rows), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
+    nodes = written(marked.groupBy("node").agg(F.first("buckets").alias("buckets"), F.min(first).alias("first")), "nodes")
+    placed = nodes.select(F.explode("buckets").alias("bucket"), "node")
+    shared = written(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "shared-buckets")
+    salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt")
+    buckets = written(placed.join(shared, "bucket").select("bucket", salt, "salts", "node"), "buckets")
+    wanted = nodes.select("node", F.col("first.row").alias("row")).join(buckets.select("node").distinct(), "node", "left_semi")
+    multisets = _multisets(rows, written(wanted, "candidates"))
+    labels, open_buckets = None, buckets.withColumn("led", F.lit(False))
     for _ in range(rounds):
-        rooted = _rooted(open_buckets, links)
-        by_root = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.when(~F.col("led"), F.col("node"))).alias("node"))
+        rooted = _rooted(open_buckets, labels)
+        by_root = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.when(~F.col("led"), F.col("node"))).alias("node"), F.first("salts").alias("salts"))
         # the leader is a node that has not led yet, of the component with fewest nodes in the bucket
         candidates = F.min(F.when(F.col("node").isNotNull(), F.struct("n", "node", "root")))
-        leaders = by_root.groupBy("bucket").agg(F.count_if(F.col("node").isNotNull()).alias("open"), candidates.alias("next"))
-        leaders = leaders.where("open > 1").select("bucket", F.col("next.node").alias("leader"), F.col("next.root").alias("leader_root"))
-        round_rows = written(rooted.join(leaders, "bucket"), "round")
-        pairs = round_rows.where("root <> leader_root").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        found = written(_verified(pairs, multisets, least), "found")
-        links = found if links is None else written(links.unionByName(found), "all-links")
-        open_buckets = round_rows.select("bucket", "node", (F.col("led") | (F.col("node") == F.col("leader"))).alias("led"))
-    rest = _rooted(open_buckets.where(~F.col("led")), links)
-    several = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    rest = written(rest.join(several, "bucket").select("bucket", "node", "root"), "rest")
+        leaders = by_root.groupBy("bucket").agg(F.count_if(F.col("node").isNotNull()).alias("open"), candidates.alias("next"), F.first("salts").alias("salts"))
+        leaders = _salted(leaders.where("open > 1").select("bucket", "salts", F.col("next.node").alias("leader"), F.col("next.root").alias("leader_root")))
+        round_rows = written(rooted.join(leaders, ["bucket", "salt"]), "round")
+        pairs = round_rows.where("root <> leader_root").select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("root").alias("ra"), F.col("leader_root").alias("rb")).distinct()
+        labels = _relabelled(labels, written(_verified(pairs, multisets, least), "found"))
+        open_buckets = round_rows.select("bucket", "salt", "salts", "node", (F.col("led") | (F.col("node") == F.col("leader"))).alias("led"))
+    rest = _rooted(open_buckets.where(~F.col("led")), labels)
+    several = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.first("salts").alias("salts")).where("x <> y").select("bucket", "salts")
+    rest = written(rest.join(_salted(several), ["bucket", "salt"]).select("bucket", "salt", "salts", "node", "root"), "rest")
     if not rest.isEmpty():
-        found = written(_in_blocks(rest, nodes, multisets, least), "found")
-        links = found if links is None else written(links.unionByName(found), "all-links")
-    if links is None:
-        links = buckets.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    roots = nodes.select("node", "doc_id").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = written(roots, "roots")
+        labels = _relabelled(labels, written(_in_blocks(rest, nodes, multisets, least), "found"))
     dropped(multisets)
-    classes = roots.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return marked, written(_rooted(nodes.select("node", "first"), labels), "roots")
+
+
+def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) of every row of ``docs``.
+
+    Null and empty texts, and all without words, are copies of one another.  Rows of a null doc_id
+    belong to the class of their text like others; a class with none but such rows has class_id
+    null.  Repeated rows come out as often as they went in; other columns are ignored; an empty
+    table gives no rows.
+    """
+    marked, roots = _classes(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("row", "doc.doc_id", "doc.text"), least, rounds)
+    classes = written(roots.groupBy("root").agg(F.min("first.doc_id").alias("class_id")), "class-ids")
     named = written(roots.join(classes, "root").select("node", "class_id"), "classes")
     return marked.select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one of least doc_id.
+    """``docs`` with one row of each class: the one of least doc_id, any one of them where that repeats.
 
-    All columns stay.  Of rows that repeat a doc_id one is kept; rows without a class (null
-    doc_ids whose text no other row has) all stay.
+    All columns stay, whatever their names.  A class whose rows all have a null doc_id keeps one of them.
     """
-    classes = near_duplicate_classes(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("class_id").alias("__class"))
-    others = written(classes.where(F.col("doc_id") != F.col("__class")).select(F.col("doc_id").alias("__doc")), "removed")
-    kept = docs.join(others, docs["doc_id"] == F.col("__doc"), "left_anti")
-    return kept
+    rows = numbered(docs)
+    _, roots = _classes(rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text")), SIMILARITY, ROUNDS)
+    kept = written(roots.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "kept")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op10_bagminhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,44 +1,51 @@
-"""Tables that cut lineage, prefix sums without a single-task window, and small helpers.
-
-Everything is written below ``spark.checkpoint.dir``, which driver and executors share; where the
-setting is missing (tests on one machine) a folder of this process is set.
-"""
+"""Tables that cut lineage, prefix sums without a single-task window, and small helpers."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import fresh_path as fresh_dir
+from ..plans.tables import stored
+
 #: White space of the contracts, as a class of Java's and Python's regular expressions.
 BLANK = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANK}]+"
+#: Bytes of a batch that goes to a Python worker, about: very long texts come in few at a time.
+BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, from ``spark.checkpoint.dir``."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="partloom-")
-    atexit.register(shutil.rmtree, folder, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-    return f"file://{folder}"
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/partloom/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def _bounded_batches(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: it survives lost executors and is computed once."""
-    spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _bounded_batches(df.sparkSession):
+        return stored(df, name)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """A stored table of the rows of ``docs``: row, a number of its own for each, and doc, a struct of all columns.
+
+    With it a decision on a row finds its way back whatever ids are null or repeat, and however
+    columns are called.
+    """
+    every = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), every.alias("doc")), "numbered")
 
 
 def dropped(df: DataFrame) -> None:
