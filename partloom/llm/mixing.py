@@ -127,10 +127,10 @@ def _meet(keys: Sequence[str]):
     return rounds
 
 
-def pivotal_copies(sized: DataFrame, seed: int = 20240229) -> DataFrame:
+def pivotal_copies(sized: DataFrame, seed: int = 20240229, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(doc_id, source, size, and more) with ``expected`` copies to the same rows with ``copies``.
 
-    Rows of size 0, or of null expectation, get none.  Equal rows are rounded one by one.
+    Chance comes from ``key``.  Rows of size 0, or of null expectation, get none.  Equal rows are rounded one by one.
     ``sized`` is read once per pass: pass a stored table.
     """
     total = sized.count()
@@ -140,16 +140,16 @@ def pivotal_copies(sized: DataFrame, seed: int = 20240229) -> DataFrame:
         .withColumn("__base", F.floor(F.col("expected") + _EPS).cast("long"))
         .withColumn("__frac", F.greatest(F.col("expected") - F.col("__base"), F.lit(0.0)))
         .withColumn("__octave", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) * 2).cast("int"))
-        .withColumn("__salt", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(salts)).cast("long"))
+        .withColumn("__salt", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(salts)).cast("long"))
     )
     columns, parts, bits = rows.columns, [], 0
     level = 0
     while True:
         over_sizes = (1 << bits) >= salts and level > 0
         keys = ["source"] if over_sizes else ["source", "__octave", "__salt"]
-        chance = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit(level)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        chance = F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(level)), F.lit(1 << 52)) / F.lit(float(1 << 52))
         dealt = rows.withColumn("__salt", F.shiftrightunsigned("__salt", FAN_BITS) if level else F.col("__salt")).withColumn("__u", chance)
-        dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, F.desc("size"), "doc_id")
+        dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, F.desc("size"), *key)
         schema = dealt.schema
         met = written(dealt.mapInArrow(_meet(keys), schema), f"mix-{level}")
         whole = F.col("__frac").isin(0.0, 1.0)
@@ -168,15 +168,18 @@ def pivotal_copies(sized: DataFrame, seed: int = 20240229) -> DataFrame:
     return out.withColumn("copies", F.col("__base") + F.col("__frac").cast("long")).drop("expected", "__base", "__frac", "__octave", "__salt")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row of ``docs``.
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies of every row of ``docs``, and its columns ``carry``.
 
-    A null text has size 0 and no copies; null sources form one source.  An empty table gives no rows.
+    A null text has size 0 and no copies; null sources form one source; null and repeated ids are
+    drawn row by row.  An empty table gives no rows.
     """
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    # repeated ids are told apart by text, null ones by place, so that they too are dealt over all chunks
+    tie = F.xxhash64("text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    sizes = written(docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), tie.alias("__tie")), "mix-sizes")
     targets = source_targets(sizes, weights, share, ceiling)
     joined = sizes.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    return pivotal_copies(written(joined.withColumn("expected", F.try_divide("target", F.col("source_size").cast("double"))), "mix-expected"))
+    return pivotal_copies(written(joined.withColumn("expected", F.try_divide("target", F.col("source_size").cast("double"))), "mix-expected"), key=("doc_id", "__tie")).drop("__tie")
 
 
 def op7_pivotal_mixing(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import dropped, numbered, written
+from .store import dropped, likely, numbered, written
 from .tokens import slices
 
 WORDS = 5
@@ -171,22 +171,10 @@ def _multisets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             columns = zip(*told) if told else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["node", "keys", "counts", "signature"])
 
-    joined = _likely(rows.select("row", "text"), wanted).join(wanted, "row").select("node", "text")
+    joined = likely(rows.select("row", "text"), wanted, "row").join(wanted, "row").select("node", "text")
     return written(joined.mapInArrow(take, "node long, keys binary, counts binary, signature binary"), "multisets")
 
 
-def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose number may be in ``wanted``: a bitmap of 2^24 bits, 4 MB whatever the input, is broadcast.
-
-    It only keeps texts that cannot match out of the exact join that follows.
-    """
-    h = F.xxhash64("row")
-    place, bit = F.pmod(h, F.lit(1 << 18)).alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int"))
-    bitmap = wanted.select(place, bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
-    marked = rows.select("row", "text", place, bit.alias("bit")).join(F.broadcast(bitmap), "place")
-    return marked.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("row", "text")
-
-
 def similarity(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
     """Weighted Jaccard of two multisets given as sorted keys and counts."""
     ka, kb = np.frombuffer(a[0], np.uint64), np.frombuffer(b[0], np.uint64)

@@ -8,14 +8,19 @@ knapsack dynamic program over the dual values; the solution is rounded down, the
 greedily, and every piece finds its pattern and slot through its rank within its class.  Ranks
 come from counts per class and hash bucket, so a class that holds a third of all pieces is spread
 over many tasks.
+
+Where patterns of whole pieces leave room, as with many pieces of one awkward length, the worst
+filled sequences are taken apart: their pieces, end to end, are one line of ids, the rooms of all
+other sequences are another one of the same places, and each room gets the part of the first line
+that lies at its place.  So a piece is cut only where a room ends, and no id is lost.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +28,9 @@ from .store import before, written
 from .tokens import encoder, slices, tokenizer_path
 
 CAPACITY = 4096
-
-
+#: Places that a sequence must have left to be filled with parts of cut pieces.
+LEAST_ROOM = 64
+_END = (1 << 63) - 1
 #: Length classes of the linear program.
 CLASSES = 112
 
@@ -172,15 +178,8 @@ def _lookup(plan: list[tuple[int, np.ndarray]], n: int) -> tuple[list[tuple[np.n
     return [tuple(np.array(c, np.int64) for c in zip(*r)) if r else () for r in runs], sequence
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
-    """``pieces`` (a column ``length`` of 1 to ``capacity``, and any others) with sequence_id and offset.
-
-    Offsets leave no gap within a sequence; ids of sequences run from 0.  Input columns named
-    sequence_id or offset give way to the results.  Rows with equal ``key`` are placed one by one.
-    Null or empty pieces (length null or below 1) are not placed and left out.  ``pieces`` is read
-    twice: pass a stored table.
-    """
-    pieces = pieces.drop("sequence_id", "offset").where(F.col("length") >= 1)
+def _place(pieces: DataFrame, capacity: int, key: tuple[str, ...]) -> DataFrame:
+    """``pieces`` (lengths of 1 to ``capacity``) with sequence_id and offset, none of them cut."""
     histogram = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # capacity rows at most
         histogram[r["length"]] = r["n"]
@@ -193,71 +192,172 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("d
         table, sequences = _lookup(plan, len(bounds))
     else:
         table, sequences = [], 0
-    table.append(tuple(np.array([v], np.int64) for v in (0, 1, sequences, 0)))  # full pieces are a class of their own
-
-    @F.pandas_udf("int")
-    def class_of(lengths: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, lengths.to_numpy()).astype(np.int32))
-
-    marked = pieces.withColumn("__class", class_of(F.col("length").cast("long")))
-    buckets = int(min(4096, max(1, n // 2000)))
-    marked = marked.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    spark = pieces.sparkSession
+    # one row for each length at most, and one for each run of sequences of a pattern: few whatever the input
+    lengths = np.flatnonzero(histogram)
+    kinds = [(int(x), int(k)) for x, k in zip(lengths, np.searchsorted(bounds, lengths))] + [(capacity, len(bounds))]
+    runs = [(k, *map(int, r)) for k, t in enumerate(table) for r in zip(t[0], np.append(t[0][1:], _END), *t[1:])]
+    runs.append((len(bounds), 0, _END, 1, sequences, 0))  # full pieces are a class of their own
+    kinds = spark.createDataFrame(kinds, "length long, __class int")
+    runs = spark.createDataFrame(runs, "__class int, __begin long, __end long, __each long, __first long, __lead long")
+    marked = pieces.join(F.broadcast(kinds), "length")
+    buckets = max(1, n // 2000)
+    # whole keys and lengths are dealt, and what is equal in both is interchangeable
+    marked = marked.withColumn("__bucket", F.pmod(F.xxhash64(*key, "length"), F.lit(buckets)))
     counts = before(marked.groupBy("__class", "__bucket").agg(F.count("*").alias("n")), "__bucket", ["n"], ["__class"]).select("__class", "__bucket", "before_n")
     place = Window.partitionBy("__class", "__bucket").orderBy(*key, "length")
     ranked = marked.withColumn("__in", F.row_number().over(place) - 1).join(counts, ["__class", "__bucket"]).withColumn("__rank", F.col("before_n") + F.col("__in"))
-
-    @F.pandas_udf("sequence long, slot int")
-    def seat(kinds: pd.Series, ranks: pd.Series) -> pd.DataFrame:
-        sequence, slot = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
-        k, r = kinds.to_numpy(), ranks.to_numpy()
-        for c in np.unique(k):
-            at = np.flatnonzero(k == c)
-            begin, each, first, lead = table[int(c)]
-            run = np.searchsorted(begin, r[at], side="right") - 1
-            i = r[at] - begin[run]
-            sequence[at], slot[at] = first[run] + i // each[run], lead[run] + i % each[run]
-        return pd.DataFrame({"sequence": sequence, "slot": slot})
-
-    seated = ranked.withColumn("__seat", seat("__class", "__rank"))
+    seated = ranked.join(F.broadcast(runs), (ranked["__class"] == runs["__class"]) & (F.col("__rank") >= F.col("__begin")) & (F.col("__rank") < F.col("__end")))
+    turn = F.col("__rank") - F.col("__begin")
+    placed = seated.select(*pieces.columns, (F.col("__first") + F.floor(turn / F.col("__each"))).alias("sequence_id"), (F.col("__lead") + turn % F.col("__each")).alias("__slot"))
     line = Window.partitionBy("sequence_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = seated.select(*pieces.columns, F.col("__seat.sequence").alias("sequence_id"), F.col("__seat.slot").alias("__slot"))
     return placed.select(*pieces.columns, "sequence_id", F.coalesce(F.sum("length").over(line), F.lit(0)).cast("long").alias("offset"))
 
 
+def _donors(counts: np.ndarray, capacity: int, least: int) -> tuple[int, int]:
+    """(u, m): sequences of fewer than u ids, and m of those with u, are taken apart; ``counts[u]`` sequences have u ids.
+
+    As many as the others have room for, in rooms of at least ``least`` places.
+    """
+    used = np.arange(capacity + 1)
+    rooms = np.where(capacity - used >= least, capacity - used, 0)
+    free, given = int((counts * rooms).sum()), 0
+    for u in range(1, capacity + 1):
+        if not rooms[u]:
+            return u, 0
+        if counts[u]:
+            m = min(int(counts[u]), (free - given) // (u + int(rooms[u])))
+            given, free = given + m * u, free - m * int(rooms[u])
+            if m < counts[u]:
+                return u, m
+    return capacity + 1, 0
+
+
+def _refilled(placed: DataFrame, capacity: int, least: int) -> DataFrame:
+    """The stored ``placed`` with ``part``, the ids of a piece before its row: rooms are filled with cut pieces.
+
+    ``length`` is then that of the part; a piece may come out as several rows.
+    """
+    used = written(placed.groupBy("sequence_id").agg(F.sum("length").cast("long").alias("used")), "sequences")
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in used.groupBy("used").agg(F.count("*").alias("n")).collect():  # capacity rows at most
+        counts[r["used"]] = r["n"]
+    below, some = _donors(counts, capacity, least)
+    whole = placed.withColumn("part", F.lit(0).cast("long"))
+    if not counts[:below].sum() + some:
+        return whole
+    at = before(used.withColumn("edge", (F.col("used") == below).cast("long")), "sequence_id", ["edge"])
+    gives = (F.col("used") < below) | ((F.col("used") == below) & (F.col("before_edge") < some))
+    room = F.lit(capacity) - F.col("used")
+    dealt = at.select("sequence_id", "used", gives.alias("gives")).withColumn("given", F.when(F.col("gives"), F.col("used")).otherwise(F.lit(0)))
+    dealt = dealt.withColumn("room", F.when(~F.col("gives") & (room >= least), room).otherwise(F.lit(0)))
+    lines = written(before(dealt, "sequence_id", ["given", "room"]), "lines")
+    taken = lines.where("gives").select("sequence_id", F.col("before_given").alias("__base"))
+    stay = whole.join(taken.select("sequence_id"), "sequence_id", "left_anti").select(*whole.columns)
+    cells = lambda a, n: F.explode(F.sequence(F.floor(a / capacity), F.floor((a + n - 1) / capacity)))
+    loose = whole.join(taken, "sequence_id").withColumn("__p", F.col("__base") + F.col("offset")).withColumn("__cell", cells(F.col("__p"), F.col("length")))
+    rooms = lines.where("room > 0").select(F.col("sequence_id").alias("__to"), F.col("used").alias("__used"), F.col("room").alias("__room"), F.col("before_room").alias("__r")).withColumn("__cell", cells(F.col("__r"), F.col("__room")))
+    low, high = F.greatest("__p", "__r"), F.least(F.col("__p") + F.col("length"), F.col("__r") + F.col("__room"))
+    # two that overlap meet in the cell where their common part begins, and only there
+    met = loose.join(rooms, "__cell").withColumn("__low", low).withColumn("__high", high).where((F.col("__low") < F.col("__high")) & (F.floor(F.col("__low") / capacity) == F.col("__cell")))
+    changed = {
+        "length": F.col("__high") - F.col("__low"),
+        "sequence_id": F.col("__to"),
+        "offset": F.col("__used") + F.col("__low") - F.col("__r"),
+        "part": F.col("__low") - F.col("__p"),
+    }
+    return stay.unionByName(met.select(*[changed[c].cast("long").alias(c) if c in changed else F.col(c) for c in whole.columns]))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("doc_id", "start"), least: int | None = LEAST_ROOM) -> DataFrame:
+    """``pieces`` (a column ``length`` of 1 to ``capacity``, and any others) with sequence_id, offset and part.
+
+    Offsets leave no gap within a sequence; ids of sequences are from 0, some unused.  Rooms of
+    ``least`` places or more are filled by cutting pieces: a piece may come out as several rows,
+    each with the ids before it in the piece (``part``) and its own ``length``; null: cut none.
+    Input columns named sequence_id, offset or part give way to the results.  Rows with equal
+    ``key`` are placed one by one, null keys too.  Null or empty pieces (length null or below 1)
+    are not placed and left out; an empty table gives no rows.  ``pieces`` is read twice: pass a
+    stored table.
+    """
+    pieces = pieces.drop("sequence_id", "offset", "part").where(F.col("length") >= 1)
+    keys = [f"k{i}" for i in range(len(key))]
+    own = pieces.select(F.struct(*pieces.columns).alias("row"), F.col("length").cast("long").alias("length"), *[F.col(k).alias(n) for k, n in zip(key, keys)])
+    placed = _place(own, capacity, tuple(keys))
+    done = placed.withColumn("part", F.lit(0).cast("long")) if least is None else _refilled(written(placed, "placed"), capacity, least)
+    given = pieces.schema["length"].dataType
+    columns = [F.col("length").cast(given).alias(c) if c == "length" else F.col("row").getField(c).alias(c) for c in pieces.columns]
+    return done.select(*columns, "sequence_id", "offset", "part")
+
+
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of the encoded documents: doc_id, start, length, doc_tokens and ids (binary, uint32).
+    """Pieces of the encoded documents: piece (a number of its own, once stored), doc_id, start, length, doc_tokens and ids (binary, uint16 or uint32).
 
     A document's ids end with ``end_id``; null text has only that one.  All pieces but the last
-    have ``capacity`` ids.
+    have ``capacity`` ids.  Repeated rows are cut one by one, null ids stay null; an empty table
+    gives no pieces.  Ids take two bytes where the tokenizer's all do.
     """
     closing = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        encode, width = encoder(tokenizer, 200_000).encode_bytes, 4 * capacity
-        names = ["doc_id", "start", "length", "doc_tokens", "ids"]
+        known, width = encoder(tokenizer, 200_000), 4 * capacity
+        encode, narrow = known.encode_bytes, max(known.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
+        number = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text) + closing
                 for at in range(0, len(ids), width):
                     part = ids[at : at + width]
-                    rows.append((doc_id, at // 4, len(part) // 4, len(ids) // 4, part))
-            columns = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names)
+                    kept = np.frombuffer(part, "<u4").astype("<u2").tobytes() if narrow else part
+                    rows.append((number, doc_id, at // 4, len(part) // 4, len(ids) // 4, zlib.crc32(part), kept))
+                    number += 1
+            columns = zip(*rows) if rows else [()] * len(_PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(columns, _PIECES)], list(_PIECES))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in _PIECES))
+
+
+_PIECES = ("piece", "doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
+def _checksums(parts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``parts`` (piece, length, part, ...) of cut pieces with the CRC-32 of their ids."""
+
+    def check(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sums = []
+            for ids, size, part, length in zip(*(batch.column(c).to_pylist() for c in ("ids", "whole", "part", "length"))):
+                each = len(ids) // size
+                sums.append(zlib.crc32(np.frombuffer(ids[each * part : each * (part + length)], f"<u{each}").astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) if c != "ids_crc32" else pa.array(sums, pa.int64()) for c in out.names], out.names)
+
+    out = parts.schema
+    joined = parts.join(pieces.select("piece", "ids"), "piece")
+    return joined.mapInArrow(check, out)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """Contract of operator 1 over ``docs``: one row for each piece, whose ids are given as their CRC-32."""
-    pieces = cut_documents(docs, tokenizer_path("word_bpe_49k.json"), 2)
-    narrow = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return pack(written(narrow, "pieces"))
+    """Contract of operator 1 over ``docs``: one row for each piece, whose ids are given as their CRC-32.
+
+    Null texts have their end id only; repeated rows are packed one by one; an empty table gives
+    no rows; other columns are ignored.
+    """
+    pieces = written(cut_documents(docs, tokenizer_path("word_bpe_49k.json"), 2), "pieces")
+    packed = written(pack(pieces.drop("ids").withColumn("whole", F.col("length")), key=("doc_id", "start", "ids_crc32")), "packed")
+    cut = F.col("length") < F.col("whole")
+    parts = written(packed.where(cut), "cut-pieces")
+    every = packed.where(~cut).unionByName(_checksums(parts, pieces))
+    return every.select("doc_id", (F.col("start") + F.col("part")).alias("start"), "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op1_cutting_stock_packing(spark, sf_dir: str) -> DataFrame:
+    """Contract of operator 1 over all documents."""
     from .store import documents
 
     return pack_documents(documents(spark, sf_dir))

@@ -5,8 +5,10 @@ document that holds an entity reveals it when knowing the term says almost as mu
 frequencies over the whole corpus, PMI(entity, term) >= IC(entity) / ALPHA.  The share of a term's
 documents that hold the entity is shrunk towards the entity's share of all documents by PRIOR
 documents, so small counts weigh less, but entities that occur once are judged too.  Such terms are
-removed or generalised wherever they stand in the documents that hold the entity.  All of it is DataFrame expressions; only texts that
-hold entities are shuffled, or where sanitised texts are asked for and too many were found to broadcast.
+removed or generalised wherever they stand in the documents that hold the entity.  All of it is
+DataFrame expressions, in time about proportional to a text's length however many spans it has;
+only texts that hold entities are shuffled, or where sanitised texts are asked for and too many
+were found to broadcast.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import let, written
+from .store import let, numbered, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
@@ -30,19 +32,34 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
+#: Characters of a block that texts are cut into while spans are replaced.
+_BLOCK = 1024
 _FOUND = "array<struct<start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str | Column) -> Column:
+def running(values: Column, step, neutral: int) -> Column:
+    """Running ``step`` (sum or greatest) of an int array, by doubling: n log n steps, nothing is appended."""
+    ints = lambda a: a.cast("array<int>")
+
+    def doubled(a: Column, k: Column) -> Column:
+        shift = F.call_function("shiftleft", F.lit(1), k)
+        earlier = F.concat(F.array_repeat(F.lit(neutral), shift), F.slice(a, F.lit(1), F.size(a) - shift))
+        return ints(F.zip_with(a, earlier, step))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int") - 1)
+    return F.when(F.size(values) > 1, F.aggregate(rounds, ints(values), doubled)).otherwise(ints(values))
+
+
+def matches(text: Column, pattern: str) -> Column:
     """All leftmost, non-overlapping matches: start, end (code points, exclusive) and value."""
 
     def located(found: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
         steps = F.zip_with(gaps, found, lambda a, b: F.char_length(a) + F.char_length(b))
-        ends = F.aggregate(steps, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
-        return let(ends, lambda e: F.transform(found, lambda v, i: F.struct((e[i + 1] - F.char_length(v)).alias("start"), e[i + 1].alias("end"), v.alias("value"))))
+        ends = let(steps, lambda s: running(s, lambda a, b: a + b, 0))
+        return F.zip_with(ends, found, lambda e, v: F.struct((e - F.char_length(v)).alias("start"), e.alias("end"), v.alias("value")))
 
-    found = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(found, lambda m: F.when(F.size(m) > 0, located(m)).otherwise(F.array().cast(_FOUND)))
 
 
@@ -81,16 +98,34 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(found(0, EMAIL, "@"), found(1, IP, "."), found(2, CARD, ""), found(3, PHONE, "+")))
 
 
-def blanked(text: Column, spans: Column) -> Column:
-    """``text`` with spaces in place of the spans, so that all else stays where it is."""
+def _filled(text: Column, spans: Column, fill) -> Column:
+    """``text`` with ``fill(start, end, kind, at)`` in place of each sorted span; what lies between stays.
+
+    ``at``: the greatest end of the spans before, up to which the text is done.  The text is cut
+    into blocks first, so that a place is found without counting from the text's beginning.
+    """
 
-    def step(state: Column, s: Column) -> Column:
-        start = F.greatest(s["start"], state["at"])
-        out = F.concat(state["out"], F.substring(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - start, F.lit(0))))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / _BLOCK).cast("int"), F.floor((b - 1) / _BLOCK).cast("int")
+        inner = lambda i, x, y: F.substring(F.get(blocks, i), (x - i * _BLOCK + 1).cast("int"), (y - x).cast("int"))
+        middle = F.array_join(F.slice(blocks, first + 2, last - first - 1), "")
+        several = F.concat(inner(first, a, (first + 1) * _BLOCK), middle, inner(last, last * _BLOCK, b))
+        return F.when(b <= a, F.lit("")).when(first == last, inner(first, a, b)).otherwise(several)
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))))
+    def made(parts: Column) -> Column:
+        blocks, reached = parts["blocks"], parts["reached"]
+        before = F.concat(F.array(F.lit(0)), reached)
+        pieces = F.zip_with(spans, F.slice(before, F.lit(1), F.size(spans)), lambda s, at: F.concat(cut(blocks, at, s["start"]), fill(s["start"], s["end"], s["kind"], at)))
+        return F.concat(F.array_join(pieces, ""), cut(blocks, F.element_at(before, -1), F.char_length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0))
+    reached = let(F.transform(spans, lambda s: s["end"]), lambda e: running(e, lambda a, b: F.greatest(a, b), 0))
+    return let(F.struct(blocks.alias("blocks"), reached.alias("reached")), made)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans, so that all else stays where it is."""
+    return _filled(text, spans, lambda start, end, kind, at: F.repeat(F.lit(" "), F.greatest(end - F.greatest(start, at), F.lit(0))))
 
 
 def _lowered(text: Column) -> Column:
@@ -128,43 +163,41 @@ def find_personal(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -
     pairs = written(pairs.where(F.col("n_term") <= reach(F.col("n_entity"), F.col("n_entity"))), "candidate-terms")
     both = pairs.groupBy("entity", "value").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     flagged = both.where(F.col("n_term") <= reach(F.col("n_both"), F.col("n_entity"))).select("entity", "value")
-    told = pairs.join(flagged, ["entity", "value"]).groupBy("doc_id", "text_hash").agg(F.collect_set("value").alias("values"))
-    told = written(told, "revealing-terms").withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
-    joined = base.join(told, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash")), "left")
-    words = F.array_distinct(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)))
-    forms = F.array_join(F.filter(words, lambda w: F.array_contains(F.col("values"), F.lower(w))), "|")
-    marked = joined.select("doc_id", "text_hash", "spans", "rest", F.when(F.col("values").isNotNull(), F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), forms, F.lit(r")(?![\p{L}\p{N}])"))).alias("pattern"))
-    more = F.transform(matches(F.col("rest"), F.col("pattern")), lambda m: F.struct(m["start"].alias("start"), F.lit(4).alias("kind"), m["end"].alias("end")))
-    return marked.select("doc_id", "text_hash", F.when(F.col("pattern").isNull(), plain).otherwise(F.sort_array(F.concat(plain, more))).alias("spans"))
+    told = written(pairs.join(flagged, ["entity", "value"]).select("doc_id", "text_hash", "value").distinct(), "revealing-terms")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+    of_told = told.select("doc_id", "text_hash").distinct()
+    texts = holders.select("doc_id", "text_hash", "rest").join(of_told, same(holders, of_told), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    seen = texts.select("doc_id", "text_hash", F.explode(matches(F.col("rest"), TERM)).alias("m"))
+    hits = seen.join(told, same(seen, told) & (F.lower(seen["m.value"]) == told["value"]), "left_semi")
+    more = hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(F.col("m.start").alias("start"), F.lit(4).alias("kind"), F.col("m.end").alias("end"))).alias("more"))
+    more = written(more, "term-spans")
+    joined = base.join(more, same(base, more), "left")
+    every = F.when(more["more"].isNull(), plain).otherwise(F.sort_array(F.concat(plain, more["more"])))
+    return joined.select(base["doc_id"], base["text_hash"], every.alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its kind's label; overlapping spans by the first one's."""
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), s["kind"] + 1)
-        out = F.when(fresh, F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), label)).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))))
+    label = lambda kind: F.element_at(F.array(*[F.lit(x) for x in LABELS]), kind + 1)
+    return _filled(text, spans, lambda start, end, kind, at: F.when(start >= at, label(kind)).otherwise(F.lit("")))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data and revealing terms replaced in ``text``; all columns and rows stay.
 
-    Null texts stay null; texts without personal data are unchanged.  n_chars, where there is one,
-    follows a changed text.
+    Null texts stay null; texts without personal data are unchanged; ids may be null or repeat.
+    n_chars, where there is one, follows a changed text.
     """
-    found = find_personal(docs).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("__spans"))
-    found = written(found, "sanitise-spans").withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
-    text = F.when(F.col("__spans").isNull(), docs["text"]).otherwise(redacted(docs["text"], F.col("__spans")))
-    changed = {"text": text}
+    rows = numbered(docs)
+    found = find_personal(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))).where(F.size("spans") > 0)
+    found = written(found.select(F.col("doc_id").alias("row"), "spans"), "sanitise-spans")
+    joined = rows.join(found, "row", "left")
+    old = F.col("doc.text")
+    changed = {"text": F.when(F.col("spans").isNull(), old).otherwise(redacted(old, F.col("spans")))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__spans").isNull(), docs["n_chars"]).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
+        n = F.char_length(changed["text"]).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("spans").isNull(), F.col("doc.n_chars")).otherwise(n)
+    return joined.select(*[changed.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_disclosure_sanitisation(spark, sf_dir: str) -> DataFrame:

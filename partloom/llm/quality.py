@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .store import BLANK, let, written
 
 #: Words in the common-word histogram of a language; one more bin takes all other words.
-COMMON = 16
+COMMON = 24
 #: Least sizes for which a distance counts.
 LEAST_CHARS, LEAST_WORDS = 400, 80
 #: Greatest distances (natural logarithms, so at most 0.833).

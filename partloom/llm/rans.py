@@ -183,7 +183,8 @@ def _filesystem(uri: str):
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Encode every whole text and write token-id files in ascending doc_id order.
 
-    Null text: only the end id.  Null doc_ids come first, ties by text.  Returns one row per file:
+    Null text: only the end id.  Null doc_ids come first, ties by the first 32
+    characters of the text, then in any order.  Returns one row per file:
     part, number, path, n_tokens, n_bytes and before_n_tokens (ids of all files before it).  Files
     of failed attempts stay unlisted.  An empty table gives no files.
     """
@@ -225,7 +226,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["part", "number", "path", "n_tokens", "n_bytes"])
 
-    placed = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id, null too, are ranged by how their texts begin, and like ones by their place
+    keys = [F.col("doc_id"), F.left("text", F.lit(32)).alias("head"), F.monotonically_increasing_id().alias("place")]
+    placed = docs.select("text", *keys).repartitionByRange("doc_id", "head", "place").sortWithinPartitions("doc_id", "head", "place").select("doc_id", "text")
     listed = written(placed.mapInArrow(write, "part long, number long, path string, n_tokens long, n_bytes long"), "token-files")
     return before(listed.withColumn("__at", F.col("part") * (1 << 20) + F.col("number")), "__at", ["n_tokens"]).drop("__at")
 

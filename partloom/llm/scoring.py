@@ -6,8 +6,11 @@ text begins after a boundary.  Target counts come from the documents whose label
 background counts from all documents.  A document's own counts are taken out of both models while it
 is scored, so texts that were counted as target have no advantage over others.
 
-Words are 64-bit hashes.  Counts stay in tables: each row's distinct bigrams, counted before they
-leave the row, are joined with the corpus counts by bigram.  Workers hold a bitmap of fixed size.
+Words are 64-bit hashes.  Rows are worked on in batches of about _TOKENS words.  A batch asks for
+the corpus counts of its distinct bigrams, contexts and words, each once, and brings its own counts
+along: they are dealt by hash, added up, and sent back in the order of the question.  So a bigram
+that every document holds comes once from each batch, what is gathered grows with the input, and a
+worker holds one batch, one share of the counts, and a bitmap of fixed size.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import dropped, written
 
 #: Rows that hold a word of the vocabulary, at least.
 LEAST_ROWS = 5
@@ -28,8 +33,8 @@ LEAST_ROWS = 5
 SLOT_BITS = 26
 #: Weight of the unigram distribution in each context, in words.
 PRIOR = 256.0
-#: Bigrams are joined in so many passes, by hash, so that less is on disk at a time.
-PASSES = 8
+#: Keys whose counts are added up in one group, about.
+SHARE = 1 << 20
 UNKNOWN, BOUNDARY = -2, -1
 _DISTINCT = 200_000  # words that a task counts before it hands them on
 _TOKENS = 1_000_000
@@ -77,11 +82,11 @@ def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
     return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-_COUNTS = ("n_rows", "n_all", "n_target", "ends_all", "ends_target")
+_COUNTS = ("n_rows", "n_all", "n_target")
 
 
 def word_counts(marked: DataFrame) -> DataFrame:
-    """word and, of all and of target texts, rows that hold it, occurrences, texts that it ends; over rows of (text, target)."""
+    """word, rows that hold it, and its occurrences in all and in target texts, of rows of (text, target)."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -97,14 +102,17 @@ def word_counts(marked: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, sums)], ["word", *_COUNTS])
 
         for batch in batches:
-            targets = batch.column(1).to_pylist()
+            targets = np.array(batch.column(1).to_pylist(), np.int64)
             for first, texts in _texts(batch.column(0)):
-                for i, h in enumerate(texts, first):
-                    if len(h):
-                        words, n = np.unique(h, return_counts=True)
-                        end = (words == h[-1]).astype(np.int64)
-                        held.append(np.stack([words, np.ones_like(words), n, n * targets[i], end, end * targets[i]]))
-                        waiting += len(words)
+                lengths = np.array([len(h) for h in texts])
+                if not lengths.sum():
+                    continue
+                words, at = np.unique(np.concatenate(texts), return_inverse=True)
+                pairs, n = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(words) + at, return_counts=True)
+                row, word = pairs // len(words), pairs % len(words)
+                sums = [np.bincount(word, w, len(words)).astype(np.int64) for w in (np.ones(len(n)), n, n * targets[first + row])]
+                held.append(np.stack([words, *sums]))
+                waiting += len(words)
                 if waiting >= _TOKENS:
                     yield told()
                     waiting = 0
@@ -139,71 +147,178 @@ def _known_listed(words: DataFrame, listed: list[bytes]) -> tuple[DataFrame, Cal
     return words.join(table, "word", "left"), lambda h: np.isin(h, hashes)
 
 
-def row_bigrams(marked: DataFrame, known: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Rows of (row, doc_id, text, target) with n_words and, as binary arrays, the distinct words (words),
-    how often each is a context (n_before) and a word (n_now), and for each pass the places in ``words`` of
-    its distinct bigrams and how often the text has them (p0, p1, ...: three runs of int32)."""
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
-    def count(batches: Iterator) -> Iterator:
+
+def _hash(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def _packed(ascending: np.ndarray) -> bytes:
+    """Ascending whole numbers as their steps, in as few bytes as the largest step needs."""
+    steps = np.diff(ascending, prepend=0)
+    wide = steps.max(initial=0) >= 1 << 32
+    return bytes([8 if wide else 4]) + steps.astype("<i8" if wide else "<u4").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, "<i8" if data[0] == 8 else "<u4", offset=1).astype(np.int64))
+
+
+_BATCH = "batch long, n_keys long, doc_ids array<long>, targets binary, lengths binary, words binary, pairs binary, entries binary, times binary"
+
+
+def batches_of(marked: DataFrame, known: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Batches of the rows (doc_id, text, target): whose rows, how many words each has, the batch's distinct
+    words, its distinct bigrams (place of the first word * words + place of the second), and for each row the
+    distinct bigrams (row * bigrams + place) and how often it has them."""
+    names = [c.split(" ")[0] for c in _BATCH.split(", ")]
+
+    def gather(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        number = TaskContext.get().partitionId() << 33
+        doc_ids, targets, held, waiting = [], [], [], 0
+
+        def told():
+            lengths = np.array([len(h) for h in held], np.int64)
+            now = np.concatenate(held)
+            now = np.where(known(now), now, UNKNOWN)
+            starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+            words, at = np.unique(np.concatenate([now, [BOUNDARY]]), return_inverse=True)
+            first = np.concatenate([[0], at[:-2]]) if len(now) else at[:0]
+            first[starts] = at[-1]
+            pairs, place = np.unique(first * len(words) + at[:-1], return_inverse=True)
+            entries, times = np.unique(np.repeat(np.arange(len(held)), lengths) * max(1, len(pairs)) + place, return_counts=True)
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6)
+            values = (
+                number, len(pairs) + 2 * len(words), doc_ids, np.array(targets, bool).tobytes(), lengths.astype("<u4").tobytes(), words.astype("<i8").tobytes(),
+                _packed(pairs), _packed(entries), times.astype("<u4").tobytes(),
+            )
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names)
+
         for batch in batches:
-            for first, texts in _texts(batch.column(2)):
-                told: list[list[bytes]] = [[] for _ in range(PASSES + 3)]
-                for h in texts:
-                    own, at = np.unique(np.concatenate([[BOUNDARY], np.where(known(h), h, UNKNOWN)]), return_inverse=True)
-                    before, now = at[:-1], at[1:]
-                    pairs, n = np.unique(before * len(own) + now, return_counts=True)
-                    a, b = pairs // len(own), pairs % len(own)
-                    mixed = own.view(np.uint64)
-                    turn = (((mixed[a] * np.uint64(31) + mixed[b]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(PASSES)
-                    runs = np.stack([a, b, n]).astype(np.int32)
-                    sums = (np.bincount(x, minlength=len(own)).astype(np.int32) for x in (before, now))
-                    for values, column in zip((own, *sums, *[runs[:, turn == p] for p in range(PASSES)]), told):
-                        column.append(values.tobytes())
-                same = [batch.column(c).slice(first, len(texts)) for c in (0, 1, 3)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array([len(h) for h in texts], pa.int64()), *[pa.array(c, pa.binary()) for c in told]], ["row", "doc_id", "target", "n_words", *binary])
-
-    binary = ["words", "n_before", "n_now", *[f"p{p}" for p in range(PASSES)]]
-    return marked.select("row", "doc_id", "text", "target").mapInArrow(count, "row long, doc_id long, target boolean, n_words long, " + ", ".join(f"{c} binary" for c in binary))
-
-
-def _bigrams(rows: DataFrame, part: str) -> DataFrame:
-    """row, target, n_words, a, b, n, n_a, n_b: the bigrams (a, b) of one pass, n of them in the row, with the row's counts of a as context and b as word."""
-
-    def unpack(batches: Iterator) -> Iterator:
+            for first, texts in _texts(batch.column(1)):
+                doc_ids += batch.column(0).slice(first, len(texts)).to_pylist()
+                targets += batch.column(2).slice(first, len(texts)).to_pylist()
+                held += texts
+                waiting += sum(map(len, texts))
+                if waiting >= _TOKENS or len(held) >= _TOKENS // 50:
+                    yield told()
+                    doc_ids, targets, held, waiting = [], [], [], 0
+                    number += 1
+        if held:
+            yield told()
+
+    return marked.select("doc_id", "text", "target").mapInArrow(gather, _BATCH)
+
+
+class _Batch:
+    """What a row of ``batches_of`` holds; keys are those of its bigrams, its words, and its words as contexts."""
+
+    def __init__(self, row: dict):
+        self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+        self.target = np.frombuffer(row["targets"], bool)
+        words = np.frombuffer(row["words"], "<i8")
+        pairs, entries = _unpacked(row["pairs"]), _unpacked(row["entries"])
+        self.n_words, self.n_pairs = len(words), len(pairs)
+        self.first, self.second = pairs // max(1, len(words)), pairs % max(1, len(words))
+        self.doc, self.pair = entries // max(1, len(pairs)), entries % max(1, len(pairs))
+        self.times = np.frombuffer(row["times"], "<u4").astype(np.int64)
+        own = _hash(words.astype(np.int64).view(np.uint64))
+        self.keys = np.concatenate([_hash(own[self.first] * _MIX[0] + own[self.second]), _hash(own ^ _MIX[1]), _hash(own ^ _MIX[2])])
+
+    def dealt(self, shares: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of keys by share, and where each share ends."""
+        share = (self.keys >> np.uint64(32)).astype(np.int64) * shares >> 32
+        return np.argsort(share, kind="stable"), np.cumsum(np.bincount(share, minlength=shares))
+
+    def own_counts(self) -> list[np.ndarray]:
+        """Of each key the counts in all and in target rows."""
+        out = []
+        for weights in (self.times, self.times * self.target[self.doc]):
+            pairs = np.bincount(self.pair, weights, self.n_pairs)
+            out.append(np.concatenate([pairs, np.bincount(self.second, pairs, self.n_words), np.bincount(self.first, pairs, self.n_words)]).astype(np.int64))
+        return out
+
+    def losses(self, counts: list[np.ndarray], totals: tuple[int, int], n: int) -> list[np.ndarray]:
+        """Background and target loss of each row, from the corpus counts of the keys; its own counts are taken out."""
+        out, p, w = [], self.n_pairs, self.n_words
+        a, b = self.first[self.pair], self.second[self.pair]
+
+        def within(word: np.ndarray) -> np.ndarray:
+            """How often the entry's row has the entry's word."""
+            _, at = np.unique(self.doc * w + word, return_inverse=True)
+            return np.bincount(at, self.times)[at]
+
+        own_a, own_b = (within(x) if len(x) else np.zeros(0) for x in (a, b))
+        for count, total, gone in zip(counts, totals, (np.ones(len(self.target), bool), self.target)):
+            less = gone[self.doc]
+            unigram = (count[p : p + w][b] - own_b * less + 1) / (total + n + 1 - self.lengths[self.doc] * less)
+            context, both = count[p + w :][a] - own_a * less, count[:p][self.pair] - self.times * less
+            out.append(np.bincount(self.doc, self.times * (np.log(context + PRIOR) - np.log(both + PRIOR * unigram)), len(self.lengths)))
+        return out
+
+
+def corpus_counts(batches: DataFrame, shares: int) -> DataFrame:
+    """batch, share, n_all, n_target (binary): the corpus counts of the keys of a batch that fall in a share, in the batch's order."""
+
+    def ask(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            for first in range(0, batch.num_rows, _TEXTS):
-                some = batch.slice(first, _TEXTS)
-                columns = [[] for _ in range(5)]
-                lengths = []
-                for words, n_before, n_now, runs in zip(*(some.column(c).to_pylist() for c in range(3, 7))):
-                    a, b, n = np.frombuffer(runs, np.int32).reshape(3, -1)
-                    own = np.frombuffer(words, np.int64)
-                    for values, column in zip((own[a], own[b], n, np.frombuffer(n_before, np.int32)[a], np.frombuffer(n_now, np.int32)[b]), columns):
-                        column.append(values)
-                    lengths.append(len(n))
-                at = pa.array(np.repeat(np.arange(len(lengths)), lengths))
-                yield pa.RecordBatch.from_arrays([*[some.column(c).take(at) for c in range(3)], *[pa.array(np.concatenate(c)) for c in columns]], ["row", "target", "n_words", "a", "b", "n", "n_a", "n_b"])
+        for part in rows:
+            for row in part.to_pylist():
+                held = _Batch(row)
+                order, ends = held.dealt(shares)
+                columns = [held.keys, *held.own_counts()]
+                starts = np.concatenate([[0], ends[:-1]])
+                full = np.flatnonzero(ends > starts)
+                cut = [[c[order[starts[i] : ends[i]]].astype(t).tobytes() for i in full] for c, t in zip(columns, ("<u8", "<u4", "<u4"))]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), *[pa.array(c, pa.binary()) for c in cut]], ["share", "batch", "keys", "n_all", "n_target"])
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        lengths = np.array([len(k) // 8 for k in group["keys"]])
+        _, at = np.unique(np.frombuffer(b"".join(group["keys"]), "<u8"), return_inverse=True)
+        out = {"batch": group["batch"], "share": group["share"]}
+        for c in ("n_all", "n_target"):
+            sums = np.bincount(at, np.frombuffer(b"".join(group[c]), "<u4"))[at].astype("<i8")
+            out[c] = [_small(x) for x in np.split(sums, np.cumsum(lengths)[:-1])]
+        return pd.DataFrame(out)
+
+    asked = batches.mapInArrow(ask, "share int, batch long, keys binary, n_all binary, n_target binary")
+    return asked.groupBy("share").applyInPandas(answer, "batch long, share int, n_all binary, n_target binary")
 
-    return rows.select("row", "target", "n_words", "words", "n_before", "n_now", part).mapInArrow(unpack, "row long, target boolean, n_words long, a long, b long, n int, n_a int, n_b int")
 
+def _small(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes as the largest needs."""
+    width = next(w for w in (1, 2, 4, 8) if values.max(initial=0) < 1 << (8 * w - 1))
+    return bytes([width]) + values.astype(f"<i{width}").tobytes()
 
-def _losses(rows: DataFrame, words: DataFrame, part: str, n: int, totals: tuple[int, int]) -> DataFrame:
-    """row, and what the bigrams of one pass add to its target and background loss."""
-    bigrams = _bigrams(rows, part)
-    pairs = bigrams.groupBy("a", "b").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("good"))
-    pairs = pairs.join(words.select(F.col("word").alias("b"), F.col("n_all").alias("b_all"), F.col("n_target").alias("b_good")), "b")
-    pairs = pairs.join(words.select(F.col("word").alias("a"), F.col("context_all").alias("a_all"), F.col("context_target").alias("a_good")), "a")
 
-    def loss(kind: str, total: int, out):
-        less = lambda c, own: F.col(c) - F.when(out, F.col(own)).otherwise(0)
-        unigram = (less(f"b_{kind}", "n_b") + 1) / (F.lit(total + n + 1) - F.when(out, F.col("n_words")).otherwise(0))
-        return F.sum(F.col("n") * (F.log(less(f"a_{kind}", "n_a") + PRIOR) - F.log(less(kind, "n") + PRIOR * unigram)))
+def _scored(batches: DataFrame, answers: DataFrame, shares: int, totals: tuple[int, int], n: int) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss (sums) of every row."""
+
+    def score(rows: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in rows:
+            for row in part.to_pylist():
+                held = _Batch(row)
+                order, _ = held.dealt(shares)
+                counts = []
+                for c in ("n_all", "n_target"):
+                    count = np.zeros(len(held.keys))
+                    told = sorted(row["answers"], key=lambda x: x["share"])
+                    if told:
+                        count[order] = np.concatenate([np.frombuffer(x[c], f"<i{x[c][0]}", offset=1) for x in told])
+                    counts.append(count)
+                background, target = held.losses(counts, totals, n)
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held.lengths), pa.array(target), pa.array(background)], ["doc_id", "n_words", "target_loss", "background_loss"])
 
-    return bigrams.join(pairs, ["a", "b"]).groupBy("row").agg(loss("good", totals[1], F.col("target")).alias("target_loss"), loss("all", totals[0], F.lit(True)).alias("background_loss"))
+    gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("share", "n_all", "n_target")).alias("answers"))
+    return batches.join(gathered, "batch").mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | None = None) -> DataFrame:
@@ -212,7 +327,9 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | Non
     Losses are means per word in nats; difference = target_loss - background_loss, so a low one
     means a text more like the target.  Target: doc_ids whose label ``quality`` is 1 in any row.
     Texts without words (null ones too) have losses 0.  Without any target document the target
-    model is uniform over words.  ``size``: only so many most frequent words are known.
+    model is uniform over words.  ``size``: only so many most frequent words are known.  Repeated
+    rows come out as often as they went in and leave the counts one by one; null ids stay null and
+    are never targets; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
@@ -220,28 +337,21 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | Non
     marked = texts.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     counted = written(word_counts(marked), "word-counts")
     told, known = _known_slots(counted) if size is None else _known_listed(counted, vocabulary(docs, size))
-    sums = lambda *cs: [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cs]
-    merged = told.groupBy(F.when(F.col("known"), F.col("word")).otherwise(F.lit(UNKNOWN)).cast("long").alias("word")).agg(*sums(*_COUNTS[1:]))
-    start = counted.agg(*sums(*_COUNTS[3:])).select(F.lit(BOUNDARY).cast("long").alias("word"), F.lit(0).cast("long").alias("n_all"), F.lit(0).cast("long").alias("n_target"), F.col("ends_all").alias("context_all"), F.col("ends_target").alias("context_target"))
-    inner = merged.select("word", "n_all", "n_target", (F.col("n_all") - F.col("ends_all")).alias("context_all"), (F.col("n_target") - F.col("ends_target")).alias("context_target"))
-    words = written(inner.unionByName(start), "words")
-    sizes = words.agg(F.count_if(F.col("word") < UNKNOWN) + F.count_if(F.col("word") > BOUNDARY), *sums("n_all", "n_target")).first()
-    rows = written(row_bigrams(marked.withColumn("row", F.monotonically_increasing_id()), known), "row-bigrams")
-    parts = []
-    for p in range(PASSES):
-        parts.append(written(_losses(rows, words, f"p{p}", sizes[0], (sizes[1], sizes[2])), "losses"))
-        gc.collect()
-        spark._jvm.System.gc()  # lets Spark delete the shuffle files of the pass
-    losses = parts[0]
-    for more in parts[1:]:
-        losses = losses.unionByName(more)
-    losses = losses.groupBy("row").agg(F.sum("target_loss").alias("target_loss"), F.sum("background_loss").alias("background_loss"))
-    mean = lambda c: F.coalesce(F.col(c) / F.col("n_words"), F.lit(0.0)).alias(c)
-    scored = rows.select("row", "doc_id", "n_words").join(losses, "row", "left").select("doc_id", "n_words", mean("target_loss"), mean("background_loss"))
-    return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    sizes = told.agg(F.count_if("known").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS[1:]]).first()
+    batches = written(batches_of(marked, known), "batches")
+    shares = max(1, -(-(batches.agg(F.sum("n_keys")).first()[0] or 0) // SHARE))
+    answers = written(corpus_counts(batches, shares), "corpus-counts")
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files of the questions
+    scored = written(_scored(batches, answers, shares, (sizes["n_all"], sizes["n_target"]), sizes["n"]), "scored")
+    for table in (batches, answers):
+        dropped(table)
+    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(F.lit(0.0)).alias(c)
+    return scored.select("doc_id", "n_words", mean("target_loss"), mean("background_loss")).withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
 def op5_cross_entropy_difference(spark, sf_dir: str) -> DataFrame:
+    """Losses of all documents under the model of good ones and that of all."""
     from .store import documents
 
     return cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

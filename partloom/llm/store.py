@@ -19,7 +19,7 @@ BATCH_BYTES = 8 << 20
 
 
 @contextmanager
-def _bounded_batches(spark: SparkSession) -> Iterator[None]:
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name, None)
     spark.conf.set(name, str(BATCH_BYTES))
@@ -34,7 +34,7 @@ def _bounded_batches(spark: SparkSession) -> Iterator[None]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: it survives lost executors and is computed once."""
-    with _bounded_batches(df.sparkSession):
+    with bounded_batches(df.sparkSession):
         return stored(df, name)
 
 
@@ -48,6 +48,18 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.select(F.monotonically_increasing_id().alias("row"), every.alias("doc")), "numbered")
 
 
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` may be in ``wanted``: a bitmap of 2^24 bits, 4 MB whatever the input, is broadcast.
+
+    It only keeps rows that cannot match out of the exact join that follows.
+    """
+    h = F.xxhash64(key)
+    place, bit = F.pmod(h, F.lit(1 << 18)).alias("__place"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int"))
+    bitmap = wanted.select(place, bit.alias("__bit")).groupBy("__place").agg(F.bit_or("__bit").alias("__bits"))
+    marked = rows.select("*", place, bit.alias("__bit")).join(F.broadcast(bitmap), "__place")
+    return marked.where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).select(*rows.columns)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made; nothing may read it afterwards."""
     files = df.inputFiles()
