@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; the result
 is written as Parquet and read again as the next one's ``docs``.  All but the last return the
-columns of ``documents``.
+columns of ``documents``.  Decisions are made for each row: rows are numbered as they come in, so
+null and repeated ids keep or lose no other row, and columns may have any name.  Empty tables
+pass through every stage.
 """
 
 from __future__ import annotations
@@ -11,17 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.llm import mixing, near_dups, packing, privacy, quality
-from partloom.llm.store import fresh_dir, written
+from partloom.llm.store import fresh_dir, numbered, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; a doc_id with a rejected row loses all its rows."""
-    bad = written(quality.rate(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__doc")).distinct(), "rejected")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__doc")), "left_anti")
+    """Rows that the quality rules keep; null texts and such of few words go."""
+    rows = numbered(docs)
+    rated = quality.rate(rows.select(F.col("row").alias("doc_id"), "doc.text", "doc.lang"))
+    bad = written(rated.where(~F.col("kept")).select(F.col("doc_id").alias("row")), "rejected")
+    return rows.join(bad, "row", "left_anti").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one of least doc_id."""
+    """One row of each near-duplicate class, one of least doc_id."""
     return near_dups.keep_first(docs)
 
 
@@ -31,12 +35,12 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 2 times)."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    taken = written(copies.where(F.col("__copies") > 0).withColumnRenamed("doc_id", "__doc"), "copies")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__doc")))
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return repeated.select(*docs.columns)
+    """Each row as often as the mix takes it (0 to 2 times); texts without words go."""
+    rows = numbered(docs)
+    mixed = mixing.mix(rows.select("row", "doc.doc_id", "doc.source", "doc.text"), carry=["row"])
+    taken = written(mixed.where(F.col("copies") > 0).select("row", "copies"), "copies")
+    repeated = rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
