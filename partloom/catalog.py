@@ -32,11 +32,15 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    from . import catalog_reports as more
+
+    return _QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from . import catalog_reports as more
+
+    return _SQL | more.SQL
 
 
 # --- explosion -------------------------------------------------------------------------------
@@ -231,10 +235,16 @@ def graph_degrees(spark, d):
     return G.degrees(_graph(spark, d), view(spark, d, "bom_headers"))
 
 
-@_query(_GRAPH + " SELECT DISTINCT code FROM bom_headers WHERE code NOT IN (SELECT h.code FROM bom_headers h JOIN bom_lines l ON l.internal_code = h.code WHERE l.line_no < 4)")
+_FOREST = with_views("bom_headers", "forest_lines", recursive=True) + ", g AS (SELECT DISTINCT h.code AS parent, l.internal_code AS child FROM forest_lines l JOIN bom_headers h ON h.bom_id = l.bom_id)"
+
+
+def _forest(spark, d):
+    return G.list_graph(view(spark, d, "forest_lines"), view(spark, d, "bom_headers"))
+
+
+@_query(_FOREST + " SELECT DISTINCT code FROM bom_headers WHERE code NOT IN (SELECT child FROM g)")
 def root_inference(spark, d):
-    h = view(spark, d, "bom_headers")
-    return G.roots(G.list_graph(view(spark, d, "bom_lines").where("line_no < 4"), h), h)
+    return G.roots(_forest(spark, d), view(spark, d, "bom_headers"))
 
 
 @_query(_GRAPH + ", r AS (SELECT 'E0000002' AS code UNION SELECT g.child FROM r JOIN g ON g.parent = r.code) SELECT count(*) AS reachable FROM r WHERE code IN (SELECT code FROM bom_headers)")
@@ -243,12 +253,11 @@ def reachable_count(spark, d):
     return got.join(R.header_index(view(spark, d, "bom_headers")).select("code").distinct(), "code", "left_semi").agg(F.count("*").alias("reachable"))
 
 
-@_query(_GRAPH.replace("JOIN bom_headers h ON h.bom_id = l.bom_id", "JOIN bom_headers h ON h.bom_id = l.bom_id WHERE l.line_no < 4 AND h.code > 'E0000004'") + """, hd AS (SELECT DISTINCT code FROM bom_headers WHERE code > 'E0000004'), rt AS (SELECT code FROM hd WHERE code NOT IN (SELECT child FROM g)),
-r AS (SELECT code AS start, code FROM rt UNION SELECT r.start, g.child FROM r JOIN g ON g.parent = r.code), n AS (SELECT start, count(*) AS reachable FROM r WHERE code IN (SELECT code FROM hd) GROUP BY start), o AS (SELECT parent, count(*) AS outdegree FROM g GROUP BY parent)
-SELECT rt.code, CAST(rt.code = 'E0000006' AS INTEGER) AS folder_match, reachable, outdegree, CAST(rt.code = 'E0000006' AS INTEGER) * 1000000 + reachable * 1000 + outdegree AS score, row_number() OVER (ORDER BY rt.code = 'E0000006' DESC, reachable DESC, outdegree DESC, rt.code) AS rank FROM rt JOIN n ON n.start = rt.code JOIN o ON o.parent = rt.code""")
+@_query(_FOREST + """, rt AS (SELECT DISTINCT code FROM bom_headers WHERE code NOT IN (SELECT child FROM g)),
+r AS (SELECT code AS start, code FROM rt UNION SELECT r.start, g.child FROM r JOIN g ON g.parent = r.code), n AS (SELECT start, count(*) AS reachable FROM r WHERE code IN (SELECT code FROM bom_headers) GROUP BY start), o AS (SELECT parent, count(*) AS outdegree FROM g GROUP BY parent), k AS (SELECT rt.code, CAST(rt.code = 'E0000011' AS INTEGER) AS folder_match, reachable, COALESCE(outdegree, 0) AS outdegree FROM rt JOIN n ON n.start = rt.code LEFT JOIN o ON o.parent = rt.code)
+SELECT *, folder_match * 1000000 + reachable * 1000 + outdegree AS score, row_number() OVER (ORDER BY folder_match DESC, reachable DESC, outdegree DESC, code) AS rank FROM k""")
 def root_ranking(spark, d):
-    h = view(spark, d, "bom_headers").where("code > 'E0000004'")
-    return G.rank_roots(G.list_graph(view(spark, d, "bom_lines").where("line_no < 4"), h), h, "E0000006")
+    return G.rank_roots(_forest(spark, d), view(spark, d, "bom_headers"), "E0000011")
 
 
 @_query(with_views("bom_headers") + ", h AS (SELECT DISTINCT code || CASE WHEN CAST(substr(code, 2) AS BIGINT) % 3 = 0 THEN '-01' ELSE '' END AS code FROM bom_headers UNION SELECT code || '-02' FROM bom_headers WHERE CAST(substr(code, 2) AS BIGINT) % 6 = 0), b AS (SELECT code, regexp_extract(code, '^(.+)-[0-9][0-9]$', 1) AS base FROM h) SELECT base, min(code) AS \"full\" FROM b WHERE base <> '' GROUP BY base HAVING count(*) = 1")
@@ -320,7 +329,7 @@ def _statuses(spark, d):
     return C.validate_totals(view(spark, d, "bom_totals"), view(spark, d, "totals"), view(spark, d, "units"))
 
 
-@_query(_STATUS + "SELECT * FROM s")
+@_query(_STATUS + """SELECT *, CASE status WHEN 'SKIPPED_NON_NR' THEN 'unit is not a piece' WHEN 'ERROR_EXTRA_IN_TOTAL' THEN 'not in the explosion' WHEN 'ERROR_MISSING_IN_TOTAL' THEN 'not in the totals' WHEN 'WARN_QTY_MISMATCH' THEN 'quantities differ' ELSE '' END AS note FROM s""")
 def totalization_validation(spark, d):
     return _statuses(spark, d)
 
@@ -364,9 +373,9 @@ def _cells(spark, d):
     return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("sheet_row"), F.concat(F.lit(" e"), F.col("l_partkey").cast("string")).alias("code"), q.alias("qty"))
 
 
-@_query(f"WITH c AS ({_CELLS}) SELECT pn, count(*) AS n_rows FROM c GROUP BY pn HAVING count(*) > 30")
+@_query(f"WITH c AS ({_CELLS}) SELECT pn, count(*) AS n_rows, CAST(SUM(q) AS BIGINT) AS qty_sum FROM c GROUP BY pn HAVING count(*) > 1")
 def totalization_duplicates(spark, d):
-    return C.load_totalization(_cells(spark, d)).where("n_rows > 30").select("pn", "n_rows")
+    return C.load_totalization(_cells(spark, d)).where("n_rows > 1").select("pn", "n_rows", _whole("qty").alias("qty_sum"))
 
 
 def _walk_with_structure() -> str:
@@ -427,20 +436,41 @@ def _put(v: str) -> str:
 _INFERENCE = _walk_with_structure() + _UP + f""", oc AS (SELECT seq, code, f AS n FROM par WHERE parent_seq IS NULL UNION ALL SELECT p.seq, p.code, oc.n * p.f FROM oc JOIN par p ON p.parent_seq = oc.seq), occ AS (SELECT code, sum(n) AS n FROM oc GROUP BY code),
 pe AS (SELECT parent_code AS parent, child_code AS child, unit, state FROM walk WHERE state IN ('EDGE', 'MISSING_QTY')), np AS (SELECT child, count(DISTINCT parent) AS np FROM pe GROUP BY child), mi AS (SELECT parent, child, count(*) AS nl, max(unit) AS unit FROM pe WHERE state = 'MISSING_QTY' GROUP BY parent, child),
 tot AS (SELECT {"'E' || lpad(CAST(l_partkey AS STRING), 7, '0')"} AS code, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY l_partkey),
-v AS (SELECT mi.*, np.np, CAST(tot.q AS DOUBLE) / occ.n AS raw FROM mi JOIN np ON np.child = mi.child LEFT JOIN tot ON tot.code = mi.child AND tot.q > 0 LEFT JOIN occ ON occ.code = mi.parent AND occ.n > 0),
+sfe AS (SELECT child_code AS code, CAST(SUM(qty) AS DOUBLE) AS n FROM walk WHERE state = 'EDGE' GROUP BY child_code), qbc AS (SELECT child_code AS code, CAST(SUM(qty) AS DOUBLE) AS n FROM walk WHERE state IN ('EDGE', 'CYCLE') GROUP BY child_code),
+v0 AS (SELECT mi.*, np.np, CAST(tot.q AS DOUBLE) AS total, COALESCE(occ.n, CASE WHEN mi.parent = 'E0000001' THEN COALESCE(sfe.n, 0) + 1 ELSE sfe.n END, qbc.n, CASE WHEN mi.parent = 'E0000001' THEN 1 END) AS times FROM mi JOIN np ON np.child = mi.child LEFT JOIN tot ON tot.code = mi.child AND tot.q > 0 LEFT JOIN occ ON occ.code = mi.parent AND occ.n > 0 LEFT JOIN sfe ON sfe.code = mi.parent AND sfe.n > 0 LEFT JOIN qbc ON qbc.code = mi.parent AND qbc.n > 0), v AS (SELECT *, total / times AS raw FROM v0),
 w2 AS (SELECT *, CASE WHEN np >= 2 OR nl >= 2 THEN 'AMBIGUOUS' WHEN raw IS NULL THEN 'NOT_CALCULABLE' WHEN unit = 'NR' AND abs(floor(raw + 0.5) - raw) > 0.02 THEN 'CHECK' ELSE 'INFERRED' END AS status, {_put("raw")} AS put FROM v)
-SELECT parent, child, CASE WHEN status IN ('INFERRED', 'CHECK') THEN put END AS value, status, CAST(CASE WHEN status = 'CHECK' THEN 0.4 WHEN status <> 'INFERRED' THEN 0.0 WHEN unit = 'NR' THEN 0.9 WHEN unit <> '' THEN 0.8 ELSE 0.7 END AS DOUBLE) AS confidence FROM w2"""
+SELECT parent, child, unit, nl AS n_lines, np AS n_parents, total, CAST(times AS DOUBLE) AS occurrences, CASE WHEN status IN ('INFERRED', 'CHECK') THEN put END AS value, status, CAST(CASE WHEN status = 'CHECK' THEN 0.4 WHEN status <> 'INFERRED' THEN 0.0 WHEN unit = 'NR' THEN 0.9 WHEN unit <> '' THEN 0.8 ELSE 0.7 END AS DOUBLE) AS confidence FROM w2"""
 
 def _findings(spark, d):
     rows, h, lines = view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), view(spark, d, "bom_lines")
     return rows, h, lines, _exploded(spark, d)
 
 
-@_query()
+_SIGHT = """, occ0 AS (SELECT l.internal_code AS code, h.code AS parent, h.revision AS parent_rev, l.line_no AS pos, l.seq FROM bom_lines l JOIN bom_headers h ON h.bom_id = l.bom_id),
+dn AS (SELECT DISTINCT code FROM done), fst AS (SELECT code, arg_min(parent, (seq, parent, parent_rev, pos)) AS parent, arg_min(parent_rev, (seq, parent, parent_rev, pos)) AS parent_rev, arg_min(pos, (seq, parent, parent_rev, pos)) AS pos FROM occ0 GROUP BY code),
+opn AS (SELECT code, arg_min(parent, (seq, parent, parent_rev, pos)) AS parent, arg_min(parent_rev, (seq, parent, parent_rev, pos)) AS parent_rev, arg_min(pos, (seq, parent, parent_rev, pos)) AS pos FROM occ0 WHERE parent NOT IN (SELECT code FROM dn) GROUP BY code),
+rw AS (SELECT seq, CASE WHEN code = '' THEN 0 ELSE level END AS level, code, qty FROM pbs_rows), rp AS (SELECT a.code, a.qty, (SELECT max(b.seq) FROM rw b WHERE b.seq < a.seq AND b.level < a.level) AS up FROM rw a),
+eff AS (SELECT q.code, count(*) AS n FROM rp JOIN rw q ON q.seq = rp.up WHERE rp.qty > 0 AND q.code <> '' GROUP BY q.code),
+un AS (SELECT DISTINCT code FROM pbs_rows WHERE code <> '' AND code IN (SELECT code FROM bom_headers) AND code NOT IN (SELECT code FROM dn)), hitc AS (SELECT DISTINCT child_code AS code, child_rev FROM walk WHERE state = 'EDGE') """
+
+
+@_query(_walk_with_structure() + _SIGHT + """, bits AS (SELECT w.code, bool_or(o.fell) AS fell, min(CASE WHEN o.fell AND w.child_rev <> '' THEN w.child_rev || ' asked, ' || o.top || ' taken' END) AS m FROM hitc w JOIN (SELECT DISTINCT x.code, x.child_rev, (SELECT max(revision) FROM bom_headers b WHERE b.code = x.code) AS top,
+ (x.child_rev, x.code) NOT IN (SELECT (revision, code) FROM bom_headers) AND NOT (x.child_rev = '' AND (SELECT count(*) FROM bom_headers b WHERE b.code = x.code) = 1) AND x.code IN (SELECT code FROM bom_headers) AS fell FROM hitc x) o ON o.code = w.code AND o.child_rev = w.child_rev GROUP BY w.code),
+dg AS (SELECT un.code, COALESCE(sr.rev, '') AS rev, CASE WHEN COALESCE(eff.n, 0) = 0 THEN 'INFO_PBS_ONLY_ZERO_QTY_CHILDREN' WHEN un.code IN (SELECT code FROM hitc) THEN 'REACHED_SELECTION_FAIL' WHEN fst.code IS NOT NULL THEN 'NOT_REACHED_CHAIN_BREAK' ELSE 'MISSING_LINK' END AS reason
+ FROM un LEFT JOIN eff ON eff.code = un.code LEFT JOIN fst ON fst.code = un.code LEFT JOIN (SELECT code, arg_max(rev, seq) AS rev FROM pbs_rows WHERE code <> '' AND rev <> '' GROUP BY code) sr ON sr.code = un.code)
+SELECT dg.code, dg.rev, reason, CASE WHEN reason = 'MISSING_LINK' THEN '' ELSE dg.code END AS candidate,
+ CASE reason WHEN 'NOT_REACHED_CHAIN_BREAK' THEN COALESCE(opn.parent, fst.parent) WHEN 'REACHED_SELECTION_FAIL' THEN fst.parent ELSE '' END AS parent, CASE reason WHEN 'NOT_REACHED_CHAIN_BREAK' THEN COALESCE(opn.parent_rev, fst.parent_rev) WHEN 'REACHED_SELECTION_FAIL' THEN fst.parent_rev ELSE '' END AS parent_rev,
+ CASE reason WHEN 'NOT_REACHED_CHAIN_BREAK' THEN CAST(COALESCE(opn.pos, fst.pos) AS VARCHAR) WHEN 'REACHED_SELECTION_FAIL' THEN CAST(fst.pos AS VARCHAR) ELSE '' END AS pos,
+ CASE reason WHEN 'INFO_PBS_ONLY_ZERO_QTY_CHILDREN' THEN 'no direct child of positive quantity' WHEN 'NOT_REACHED_CHAIN_BREAK' THEN 'under ' || COALESCE(opn.parent, fst.parent) || CASE WHEN opn.code IS NOT NULL THEN ', which is not exploded' ELSE ', which is exploded' END
+ WHEN 'REACHED_SELECTION_FAIL' THEN CASE WHEN bits.m IS NULL AND NOT COALESCE(bits.fell, FALSE) THEN 'met as a child, never entered' ELSE concat_ws('; ', 'revision ' || bits.m, CASE WHEN bits.fell THEN 'fallback' END) END ELSE 'no list has it' END AS note
+FROM dg LEFT JOIN fst ON fst.code = dg.code LEFT JOIN opn ON opn.code = dg.code LEFT JOIN bits ON bits.code = dg.code""")
 def unexploded_diagnosis(spark, d):
+    from .operators import reports as P
+    from .plans.pipelines import occurrences_in_lists
+
     rows, h, lines, e = _findings(spark, d)
-    occurring = lines.join(R.header_index(h).select("bom_id", F.col("code").alias("parent")), "bom_id").select(K.norm(F.col("internal_code")).alias("code"), "parent")
-    return C.diagnose_unexploded(C.unexploded(rows, h, e.exploded()), T.effective_children(rows, "reset"), e.edges().select(F.col("child_code").alias("code")), occurring)
+    traced = P.traces(P.wanted_lists(e.edges(), ROOT), h)
+    return C.diagnose_unexploded(C.unexploded(rows, h, e.exploded()), T.effective_children(rows, "reset"), e.edges().select(F.col("child_code").alias("code")), occurrences_in_lists(lines, h), e.exploded(), R.structure_revs(rows), traced, e.missing_lists())
 
 
 def _breaks(spark, d):
@@ -459,7 +489,15 @@ def chain_break_classification(spark, d):
     return _breaks(spark, d)[1]
 
 
-@_query()
+_MISMATCH = _walk_with_structure() + _DIFFERENCES[_DIFFERENCES.index(", s AS (") :] + """, qt AS (SELECT code AS child, arg_max(qty, seq) AS q FROM pbs_rows GROUP BY code), un AS (SELECT DISTINCT code FROM pbs_rows WHERE code <> '' AND code IN (SELECT code FROM bom_headers) AND code NOT IN (SELECT code FROM done)),
+anc AS (SELECT seq, parent_seq AS a FROM par WHERE parent_seq IS NOT NULL UNION SELECT anc.seq, par.parent_seq FROM anc JOIN par ON par.seq = anc.a WHERE par.parent_seq IS NOT NULL),
+udr AS (SELECT DISTINCT x.code AS parent FROM anc JOIN par u ON u.seq = anc.a JOIN par x ON x.seq = anc.seq WHERE u.code IN (SELECT code FROM un)), rch AS (SELECT DISTINCT parent_code AS parent FROM walk WHERE state = 'EDGE'),
+lv AS (SELECT ms.parent, ms.child, ex.child AS extra, levenshtein(ms.child, ex.child) AS lev FROM ms JOIN ex ON ex.parent = ms.parent), ty AS (SELECT parent, child, arg_min(extra, (CASE WHEN lev <= 1 THEN lev ELSE 2 END, extra)) AS extra FROM lv WHERE lev <= 1 OR left(substr(child, 2), 6) = left(substr(extra, 2), 6) GROUP BY ALL),
+mm AS (SELECT ms.parent, ms.child, COALESCE(qt.q, 0) = 0 AS optional, rch.parent IS NULL OR udr.parent IS NOT NULL AS cascade, ty.extra FROM ms LEFT JOIN qt ON qt.child = ms.child LEFT JOIN rch ON rch.parent = ms.parent LEFT JOIN udr ON udr.parent = ms.parent LEFT JOIN ty ON ty.parent = ms.parent AND ty.child = ms.child),
+pcm AS (SELECT parent, child, CASE WHEN optional OR cascade THEN 'WARN' ELSE 'ERROR' END AS severity, CASE WHEN extra IS NOT NULL THEN 'TYPO_SUSPECT_CHILD_MISMATCH' WHEN optional THEN 'CHILD_MISSING_IN_BOM_OPTIONAL' ELSE 'CHILD_MISSING_IN_BOM' END AS category, CASE WHEN cascade THEN 'CASCADE' ELSE 'ROOT' END AS place, COALESCE(extra, '') AS similar FROM mm) """
+
+
+@_query(_MISMATCH + 'SELECT parent, child, severity, category, place, similar AS "similar" FROM pcm')
 def parent_child_mismatch(spark, d):
     rows, h, lines, e = _findings(spark, d)
     reached = e.edges().select(F.col("parent_code").alias("code"))
@@ -477,7 +515,9 @@ def qty_inference(spark, d):
     rows, _, _, e = _findings(spark, d)
     pair = lambda df: df.select(F.col("parent_code").alias("parent"), F.col("child_code").alias("child"), "unit")
     totals = view(spark, d, "totals").withColumnRenamed("pn", "code")
-    return C.infer_quantities(pair(e.missing()), pair(e.edges()), totals, T.occurrences(rows))
+    from .operators import reports as P
+
+    return C.infer_quantities(pair(e.missing()), pair(e.edges()), totals, T.occurrences(rows), P.safe_occurrences(e.edges(), ROOT), e.totals(), ROOT)
 
 
 @_query(_walk_with_structure() + ", pr AS (" + _parents("pbs_rows") + ") SELECT seq, code FROM pr WHERE parent_seq IS NOT NULL AND code <> '' AND seq NOT IN (SELECT parent_seq FROM pr WHERE parent_seq IS NOT NULL) AND code NOT IN (SELECT child_code FROM walk WHERE state = 'EDGE')")
@@ -494,7 +534,21 @@ def explosion_view(spark, d):
     return V.explosion_view(e.edges(), G.part_master(lines, K.norm(F.col("internal_code"))), e.units()).withColumn("qty", _whole("qty"))
 
 
-@_query("SELECT 'ERROR' AS level, c AS \"check\", CAST(0 AS BIGINT) AS n FROM (VALUES ('DUPLICATE_ID'), ('UNKNOWN_PARENT'), ('EMPTY_ID'), ('NO_LINES')) v(c)")
+_CHECK_SQL = """SELECT 'ERROR' AS level, 'DUPLICATE_ID' AS "check", (SELECT count(*) FROM (SELECT external_id FROM x GROUP BY external_id HAVING count(*) > 1)) AS n UNION ALL SELECT 'ERROR', 'UNKNOWN_PARENT', (SELECT count(*) FROM x WHERE parent_external_id IS NOT NULL AND parent_external_id NOT IN (SELECT external_id FROM x WHERE external_id IS NOT NULL))
+UNION ALL SELECT 'ERROR', 'EMPTY_ID', (SELECT count(*) FROM x WHERE COALESCE(external_id, '') = '') UNION ALL SELECT 'ERROR', 'NO_LINES', (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM x)"""
+_IMPORT = "SELECT CASE WHEN s_suppkey % 23 = 0 THEN '' WHEN s_suppkey % 9 = 0 THEN 'L' || CAST(s_suppkey - 1 AS STRING) ELSE 'L' || CAST(s_suppkey AS STRING) END AS external_id, CASE WHEN s_suppkey % 11 = 0 THEN 'X' || CAST(s_suppkey AS STRING) WHEN s_suppkey > 1 THEN 'L' || CAST(s_suppkey - 1 AS STRING) END AS parent_external_id, s_name AS code FROM supplier"
+
+
+@_query(f"WITH x AS ({_IMPORT}) " + _CHECK_SQL)
+def pbs_export_check_failing(spark, d):
+    """An import file with doubled, empty and unknown ids."""
+    from .operators.sinks import check_export
+
+    return check_export(spark.sql(_IMPORT.replace("FROM supplier", "FROM {supplier}"), supplier=spark.read.parquet(f"{d}/supplier.parquet")))
+
+
+@_query(with_views("pbs_rows") + """, p AS (SELECT a.seq, (SELECT max(b.seq) FROM pbs_rows b WHERE b.seq < a.seq AND b.level = a.level - 1) AS up, (SELECT max(b.seq) FROM pbs_rows b WHERE b.seq < a.seq AND b.level < a.level - 1) AS higher, row_number() OVER (ORDER BY a.seq) AS k FROM pbs_rows a),
+x AS (SELECT 'PBS__line__' || lpad(CAST(p.k AS STRING), 6, '0') AS external_id, 'PBS__line__' || lpad(CAST(q.k AS STRING), 6, '0') AS parent_external_id FROM p LEFT JOIN p q ON q.seq = CASE WHEN p.higher IS NULL OR p.up > p.higher THEN p.up END) """ + _CHECK_SQL)
 def pbs_export_check(spark, d):
     from .operators.sinks import check_export, export_lines
 
@@ -542,23 +596,49 @@ def choose_pbs(spark, d):
     return S.choose_structure(_files(spark, d).where("page_id % 5 = 0"))
 
 
-@_query("SELECT 'PBS_EXCEL' AS mode")
+@_query(f"WITH f AS (SELECT upper(regexp_extract(path, '([^/]*)$', 1)) AS n FROM ({_PATHS})) SELECT CASE WHEN bool_or(regexp_matches(n, '\\.XLS[XM]?$') AND regexp_matches(n, 'PARTL|PBS|MDP')) THEN 'PBS_EXCEL' WHEN bool_or(n LIKE '%.PDF') AND NOT bool_or(regexp_matches(n, '\\.XLS[XM]?$')) THEN 'PDF_ONLY' ELSE 'PBS_EXCEL' END AS mode FROM f")
 def mode_detect(spark, d):
     return S.mode(_files(spark, d))
 
 
-@_query()
+@_query(f"WITH f AS (SELECT upper(regexp_extract(path, '([^/]*)$', 1)) AS n FROM ({_PATHS}) WHERE path LIKE '%.pdf') SELECT CASE WHEN bool_or(regexp_matches(n, '\\.XLS[XM]?$') AND regexp_matches(n, 'PARTL|PBS|MDP')) THEN 'PBS_EXCEL' WHEN bool_or(n LIKE '%.PDF') AND NOT bool_or(regexp_matches(n, '\\.XLS[XM]?$')) THEN 'PDF_ONLY' ELSE 'PBS_EXCEL' END AS mode FROM f")
+def mode_detect_pages_only(spark, d):
+    """The mode of a folder that has page files only."""
+    return S.mode(_files(spark, d).where("path like '%.pdf'"))
+
+
+_NAMES = "SELECT '/f/' || CAST(p_partkey * 7 + 3100000 AS STRING) || CASE WHEN p_size % 5 = 0 THEN ' REV B.pdf' ELSE ' REV A.pdf' END AS name FROM part"
+_TARGETS = "SELECT CAST(p_partkey * 7 + 3100000 AS STRING) || 'PRTL' AS target, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE '' END AS rev FROM part WHERE p_size % 3 = 0"
+#: Length of the common prefix of two columns in SQL.
+_PREFIX = "(SELECT COALESCE(max(i), 0) FROM range(1, 20) t(i) WHERE i <= length({a}) AND i <= length({b}) AND left({a}, i) = left({b}, i))"
+_MATCHES = f"""WITH f AS ({_NAMES}), t AS ({_TARGETS}), fd AS (SELECT *, regexp_extract(name, '[0-9]+') AS x, regexp_extract(upper(name), 'REV\\s*[-_ .]*([A-Z0-9]+)', 1) AS fr FROM f), td AS (SELECT *, regexp_extract(target, '[0-9]+') AS y FROM t),
+m AS (SELECT name AS path, target, rev, fr, list_max(list_transform(range(1, least(length(x), length(y)) + 1), lambda i: CASE WHEN left(x, i) = left(y, i) THEN i ELSE 0 END)) AS match_len FROM fd JOIN td ON left(x, 6) = left(y, 6)),
+r AS (SELECT *, CASE WHEN rev <> '' AND rev <> fr THEN 'NO_MATCH' WHEN rev <> '' THEN 'STRONG' ELSE 'MEDIUM' END AS strength FROM m), fm AS (SELECT path, target, match_len, strength, CASE strength WHEN 'STRONG' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END + least(match_len, 12) / 100.0::DOUBLE AS score FROM r WHERE strength <> 'NO_MATCH' QUALIFY row_number() OVER (PARTITION BY path ORDER BY strength DESC, match_len DESC, target, rev) = 1) """
+
+
+def _named(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    files = spark.sql(_NAMES.replace("FROM part", "FROM {part}"), part=part).withColumn("path", F.col("name"))
+    return files, spark.sql(_TARGETS.replace("FROM part", "FROM {part}"), part=part)
+
+
+@_query(_MATCHES + "SELECT path, target, match_len, strength, round(score, 6) AS score FROM fm")
 def filename_match_top1(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet")
-    files = p.select(F.concat(F.lit("/f/"), (F.col("p_partkey") + 310000).cast("string"), F.lit(" REV A.pdf")).alias("name")).withColumn("path", F.col("name"))
-    targets = p.where("p_size % 3 = 0").select(F.concat((F.col("p_partkey") + 310000).cast("string"), F.lit("PRTL")).alias("target"), F.when(F.col("p_size") % 2 == 0, "A").otherwise("").alias("rev"))
-    return V.match_targets(files, targets)
+    return V.match_targets(*_named(spark, d)).withColumn("score", F.round("score", 6))
+
+
+_VERIFIED = with_views("bom_headers", "structure_revs") + """, hj AS (SELECT h.bom_id, h.code, h.revision AS hr, t.code AS target, t.rev AS tr, CASE WHEN substr(h.code, 2) = substr(t.code, 2) THEN 7 ELSE 6 END AS n FROM bom_headers h JOIN structure_revs t ON left(substr(h.code, 2), 6) = left(substr(t.code, 2), 6)),
+ft AS (SELECT bom_id, max(n) AS match_len, arg_min(target, (-n, target)) AS target FROM hj WHERE tr = '' OR tr = hr GROUP BY bom_id), sn AS (SELECT bom_id, bool_or(tr <> '' AND hr = '') AS absent FROM hj GROUP BY bom_id),
+vh AS (SELECT h.bom_id, ft.bom_id IS NOT NULL AS matched, CASE WHEN ft.bom_id IS NOT NULL THEN 'MATCH' WHEN sn.bom_id IS NULL THEN 'NO_NUMERIC_MATCH' WHEN sn.absent THEN 'REV_MISSING' ELSE 'REV_MISMATCH' END AS reason, COALESCE(ft.target, '') AS target, COALESCE(ft.match_len, 0) AS match_len FROM bom_headers h LEFT JOIN ft ON ft.bom_id = h.bom_id LEFT JOIN sn ON sn.bom_id = h.bom_id) """
+
 
+def _verified_headers(spark, d):
+    return V.verify_headers(view(spark, d, "bom_headers"), view(spark, d, "structure_revs").select(F.col("code").alias("target"), "rev"))
 
-@_query()
+
+@_query(_VERIFIED + "SELECT * FROM vh")
 def header_verification(spark, d):
-    targets = view(spark, d, "structure_revs").select(F.col("code").alias("target"), "rev")
-    return V.verify_headers(view(spark, d, "bom_headers"), targets)
+    return _verified_headers(spark, d)
 
 
 # --- grids of cells and lines ----------------------------------------------------------------
@@ -591,12 +671,13 @@ def cell_expand(spark, d):
     return I.expanded_cells(rows, ["pos", "notes"], ["notes"]).select("file_id", "part", "pos", "notes")
 
 
-@_query("""WITH r AS (SELECT p_brand AS file_id, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT file_id, count(*) AS checked,
-CAST(sum(CASE WHEN p_size % 3 = 0 OR p_size % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS suspect, sum(CASE WHEN p_size % 3 = 0 OR p_size % 7 = 0 THEN 1 ELSE 0 END) / count(*) >= 0.35 AS misaligned FROM r WHERE k <= 500 GROUP BY file_id""")
+_SHORT = "SELECT p_brand AS file_id, p_partkey AS row, CASE WHEN p_size % 4 = 0 THEN CAST(p_size AS STRING) || ',5' WHEN p_size % 3 = 0 THEN lpad(CAST(p_size AS STRING), 2, '0') ELSE CAST(p_size AS STRING) END AS qty_text, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS STRING) ELSE 'Q' END AS rev, CASE WHEN p_size % 7 = 0 THEN ' ' ELSE 'NR' END AS um FROM part"
+
+
+@_query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY row) AS k FROM ({_SHORT})), f AS (SELECT *, regexp_matches(trim(qty_text), '^[0-9]{{1,3}}$') AS short FROM r WHERE k <= 500),
+c AS (SELECT file_id, count(*) FILTER (WHERE short) AS checked, count(*) FILTER (WHERE short AND (trim(qty_text) = trim(rev) OR trim(um) = '')) AS suspect FROM f GROUP BY file_id) SELECT *, CASE WHEN checked > 0 THEN suspect / checked >= 0.35 ELSE FALSE END AS misaligned FROM c""")
 def misaligned_qty(spark, d):
-    p, size = spark.read.parquet(f"{d}/part.parquet"), F.col("p_size")
-    rows = p.select(F.col("p_brand").alias("file_id"), F.col("p_partkey").alias("row"), size.cast("string").alias("qty_text"), F.when(size % 3 == 0, F.lpad(size.cast("string"), 2, "0")).otherwise("Q").alias("rev"), F.when(size % 7 == 0, " ").otherwise("NR").alias("um"))
-    return I.misaligned_quantities(rows)
+    return I.misaligned_quantities(spark.sql(_SHORT.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{d}/part.parquet")))
 
 
 _PARSED = "SELECT p_brand AS file_id, CASE p_partkey % 3 WHEN 0 THEN 'tables' WHEN 1 THEN 'grid' ELSE 'text' END AS parser, CASE WHEN p_size % 9 = 0 AND p_partkey % 3 = 0 THEN '' ELSE 'C' || CAST(p_size AS STRING) END AS internal_code, CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS qty FROM part"

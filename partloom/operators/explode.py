@@ -20,6 +20,8 @@ from .resolve import header_index, resolve
 class Policy:
     explode_documents: bool = False
     explode_unknown: bool = False
+    #: lines of unknown kind whose description or type speaks of a procedure have a switch of their own
+    explode_procedural: bool = False
     fallback: bool = True
     use_max_rev: bool = True
     root_strict_rev: bool = True
@@ -41,8 +43,10 @@ class Explosion:
     pdf: bool = False
 
     def edges(self) -> DataFrame:
-        states = ["EDGE", "MISSING_QTY"] if self.pdf else ["EDGE"]
-        return self.visited.where(F.col("state").isin(states))
+        if self.pdf:  # a line without quantity is a leaf of quantity zero
+            met = self.visited.where(F.col("state").isin("EDGE", "MISSING_QTY"))
+            return met.withColumn("qty", F.when(F.col("state") == "EDGE", F.col("qty")).otherwise(F.lit(0).cast(self.visited.schema["qty"].dataType)))
+        return self.visited.where("state = 'EDGE'")
 
     def totals(self) -> DataFrame:
         """code, qty, visits, max_depth: a closing line of a cycle counts, but is no edge."""
@@ -75,11 +79,15 @@ class Explosion:
         return self.visited.where("state = 'EDGE' and next_bom_id is null").select("child_code").distinct().join(known, "child_code", "left_semi").select(F.col("child_code").alias("code"))
 
 
+# Parts of descriptions and types of procedures.
+PROCEDURE_WORDS, PROCEDURE_TYPES = ("PROCEDURA", "PRESCRIZ", "ISTRUZ", "OPERATIV"), ("DOC", "PROC", "PRESCR")
+
+
 def eligible_lines(lines: DataFrame, policy: Policy) -> DataFrame:
-    described, typed = norm(F.col("description")), norm(F.col("type"))
-    procedural = F.rlike(described, F.lit("PROCEDURA|PRESCRIZ|ISTRUZ|OPERATIV")) | F.rlike(typed, F.lit("DOC|PROC|PRESCR"))
+    procedural = F.rlike(norm(F.col("description")), F.lit("|".join(PROCEDURE_WORDS))) | F.rlike(norm(F.col("type")), F.lit("|".join(PROCEDURE_TYPES)))
     kind = F.col("kind")
-    fits = (kind == "MATERIAL") | ((kind == "DOCUMENT_REF") & F.lit(policy.explode_documents)) | ((kind == "UNKNOWN") & F.lit(policy.explode_unknown) & (~procedural | F.lit(policy.explode_unknown)))
+    unknown = F.when(procedural, F.lit(policy.explode_procedural)).otherwise(F.lit(policy.explode_unknown))
+    fits = F.when(kind == "DOCUMENT_REF", F.lit(policy.explode_documents)).when(kind == "UNKNOWN", unknown).otherwise(kind == "MATERIAL")
     return lines.where((norm(F.col("internal_code")) != "") & fits)
 
 

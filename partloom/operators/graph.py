@@ -45,15 +45,17 @@ def roots(graph: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def reach(graph: DataFrame, starts: DataFrame) -> DataFrame:
-    """start, code: all codes reachable from each start, itself included."""
-    seen = stored(starts.select(F.col("code").alias("start"), "code").distinct(), "reach")
-    frontier = seen
+    """start, code: all codes reachable from each start, itself included.
+
+    Each level is a table of its own, held against all before it; none is written twice.
+    """
+    seen = frontier = stored(starts.select(F.col("code").alias("start"), "code").distinct(), "reach")
     while True:
         step = frontier.join(graph, frontier["code"] == graph["parent"]).select("start", F.col("child").alias("code")).distinct()
         frontier = stored(step.join(seen, ["start", "code"], "left_anti"), "reach")
         if frontier.isEmpty():
             return seen
-        seen = stored(seen.unionByName(frontier), "reach")
+        seen = seen.unionByName(frontier)
 
 
 def rank_roots(graph: DataFrame, headers: DataFrame, folder_base: str = "") -> DataFrame:

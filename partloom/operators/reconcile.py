@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import leading_root, looks_like_document, norm
+from ..functions.keys import alnum, leading_root, looks_like_document, norm
 from .resolve import header_index, link_rows, rev_conflicts
 
 TOLERANCE = 1e-4
@@ -26,13 +26,23 @@ def load_totalization(cells: DataFrame) -> DataFrame:
     return ranked.groupBy("pn").agg(F.sum("qty").alias("qty"), F.count("*").alias("n_rows"), F.sort_array(F.collect_list(F.when(F.col("__r") <= 5, F.col("sheet_row")))).alias("samples"))
 
 
+def _note(status: Column) -> Column:
+    said = {"SKIPPED_NON_NR": "unit is not a piece", "ERROR_EXTRA_IN_TOTAL": "not in the explosion", "ERROR_MISSING_IN_TOTAL": "not in the totals", "WARN_QTY_MISMATCH": "quantities differ"}
+    out = F.lit("")
+    for name, text in said.items():
+        out = F.when(status == name, text).otherwise(out)
+    return out
+
+
 def validate_totals(bom: DataFrame, total: DataFrame, units: DataFrame) -> DataFrame:
-    """pn, uom, qty_bom, qty_total, status over the union of part numbers.
+    """pn, uom, qty_bom, qty_total, status, note over the union of part numbers.
 
-    ``bom`` and ``total`` (pn, qty); ``units`` (pn, uom, other: any unit but pieces).
+    ``bom`` and ``total`` (pn, qty); ``units`` (pn, uom, other: any unit but pieces).  Part numbers
+    of all three are brought to letters and digits, and what then is one part is summed.
     """
-    b, t = bom.select("pn", F.col("qty").alias("qty_bom")), total.select("pn", F.col("qty").alias("qty_total"))
-    j = b.join(t, "pn", "full").join(units.select("pn", "uom", "other"), "pn", "left")
+    summed = lambda df, name: df.groupBy(alnum(F.col("pn")).alias("pn")).agg(F.sum("qty").alias(name))
+    u = units.groupBy(alnum(F.col("pn")).alias("pn")).agg(F.min_by("uom", F.struct(F.length("pn"), "pn")).alias("uom"), F.bool_or("other").alias("other"))
+    j = summed(bom, "qty_bom").join(summed(total, "qty_total"), "pn", "full").join(u, "pn", "left")
     piece = F.coalesce("uom", F.lit("NR")) == "NR"
     status = (
         F.when(F.coalesce("other", F.lit(False)), "SKIPPED_NON_NR")
@@ -41,7 +51,7 @@ def validate_totals(bom: DataFrame, total: DataFrame, units: DataFrame) -> DataF
         .when(F.abs(F.col("qty_bom") - F.col("qty_total")) > TOLERANCE, "WARN_QTY_MISMATCH")
         .otherwise("OK")
     )
-    return j.select("pn", F.when(F.coalesce("other", F.lit(False)), F.coalesce(F.nullif("uom", F.lit("")), F.lit("?"))).otherwise(F.coalesce("uom", F.lit(""))).alias("uom"), "qty_bom", "qty_total", status.alias("status"))
+    return j.select("pn", F.when(F.coalesce("other", F.lit(False)), F.coalesce(F.nullif("uom", F.lit("")), F.lit("?"))).otherwise(F.coalesce("uom", F.lit(""))).alias("uom"), "qty_bom", "qty_total", status.alias("status"), _note(status).alias("note"))
 
 
 def introduced(exploded_codes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -121,37 +131,100 @@ def parent_child_mismatches(parents: DataFrame, headers: DataFrame, lines: DataF
     optional = F.coalesce("q", F.lit(0.0)) == 0
     return j.select(
         "parent", "child", F.when(optional | cascade, "WARN").otherwise("ERROR").alias("severity"),
-        F.when(F.col("extra").isNotNull(), "TYPO_SUSPECT").when(optional, "OPTIONAL").otherwise("CHILD_MISSING_IN_BOM").alias("category"),
+        F.when(F.col("extra").isNotNull(), "TYPO_SUSPECT_CHILD_MISMATCH").when(optional, "CHILD_MISSING_IN_BOM_OPTIONAL").otherwise("CHILD_MISSING_IN_BOM").alias("category"),
         F.when(cascade, "CASCADE").otherwise("ROOT").alias("place"), F.coalesce("extra", F.lit("")).alias("similar"),
     )
 
 
-def diagnose_unexploded(codes: DataFrame, effective: DataFrame, reached: DataFrame, occurring: DataFrame) -> DataFrame:
-    """code, reason, hint of each unexploded code; the first rule that fits decides.
+def _near_codes(codes: DataFrame, known: DataFrame) -> DataFrame:
+    """code, other, d, ratio: spellings near each code, from the one pool that applies to it.
+
+    The pool is what has the same leading digits; without such, what begins with the same ten (of
+    shorter codes: eight) letters; without such, what differs by a letter put in, left out or
+    changed.  Pools are joins on a key, so no code is held against all others.
+    """
+    from .reports import sequence_ratio
+
+    start = lambda c: F.when(F.length(c) >= 10, F.substring(c, 1, 10)).otherwise(F.substring(c, 1, 8))
+    keyed = lambda df, c, kind, key: df.select(F.col(c), F.lit(kind).alias("kind"), key.alias("key")).where("key is not null and key <> ''")
+    short = lambda c: F.explode(F.array_append(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))), c))
+
+    def keys(df: DataFrame, c: str) -> DataFrame:
+        by_letter = df.where(F.col(c) != "").select(F.col(c), F.lit(3).alias("kind"), short(F.col(c)).alias("key")).where("key <> ''")
+        return keyed(df, c, 1, leading_root(F.col(c))).unionByName(keyed(df, c, 2, start(F.col(c)))).unionByName(by_letter).distinct()
+
+    pool = keys(codes, "code").join(keys(known.select(F.col("code").alias("other")).distinct(), "other"), ["kind", "key"]).select("code", "other", "kind").distinct()
+    first = pool.groupBy("code").agg(F.min("kind").alias("kind"))
+    pairs = pool.join(first, ["code", "kind"]).where("code <> other")
+    rated = pairs.withColumn("d", F.expr("levenshtein(code, other, 2)")).withColumn("ratio", sequence_ratio("code", "other"))
+    # difflib's close matches, of the last pool, have a ratio of .90
+    return rated.where((F.col("kind") < 3) | (F.col("ratio") >= 0.9)).where((F.col("d") >= 0) | (F.col("ratio") >= 0.92)).select("code", "other", F.when(F.col("d") >= 0, F.col("d")).otherwise(3).alias("d"), "ratio")
+
+
+def diagnose_unexploded(codes: DataFrame, effective: DataFrame, reached: DataFrame, occurring: DataFrame, exploded: DataFrame, revs: DataFrame, traced: DataFrame | None = None, missing_lists: DataFrame | None = None) -> DataFrame:
+    """code, rev, reason, candidate, parent, parent_rev, pos, note of each unexploded code; the first rule that fits decides.
 
     ``effective`` (code, total): direct children of positive quantity; ``reached`` (code): children
-    of the explosion; ``occurring`` (code, parent): lines of all component lists.  Spellings near
-    the code are looked for among those of the same leading digits, or the same first eight letters.
+    of the explosion; ``occurring`` (code, parent, parent_rev, pos, seq): lines of all lists in
+    order; ``exploded`` (code); ``revs`` (code, rev) of the structure; ``traced``: resolution
+    traces; ``missing_lists`` (code): lists that exist and could not be chosen.
     """
+    spark = codes.sparkSession
+    done = exploded.select("code").distinct().withColumn("done", F.lit(True))
+    at = occurring.join(done.select(F.col("code").alias("parent"), F.col("done").alias("parent_done")), "parent", "left")
+    place = F.struct("seq", "parent", "parent_rev", "pos")
+    open_place = F.min(F.when(F.col("parent_done").isNull(), place))
+    first = at.groupBy("code").agg(F.min(place).alias("first"), open_place.alias("open"))
     known = occurring.select("code").distinct()
-    first = occurring.groupBy("code").agg(F.min("parent").alias("at"))
-    rooted = lambda df, c: df.select(F.col(c), leading_root(F.col(c)).alias("root")).where("root is not null")
-    variant = rooted(codes, "code").join(rooted(known.withColumnRenamed("code", "other"), "other"), "root").where("code <> other").groupBy("code").agg(F.min("other").alias("variant"))
-    block = lambda c: F.substring(c, 1, 8)
-    pairs = codes.select("code", block(F.col("code")).alias("b")).join(known.select(F.col("code").alias("other"), block(F.col("code")).alias("b")), "b").where("code <> other")
-    typo = pairs.withColumn("d", F.expr("levenshtein(code, other, 2)")).where("d >= 0").groupBy("code").agg(F.min(F.struct("d", "other")).alias("t")).select("code", F.col("t.other").alias("typo"))
-    j = codes.select("code").distinct().join(effective.select("code", "total"), "code", "left").join(reached.select("code").distinct().withColumn("hit", F.lit(True)), "code", "left")
-    j = j.join(first, "code", "left").join(variant, "code", "left").join(typo, "code", "left")
+    wanted = codes.select("code").distinct()
+    rooted = lambda df, c: df.select(F.col(c), leading_root(F.col(c)).alias("root"), F.regexp_extract(norm(F.col(c)), "^[0-9]{6,}(.*)$", 1).alias(f"{c}_end")).where("root is not null")
+    variant = rooted(wanted, "code").join(rooted(known.withColumnRenamed("code", "other"), "other"), "root").where("code <> other and code_end <> other_end").groupBy("code").agg(F.min(F.struct("other", "root", "code_end", "other_end")).alias("variant"))
+    typo = _near_codes(wanted, known).groupBy("code").agg(F.min(F.struct("d", (-F.col("ratio")).alias("ratio"), "other")).alias("typo"))
+    j = wanted.join(effective.select("code", "total"), "code", "left").join(reached.select("code").distinct().withColumn("hit", F.lit(True)), "code", "left")
+    j = j.join(done, "code", "left").join(first, "code", "left").join(variant, "code", "left").join(typo, "code", "left").join(revs.select("code", "rev"), "code", "left")
+    none = spark.createDataFrame([], "code string, unselectable boolean, asked string, taken string, fell boolean, ambiguous boolean")
+    if traced is not None:
+        child = traced.where("context = 'EXPLODE_CHILD'")
+        bits = child.groupBy(F.col("expected_code").alias("code")).agg(
+            F.min(F.when((F.col("outcome") == "FALLBACK") & (F.col("expected_rev") != ""), F.struct("expected_rev", "selected_rev"))).alias("m"),
+            F.bool_or(F.col("outcome") == "FALLBACK").alias("fell"), F.bool_or(F.col("outcome") == "AMBIGUOUS").alias("ambiguous"),
+        )
+        lists = missing_lists.select("code").distinct().withColumn("unselectable", F.lit(True)) if missing_lists is not None else none.select("code", "unselectable")
+        none = bits.join(lists, "code", "full").select("code", "unselectable", F.col("m.expected_rev").alias("asked"), F.col("m.selected_rev").alias("taken"), "fell", "ambiguous")
+    j = j.join(none, "code", "left")
+    hit, occurs, entered = F.col("hit").isNotNull(), F.col("first").isNotNull(), F.col("done").isNotNull()
     reason = (
         F.when(F.coalesce("total", F.lit(0)) == 0, "INFO_PBS_ONLY_ZERO_QTY_CHILDREN")
-        .when(F.col("hit"), "REACHED_SELECTION_FAIL")
-        .when(F.col("at").isNotNull(), "NOT_REACHED_CHAIN_BREAK")
+        .when(hit & ~entered, "REACHED_SELECTION_FAIL")
+        .when(~hit & occurs, "NOT_REACHED_CHAIN_BREAK")
+        .when(occurs, "REV_LOOKUP_FAIL")
         .when(F.col("variant").isNotNull(), "CODE_VARIANT")
         .when(F.col("typo").isNotNull(), "LIKELY_TYPO")
         .otherwise("MISSING_LINK")
     )
-    hint = F.when(reason == "NOT_REACHED_CHAIN_BREAK", F.col("at")).when(reason == "CODE_VARIANT", F.col("variant")).when(reason == "LIKELY_TYPO", F.col("typo"))
-    return j.select("code", reason.alias("reason"), F.coalesce(hint, F.lit("")).alias("hint"))
+    d = j.withColumn("reason", reason)
+    same = F.col("reason").isin("INFO_PBS_ONLY_ZERO_QTY_CHILDREN", "REACHED_SELECTION_FAIL", "NOT_REACHED_CHAIN_BREAK", "REV_LOOKUP_FAIL")
+    candidate = F.when(same, F.col("code")).when(F.col("reason") == "CODE_VARIANT", F.col("variant.other")).when(F.col("reason") == "LIKELY_TYPO", F.col("typo.other"))
+    elsewhere = first.select(F.col("code").alias("candidate"), F.col("first").alias("of_candidate"))
+    d = d.withColumn("candidate", F.coalesce(candidate, F.lit(""))).join(elsewhere, "candidate", "left")
+    own = F.when(F.col("reason") == "NOT_REACHED_CHAIN_BREAK", F.coalesce("open", "first")).when(F.col("reason") != "INFO_PBS_ONLY_ZERO_QTY_CHILDREN", F.col("of_candidate"))
+    d = d.withColumn("place", own)
+    said = F.concat_ws(
+        "; ", F.when(F.col("unselectable"), "a list exists, none can be chosen"), F.when(F.col("asked").isNotNull(), F.concat(F.lit("revision "), "asked", F.lit(" asked, "), "taken", F.lit(" taken"))),
+        F.when(F.col("fell"), "fallback"), F.when(F.col("ambiguous"), "several lists"),
+    )
+    note = (
+        F.when(F.col("reason") == "INFO_PBS_ONLY_ZERO_QTY_CHILDREN", "no direct child of positive quantity")
+        .when(F.col("reason") == "NOT_REACHED_CHAIN_BREAK", F.concat(F.lit("under "), F.col("place.parent"), F.when(F.col("open").isNotNull(), ", which is not exploded").otherwise(", which is exploded")))
+        .when(F.col("reason").isin("REACHED_SELECTION_FAIL", "REV_LOOKUP_FAIL"), F.when(said == "", "met as a child, never entered").otherwise(said))
+        .when(F.col("reason") == "CODE_VARIANT", F.concat(F.lit("same digits "), F.col("variant.root"), F.lit(", "), F.col("variant.code_end"), F.lit(" against "), F.col("variant.other_end")))
+        .when(F.col("reason") == "LIKELY_TYPO", F.format_string("%d letters differ, ratio %.2f", F.col("typo.d"), -F.col("typo.ratio")))
+        .otherwise("no list has it")
+    )
+    return d.select(
+        "code", F.coalesce("rev", F.lit("")).alias("rev"), "reason", "candidate", F.coalesce("place.parent", F.lit("")).alias("parent"), F.coalesce("place.parent_rev", F.lit("")).alias("parent_rev"),
+        F.coalesce(F.col("place.pos").cast("string"), F.lit("")).alias("pos"), note.alias("note"),
+    )
 
 
 def chain_breaks(parents: DataFrame, effective: DataFrame, reached: DataFrame, exploded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,28 +245,35 @@ def chain_breaks(parents: DataFrame, effective: DataFrame, reached: DataFrame, e
     return roots.join(impact, "code", "left").select("code", F.coalesce("impacted", F.lit(0)).alias("impacted")), classes
 
 
-def infer_quantities(missing: DataFrame, edges: DataFrame, totals: DataFrame, occurrences: DataFrame, default_steps: tuple = (1.0, 0.5, 0.25, 0.1, 0.01)) -> DataFrame:
-    """parent, child, value, status, confidence for lines without a quantity.
+def infer_quantities(missing: DataFrame, edges: DataFrame, totals: DataFrame, occurrences: DataFrame, safe: DataFrame | None = None, by_code: DataFrame | None = None, root: str = "", default_steps: tuple = (1.0, 0.5, 0.25, 0.1, 0.01)) -> DataFrame:
+    """parent, child, unit, n_lines, n_parents, total, occurrences, value, status, confidence for lines without a quantity.
 
-    ``missing`` and ``edges`` (parent, child, unit); ``totals`` (code, qty); ``occurrences``
-    (code, occurrences).  Two parents or two lines of a pair are ambiguous; without a positive
-    total or occurrence nothing can be said; else total / occurrences, put on the unit's steps.
+    ``missing`` and ``edges`` (parent, child, unit); ``totals`` (code, qty).  How often the parent
+    occurs is said by the structure (``occurrences``), else by the explosion's edges (``safe``), both
+    (code, occurrences), else by its totals (``by_code``: code, qty), else it is once for the root;
+    each by the code, then without its lookup suffix.  Two parents or two lines of a pair are
+    ambiguous; without a positive total or occurrence nothing can be said; else total /
+    occurrences, put on the unit's steps.
     """
     from ..functions.keys import quantized, strip_lookup_suffix
 
     every = edges.select("parent", "child").unionByName(missing.select("parent", "child"))
     parents = every.groupBy("child").agg(F.count_distinct("parent").alias("n_parents"))
     pairs = missing.groupBy("parent", "child").agg(F.count("*").alias("n_lines"), F.max("unit").alias("unit"))
-    t = totals.select(F.col("code"), F.col("qty").cast("double").alias("q")).where("q > 0")
-    o = occurrences.select("code", F.col("occurrences").alias("n")).where("n > 0")
+    positive = lambda df, c: df.select("code", F.col(c).cast("double").alias("v")).where("v > 0")
+    tables = [("t", positive(totals, "qty"), "child"), ("o", positive(occurrences, "occurrences"), "parent")]
+    tables += [("s", positive(safe, "occurrences"), "parent")] if safe is not None else []
+    tables += [("c", positive(by_code, "qty"), "parent")] if by_code is not None else []
     j = pairs.join(parents, "child").withColumn("short_child", strip_lookup_suffix(F.col("child"))).withColumn("short_parent", strip_lookup_suffix(F.col("parent")))
-    for name, table, key, value in (("t1", t, "child", "q"), ("t2", t, "short_child", "q"), ("o1", o, "parent", "n"), ("o2", o, "short_parent", "n")):
-        j = j.join(table.select(F.col("code").alias(key), F.col(value).alias(name)), key, "left")
-    total, times = F.coalesce("t1", "t2"), F.coalesce("o1", "o2")
-    raw = total / times
-    put = F.when(norm(F.col("unit")) == "NR", quantized(raw, [1.0])).otherwise(quantized(raw, list(default_steps)))
-    k = j.withColumn("put", put)
+    for name, table, key in tables:
+        for i, k in ((1, key), (2, f"short_{key}")):
+            j = j.join(table.select(F.col("code").alias(k), F.col("v").alias(f"{name}{i}")), k, "left")
+    total = F.coalesce("t1", "t2")
+    times = F.coalesce(*[F.col(f"{name}{i}") for name, _, _ in tables[1:] for i in (1, 2)], F.when(F.col("parent") == root, F.lit(1.0)))
+    k = j.withColumn("total", total).withColumn("occurrences", times).withColumn("raw", F.col("total") / F.col("occurrences"))
+    raw = F.col("raw")
+    k = k.withColumn("put", F.when(norm(F.col("unit")) == "NR", quantized(raw, [1.0])).otherwise(quantized(raw, list(default_steps))))
     ok = F.col("put.status") == "OK_STEP"
     status = F.when((F.col("n_parents") >= 2) | (F.col("n_lines") >= 2), "AMBIGUOUS").when(raw.isNull(), "NOT_CALCULABLE").when(ok, "INFERRED").otherwise("CHECK")
     sure = F.when(~status.isin("INFERRED", "CHECK"), 0.0).when(~ok, 0.4).when(norm(F.col("unit")) == "NR", 0.9).when(F.col("unit") != "", 0.8).otherwise(0.7)
-    return k.select("parent", "child", F.when(status.isin("INFERRED", "CHECK"), F.col("put.value")).alias("value"), status.alias("status"), sure.alias("confidence"))
+    return k.select("parent", "child", "unit", "n_lines", "n_parents", "total", "occurrences", F.when(status.isin("INFERRED", "CHECK"), F.col("put.value")).alias("value"), status.alias("status"), sure.alias("confidence"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import canonical_pn, norm
 from ..operators import graph as G
 from ..operators import reconcile as C
+from ..operators import reports as P
 from ..operators import resolve as R
 from ..operators import tree as T
 from ..operators import views as V
@@ -59,7 +60,8 @@ def analyse_structure(spark: SparkSession, rows: DataFrame, headers: DataFrame,
     parents, effective = T.level_parents(rows), T.effective_children(rows)
     reached = e.edges().select(F.col("child_code").alias("code"))
     open_codes = C.unexploded(rows, headers, done)
-    occurring = lines.join(R.header_index(headers).select("bom_id", F.col("code").alias("parent")), "bom_id").select(norm(F.col("internal_code")).alias("code"), "parent")
+    occurring = occurrences_in_lists(lines, headers)
+    traced = P.traces(P.wanted_lists(e.edges(), norm_text(root["code"]), norm_text(root["rev"])), headers, policy.fallback, policy.use_max_rev)
     roots, classes = C.chain_breaks(parents, effective, reached, done)
     export = export_lines(rows, "PBS")
     above = e.edges().select(F.col("parent_code").alias("code")).unionByName(spark.createDataFrame([(norm_text(root["code"]),)], "code string"))
@@ -69,8 +71,11 @@ def analyse_structure(spark: SparkSession, rows: DataFrame, headers: DataFrame,
         "totals": V.totals_view(totals, units, G.part_master(lines, norm(F.col("internal_code")))),
         "tree": tree_text(rows),
         "completeness": C.completeness(rows, headers, totals, done),
-        "diagnosis": C.diagnose_unexploded(open_codes, T.effective_children(rows, "reset"), reached, occurring),
-        "chain_break_roots": roots,
+        "diagnosis": C.diagnose_unexploded(open_codes, T.effective_children(rows, "reset"), reached, occurring, done, R.structure_revs(rows), traced, e.missing_lists()),
+        "traces": traced,
+        "rev_fallbacks": P.rev_fallbacks(traced),
+        "missing_lists": e.missing_lists(),
+        "chain_break_roots": P.break_reasons(roots, traced),
         "chain_breaks": classes,
         "mismatches": C.parent_child_mismatches(T.level_parents(rows, "skip"), headers, lines, above, open_codes),
         "export": export,
@@ -81,7 +86,7 @@ def analyse_structure(spark: SparkSession, rows: DataFrame, headers: DataFrame,
         pair = lambda df: df.select(F.col("parent_code").alias("parent"), F.col("child_code").alias("child"), "unit")
         tables["totalization"] = loaded
         tables["validation"] = C.validate_totals(totals.withColumnRenamed("code", "pn"), loaded, units.withColumnRenamed("code", "pn"))
-        tables["inference"] = C.infer_quantities(pair(e.missing()), pair(e.edges()), loaded.withColumnRenamed("pn", "code"), T.occurrences(rows))
+        tables["inference"] = C.infer_quantities(pair(e.missing()), pair(e.edges()), loaded.withColumnRenamed("pn", "code"), T.occurrences(rows), P.safe_occurrences(e.edges(), norm_text(root["code"])), totals, norm_text(root["code"]))
     issues = (
         _issue(e.cycles(), "ERROR", "CYCLE", F.array_join("path", " -> "))
         .unionByName(_issue(tables["links"].where("status <> 'OK'"), "WARN", "LINK", F.concat_ws(" ", "code", "rev", "status")))
@@ -91,6 +96,12 @@ def analyse_structure(spark: SparkSession, rows: DataFrame, headers: DataFrame,
     return Analysis(e, tables, issues)
 
 
+def occurrences_in_lists(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """code, parent, parent_rev, pos, seq: where every code stands in the component lists."""
+    own = R.header_index(headers).select("bom_id", F.col("code").alias("parent"), F.col("revision").alias("parent_rev"))
+    return lines.join(own, "bom_id").select(norm(F.col("internal_code")).alias("code"), "parent", "parent_rev", F.col("line_no").alias("pos"), "seq").where("code <> ''")
+
+
 def norm_text(value: str | None) -> str:
     return (value or "").strip().upper()
 

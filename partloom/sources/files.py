@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that discovery passes over.
@@ -42,6 +42,6 @@ def choose_structure(files: DataFrame) -> DataFrame:
     name = F.upper(base_name(F.col("path")))
     rev = F.regexp_extract(name, r"(?:^|[^A-Z0-9])REV[\s_\-.]*([A-Z]|[0-9]{1,3})(?:[^A-Z0-9]|$)", 1)
     number, letter = F.coalesce(rev.try_cast("int"), F.lit(-1)), F.when(F.rlike(rev, F.lit("^[A-Z]$")), F.ascii(rev) - 64).otherwise(-1)
-    order = Window.orderBy(F.desc("number"), F.desc("letter"), F.desc("modification_time"))
-    ranked = files.withColumn("number", number).withColumn("letter", letter).withColumn("__r", F.rank().over(order)).where("__r = 1")
-    return ranked.select("path", F.count("*").over(Window.partitionBy()).alias("rank_ties"))
+    ranked = files.select("path", F.struct(number.alias("number"), letter.alias("letter"), "modification_time").alias("rank"))
+    best = ranked.agg(F.max("rank").alias("best"))  # one row
+    return ranked.join(F.broadcast(best), F.col("rank") == F.col("best")).groupBy("rank").agg(F.count("*").alias("rank_ties"), F.collect_list("path").alias("paths")).select(F.explode("paths").alias("path"), "rank_ties")

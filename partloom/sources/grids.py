@@ -119,11 +119,17 @@ def parser_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def misaligned_quantities(rows: DataFrame, most: int = 500, share: float = 0.35) -> DataFrame:
-    """file_id, checked, suspect, misaligned: among the first lines with a short quantity, those equal to the revision or without unit."""
-    first = Window.partitionBy("file_id").orderBy("row")
-    short = rows.where(F.rlike(F.coalesce("qty_text", F.lit("")), F.lit("^[0-9]{1,3}$"))).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most)
-    odd = (F.ltrim(F.col("qty_text"), F.lit("0")) == F.ltrim(F.coalesce("rev", F.lit("")), F.lit("0"))) | (F.trim(F.coalesce("um", F.lit(""))) == "")
-    return short.groupBy("file_id").agg(F.count("*").alias("checked"), F.sum(odd.cast("long")).alias("suspect")).withColumn("misaligned", F.col("suspect") / F.col("checked") >= share)
+    """file_id, checked, suspect, misaligned: of the short quantities among the first lines, those equal to the revision or without unit.
+
+    Texts are compared as they stand; a file without short quantities is not misaligned.
+    """
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("row"))
+    clean = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    first = rows.withColumn("__r", place).where(F.col("__r") <= most)
+    short = F.rlike(clean("qty_text"), F.lit("^[0-9]{1,3}$"))
+    odd = short & ((clean("qty_text") == clean("rev")) | (clean("um") == ""))
+    a = first.groupBy("file_id").agg(F.count_if(short).alias("checked"), F.count_if(odd).alias("suspect"))
+    return a.withColumn("misaligned", F.when(F.col("checked") > 0, F.col("suspect") / F.col("checked") >= share).otherwise(F.lit(False)))
 
 
 def indented_rows(cells: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -32,14 +32,23 @@ def test_typo_and_chain_breaks(spark):
 
 
 def test_diagnosis_precedence(spark):
-    codes = spark.createDataFrame([(c,) for c in ("ZERO", "HIT", "BREAK", "123456A", "ABCDEFGHX", "ALONE")], "code string")
-    effective = spark.createDataFrame([(c, 1) for c in ("HIT", "BREAK", "123456A", "ABCDEFGHX", "ALONE")], "code string, total long")
-    occurring = spark.createDataFrame([("BREAK", "P"), ("123456B", "P"), ("ABCDEFGHY", "P")], "code string, parent string")
-    got = {r.code: (r.reason, r.hint) for r in C.diagnose_unexploded(codes, effective, spark.createDataFrame([("HIT",)], "code string"), occurring).collect()}
+    codes = spark.createDataFrame([(c,) for c in ("ZERO", "HIT", "BREAK", "DONE", "123456A", "ABCDEFGHX", "QRSTUVWXYZ", "ALONE")], "code string")
+    effective = spark.createDataFrame([(c, 1) for c in ("HIT", "BREAK", "DONE", "123456A", "ABCDEFGHX", "QRSTUVWXYZ", "ALONE")], "code string, total long")
+    places = [("BREAK", "DONE", 1), ("BREAK", "P", 2), ("HIT", "P", 3), ("DONE", "P", 4), ("123456B", "P", 5), ("ABCDEFGHY", "P", 6), ("QRSTUVWXYZA", "P", 7)]
+    occurring = spark.createDataFrame([(c, p, "A", n * 10, n) for c, p, n in places], "code string, parent string, parent_rev string, pos int, seq long")
+    one = lambda *c: spark.createDataFrame([(x,) for x in c], "code string")
+    revs = spark.createDataFrame([("HIT", "B")], "code string, rev string")
+    traced = spark.createDataFrame([("EXPLODE_CHILD", "HIT", "B", "C", "FALLBACK")], "context string, expected_code string, expected_rev string, selected_rev string, outcome string")
+    rows = C.diagnose_unexploded(codes, effective, one("HIT", "DONE"), occurring, one("DONE"), revs, traced, one("HIT")).collect()
+    got = {r.code: (r.reason, r.candidate, r.parent, r.pos) for r in rows}
     assert got == {
-        "ZERO": ("INFO_PBS_ONLY_ZERO_QTY_CHILDREN", ""), "HIT": ("REACHED_SELECTION_FAIL", ""), "BREAK": ("NOT_REACHED_CHAIN_BREAK", "P"),
-        "123456A": ("CODE_VARIANT", "123456B"), "ABCDEFGHX": ("LIKELY_TYPO", "ABCDEFGHY"), "ALONE": ("MISSING_LINK", ""),
+        "ZERO": ("INFO_PBS_ONLY_ZERO_QTY_CHILDREN", "ZERO", "", ""), "HIT": ("REACHED_SELECTION_FAIL", "HIT", "P", "30"), "BREAK": ("NOT_REACHED_CHAIN_BREAK", "BREAK", "P", "20"),
+        "DONE": ("REV_LOOKUP_FAIL", "DONE", "P", "40"), "123456A": ("CODE_VARIANT", "123456B", "P", "50"), "ABCDEFGHX": ("LIKELY_TYPO", "ABCDEFGHY", "P", "60"),
+        "QRSTUVWXYZ": ("LIKELY_TYPO", "QRSTUVWXYZA", "P", "70"), "ALONE": ("MISSING_LINK", "", "", ""),
     }
+    notes = {r.code: (r.rev, r.note) for r in rows}
+    assert notes["HIT"] == ("B", "a list exists, none can be chosen; revision B asked, C taken; fallback")
+    assert notes["BREAK"][1] == "under P, which is not exploded" and notes["ABCDEFGHX"][1] == "1 letters differ, ratio 0.89"
 
 
 def test_inference_table(spark):
@@ -52,6 +61,28 @@ def test_inference_table(spark):
     assert got["P", "B"][1] == got["P", "D"][1] == "AMBIGUOUS" and got["P", "C"] == (None, "NOT_CALCULABLE", 0.0)
 
 
+def test_inference_cascade(spark):
+    pair = "parent string, child string, unit string"
+    missing = spark.createDataFrame([("S", "A", "NR"), ("T", "B", "NR"), ("C", "D", "NR"), ("R", "E", "NR"), ("N", "F", "NR")], pair)
+    totals = spark.createDataFrame([(c, 12.0) for c in "ABDEF"], "code string, qty double")
+    table = lambda column, *rows: spark.createDataFrame(rows, f"code string, {column} double")
+    got = C.infer_quantities(missing, spark.createDataFrame([], pair), totals, table("occurrences", ("S", 2.0)), table("occurrences", ("S", 4.0), ("T", 3.0)), table("qty", ("T", 6.0), ("C", 4.0)), "R").collect()
+    assert {r.parent: (r.occurrences, r.value) for r in got} == {"S": (2.0, 6.0), "T": (3.0, 4.0), "C": (4.0, 3.0), "R": (1.0, 12.0), "N": (None, None)}
+
+
+def test_totals_are_summed_by_plain_part_number(spark):
+    bom = spark.createDataFrame([("a-1", 1.0), ("A1 ", 2.0)], "pn string, qty double")
+    total = spark.createDataFrame([("A 1", 3.0)], "pn string, qty double")
+    got = C.validate_totals(bom, total, spark.createDataFrame([], "pn string, uom string, other boolean")).collect()
+    assert [(r.pn, r.qty_bom, r.qty_total, r.status) for r in got] == [("A1", 3.0, 3.0, "OK")]
+
+
+def test_misaligned_quantities_look_at_the_first_lines(spark):
+    rows = [("f", i, "01" if i < 3 else "x", "1" if i < 2 else "01", "NR") for i in range(500)] + [("f", 500 + i, "7", "7", "") for i in range(50)]
+    got = I.misaligned_quantities(spark.createDataFrame(rows, "file_id string, row int, qty_text string, rev string, um string")).first()
+    assert (got.checked, got.suspect, got.misaligned) == (3, 1, False)  # 01 is not 1, and line 501 is not looked at
+
+
 def test_export_and_text(spark):
     rows = spark.createDataFrame([("d", 0, 0, "R", "A", 1.0), ("d", 1, 1, "A", "", 1.0), ("d", 2, 3, "B", "", 1.0)], ROWS)
     lines = export_lines(rows, "X")
