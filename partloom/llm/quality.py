@@ -18,7 +18,7 @@ COMMON = 24
 #: Least sizes for which a distance counts.
 LEAST_CHARS, LEAST_WORDS = 400, 80
 #: Greatest distances (natural logarithms, so at most 0.833).
-MOST_CLASSES, MOST_COMMON = 0.27, 0.35
+MOST_CLASSES, MOST_COMMON = 0.27, 0.385
 CLASSES = ("vowel", "lower", "upper", "digit", "stop", "mark", "symbol", "other")
 
 
