@@ -494,10 +494,10 @@ anc AS (SELECT seq, parent_seq AS a FROM par WHERE parent_seq IS NOT NULL UNION
 udr AS (SELECT DISTINCT x.code AS parent FROM anc JOIN par u ON u.seq = anc.a JOIN par x ON x.seq = anc.seq WHERE u.code IN (SELECT code FROM un)), rch AS (SELECT DISTINCT parent_code AS parent FROM walk WHERE state = 'EDGE'),
 lv AS (SELECT ms.parent, ms.child, ex.child AS extra, levenshtein(ms.child, ex.child) AS lev FROM ms JOIN ex ON ex.parent = ms.parent), ty AS (SELECT parent, child, arg_min(extra, (CASE WHEN lev <= 1 THEN lev ELSE 2 END, extra)) AS extra FROM lv WHERE lev <= 1 OR left(substr(child, 2), 6) = left(substr(extra, 2), 6) GROUP BY ALL),
 mm AS (SELECT ms.parent, ms.child, COALESCE(qt.q, 0) = 0 AS optional, rch.parent IS NULL OR udr.parent IS NOT NULL AS cascade, ty.extra FROM ms LEFT JOIN qt ON qt.child = ms.child LEFT JOIN rch ON rch.parent = ms.parent LEFT JOIN udr ON udr.parent = ms.parent LEFT JOIN ty ON ty.parent = ms.parent AND ty.child = ms.child),
-pcm AS (SELECT parent, child, CASE WHEN optional OR cascade THEN 'WARN' ELSE 'ERROR' END AS severity, CASE WHEN extra IS NOT NULL THEN 'TYPO_SUSPECT_CHILD_MISMATCH' WHEN optional THEN 'CHILD_MISSING_IN_BOM_OPTIONAL' ELSE 'CHILD_MISSING_IN_BOM' END AS category, CASE WHEN cascade THEN 'CASCADE' ELSE 'ROOT' END AS place, COALESCE(extra, '') AS similar FROM mm) """
+pcm AS (SELECT parent, child, CASE WHEN optional OR cascade THEN 'WARN' ELSE 'ERROR' END AS severity, CASE WHEN extra IS NOT NULL THEN 'TYPO_SUSPECT_CHILD_MISMATCH' WHEN optional THEN 'CHILD_MISSING_IN_BOM_OPTIONAL' ELSE 'CHILD_MISSING_IN_BOM' END AS category, CASE WHEN cascade THEN 'CASCADE' ELSE 'ROOT' END AS place, COALESCE(extra, '') AS "similar" FROM mm) """
 
 
-@_query(_MISMATCH + 'SELECT parent, child, severity, category, place, similar AS "similar" FROM pcm')
+@_query(_MISMATCH + 'SELECT parent, child, severity, category, place, "similar" FROM pcm')
 def parent_child_mismatch(spark, d):
     rows, h, lines, e = _findings(spark, d)
     reached = e.edges().select(F.col("parent_code").alias("code"))
