@@ -156,15 +156,26 @@ def _hash(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _ints(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, each in as few bytes as the largest needs; the first byte says how many."""
+    width = next(w for w in (1, 2, 3, 4, 8) if int(values.max(initial=0)) < 1 << (8 * w - (w == 8)))
+    return bytes([width]) + values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _read(data: bytes) -> np.ndarray:
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return out.view("<i8").reshape(-1)
+
+
 def _packed(ascending: np.ndarray) -> bytes:
-    """Ascending whole numbers as their steps, in as few bytes as the largest step needs."""
-    steps = np.diff(ascending, prepend=0)
-    wide = steps.max(initial=0) >= 1 << 32
-    return bytes([8 if wide else 4]) + steps.astype("<i8" if wide else "<u4").tobytes()
+    """Ascending whole numbers as their steps."""
+    return _ints(np.diff(ascending, prepend=0))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, "<i8" if data[0] == 8 else "<u4", offset=1).astype(np.int64))
+    return np.cumsum(_read(data))
 
 
 _BATCH = "batch long, n_keys long, doc_ids array<long>, targets binary, lengths binary, words binary, pairs binary, entries binary, times binary"
@@ -195,7 +206,7 @@ def batches_of(marked: DataFrame, known: Callable[[np.ndarray], np.ndarray]) ->
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6)
             values = (
                 number, len(pairs) + 2 * len(words), doc_ids, np.array(targets, bool).tobytes(), lengths.astype("<u4").tobytes(), words.astype("<i8").tobytes(),
-                _packed(pairs), _packed(entries), times.astype("<u4").tobytes(),
+                _packed(pairs), _packed(entries), _ints(times),
             )
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names)
 
@@ -226,7 +237,7 @@ class _Batch:
         self.n_words, self.n_pairs = len(words), len(pairs)
         self.first, self.second = pairs // max(1, len(words)), pairs % max(1, len(words))
         self.doc, self.pair = entries // max(1, len(pairs)), entries % max(1, len(pairs))
-        self.times = np.frombuffer(row["times"], "<u4").astype(np.int64)
+        self.times = _read(row["times"])
         own = _hash(words.astype(np.int64).view(np.uint64))
         self.keys = np.concatenate([_hash(own[self.first] * _MIX[0] + own[self.second]), _hash(own ^ _MIX[1]), _hash(own ^ _MIX[2])])
 
@@ -275,7 +286,7 @@ def corpus_counts(batches: DataFrame, shares: int) -> DataFrame:
                 columns = [held.keys, *held.own_counts()]
                 starts = np.concatenate([[0], ends[:-1]])
                 full = np.flatnonzero(ends > starts)
-                cut = [[c[order[starts[i] : ends[i]]].astype(t).tobytes() for i in full] for c, t in zip(columns, ("<u8", "<u4", "<u4"))]
+                cut = [[put(c[order[starts[i] : ends[i]]]) for i in full] for c, put in zip(columns, (np.ndarray.tobytes, _ints, _ints))]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), *[pa.array(c, pa.binary()) for c in cut]], ["share", "batch", "keys", "n_all", "n_target"])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
@@ -283,20 +294,14 @@ def corpus_counts(batches: DataFrame, shares: int) -> DataFrame:
         _, at = np.unique(np.frombuffer(b"".join(group["keys"]), "<u8"), return_inverse=True)
         out = {"batch": group["batch"], "share": group["share"]}
         for c in ("n_all", "n_target"):
-            sums = np.bincount(at, np.frombuffer(b"".join(group[c]), "<u4"))[at].astype("<i8")
-            out[c] = [_small(x) for x in np.split(sums, np.cumsum(lengths)[:-1])]
+            sums = np.bincount(at, np.concatenate([_read(x) for x in group[c]]))[at].astype(np.int64)
+            out[c] = [_ints(x) for x in np.split(sums, np.cumsum(lengths)[:-1])]
         return pd.DataFrame(out)
 
     asked = batches.mapInArrow(ask, "share int, batch long, keys binary, n_all binary, n_target binary")
     return asked.groupBy("share").applyInPandas(answer, "batch long, share int, n_all binary, n_target binary")
 
 
-def _small(values: np.ndarray) -> bytes:
-    """Whole numbers from 0 in as few bytes as the largest needs."""
-    width = next(w for w in (1, 2, 4, 8) if values.max(initial=0) < 1 << (8 * w - 1))
-    return bytes([width]) + values.astype(f"<i{width}").tobytes()
-
-
 def _scored(batches: DataFrame, answers: DataFrame, shares: int, totals: tuple[int, int], n: int) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (sums) of every row."""
 
@@ -312,7 +317,7 @@ def _scored(batches: DataFrame, answers: DataFrame, shares: int, totals: tuple[i
                     count = np.zeros(len(held.keys))
                     told = sorted(row["answers"], key=lambda x: x["share"])
                     if told:
-                        count[order] = np.concatenate([np.frombuffer(x[c], f"<i{x[c][0]}", offset=1) for x in told])
+                        count[order] = np.concatenate([_read(x[c]) for x in told])
                     counts.append(count)
                 background, target = held.losses(counts, totals, n)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held.lengths), pa.array(target), pa.array(background)], ["doc_id", "n_words", "target_loss", "background_loss"])
@@ -338,6 +343,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | Non
     counted = written(word_counts(marked), "word-counts")
     told, known = _known_slots(counted) if size is None else _known_listed(counted, vocabulary(docs, size))
     sizes = told.agg(F.count_if("known").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS[1:]]).first()
+    dropped(counted)
     batches = written(batches_of(marked, known), "batches")
     shares = max(1, -(-(batches.agg(F.sum("n_keys")).first()[0] or 0) // SHARE))
     answers = written(corpus_counts(batches, shares), "corpus-counts")
