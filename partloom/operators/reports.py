@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.keys import digit_root, norm, strip_lookup_suffix
 from ..plans.tables import stored
 from .resolve import header_index, resolve, same_root
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the characters in matching blocks over all characters; no built-in function has it.
 
