@@ -49,6 +49,8 @@ SELECT bom_id, line_no, internal_code, description, qty, unit, CASE WHEN key % 1
 SELECT h.bom_id, p.slot AS line_no, {_code('p.child')} AS internal_code, b.p_name AS description, CAST({_QTY} AS DOUBLE) AS qty, {_UNITS} AS unit, p.child AS key, b.p_brand AS manufacturer, b.p_type AS manufacturer_code, h.bom_seq * 10 + p.slot AS seq
 FROM ({VIEWS['bom_headers']}) h JOIN ({_PAIRS}) p ON h.code = {_code('p.parent')} JOIN {{part}} a ON a.p_partkey = p.parent JOIN {{part}} b ON b.p_partkey = p.child
 UNION ALL SELECT h.bom_id, 4, 'E0000001', 'back', CAST(1 AS DOUBLE), 'NR', 1, '', '', h.bom_seq * 10 + 4 FROM ({VIEWS['bom_headers']}) h WHERE CAST(substr(h.code, 2) AS BIGINT) % 97 = 0) l"""
+#: Revisions that lists of pages name for their children: most have one, and mostly one that exists.
+VIEWS["page_revs"] = f"SELECT {_code('p_partkey')} AS code, CASE WHEN p_size % 6 = 0 THEN 'B' ELSE 'A' END AS rev FROM {{part}} WHERE p_partkey % 5 <> 0"
 #: Lists that form a forest: every eleventh code is nobody's child, and nothing leads back to the top.
 VIEWS["forest_lines"] = f"""
 SELECT * FROM ({VIEWS['bom_lines']}) f WHERE CAST(substr(internal_code, 2) AS BIGINT) % 11 <> 0 AND line_no < 4"""

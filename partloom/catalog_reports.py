@@ -37,11 +37,11 @@ def _over(spark, d, sql: str, *tables: str):
 
 # --- explosion by page policy, traces --------------------------------------------------------
 
-_PAGES = with_views("bom_headers", "bom_lines", "structure_revs", recursive=True) + """,
+_PAGES = with_views("bom_headers", "bom_lines", "page_revs", recursive=True) + """,
 hk AS (SELECT code || '-' || revision AS key, code, revision, bom_id, bom_seq FROM bom_headers), hs AS (SELECT key, arg_min(bom_id, bom_seq) AS bid FROM hk GROUP BY key),
 adj AS (SELECT l.bom_id, h.key AS parent_code, l.line_no, l.internal_code || CASE WHEN r.rev IS NULL THEN '' ELSE '-' || r.rev END AS child_code, COALESCE(r.rev, '') AS child_rev, l.qty, hs.bid AS next_bom_id,
  CASE WHEN hs.bid IS NOT NULL THEN 'OK' WHEN l.internal_code IN (SELECT code FROM bom_headers) THEN 'SUSPICIOUS_HEADER_MISMATCH' ELSE 'MISSING_FILE' END AS outcome
- FROM bom_lines l JOIN hk h ON h.bom_id = l.bom_id LEFT JOIN structure_revs r ON r.code = l.internal_code LEFT JOIN hs ON hs.key = l.internal_code || '-' || r.rev),
+ FROM bom_lines l JOIN hk h ON h.bom_id = l.bom_id LEFT JOIN page_revs r ON r.code = l.internal_code LEFT JOIN hs ON hs.key = l.internal_code || '-' || r.rev),
 walk AS (SELECT 1 AS depth, ['E0000001-A', a.child_code] AS path, a.parent_code, a.child_code, a.child_rev, a.qty, a.next_bom_id, a.outcome, CASE WHEN a.qty IS NULL THEN CASE WHEN a.child_code = 'E0000001-A' THEN 'CYCLE_WITHOUT_QTY' ELSE 'MISSING_QTY' END WHEN a.qty <= 0 THEN 'NON_POSITIVE' WHEN a.child_code = 'E0000001-A' THEN 'CYCLE' ELSE 'EDGE' END AS state FROM adj a JOIN hs ON hs.bid = a.bom_id WHERE hs.key = 'E0000001-A'
  UNION ALL SELECT w.depth + 1, list_append(w.path, a.child_code), a.parent_code, a.child_code, a.child_rev, w.qty * a.qty, a.next_bom_id, a.outcome, CASE WHEN a.qty IS NULL THEN CASE WHEN list_contains(w.path, a.child_code) THEN 'CYCLE_WITHOUT_QTY' ELSE 'MISSING_QTY' END WHEN a.qty <= 0 THEN 'NON_POSITIVE' WHEN list_contains(w.path, a.child_code) THEN 'CYCLE' ELSE 'EDGE' END FROM walk w JOIN adj a ON a.bom_id = w.next_bom_id WHERE w.state = 'EDGE') """
 PAGE_POLICY = X.Policy(explode_documents=True, explode_unknown=True, explode_procedural=True, root_strict_rev=False, pdf=True)
@@ -49,7 +49,7 @@ PAGE_POLICY = X.Policy(explode_documents=True, explode_unknown=True, explode_pro
 
 def _paged(spark, d) -> X.Explosion:
     keyed = view(spark, d, "bom_headers").withColumn("code", K.canonical_pn(F.col("code"), F.col("revision")))
-    return X.explode(spark, view(spark, d, "bom_lines"), keyed, B.ROOT + "-A", "", view(spark, d, "structure_revs"), PAGE_POLICY)
+    return X.explode(spark, view(spark, d, "bom_lines"), keyed, B.ROOT + "-A", "", view(spark, d, "page_revs"), PAGE_POLICY)
 
 
 @_query(_PAGES + "SELECT depth, array_to_string(path, '>') AS path, parent_code, child_code, child_rev, CASE WHEN state = 'EDGE' THEN CAST(qty AS BIGINT) ELSE 0 END AS qty, state, outcome FROM walk WHERE state IN ('EDGE', 'MISSING_QTY')")
