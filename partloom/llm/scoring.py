@@ -33,6 +33,8 @@ LEAST_ROWS = 5
 SLOT_BITS = 26
 #: Weight of the unigram distribution in each context, in words.
 PRIOR = 256.0
+#: Target doc_ids, at most, that are sent to all workers (some 32 MB of them), so that texts stay where they are.
+SENT = 1 << 22
 #: Keys whose counts are added up in one group, about.
 SHARE = 1 << 20
 UNKNOWN, BOUNDARY = -2, -1
@@ -337,7 +339,9 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | Non
     are never targets; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    good = written(labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "targets").withColumn("target", F.lit(True))
+    if good.count() <= SENT:  # else both sides are dealt by doc_id, texts too
+        good = F.broadcast(good)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = texts.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     counted = written(word_counts(marked), "word-counts")
