@@ -15,7 +15,6 @@ worker holds one batch, one share of the counts, and a bitmap of fixed size.
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -338,7 +337,6 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | Non
     rows come out as often as they went in and leave the counts one by one; null ids stay null and
     are never targets; an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     good = written(labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "targets").withColumn("target", F.lit(True))
     if good.count() <= SENT:  # else both sides are dealt by doc_id, texts too
         good = F.broadcast(good)
@@ -351,8 +349,6 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | Non
     batches = written(batches_of(marked, known), "batches")
     shares = max(1, -(-(batches.agg(F.sum("n_keys")).first()[0] or 0) // SHARE))
     answers = written(corpus_counts(batches, shares), "corpus-counts")
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of the questions
     scored = written(_scored(batches, answers, shares, (sizes["n_all"], sizes["n_target"]), sizes["n"]), "scored")
     for table in (batches, answers):
         dropped(table)
