@@ -206,7 +206,7 @@ def batches_of(marked: DataFrame, known: Callable[[np.ndarray], np.ndarray]) ->
             entries, times = np.unique(np.repeat(np.arange(len(held)), lengths) * max(1, len(pairs)) + place, return_counts=True)
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6)
             values = (
-                number, len(pairs) + 2 * len(words), doc_ids, np.array(targets, bool).tobytes(), lengths.astype("<u4").tobytes(), words.astype("<i8").tobytes(),
+                number, len(pairs) + len(words), doc_ids, np.array(targets, bool).tobytes(), lengths.astype("<u4").tobytes(), words.astype("<i8").tobytes(),
                 _packed(pairs), _packed(entries), _ints(times),
             )
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names)
@@ -228,7 +228,7 @@ def batches_of(marked: DataFrame, known: Callable[[np.ndarray], np.ndarray]) ->
 
 
 class _Batch:
-    """What a row of ``batches_of`` holds; keys are those of its bigrams, its words, and its words as contexts."""
+    """What a row of ``batches_of`` holds; keys are those of its bigrams and of its words."""
 
     def __init__(self, row: dict):
         self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
@@ -240,7 +240,7 @@ class _Batch:
         self.doc, self.pair = entries // max(1, len(pairs)), entries % max(1, len(pairs))
         self.times = _read(row["times"])
         own = _hash(words.astype(np.int64).view(np.uint64))
-        self.keys = np.concatenate([_hash(own[self.first] * _MIX[0] + own[self.second]), _hash(own ^ _MIX[1]), _hash(own ^ _MIX[2])])
+        self.keys = np.concatenate([_hash(own[self.first] * _MIX[0] + own[self.second]), _hash(own ^ _MIX[1])])
 
     def dealt(self, shares: int) -> tuple[np.ndarray, np.ndarray]:
         """The order of keys by share, and where each share ends."""
@@ -248,12 +248,13 @@ class _Batch:
         return np.argsort(share, kind="stable"), np.cumsum(np.bincount(share, minlength=shares))
 
     def own_counts(self) -> list[np.ndarray]:
-        """Of each key the counts in all and in target rows."""
-        out = []
+        """Of each key the counts in all and in target rows, then those as a context, which bigrams have none of."""
+        out, contexts = [], []
         for weights in (self.times, self.times * self.target[self.doc]):
             pairs = np.bincount(self.pair, weights, self.n_pairs)
-            out.append(np.concatenate([pairs, np.bincount(self.second, pairs, self.n_words), np.bincount(self.first, pairs, self.n_words)]).astype(np.int64))
-        return out
+            out.append(np.concatenate([pairs, np.bincount(self.second, pairs, self.n_words)]).astype(np.int64))
+            contexts.append(np.concatenate([np.zeros(self.n_pairs), np.bincount(self.first, pairs, self.n_words)]).astype(np.int64))
+        return out + contexts
 
     def losses(self, counts: list[np.ndarray], totals: tuple[int, int], n: int) -> list[np.ndarray]:
         """Background and target loss of each row, from the corpus counts of the keys; its own counts are taken out."""
@@ -266,16 +267,20 @@ class _Batch:
             return np.bincount(at, self.times)[at]
 
         own_a, own_b = (within(x) if len(x) else np.zeros(0) for x in (a, b))
-        for count, total, gone in zip(counts, totals, (np.ones(len(self.target), bool), self.target)):
+        for count, as_context, total, gone in zip(counts[:2], counts[2:], totals, (np.ones(len(self.target), bool), self.target)):
             less = gone[self.doc]
-            unigram = (count[p : p + w][b] - own_b * less + 1) / (total + n + 1 - self.lengths[self.doc] * less)
-            context, both = count[p + w :][a] - own_a * less, count[:p][self.pair] - self.times * less
+            unigram = (count[p:][b] - own_b * less + 1) / (total + n + 1 - self.lengths[self.doc] * less)
+            context, both = as_context[p:][a] - own_a * less, count[:p][self.pair] - self.times * less
             out.append(np.bincount(self.doc, self.times * (np.log(context + PRIOR) - np.log(both + PRIOR * unigram)), len(self.lengths)))
         return out
 
 
+#: Of a key, its counts in all and in target rows, and those as a context.
+_SUMS = ("n_all", "n_target", "c_all", "c_target")
+
+
 def corpus_counts(batches: DataFrame, shares: int) -> DataFrame:
-    """batch, share, n_all, n_target (binary): the corpus counts of the keys of a batch that fall in a share, in the batch's order."""
+    """batch, share, and as binary the sums _SUMS: the corpus counts of the keys of a batch that fall in a share, in the batch's order."""
 
     def ask(rows: Iterator) -> Iterator:
         import pyarrow as pa
@@ -287,20 +292,21 @@ def corpus_counts(batches: DataFrame, shares: int) -> DataFrame:
                 columns = [held.keys, *held.own_counts()]
                 starts = np.concatenate([[0], ends[:-1]])
                 full = np.flatnonzero(ends > starts)
-                cut = [[put(c[order[starts[i] : ends[i]]]) for i in full] for c, put in zip(columns, (np.ndarray.tobytes, _ints, _ints))]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), *[pa.array(c, pa.binary()) for c in cut]], ["share", "batch", "keys", "n_all", "n_target"])
+                cut = [[put(c[order[starts[i] : ends[i]]]) for i in full] for c, put in zip(columns, (np.ndarray.tobytes, *[_ints] * 4))]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), *[pa.array(c, pa.binary()) for c in cut]], ["share", "batch", "keys", *_SUMS])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         lengths = np.array([len(k) // 8 for k in group["keys"]])
         _, at = np.unique(np.frombuffer(b"".join(group["keys"]), "<u8"), return_inverse=True)
         out = {"batch": group["batch"], "share": group["share"]}
-        for c in ("n_all", "n_target"):
+        for c in _SUMS:
             sums = np.bincount(at, np.concatenate([_read(x) for x in group[c]]))[at].astype(np.int64)
             out[c] = [_ints(x) for x in np.split(sums, np.cumsum(lengths)[:-1])]
         return pd.DataFrame(out)
 
-    asked = batches.mapInArrow(ask, "share int, batch long, keys binary, n_all binary, n_target binary")
-    return asked.groupBy("share").applyInPandas(answer, "batch long, share int, n_all binary, n_target binary")
+    sums = ", ".join(f"{c} binary" for c in _SUMS)
+    asked = batches.mapInArrow(ask, f"share int, batch long, keys binary, {sums}")
+    return asked.groupBy("share").applyInPandas(answer, f"batch long, share int, {sums}")
 
 
 def _scored(batches: DataFrame, answers: DataFrame, shares: int, totals: tuple[int, int], n: int) -> DataFrame:
@@ -314,7 +320,7 @@ def _scored(batches: DataFrame, answers: DataFrame, shares: int, totals: tuple[i
                 held = _Batch(row)
                 order, _ = held.dealt(shares)
                 counts = []
-                for c in ("n_all", "n_target"):
+                for c in _SUMS:
                     count = np.zeros(len(held.keys))
                     told = sorted(row["answers"], key=lambda x: x["share"])
                     if told:
@@ -323,7 +329,7 @@ def _scored(batches: DataFrame, answers: DataFrame, shares: int, totals: tuple[i
                 background, target = held.losses(counts, totals, n)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held.lengths), pa.array(target), pa.array(background)], ["doc_id", "n_words", "target_loss", "background_loss"])
 
-    gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("share", "n_all", "n_target")).alias("answers"))
+    gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("share", *_SUMS)).alias("answers"))
     return batches.join(gathered, "batch").mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double")
 
 
