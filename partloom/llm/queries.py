@@ -16,6 +16,9 @@ _MODULES = {
     "op8_disclosure_sanitisation": "privacy",
     "op9_digest_cache_counts": "counts",
     "op10_bagminhash_dedup": "near_dups",
+    "op11_subword_toxicity": "toxicity",
+    "op12_source_divergence": "divergence",
+    "op13_clustered_layout": "layout",
 }
 
 
@@ -31,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: importlib.import_module(f".{_MODULES[name]}", __package__).SQL for name in ("op12_source_divergence", "op13_clustered_layout")}
