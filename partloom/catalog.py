@@ -33,14 +33,16 @@ def _query(sql: str | None = None):
 
 def queries() -> dict:
     from . import catalog_reports as more
+    from . import catalog_sources as sources
 
-    return _QUERIES | more.QUERIES
+    return _QUERIES | more.QUERIES | sources.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     from . import catalog_reports as more
+    from . import catalog_sources as sources
 
-    return _SQL | more.SQL
+    return _SQL | more.SQL | sources.SQL
 
 
 # --- explosion -------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import stored
 from .headers import header_name, text_flags
 from .records import FIELDS, clean, column_of, position
 
@@ -24,9 +25,10 @@ _PAGE = ["file_id", "page"]
 
 
 def band_words(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """Words of the table's band that are no noise: not in the footer's band, at most one flag."""
+    """A stored table of the words of the table's band that are no noise, not in the footer's band, at most one flag; with height and the column each one names."""
     said = words.withColumn("text", clean(F.col("text"))).where((F.col("text") != "") & F.col("top").between(TABLE_TOP, TABLE_BOTTOM))
-    return said.join(pages.select(*_PAGE, "height"), _PAGE).where((F.col("height") - F.col("top") > FOOTER) & (F.size(text_flags(F.col("text"))) < 2))
+    kept = said.join(pages.select(*_PAGE, "height"), _PAGE).where((F.col("height") - F.col("top") > FOOTER) & (F.size(text_flags(F.col("text"))) < 2))
+    return stored(kept.withColumn("name", header_name(F.col("text"))), "band-words")
 
 
 def column_edges(rules: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def header_bands(words: DataFrame) -> DataFrame:
     tolerance = F.greatest(F.lit(2.0), F.least(F.lit(4.5), F.avg(F.when(F.col("bottom") > F.col("top"), F.col("bottom") - F.col("top"))) * 0.6))
     lines = words.groupBy(*_PAGE).agg(F.collect_set(F.col("top").cast("double")).alias("tops"), F.coalesce(tolerance, F.lit(3.0)).alias("tolerance"))
     anchored = lines.select(*_PAGE, line_anchors(F.col("tops"), F.col("tolerance")).alias("anchors"))
-    named = words.withColumn("name", header_name(F.col("text"))).join(anchored, _PAGE)
+    named = words.join(anchored, _PAGE)
     has = lambda n: F.bool_or(F.coalesce(F.col("name") == n, F.lit(False))).cast("int")
     scored = named.groupBy(*_PAGE, line_of(F.col("anchors"), F.col("top")).alias("line")).agg(*[has(n).alias(n) for n in ("pos", "code", "rev", "desc", "qty")], F.min("top").alias("low"), F.max("bottom").alias("high"))
     score = F.col("pos") + F.col("code") + F.col("rev") + F.col("desc") + F.col("qty")
@@ -74,23 +76,22 @@ def header_bands(words: DataFrame) -> DataFrame:
     return best.select(*_PAGE, "b.low", "b.high")
 
 
-def page_state(words: DataFrame, rules: DataFrame, pages: DataFrame) -> DataFrame:
-    """file_id, page, status, edges, map, high of every page: its columns, its own or those of the page before.
+def page_state(words: DataFrame, usable: DataFrame, rules: DataFrame, pages: DataFrame) -> DataFrame:
+    """file_id, page, status, edges, map, high of every page: its columns, its own or those of the page before; ``usable`` are its ``band_words``.
 
     A page that has few rules or no header takes the columns or the header of the page before if
     that one had rows and this one looks like its continuation.  ``status``: OK, NO_WORDS, FEW_RULES, NO_HEADER
     or NO_CODE.  Pages of a file are folded in order, as whether a page had rows decides on the next
     one; so the words of one file meet in one row.
     """
-    usable = band_words(words, pages)
     headed = usable.join(header_bands(usable), _PAGE, "left")
     inside = F.col("low").isNotNull() & F.col("top").between(F.col("low"), F.col("high"))
     middle = (F.col("x0") + F.col("x1")) / 2
     place = F.struct(F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), middle.alias("x"), "text")
-    named = F.struct(F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), middle.alias("x"), header_name(F.col("text")).alias("name"))
+    named = F.struct(F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), middle.alias("x"), "name")
     own = headed.groupBy(*_PAGE).agg(
         F.count("*").alias("words"), F.count_if(F.rlike("text", F.lit(CODE_LIKE))).alias("codes"), F.count_if(F.rlike("text", F.lit("^[0-9]{4}$"))).alias("positions"),
-        F.first("high").alias("high"), F.sort_array(F.collect_list(F.when(inside & header_name(F.col("text")).isNotNull(), named))).alias("heads"), F.collect_list(place).alias("all"),
+        F.first("high").alias("high"), F.sort_array(F.collect_list(F.when(inside & F.col("name").isNotNull(), named))).alias("heads"), F.collect_list(place).alias("all"),
     )
     raw = words.where((clean(F.col("text")) != "") & F.col("top").between(TABLE_TOP, TABLE_BOTTOM)).groupBy(*_PAGE).agg(F.count("*").alias("raw"))
     every = pages.select(*_PAGE, "height").join(raw, _PAGE, "left").join(own, _PAGE, "left").join(column_edges(rules), _PAGE, "left")
@@ -146,8 +147,9 @@ def grid_records(words: DataFrame, rules: DataFrame, pages: DataFrame) -> tuple[
     break, in others where they are still empty.  Beyond two such lines only the last line counts.
     Lines without a code are left out.
     """
-    state = page_state(words, rules, pages)
-    usable = band_words(words, pages).join(state.where("status = 'OK'").drop("status"), _PAGE)
+    kept = band_words(words, pages)
+    state = stored(page_state(words, kept, rules, pages), "page-state")
+    usable = kept.join(state.where("status = 'OK'").drop("status"), _PAGE)
     body = usable.where((F.col("top") > F.col("high")) & (F.col("top") < F.col("height") - FOOTER))
     body = body.withColumn("col", column_at(F.col("edges"), (F.col("x0") + F.col("x1")) / 2))
     anchors = body.groupBy(*_PAGE).agg(line_anchors(F.collect_set(F.col("top").cast("double")), F.lit(Y_TOLERANCE)).alias("anchors"))
