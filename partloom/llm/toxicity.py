@@ -6,7 +6,7 @@ and softmax learn together.  A misspelling that training never saw shares n-gram
 see, and so stands near it.  A document scores as its highest window does, so a long text is not
 averaged clean; training selects windows in the same way.
 
-Training takes a bounded sample of labelled rows (``SAMPLE`` rows, texts of at most
+Training takes a bounded sample of labelled texts (``SAMPLE`` different texts of at most
 ``SAMPLE_BYTES``); scoring covers every row and every word of every text.
 """
 
@@ -22,13 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, documents
+from .store import bounded_batches, documents, written
 
 #: Rows of embeddings; lengths of n-grams; dimensions.
 ROWS, GRAMS, SIZE = 1 << 17, (3, 4, 5), 8
 #: Words of a window; windows begin at every half of it.  Short ones are not averaged clean by what surrounds an insult.
 WINDOW = 8
-#: Labelled rows of label 0 and of label 1 that training takes, and the most bytes of a text among them.
+#: Different texts of label 0 and of label 1 that training takes, and the most bytes of a text among them.
 SAMPLE, SAMPLE_BYTES = (2500, 1250), 1 << 14
 #: Epochs of training, documents of a step, the first rate, and the constant that a mean is multiplied by.
 EPOCHS, BATCH, RATE, GAIN = 16, 16, 0.7, 20.0
@@ -107,23 +107,23 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model |
     With c the difference of the softmax's columns, the gradient of a row of embeddings is a number
     times c, and only that number is summed over words.
     """
-    split = [(words_of(t), y) for t, y in zip(texts, labels, strict=True)]
-    split = [(w, y) for w, y in split if w]
-    if len({y for _, y in split}) < 2:
-        return None
     number: dict[str, int] = {}
-    bags, owner = [], []
-    for d, (words, _) in enumerate(split):
-        ids = np.array([number.setdefault(w, len(number)) for w in words])
-        for s in window_starts(len(ids)):
-            bags.append(ids[s : s + WINDOW])
-            owner.append(d)
-    y = np.array([label for _, label in split], dtype=np.float64)
+    bags, owner, taken = [], [], []
+    for text, label in zip(texts, labels, strict=True):
+        ids = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int32)
+        if len(ids):
+            starts = window_starts(len(ids))
+            bags += [ids[s : s + WINDOW] for s in starts]
+            owner += [len(taken)] * len(starts)
+            taken.append(label)
+    if len(set(taken)) < 2:
+        return None
+    y = np.array(taken, dtype=np.float64)
     entry, sizes = np.concatenate(bags), np.array([len(b) for b in bags])
     at, first = np.cumsum(sizes) - sizes, np.flatnonzero(np.diff(np.array(owner), prepend=-1))
     last = np.append(first[1:], len(bags))
     # words x subwords; rows that no word has are left out
-    lists = [subwords(w) for w in number]
+    lists = [np.array(subwords(w), np.int32) for w in number]
     counts = np.array([len(x) for x in lists])
     used, sub = np.unique(np.concatenate(lists), return_inverse=True)
     word_at = np.cumsum(counts) - counts
@@ -173,16 +173,26 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, float]:
     """A model of the labelled rows that are not held out, and the share of label 1 among those it takes.
 
-    A doc_id that is labelled both ways counts as 1; null labels and null ids teach nothing.  Only
-    (text, label) of ``SAMPLE`` rows, by the hash of their text, come to the driver.
+    A doc_id, or a text, that is labelled both ways counts as 1; null labels and null ids teach
+    nothing.  The different texts of least hash are taken, ``SAMPLE`` of each label: their hashes
+    come to the driver first (those below a bound that leaves about half as many again), then
+    these texts.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    small = docs.where((F.octet_length("text") <= SAMPLE_BYTES) & ~held_out(F.col("doc_id"))).select("doc_id", "text")
-    rows = small.join(known, "doc_id").select("text", "toxic", F.xxhash64("text", F.lit(11)).alias("h"))
+    small = docs.where((F.octet_length("text") <= SAMPLE_BYTES) & ~held_out(F.col("doc_id")))
+    texts = small.select("doc_id", F.xxhash64("text").alias("h")).join(known, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"))
+    texts = written(texts.select("toxic", "h", F.pmod("h", F.lit(1 << 30)).alias("place")), "labelled-texts")
+    sizes = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    chosen: dict[int, int] = {}
+    for label, most in enumerate(SAMPLE):
+        bound = (1 << 30) * (1.5 * most + 100) / max(1, sizes.get(label, 0))
+        near = texts.where((F.col("toxic") == label) & (F.col("place") < bound)).select("place", "h").collect()
+        chosen |= {h: label for _, h in sorted(tuple(r) for r in near)[:most]}
+    wanted = docs.sparkSession.createDataFrame(list(chosen.items()), "h long, toxic int")
     with bounded_batches(docs.sparkSession):
-        taken = [r for c in (0, 1) for r in rows.where(F.col("toxic") == c).orderBy("h", "text").limit(SAMPLE[c]).collect()]
-    labelled = [int(r.toxic) for r in taken]
-    return train([r.text for r in taken], labelled), sum(labelled) / max(1, len(labelled))
+        found = small.select("text", F.xxhash64("text").alias("h")).join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
+    found.sort(key=lambda r: r.h)
+    return train([r.text for r in found], [r.toxic for r in found]), sum(r.toxic for r in found) / max(1, len(found))
 
 
 def score(docs: DataFrame, model: Model | None, otherwise: float = 0.0) -> DataFrame:
