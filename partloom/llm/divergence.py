@@ -10,6 +10,10 @@ A null text, language or source counts as ''.  All arithmetic is on whole number
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +21,39 @@ from .store import documents, written
 
 #: Documents of a language that a kept term is in, at least; terms that are listed for a group.
 LEAST_DOCUMENTS, LISTED = 10, 10
-#: What separates terms: all of ASCII but letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Stands before a term where a document is counted; no term holds it.
-_MARK = "\x01"
+#: (language, source, term) entries that a task holds before it passes them on.
+HELD = 500_000
+#: Bytes of UTF-8: ASCII other than letters becomes a blank, A to Z their small letters, the rest stays.
+_BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task by language, source and term: occurrences and rows that hold the term."""
+    occurrences: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    rows: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in occurrences.items():
+            terms.pop(b"", None)
+            held = rows[lang, source]
+            for part in slices(list(terms), 20_000):
+                columns = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([terms[t] for t in part], pa.int64()), pa.array([held[t] for t in part], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "d"])
+        occurrences.clear()
+        rows.clear()
 
+    for batch in batches:
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            terms = text.translate(_BYTES).split(b" ")
+            occurrences[lang, source].update(terms)
+            rows[lang, source].update(set(terms))
+        if sum(map(len, occurrences.values())) >= HELD:
+            yield from told()
+    yield from told()
 
-def terms_of(text: Column) -> Column:
-    """The terms of a text in order; only A to Z are lower-cased.  Ends may be empty strings."""
-    return F.split(F.translate(text, _UPPER, _LOWER), BETWEEN)
+
+def slices(items: list, size: int) -> Iterator[list]:
+    return (items[k : k + size] for k in range(0, len(items), size))
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -46,14 +73,14 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), d (documents) of every term; texts are read and split once."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), terms_of(text).alias("t"))
-    every = F.concat("t", F.transform(F.array_distinct("t"), lambda x: F.concat(F.lit(_MARK), x)))
-    rows = named.select("lang", "source", F.explode(every).alias("x"))
-    marked = F.startswith(F.col("x"), F.lit(_MARK))
-    split = rows.select("lang", "source", F.when(marked, F.substring("x", 2, 1 << 30)).otherwise(F.col("x")).alias("term"), marked.alias("m")).where(F.col("term") != "")
-    return split.groupBy("lang", "source", "term").agg(F.count_if(~F.col("m")).alias("n"), F.count_if("m").alias("d"))
+    """lang, source, term, n (occurrences), d (documents) of every term; texts are read and split once, and summed in the task that reads them.
+
+    The sums of the tasks are dealt by language and term, which serves the wide rows too: one shuffle for both.
+    """
+    blank = F.lit("")
+    named = docs.select(F.coalesce("lang", blank).alias("lang"), F.coalesce("source", blank).alias("source"), F.coalesce("text", blank).cast("binary").alias("text"))
+    sums = named.mapInArrow(_term_counts, "lang string, source string, term string, n long, d long")
+    return sums.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, listed: int = LISTED) -> DataFrame:
