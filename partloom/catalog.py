@@ -71,6 +71,10 @@ def _exploded(spark, d) -> X.Explosion:
     return X.explode(spark, view(spark, d, "bom_lines"), view(spark, d, "bom_headers"), ROOT, "", view(spark, d, "structure_revs"), POLICY)
 
 
+def _summed(spark, d) -> X.Sums:
+    return X.explode_sums(spark, view(spark, d, "bom_lines"), view(spark, d, "bom_headers"), ROOT, "", view(spark, d, "structure_revs"), POLICY)
+
+
 def _whole(c):
     return F.col(c).cast("bigint")
 
@@ -98,27 +102,27 @@ def explode_missing_qty(spark, d):
 
 @_query(_WALK + "SELECT child_code AS code, CAST(SUM(qty) AS BIGINT) AS qty, count(*) AS visits, max(depth) AS max_depth FROM walk WHERE state IN ('EDGE', 'CYCLE') GROUP BY child_code")
 def explode_qty_by_code(spark, d):
-    return _exploded(spark, d).totals().withColumn("qty", _whole("qty"))
+    return _summed(spark, d).totals().withColumn("qty", _whole("qty"))
 
 
 @_query(_WALK + "SELECT child_code AS code, child_rev AS rev, CAST(SUM(qty) AS BIGINT) AS qty FROM walk WHERE state IN ('EDGE', 'CYCLE') GROUP BY ALL")
 def explode_qty_by_code_rev(spark, d):
-    return _exploded(spark, d).totals_by_rev().withColumn("qty", _whole("qty"))
+    return _summed(spark, d).totals_by_rev().withColumn("qty", _whole("qty"))
 
 
 @_query(_WALK + "SELECT child_code AS code, arg_min(unit, k) AS uom FROM walk WHERE unit <> '' GROUP BY child_code")
 def explode_uom_first(spark, d):
-    return _exploded(spark, d).units().select("code", "uom")
+    return _summed(spark, d).units().select("code", "uom")
 
 
 @_query(_WALK + "SELECT DISTINCT child_code AS code FROM walk WHERE unit <> '' AND unit <> 'NR'")
 def non_nr_codes(spark, d):
-    return _exploded(spark, d).units().where("other").select("code")
+    return _summed(spark, d).units().where("other").select("code")
 
 
 @_query(_WALK + ", e AS (SELECT bom_id FROM walk UNION SELECT next_bom_id FROM walk WHERE state = 'EDGE') SELECT DISTINCT h.code, h.revision AS rev FROM e JOIN hdr h ON h.bom_id = e.bom_id")
 def exploded_assemblies(spark, d):
-    return _exploded(spark, d).exploded()
+    return _summed(spark, d).exploded()
 
 
 @_query(_WALK + "SELECT outcome, count(*) AS n, count(DISTINCT child_code) AS codes FROM walk WHERE state = 'EDGE' GROUP BY outcome")
@@ -387,12 +391,12 @@ met AS (SELECT DISTINCT child_code AS code FROM walk WHERE state IN ('EDGE', 'CY
 
 @_query(_walk_with_structure() + "SELECT code FROM met WHERE code NOT IN (SELECT code FROM pbs_rows)")
 def introduced_not_in_pbs(spark, d):
-    return C.introduced(_exploded(spark, d).totals(), view(spark, d, "pbs_rows"))
+    return C.introduced(_summed(spark, d).totals(), view(spark, d, "pbs_rows"))
 
 
 @_query(_walk_with_structure() + "SELECT DISTINCT code FROM pbs_rows WHERE code <> '' AND code IN (SELECT code FROM bom_headers) AND code NOT IN (SELECT code FROM done)")
 def unexploded_assemblies(spark, d):
-    return C.unexploded(view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), _exploded(spark, d).exploded())
+    return C.unexploded(view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), _summed(spark, d).exploded())
 
 
 @_query(_walk_with_structure() + """SELECT 'INTRODUCED' AS kind, code FROM met WHERE code NOT IN (SELECT code FROM pbs_rows)
@@ -400,13 +404,13 @@ UNION SELECT 'UNEXPLODED', code FROM pbs_rows WHERE code <> '' AND code IN (SELE
 UNION SELECT 'REV_CONFLICT', code FROM (SELECT code, rev, lag(rev) OVER (PARTITION BY code ORDER BY seq) AS p FROM pbs_rows WHERE code <> '' AND rev <> '') WHERE p <> rev
 UNION SELECT 'REV_MISMATCH', p.code FROM pbs_rows p JOIN done ON done.code = p.code WHERE p.rev <> '' AND done.rev <> '' AND p.rev <> done.rev""")
 def config_completeness(spark, d):
-    e = _exploded(spark, d)
+    e = _summed(spark, d)
     return C.completeness(view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), e.totals(), e.exploded())
 
 
 @_query(_WALK + ", u AS (SELECT child_code AS code, arg_min(unit, k) AS uom FROM walk WHERE unit <> '' GROUP BY child_code) SELECT t.code AS pn, t.qty, COALESCE(u.uom, '') AS uom FROM (SELECT child_code AS code, CAST(SUM(qty) AS BIGINT) AS qty FROM walk WHERE state IN ('EDGE', 'CYCLE') GROUP BY child_code) t LEFT JOIN u ON u.code = t.code")
 def totals_view(spark, d):
-    e = _exploded(spark, d)
+    e = _summed(spark, d)
     master = G.part_master(view(spark, d, "bom_lines"), K.norm(F.col("internal_code")))
     return V.totals_view(e.totals(), e.units(), master).select("pn", _whole("qty").alias("qty"), "uom")
 

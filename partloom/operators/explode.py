@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import canonical_pn, norm, unit
 from ..plans.tables import stored
+from .components import strong_components
 from .resolve import header_index, resolve
 
 
@@ -144,6 +145,80 @@ def explode(spark: SparkSession, lines: DataFrame, headers: DataFrame, root_code
     return Explosion(visited, headers, policy.pdf)
 
 
+@dataclass
+class Sums:
+    """What an explosion adds up to, without its paths; ``met`` has a row for each line, level and way through a cyclic part.
+
+    met: depth, child_code, child_rev, unit, state, bom_id, next_bom_id, qty (summed), visits, dfs_key (the least).
+    """
+
+    met: DataFrame
+    headers: DataFrame
+
+    def totals(self) -> DataFrame:
+        """code, qty, visits, max_depth, as ``Explosion.totals``."""
+        counted = self.met.where(F.col("state").isin("EDGE", "CYCLE"))
+        return counted.groupBy(F.col("child_code").alias("code")).agg(F.sum("qty").alias("qty"), F.sum("visits").alias("visits"), F.max("depth").alias("max_depth"))
+
+    def totals_by_rev(self) -> DataFrame:
+        counted = self.met.where(F.col("state").isin("EDGE", "CYCLE"))
+        return counted.groupBy(F.col("child_code").alias("code"), F.col("child_rev").alias("rev")).agg(F.sum("qty").alias("qty"))
+
+    def units(self) -> DataFrame:
+        """code, uom (of the first line in path order that has one), other (any unit but pieces)."""
+        named = self.met.where("unit <> ''")
+        return named.groupBy(F.col("child_code").alias("code")).agg(F.min_by("unit", "dfs_key").alias("uom"), F.bool_or(F.col("unit") != "NR").alias("other"))
+
+    def exploded(self) -> DataFrame:
+        """code, rev of the lists that were entered."""
+        entered = self.met.select("bom_id").unionByName(self.met.where("state = 'EDGE' and next_bom_id is not null").select(F.col("next_bom_id").alias("bom_id"))).distinct()
+        return entered.join(header_index(self.headers), "bom_id").select("code", F.col("revision").alias("rev")).distinct()
+
+
+def explode_sums(spark: SparkSession, lines: DataFrame, headers: DataFrame, root_code: str, root_rev: str = "", revs: DataFrame | None = None, policy: Policy = Policy()) -> Sums:
+    """``explode`` added up: ways into one list are one row of a level, however many there are.
+
+    Only codes of one strongly connected part can come back on a path, so a path is kept only inside such
+    a part, from where it was entered; left behind, it is forgotten.  Rows of a level are at most
+    the lists outside of cyclic parts plus the simple paths inside them.  Products are summed before
+    they are multiplied on, which gives the same totals while quantities have at most 12 decimals.
+    """
+    edges = stored(adjacency(lines, headers, revs, policy), "adjacency")
+    root = spark.createDataFrame([(root_code, root_rev)], "code string, rev string")
+    start = resolve(root, headers, policy.fallback and not policy.root_strict_rev, policy.use_max_rev) if root_rev else resolve(root, headers, policy.fallback, policy.use_max_rev)
+    start = stored(start.where("bom_id is not null").select("code", "bom_id"), "start")
+    entered = edges.where("next_bom_id is not null").select(F.col("child_code").alias("parent"), F.col("next_bom_id").alias("bom_id")).unionByName(start.withColumnRenamed("code", "parent")).distinct()
+    parts = strong_components(entered.join(edges, "bom_id").select("parent", F.col("child_code").alias("child")))
+    parts = stored(parts.select(F.col("code").alias("child_code"), F.col("head").alias("child_part")), "parts")
+    none, one = F.array().cast("array<string>"), F.lit(1).cast("long")
+    frontier = start.join(parts.withColumnRenamed("child_code", "code"), "code", "left").select(
+        "bom_id", F.col("child_part").alias("part"), F.when(F.col("child_part").isNotNull(), F.array("code")).otherwise(none).alias("way"), F.lit(1).cast(policy.kind).alias("multiplier"), one.alias("ways"), F.array().cast("array<int>").alias("key")
+    )
+    levels, depth = [], 0
+    while True:
+        depth += 1
+        seen = frontier.join(edges, "bom_id").join(parts, "child_code", "left")
+        on_path = F.array_contains("way", F.col("child_code"))
+        missing = F.when(on_path & F.lit(policy.pdf), "CYCLE_WITHOUT_QTY").otherwise("MISSING_QTY")
+        state = F.when(F.col("line_qty").isNull(), missing).when(F.col("line_qty") <= 0, "NON_POSITIVE").when(on_path, "CYCLE").otherwise("EDGE")
+        onward = F.when(F.col("child_part").isNull(), none).when(F.col("child_part") == F.col("part"), F.concat("way", F.array("child_code"))).otherwise(F.array("child_code"))
+        rows = seen.select(
+            "child_code", "child_rev", "unit", "bom_id", "next_bom_id", F.col("child_part").alias("part"), onward.alias("way"), state.alias("state"), "ways",
+            (F.col("multiplier") * F.col("line_qty")).cast(policy.kind).alias("qty"), F.concat("key", F.array(F.col("line_no").cast("int"))).alias("key"),
+        )
+        summed = rows.groupBy("child_code", "child_rev", "unit", "bom_id", "next_bom_id", "part", "way", "state").agg(F.sum("qty").cast(policy.kind).alias("qty"), F.sum("ways").alias("visits"), F.min("key").alias("dfs_key"))
+        level = stored(summed.withColumn("depth", F.lit(depth)), f"sums-{depth}")
+        levels.append(level.drop("part", "way"))
+        further = level.where("state = 'EDGE' and next_bom_id is not null")
+        frontier = further.groupBy(F.col("next_bom_id").alias("bom_id"), "part", "way").agg(F.sum("qty").cast(policy.kind).alias("multiplier"), F.sum("visits").alias("ways"), F.min("dfs_key").alias("key"))
+        if further.isEmpty():
+            break
+    met = levels[0]
+    for level in levels[1:]:
+        met = met.unionByName(level)
+    return Sums(met, headers)
+
+
 def explode_totals(edges: DataFrame, root: DataFrame) -> DataFrame:
     """code, qty, visits, max_depth by levels of summed codes, without paths.
 

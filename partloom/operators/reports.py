@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.keys import digit_root, norm, strip_lookup_suffix
 from ..plans.tables import stored
+from .components import cycle_witnesses
 from .resolve import header_index, resolve, same_root
 
 
@@ -157,42 +158,9 @@ def alias_suspects(aliases: DataFrame, graph: DataFrame, headers: DataFrame) ->
     return j.select("base", "full", flag("base"), flag("full"), degree("base"), degree("full"))
 
 
-def cyclic_codes(graph: DataFrame) -> DataFrame:
-    """parent, child of edges that lie between codes which have both a way in and a way out left.
-
-    Codes without a parent or without a child are taken away again and again; what stays are the
-    cycles and what joins them.  Each pass is one stored table, and passes are at most the depth.
-    """
-    edges = stored(graph.select("parent", "child").distinct(), "cyclic")
-    n = edges.count()
-    while n:
-        held = edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-        edges = stored(held.select("parent", "child"), "cyclic")
-        left = edges.count()
-        if left == n:
-            break
-        n = left
-    return edges
-
-
-def graph_cycles(graph: DataFrame, longest: int = 12) -> DataFrame:
-    """length, path: simple cycles of at most ``longest`` codes, each once, from its least code.
-
-    Paths grow only inside the cyclic part, and only through codes above their first one, so every
-    cycle is found exactly from its least code.
-    """
-    edges = cyclic_codes(graph)
-    paths = edges.where("child >= parent").select(F.array("parent", "child").alias("p"))
-    found = paths.where("p[0] = p[1]").select("p")
-    paths = paths.where("p[0] <> p[1]")
-    for _ in range(longest - 1):
-        paths = stored(paths, "cycle-paths")
-        if paths.isEmpty():
-            break
-        step = paths.join(edges, F.element_at("p", -1) == edges["parent"]).select("p", "child")
-        found = found.unionByName(step.where("child = p[0]").select(F.concat("p", F.array("child")).alias("p")))
-        paths = step.where((F.col("child") > F.col("p")[0]) & ~F.array_contains("p", F.col("child"))).select(F.concat("p", F.array("child")).alias("p"))
-    return found.select((F.size("p") - 1).alias("length"), F.array_join("p", " > ").alias("path"))
+def graph_cycles(graph: DataFrame) -> DataFrame:
+    """head, length, path: a shortest cycle for every edge into the least code of a cyclic part, and every loop; of any length."""
+    return cycle_witnesses(graph).select("head", "length", F.array_join("path", " > ").alias("path"))
 
 
 def code_tree(parents: DataFrame) -> DataFrame:

@@ -108,6 +108,22 @@ def test_explosion_against_recursion(spark, seed):
         if state in ("EDGE", "CYCLE"):
             totals[path[-1]] += qty
     assert {x.code: float(x.qty) for x in e.totals().collect()} == dict(totals)
+    summed = X.explode_sums(spark, lines, h, "P0", "", None, X.Policy(explode_unknown=True))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for mine, walked in ((summed.totals(), e.totals()), (summed.totals_by_rev(), e.totals_by_rev()), (summed.units(), e.units()), (summed.exploded(), e.exploded())):
+        assert rows(mine) == rows(walked)
+
+
+def test_a_million_paths_are_summed_by_level(spark):
+    """20 levels of two lines each: 2^20 paths to the last code; and a part that leads back twice on the way."""
+    h = spark.createDataFrame([(f"b{i}", i, f"L{i:02d}", "A") for i in range(20)] + [("bx", 30, "X", "A")], HEADERS)
+    rows = [(f"b{i}", n, f"L{i + 1:02d}", 1.0, "M" if n == 2 and i == 19 else "", "MATERIAL", "", "", "") for i in range(20) for n in (1, 2)]
+    rows += [("b3", 3, "X", 2.0, "PZ", "MATERIAL", "", "", ""), ("bx", 1, "L02", 3.0, "PZ", "MATERIAL", "", "", "")]
+    summed = X.explode_sums(spark, spark.createDataFrame(rows, LINES), h, "L00", "", None, X.Policy())
+    totals = {r.code: (int(r.qty), r.visits) for r in summed.totals().collect()}
+    assert totals["L20"] == (2**20, 2**20) and totals["X"] == (2 * 2**3, 2**3) and totals["L02"] == (2**2 + 3 * 2 * 2**3, 2**2 + 2**3)
+    assert {r.code: r.uom for r in summed.units().collect()} == {"L20": "M", "X": "NR", "L02": "NR"}
+    assert {r.code for r in summed.exploded().collect()} == {f"L{i:02d}" for i in range(20)} | {"X"}
 
 
 def test_pdf_keys_align_with_edges(spark):
