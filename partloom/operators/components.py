@@ -46,14 +46,18 @@ def least_ancestors(edges: DataFrame) -> DataFrame:
             return marks
 
 
+def _parents(inner: DataFrame, codes: DataFrame) -> DataFrame:
+    return inner.join(codes.select(F.col("code").alias("child"), "head"), ["child", "head"]).select(F.col("parent").alias("code"), "head").distinct()
+
+
 def leading_back(edges: DataFrame, marks: DataFrame) -> DataFrame:
     """code, head: the codes that lead back to the code they are marked with, inside its marks."""
     a, b = marks.select(F.col("code").alias("parent"), F.col("least").alias("head")), marks.select(F.col("code").alias("child"), F.col("least").alias("other"))
     inner = stored(edges.join(a, "parent").join(b, "child").where("head = other").select("parent", "child", "head"), "inner-edges")
     seen = frontier = stored(marks.where("code = least").select("code", F.col("least").alias("head")), "back")
     while True:
-        step = inner.join(frontier.select(F.col("code").alias("child"), "head"), ["child", "head"]).select(F.col("parent").alias("code"), "head").distinct()
-        frontier = stored(step.join(seen, ["code", "head"], "left_anti"), "back")
+        one = _parents(inner, frontier)  # two steps a table
+        frontier = stored(one.unionByName(_parents(inner, one)).distinct().join(seen, ["code", "head"], "left_anti"), "back")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import alnum, digit_match, match_score, norm, rev_in_text, strength
+from ..functions.keys import alnum, match_score, norm, rev_in_text
 
 
 def explosion_view(edges: DataFrame, master: DataFrame, units: DataFrame) -> DataFrame:
@@ -40,33 +40,58 @@ def subtree(edges: DataFrame, code: str) -> DataFrame:
     return edges.where((below > 0) & (below < F.size("path"))).select(F.col("parent_code").alias("parent"), F.col("child_code").alias("child")).distinct()
 
 
+def digit_prefixes(c: Column, least: int) -> Column:
+    """All different beginnings, of ``least`` digits or more, of the digit runs of a text."""
+    runs = F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]+"), F.lit(0)), lambda r: F.length(r) >= least)
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(least), F.length(r)), lambda n: F.substring(r, F.lit(1), n)))))
+
+
+def prefix_index(targets: DataFrame, least: int) -> DataFrame:
+    """prefix, key, best: of the targets (target, rev, keys) under each beginning and key the least (target, rev).
+
+    One row for each beginning and key, however many targets share it; a longest common prefix
+    is then the longest beginning that is found, and no two codes are ever held against each other.
+    """
+    each = targets.select("target", "rev", F.explode(F.array_distinct("keys")).alias("key"), digit_prefixes(F.col("target"), least).alias("p"))
+    return each.select("key", F.explode("p").alias("prefix"), F.struct("target", "rev").alias("best")).groupBy("prefix", "key").agg(F.min("best").alias("best"))
+
+
+#: Keys of targets whatever their revision, and of those that have one; no revision is spelled so.
+_ANY, _SOME = "*", "+"
+
+
 def match_targets(files: DataFrame, targets: DataFrame, least: int = 6) -> DataFrame:
     """path, target, match_len, strength, score: the best target of each file name.
 
-    Pairs come from common leading digits: two digit runs with a common prefix of ``least`` have
-    their first ``least`` digits in common, so the join is on those and no pair is lost.
+    A target with the file's revision is strong, one of no revision, or any for a file without, medium; the
+    longest common beginning of digits counts next, then the least target.  A path is taken once.
     """
-    runs = lambda c: F.explode(F.array_distinct(F.transform(F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]+"), F.lit(0)), lambda x: F.length(x) >= least), lambda x: F.substring(x, 1, least))))
-    f = files.select("path", "name", runs(F.col("name")).alias("k"))
-    t = targets.select("target", F.col("rev").alias("target_rev"), runs(F.col("target")).alias("k"))
-    pairs = f.join(t, "k").select("path", "name", "target", "target_rev").distinct()
-    rated = pairs.withColumn("match_len", digit_match(F.col("target"), F.col("name"))).withColumn("file_rev", rev_in_text(F.col("name")))
-    rated = rated.withColumn("strength", strength(F.col("match_len"), F.col("target_rev"), F.col("file_rev"), least)).where("strength <> 'NO_MATCH'").withColumn("score", match_score(F.col("strength"), F.col("match_len")))
-    best = Window.partitionBy("path").orderBy(F.desc("strength"), F.desc("match_len"), F.desc("score"), "target", "target_rev")
-    return rated.withColumn("__r", F.row_number().over(best)).where("__r = 1").select("path", "target", "match_len", "strength", "score")
+    own = alnum(F.col("rev"))
+    index = prefix_index(targets.select("target", "rev", F.array(own, F.lit(_ANY)).alias("keys")), least)
+    rev = alnum(rev_in_text(F.col("name")))
+    keys = F.when(rev == "", F.array(F.struct(F.lit(_ANY).alias("key"), F.lit("MEDIUM").alias("strength")))).otherwise(
+        F.array(F.struct(rev.alias("key"), F.lit("STRONG").alias("strength")), F.struct(F.lit("").alias("key"), F.lit("MEDIUM").alias("strength")))
+    )
+    asked = files.select("path", F.explode(keys).alias("k"), digit_prefixes(F.col("name"), least).alias("p")).select("path", "k.key", "k.strength", F.explode("p").alias("prefix"))
+    found = asked.join(index, ["prefix", "key"])
+    n = F.length("prefix")
+    best = F.min(F.struct((F.col("strength") != "STRONG").alias("weak"), (-n).alias("n"), F.col("best.target").alias("target"), F.col("best.rev").alias("rev"), "strength"))
+    kept = found.groupBy("path").agg(best.alias("b")).select("path", "b.target", (-F.col("b.n")).alias("match_len"), "b.strength")
+    return kept.withColumn("score", match_score(F.col("strength"), F.col("match_len")))
 
 
 def verify_headers(headers: DataFrame, targets: DataFrame, least: int = 6) -> DataFrame:
     """bom_id, matched, reason, target, match_len; reasons by precedence MATCH, NO_NUMERIC_MATCH, REV_MISSING, REV_MISMATCH."""
-    runs = lambda c: F.explode(F.array_distinct(F.transform(F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]+"), F.lit(0)), lambda x: F.length(x) >= least), lambda x: F.substring(x, 1, least))))
-    h = headers.select("bom_id", "code", alnum(F.col("revision")).alias("hr"), runs(F.col("code")).alias("k"))
-    t = targets.select("target", F.col("rev").alias("tr"), runs(F.col("target")).alias("k"))
-    j = h.join(t, "k").select("bom_id", "code", "hr", "target", "tr").distinct().withColumn("n", digit_match(F.col("target"), F.col("code")))
-    fits = (F.col("tr") == "") | (F.col("tr") == F.col("hr"))
-    a = j.groupBy("bom_id").agg(
-        F.max(F.when(fits, F.col("n"))).alias("match_len"), F.min_by(F.when(fits, F.col("target")), F.when(fits, F.struct(-F.col("n"), "target"))).alias("target"),
-        F.bool_or((F.col("tr") != "") & (F.col("hr") == "")).alias("absent"),
+    some = F.when(F.col("rev") != "", F.array("rev", F.lit(_ANY), F.lit(_SOME))).otherwise(F.array("rev", F.lit(_ANY)))
+    index = prefix_index(targets.select("target", "rev", some.alias("keys")), least)
+    hr = alnum(F.col("revision"))
+    keys = F.array_distinct(F.array(hr, F.lit(""), F.lit(_ANY), F.lit(_SOME)))
+    asked = headers.select("bom_id", hr.alias("hr"), keys.alias("keys"), digit_prefixes(F.col("code"), least).alias("p"))
+    asked = asked.select("bom_id", "hr", F.explode("keys").alias("key"), "p").select("bom_id", "hr", "key", F.explode("p").alias("prefix"))
+    fits = ~F.col("key").isin(_ANY, _SOME)
+    a = asked.join(index, ["prefix", "key"]).groupBy("bom_id").agg(
+        F.min(F.when(fits, F.struct((-F.length("prefix")).alias("n"), F.col("best.target").alias("target")))).alias("b"), F.bool_or((F.col("key") == _SOME) & (F.col("hr") == "")).alias("absent")
     )
     out = headers.select("bom_id").join(a.withColumn("seen", F.lit(True)), "bom_id", "left")
-    reason = F.when(F.col("match_len").isNotNull(), "MATCH").when(F.col("seen").isNull(), "NO_NUMERIC_MATCH").when(F.col("absent"), "REV_MISSING").otherwise("REV_MISMATCH")
-    return out.select("bom_id", F.col("match_len").isNotNull().alias("matched"), reason.alias("reason"), F.coalesce("target", F.lit("")).alias("target"), F.coalesce("match_len", F.lit(0)).alias("match_len"))
+    reason = F.when(F.col("b").isNotNull(), "MATCH").when(F.col("seen").isNull(), "NO_NUMERIC_MATCH").when(F.col("absent"), "REV_MISSING").otherwise("REV_MISMATCH")
+    return out.select("bom_id", F.col("b").isNotNull().alias("matched"), reason.alias("reason"), F.coalesce("b.target", F.lit("")).alias("target"), F.coalesce(-F.col("b.n"), F.lit(0)).alias("match_len"))
