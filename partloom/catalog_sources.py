@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog_reports import _over
+from .operators.reconcile import load_totalization
 from .sources import arbitration as A
 from .sources import page_grids as W
 from .sources import records as R
+from .sources import sheets as S
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -175,3 +177,41 @@ def staged_arbitration(spark, d):
 OR (f IN (3, 5) AND stage = 'grid-layout') OR (f = 4 AND stage = 'layout')""")
 def staged_records(spark, d):
     return _staged(spark, d)[0].select("file_id", "page", "record", "internal_code", "parser")
+
+
+# --- component and totals sheets -------------------------------------------------------------
+
+# Orders as rows of sheets, each other row filled; a gap of 40 rows after the twentieth, a header again at the seventeenth.
+_SHEET_ROWS = """SELECT CAST(o_orderkey % 50 AS STRING) AS file_id, CAST(o_orderkey % 50 AS INTEGER) AS f, CAST(floor(o_orderkey / 50) AS INTEGER) AS n, CAST(o_custkey AS STRING) AS cust FROM orders"""
+_SHEET_CELLS = f"""WITH r AS ({_SHEET_ROWS}), k AS (SELECT CAST(n_nationkey AS INTEGER) + 1 AS col FROM nation WHERE n_nationkey < 7), b AS (SELECT *, CASE WHEN n >= 20 THEN 40 ELSE 0 END + 10 + 2 * n AS row, n % 3 = 0 AND (n > 0 OR f % 7 <> 0) AS starts FROM r)
+SELECT file_id, row, col, CASE WHEN n = 16 THEN CASE col WHEN 1 THEN 'POS' WHEN 3 THEN 'Descrizione' ELSE NULL END WHEN starts THEN CASE col WHEN 1 THEN CAST(n AS STRING) WHEN 2 THEN 'C' || cust WHEN 3 THEN 'part' WHEN 4 THEN '1.000,5' WHEN 5 THEN 'NR' WHEN 6 THEN 'R' || CAST(n AS STRING) ELSE '' END
+ELSE CASE col WHEN 2 THEN 'ignored' WHEN 3 THEN ' more' || CAST(n AS STRING) WHEN 4 THEN '7' WHEN 6 THEN 'S' || CAST(n AS STRING) WHEN 7 THEN 'v' END END AS value FROM b JOIN k ON 1 = 1
+UNION ALL SELECT f.file_id, 5, k.col, CASE k.col WHEN 1 THEN 'Pos.' WHEN 2 THEN 'Internal  code' WHEN 3 THEN 'Description' WHEN 4 THEN 'Q.ty' WHEN 5 THEN 'UM' WHEN 6 THEN 'RefDes' ELSE 'Value' END FROM (SELECT DISTINCT file_id FROM r) f JOIN k ON 1 = 1"""
+
+
+@_query(f"""WITH r AS (SELECT * FROM ({_SHEET_ROWS}) WHERE n < 20 AND n <> 16), s AS (SELECT * FROM r WHERE n % 3 = 0 AND (n > 0 OR f % 7 <> 0)),
+j AS (SELECT s.file_id, s.n, any_value(s.cust) AS cust, string_agg(' more' || CAST(c.n AS STRING), '' ORDER BY c.n) AS more, string_agg(', S' || CAST(c.n AS STRING), '' ORDER BY c.n) AS refs, string_agg('v', ' ' ORDER BY c.n) AS val
+FROM s LEFT JOIN r c ON c.file_id = s.file_id AND c.n > s.n AND c.n < s.n + 3 GROUP BY s.file_id, s.n)
+SELECT file_id, 10 + 2 * n AS row, lpad(CAST(n AS STRING), 4, '0') AS pos, 'C' || cust AS internal_code, 'part' || COALESCE(more, '') AS description, CAST(1000.5 AS DOUBLE) AS qty, 'NR' AS um, 'R' || CAST(n AS STRING) || COALESCE(refs, '') AS refdes, COALESCE(val, '') AS val, CAST(NULL AS VARCHAR) AS notes FROM j""")
+def sheet_records(spark, d):
+    records = S.sheet_records(_over(spark, d, _SHEET_CELLS, "orders", "nation"))[0]
+    return records.select("file_id", "row", "pos", "internal_code", "description", "qty", "um", "refdes", "val", "notes")
+
+
+@_query(f"SELECT file_id, 10 + 2 * n AS row FROM ({_SHEET_ROWS}) WHERE f % 7 = 0 AND n < 3")
+def sheet_orphans(spark, d):
+    return S.sheet_records(_over(spark, d, _SHEET_CELLS, "orders", "nation"))[1]
+
+
+# Totals with hidden rows, formulas, codes without letters, and rows after a gap of 35.
+_TOTAL_ROWS = f"SELECT file_id, n, n + 3 + CASE WHEN n >= 25 THEN 35 ELSE 0 END AS row, CASE WHEN n % 9 = 4 THEN cust ELSE 'E' || CAST(CAST(cust AS BIGINT) % 9 AS STRING) END AS code, CASE WHEN n % 13 = 6 THEN '=A1' ELSE CAST(n % 4 AS STRING) END AS q FROM ({_SHEET_ROWS}) x"
+_TOTAL_CELLS = f"""WITH t AS ({_TOTAL_ROWS}) SELECT file_id, 'Totalizzazione' AS sheet, row, 2 AS col, code AS value FROM t UNION ALL SELECT file_id, 'Totalizzazione', row, 5, q FROM t UNION ALL SELECT file_id, 'Other', row, 2, 'X1' FROM t
+UNION ALL SELECT DISTINCT file_id, 'Totalizzazione', 2, 2, 'Internal code' FROM t UNION ALL SELECT DISTINCT file_id, 'Totalizzazione', 2, 5, 'Q.ty' FROM t"""
+
+
+@_query(f"""WITH t AS ({_TOTAL_ROWS}), v AS (SELECT * FROM t WHERE n < 25 AND n % 11 <> 5 AND n % 13 <> 6 AND n % 4 > 0 AND n % 9 <> 4)
+SELECT code AS pn, CAST(sum(CAST(q AS BIGINT)) AS BIGINT) AS qty, count(*) AS n_rows, array_to_string(list_slice(list(row ORDER BY row), 1, 5), ',') AS samples FROM v GROUP BY code""")
+def sheet_totals(spark, d):
+    hidden = _over(spark, d, _TOTAL_ROWS, "orders").where("n % 11 = 5").select("file_id", "row")
+    loaded = load_totalization(S.totals_cells(_over(spark, d, _TOTAL_CELLS, "orders"), hidden))
+    return loaded.select("pn", F.col("qty").cast("bigint").alias("qty"), "n_rows", F.array_join("samples", ",").alias("samples"))

@@ -20,10 +20,10 @@ def load_totalization(cells: DataFrame) -> DataFrame:
 
     q = F.when(F.startswith(F.col("qty").cast("string"), F.lit("=")), None).otherwise(quantity(F.col("qty"), "decimal(38,12)"))
     rows = cells.select("sheet_row", norm(F.col("code")).alias("pn"), q.alias("qty")).where(F.rlike("pn", F.lit("[A-Z]")) & (F.col("qty") > 0))
-    # the five least rows of each code are found before they are gathered
+    # the five least rows of each code are cut down in every task before they meet
     first = F.row_number().over(Window.partitionBy("pn").orderBy("sheet_row"))
-    ranked = rows.withColumn("__r", first)
-    return ranked.groupBy("pn").agg(F.sum("qty").alias("qty"), F.count("*").alias("n_rows"), F.sort_array(F.collect_list(F.when(F.col("__r") <= 5, F.col("sheet_row")))).alias("samples"))
+    few = rows.select("pn", "sheet_row").withColumn("__r", first).where("__r <= 5").groupBy("pn").agg(F.sort_array(F.collect_list("sheet_row")).alias("samples"))
+    return rows.groupBy("pn").agg(F.sum("qty").alias("qty"), F.count("*").alias("n_rows")).join(few, "pn")
 
 
 def _note(status: Column) -> Column:
