@@ -274,9 +274,12 @@ def base_full_alias(spark, d):
     return G.base_aliases(h.withColumn("code", F.concat("code", F.when(n % 3 == 0, "-01").otherwise(""))).unionByName(more))
 
 
-@_query(_GRAPH + " SELECT parent FROM g WHERE parent = child")
+# Each thirteenth list also names itself.
+@_query(_GRAPH + ", x AS (SELECT * FROM g UNION SELECT DISTINCT code, code FROM bom_headers WHERE CAST(substr(code, 2) AS BIGINT) % 13 = 0) SELECT parent FROM x WHERE parent = child")
 def self_child_edges(spark, d):
-    return _graph(spark, d).where("parent = child").select("parent")
+    h, lines = view(spark, d, "bom_headers"), view(spark, d, "bom_lines")
+    own = h.where(F.substring("code", 2, 7).cast("int") % 13 == 0).select("bom_id", F.col("code").alias("internal_code"))
+    return G.list_graph(lines.select("bom_id", "internal_code").unionByName(own), h).where("parent = child").select("parent")
 
 
 @_query(with_views("bom_headers", "bom_lines") + """, l AS (SELECT internal_code AS code, trim(description) AS description, trim(manufacturer) AS manufacturer, seq FROM bom_lines),

@@ -240,8 +240,9 @@ def release_check_failing(spark, d):
 
 
 @_query(with_views("pbs_rows") + """, p AS (SELECT a.seq, a.code, a.rev, (SELECT max(b.seq) FROM pbs_rows b WHERE b.seq < a.seq AND b.level = a.level - 1) AS up, (SELECT max(b.seq) FROM pbs_rows b WHERE b.seq < a.seq AND b.level < a.level - 1) AS higher, row_number() OVER (ORDER BY a.seq) AS k FROM pbs_rows a),
-x AS (SELECT 'PBS__line__' || lpad(CAST(p.k AS STRING), 6, '0') AS id, p.code || '|' || p.rev AS key, COALESCE('PBS__line__' || lpad(CAST(q.k AS STRING), 6, '0'), '') AS up FROM p LEFT JOIN p q ON q.seq = CASE WHEN p.higher IS NULL OR p.up > p.higher THEN p.up END)
-SELECT 'PBS' AS name, 'pbs.xlsx' AS source_filename, sha256(string_agg(sha256(id || '|' || key || '|' || up), '' ORDER BY id)) AS source_hash, '2024-01-02 03:04:05' AS parsed_at, 'draft' AS status FROM x""")
+x AS (SELECT p.k, 'PBS__line__' || lpad(CAST(p.k AS STRING), 6, '0') AS id, p.code || '|' || p.rev AS key, COALESCE('PBS__line__' || lpad(CAST(q.k AS STRING), 6, '0'), '') AS up FROM p LEFT JOIN p q ON q.seq = CASE WHEN p.higher IS NULL OR p.up > p.higher THEN p.up END),
+b AS (SELECT k // 1024 AS k, sha256(string_agg(sha256(id || '|' || key || '|' || up), '' ORDER BY k, id)) AS h FROM x GROUP BY k // 1024), c AS (SELECT k // 1024 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM b GROUP BY k // 1024)
+SELECT 'PBS' AS name, 'pbs.xlsx' AS source_filename, sha256(string_agg(h, '' ORDER BY k)) AS source_hash, '2024-01-02 03:04:05' AS parsed_at, 'draft' AS status FROM c""")
 def export_release(spark, d):
     from .operators.sinks import export_lines
 

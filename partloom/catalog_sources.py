@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .adapters import view, with_views
 from .catalog_reports import _over
 from .operators.reconcile import load_totalization
+from .plans import pipelines as L
 from .sources import arbitration as A
 from .sources import page_grids as W
 from .sources import records as R
@@ -215,3 +217,30 @@ def sheet_totals(spark, d):
     hidden = _over(spark, d, _TOTAL_ROWS, "orders").where("n % 11 = 5").select("file_id", "row")
     loaded = load_totalization(S.totals_cells(_over(spark, d, _TOTAL_CELLS, "orders"), hidden))
     return loaded.select("pn", F.col("qty").cast("bigint").alias("qty"), "n_rows", F.array_join("samples", ",").alias("samples"))
+
+
+# --- lines and structures by internal code ---------------------------------------------------
+
+# Every third part has an alias, some two of them; raw lines as extractors give them.
+_ALIASES = """SELECT CASE WHEN p_partkey % 2 = 0 THEN 'x-' ELSE ' X ' END || CAST(p_partkey AS STRING) AS external_code, 'I' || CAST(p_partkey + 1 AS STRING) AS internal_code FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT 'X' || CAST(p_partkey AS STRING), 'I' || CAST(p_partkey + 2 AS STRING) FROM part WHERE p_partkey % 6 = 0 UNION ALL SELECT '', 'I0' FROM part WHERE p_partkey = 1"""
+_RAW_LINES = """SELECT p_partkey AS line_no, ' 00' || CAST(p_size AS STRING) || '  a ' AS pos, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'x ' || CAST(p_partkey AS STRING) END AS internal_code, ' ' || p_name AS description,
+CASE p_partkey % 5 WHEN 0 THEN '1,5' WHEN 1 THEN ' 2 ' WHEN 2 THEN '-' WHEN 3 THEN 'x' END AS qty, CASE p_partkey % 4 WHEN 0 THEN 'pz' WHEN 1 THEN ' doc ' ELSE '' END AS um, CASE WHEN p_size = 7 THEN 'Disegno' WHEN p_size = 8 THEN ' a  b' ELSE NULL END AS type,
+p_brand AS manufacturer, CAST(NULL AS STRING) AS notes FROM part"""
+
+
+@_query(rf"""WITH al AS (SELECT regexp_replace(upper(external_code), '[^A-Z0-9]', '', 'g') AS k, min(internal_code) AS i FROM ({_ALIASES}) WHERE external_code <> '' GROUP BY 1), r AS ({_RAW_LINES}),
+c AS (SELECT *, regexp_replace(upper(internal_code), '[^A-Z0-9]', '', 'g') AS k, TRY_CAST(replace(trim(qty), ',', '.') AS DOUBLE) AS q, trim(COALESCE(type, '')) AS t, upper(trim(um)) AS u FROM r)
+SELECT line_no, trim(regexp_replace(pos, '\s+', ' ', 'g')) AS pos, COALESCE(al.i, c.k) AS internal_code, trim(description) AS description, q AS qty, u AS unit,
+CASE WHEN t = 'Disegno' OR u = 'DOC' THEN 'DOCUMENT_REF' WHEN q IS NULL THEN 'UNKNOWN' ELSE 'MATERIAL' END AS kind, regexp_replace(t, '\s+', ' ', 'g') AS type, '' AS val, '' AS rat, '' AS tol, '' AS refdes, '' AS tecn, '' AS notes, manufacturer, '' AS manufacturer_code, '' AS rev
+FROM c LEFT JOIN al ON al.k = c.k""")
+def normalised_lines(spark, d):
+    lines = L.normalised_lines(_over(spark, d, _RAW_LINES, "part"), _over(spark, d, _ALIASES, "part"))
+    return lines.select("line_no", "pos", "internal_code", "description", "qty", "unit", "kind", "type", "val", "rat", "tol", "refdes", "tecn", "notes", "manufacturer", "manufacturer_code", "rev")
+
+
+@_query(with_views("pbs_rows") + f""", al AS (SELECT 'E' || lpad(CAST(s_suppkey AS STRING), 7, '0') AS k, 'Y' || CAST(s_suppkey AS STRING) AS i FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT seq, level, COALESCE(al.i, code) AS code, rev, qty FROM pbs_rows LEFT JOIN al ON al.k = code""")
+def structure_by_alias(spark, d):
+    aliases = _over(spark, d, "SELECT 'e ' || lpad(CAST(s_suppkey AS STRING), 7, '0') AS external_code, 'y-' || CAST(s_suppkey AS STRING) AS internal_code FROM supplier WHERE s_suppkey % 2 = 0", "supplier")
+    return L.structure_by_alias(view(spark, d, "pbs_rows"), aliases).select("seq", "level", "code", "rev", "qty")

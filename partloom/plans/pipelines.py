@@ -38,16 +38,49 @@ def _issue(df: DataFrame, level: str, code: str, message) -> DataFrame:
     return df.select(F.lit(level).alias("level"), F.lit(code).alias("code"), message.alias("message"))
 
 
+#: Text columns of a line beside its key, quantity and kind.
+LINE_TEXTS = ("description", "val", "rat", "tol", "refdes", "tecn", "notes", "manufacturer", "manufacturer_code")
+
+
+def canonicalised(df: DataFrame, column: str, aliases: DataFrame | None) -> DataFrame:
+    """``df`` with the codes of ``column`` reduced to letters and digits and replaced by their internal code, if they have one.
+
+    ``aliases`` (external_code, internal_code): of several internal codes the least counts; empty codes stay.
+    """
+    from ..functions.keys import alnum
+
+    reduced = df.withColumn(column, alnum(F.col(column)))
+    if aliases is None:
+        return reduced
+    named = aliases.select(alnum(F.col("external_code")).alias(column), alnum(F.col("internal_code")).alias("__inner")).where(F.col(column) != "").groupBy(column).agg(F.min("__inner").alias("__inner"))
+    return reduced.join(named, column, "left").withColumn(column, F.coalesce("__inner", column)).select(*df.columns)
+
+
 def normalised_lines(raw: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Typed lines from text columns: quantity, kind, and codes by their internal alias."""
-    from ..functions.keys import alnum, line_kind, quantity
-
-    code = alnum(F.col("internal_code"))
-    lines = raw.withColumn("internal_code", code).withColumn("qty", quantity(F.col("qty")))
-    if aliases is not None:
-        named = aliases.select(alnum(F.col("external_code")).alias("internal_code"), alnum(F.col("internal_code")).alias("__inner")).where("internal_code <> ''").dropDuplicates(["internal_code"])
-        lines = lines.join(named, "internal_code", "left").withColumn("internal_code", F.coalesce("__inner", "internal_code")).drop("__inner")
-    return lines.withColumn("kind", line_kind(F.col("type"), F.col("description"), F.col("unit"), F.col("qty")))
+    """Typed lines from text columns, other columns kept: key texts with single blanks, quantity, unit, kind, and codes by their internal alias.
+
+    A text column that ``raw`` lacks is empty; ``um`` stands in for ``unit``.
+    """
+    from ..functions.keys import line_kind, quantity
+
+    blank = F.lit("")
+    has = set(raw.columns)
+    own = lambda c: F.coalesce(F.col(c).cast("string"), blank) if c in has else blank
+    key = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    unit_text = F.coalesce(F.nullif(own("um"), blank), own("unit"))
+    texts = raw.withColumns({c: key(own(c)) for c in ("pos", "type", "rev")} | {c: F.trim(own(c)) for c in LINE_TEXTS} | {"unit": norm(key(unit_text)), "qty": quantity(F.col("qty"))})
+    lines = canonicalised(texts, "internal_code", aliases)
+    return lines.withColumn("kind", line_kind(F.col("type"), F.col("description"), F.col("unit"), F.col("qty"))).drop("um")
+
+
+def normalised_headers(headers: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Headers with their codes by internal alias, texts trimmed."""
+    return canonicalised(headers, "code", aliases).withColumns({c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("revision", "title") if c in headers.columns})
+
+
+def structure_by_alias(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Structure rows with their codes by internal alias; all else as it was."""
+    return canonicalised(rows, "code", aliases)
 
 
 def analyse_structure(spark: SparkSession, rows: DataFrame, headers: DataFrame, lines: DataFrame, totalization: DataFrame | None = None, policy: Policy = Policy()) -> Analysis:
