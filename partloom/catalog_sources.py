@@ -219,6 +219,23 @@ def sheet_totals(spark, d):
     return loaded.select("pn", F.col("qty").cast("bigint").alias("qty"), "n_rows", F.array_join("samples", ",").alias("samples"))
 
 
+# --- structures with merged headers ----------------------------------------------------------
+
+# Parts as rows of structures: in files of an odd number the header's cells are merged, and values stand at their second column or later.
+_MERGED_CELLS = """WITH r AS (SELECT CAST(p_partkey % 20 AS STRING) AS file_id, p_partkey % 2 = 1 AS odd, CAST(floor(p_partkey / 20) AS INTEGER) AS n, p_partkey AS k, CAST(p_size % 3 AS INTEGER) AS l FROM part), b AS (SELECT *, n + 4 + CASE WHEN n >= 60 THEN 25 ELSE 0 END AS row FROM r)
+SELECT file_id, row, CASE WHEN odd THEN 7 ELSE 1 END AS col, 'E' || CAST(k AS STRING) AS value FROM b WHERE n % 7 <> 3 UNION ALL SELECT file_id, row, CASE WHEN odd THEN 3 ELSE 3 + l END, ' text ' FROM b WHERE n % 5 <> 2 UNION ALL SELECT file_id, row, CASE WHEN odd THEN 1 ELSE 6 END, 'A' FROM b
+UNION ALL SELECT file_id, row, CASE WHEN odd THEN 5 ELSE 7 END, '2,5' FROM b WHERE l > 0
+UNION ALL SELECT DISTINCT file_id, 3, CASE WHEN odd THEN 6 ELSE 1 END, 'Codice' FROM r UNION ALL SELECT DISTINCT file_id, 3, CASE WHEN odd THEN 2 ELSE 3 END, 'Description' FROM r UNION ALL SELECT DISTINCT file_id, 3, CASE WHEN odd THEN 1 ELSE 6 END, 'Rev.' FROM r UNION ALL SELECT DISTINCT file_id, 3, CASE WHEN odd THEN 5 ELSE 7 END, 'QTY' FROM r"""
+_SPANS = "SELECT DISTINCT CAST(p_partkey % 20 AS STRING) AS file_id, 3 AS row0, 3 AS row1, 2 AS col0, 4 AS col1 FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT DISTINCT CAST(p_partkey % 20 AS STRING), 2, 3, 6, 8 FROM part WHERE p_partkey % 2 = 1"
+
+
+@_query("""WITH r AS (SELECT CAST(p_partkey % 20 AS STRING) AS doc_id, p_partkey % 2 = 1 AS odd, CAST(floor(p_partkey / 20) AS INTEGER) AS n, p_partkey AS k, CAST(p_size % 3 AS INTEGER) AS l FROM part)
+SELECT doc_id, CAST(n + 4 AS BIGINT) AS seq, CASE WHEN n % 7 <> 3 THEN 'E' || CAST(k AS STRING) ELSE '' END AS code, CASE WHEN n % 5 <> 2 THEN 'text' ELSE '' END AS description, 'A' AS rev, CASE WHEN l > 0 THEN 2.5::DOUBLE ELSE 0.0::DOUBLE END AS qty,
+CASE WHEN n % 5 = 2 THEN 0 WHEN odd THEN 1 ELSE l END AS level FROM r WHERE n < 60 AND (n % 7 <> 3 OR n % 5 <> 2)""")
+def structure_merged(spark, d):
+    return S.structure_rows(_over(spark, d, _MERGED_CELLS, "part"), _over(spark, d, _SPANS, "part"))
+
+
 # --- lines and structures by internal code ---------------------------------------------------
 
 # Every third part has an alias, some two of them; raw lines as extractors give them.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import norm, quantity, text
 from .grids import alias_table, assembled_records, column_map, header_rows
-from .headers import totals_header
+from .headers import STRUCTURE_NAMES, structure_blocks, totals_header
 
 # Spellings of the columns of a component sheet, and limits of its table.
 SHEET_NAMES = {
@@ -31,7 +31,7 @@ SHEET_NAMES = {
     "tecn": ["TECN", "TECH", "TECHNOLOGY"],
 }
 REQUIRED, ONCE = ["pos", "description", "qty"], ("pos", "qty", "um", "internal_code")
-MOST_EMPTY, MOST_ROWS, TOTALS_SHEET = 30, 20_000, "TOTALIZZAZIONE"
+MOST_EMPTY, MOST_EMPTY_STRUCTURE, MOST_ROWS, TOTALS_SHEET = 30, 25, 20_000, "TOTALIZZAZIONE"
 
 
 def spelled(c: Column) -> Column:
@@ -110,3 +110,50 @@ def totals_cells(cells: DataFrame, hidden: DataFrame | None = None) -> DataFrame
         skipped = skipped.unionByName(hidden.select("file_id", "row"))
     kept = before_gap(filled, heads.select("file_id", "row"), skipped)
     return rows.join(kept, ["file_id", "row"], "left_semi").select("file_id", F.col("row").alias("sheet_row"), "code", "qty")
+
+
+def merged_blocks(cells: DataFrame, spans: DataFrame, rows: int = 250, cols: int = 120) -> DataFrame:
+    """As ``structure_blocks``, with the columns of a header cell those of the merged span it stands in.
+
+    ``spans`` (file_id, row0, row1, col0, col1): each row of a span meets the header cells of that
+    row, so a cell is only held against spans beside it.
+    """
+    table = [(k, alias) for k, spellings in STRUCTURE_NAMES.items() for alias in spellings]
+    names = cells.sparkSession.createDataFrame(table, "name string, alias string")
+    hit = cells.where((F.col("row") <= rows) & (F.col("col") <= cols)).withColumn("alias", F.regexp_replace(norm(F.col("value")), r"\s+", "")).join(F.broadcast(names), "alias").select("file_id", "row", "col", "name")
+    by_row = spans.select("file_id", "col0", "col1", F.explode(F.sequence("row0", F.least("row1", F.lit(rows)))).alias("row"))
+    placed = hit.join(by_row, ["file_id", "row"], "left").withColumn("in", F.coalesce(F.col("col").between(F.col("col0"), F.col("col1")), F.lit(False)))
+    wide = placed.groupBy("file_id", "row", "col", "name").agg(F.coalesce(F.min(F.when(F.col("in"), F.col("col0"))), F.col("col")).alias("c0"), F.coalesce(F.max(F.when(F.col("in"), F.col("col1"))), F.col("col")).alias("c1"))
+    at = lambda name: F.min(F.when(F.col("name") == name, F.struct("col", "c0", "c1"))).alias(name)
+    found = wide.groupBy("file_id", "row").agg(*[at(n) for n in STRUCTURE_NAMES]).where("CODE is not null and DESCRIPTION is not null")
+    first = found.groupBy("file_id").agg(F.min(F.struct("row", *STRUCTURE_NAMES)).alias("h")).select("file_id", "h.*")
+    return first.select(
+        "file_id", F.col("row").alias("header_row"), F.col("CODE.c0").alias("code0"), F.col("CODE.c1").alias("code1"), F.col("DESCRIPTION.c0").alias("desc0"), F.col("DESCRIPTION.c1").alias("desc1"),
+        F.col("REV.c0").alias("rev_col"), F.col("QTY.c0").alias("qty_col"), F.when(F.col("REV").isNull() | F.col("QTY").isNull(), "MISSING_COLUMNS").otherwise("").alias("error"),
+    )
+
+
+def _structure(cells: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, seq, code, description, rev, qty, level of the rows below a header, up to 25 empty ones."""
+    good = blocks.where("error = ''")
+    filled = cells.withColumn("value", F.trim(text(F.col("value")))).where("value <> ''").join(good, "file_id").where("row > header_row")
+    first = lambda a, b: F.min(F.when(F.col("col").between(F.col(a), F.col(b)), F.struct("col", "value")))
+    one = lambda c: F.max(F.when(F.col("col") == F.col(c), F.col("value")))
+    rows = filled.groupBy("file_id", "row", "desc0").agg(first("code0", "code1").alias("c"), first("desc0", "desc1").alias("d"), one("rev_col").alias("rev"), one("qty_col").alias("q")).where("c is not null or d is not null")
+    kept = rows.join(before_gap(rows, good.select("file_id", F.col("header_row").alias("row")), most=MOST_EMPTY_STRUCTURE), ["file_id", "row"], "left_semi")
+    blank = F.lit("")
+    return kept.select(
+        F.col("file_id").alias("doc_id"), F.col("row").cast("long").alias("seq"), F.regexp_replace(F.coalesce("c.value", blank), r"\s+", " ").alias("code"), F.coalesce("d.value", blank).alias("description"),
+        F.coalesce("rev", blank).alias("rev"), F.coalesce(quantity(F.col("q")), F.lit(0.0)).alias("qty"), F.coalesce(F.greatest(F.col("d.col") - F.col("desc0"), F.lit(0)), F.lit(0)).alias("level"),
+    )
+
+
+def structure_rows(cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows of indented structures; files of which the columns between header cells give no row are read by merged spans.
+
+    The level is the place of the description within its columns, 0 without one.  The structure
+    ends before 25 rows without code and description.
+    """
+    plain = _structure(cells, structure_blocks(cells))
+    rest = cells.join(plain.select(F.col("doc_id").alias("file_id")).distinct(), "file_id", "left_anti")
+    return plain.unionByName(_structure(rest, merged_blocks(rest, spans)))

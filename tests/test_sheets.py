@@ -34,3 +34,14 @@ def test_a_totals_sheet_ends_at_thirty_empty_rows_that_count(spark):
     loaded = lambda h: {r.pn: (float(r.qty), r.n_rows, r.samples) for r in load_totalization(S.totals_cells(table, h)).collect()}
     assert loaded(hidden) == {"A1": (3.5, 2, [2, 3]), "D4": (4.0, 1, [36]), "E5": (5.0, 1, [68])}
     assert loaded(None) == {"A1": (3.5, 2, [2, 3]), "D4": (4.0, 1, [36]), "HIDDEN": (9.0, 1, [37])}
+
+
+def test_a_structure_is_read_by_merged_spans_where_plain_columns_give_nothing(spark):
+    head = ["Rev.", "Description", None, None, "Qty", "Code"]
+    merged = [(3, head), (4, ["A", None, "bolt  x", None, "2,5", None, " E1  01 "]), (5, [None, None, None, "nut", "x", None, None, "E2"]), (6, [None, None, None, None, "1", None, "E3"]), (32, ["B", None, "after the gap", None, "1", None, "E4"])]
+    plain = [(1, ["Code", None, "Description", None, "Rev", "Qty"]), (2, ["E5", None, None, "screw", "A", "3"])]
+    both = cells(spark, merged).unionByName(cells(spark, plain, "g"))
+    spans = spark.createDataFrame([("f", 3, 3, 2, 4), ("f", 3, 3, 6, 8), ("f", 9, 12, 1, 9), ("g", 1, 1, 3, 3)], "file_id string, row0 int, row1 int, col0 int, col1 int")
+    rows = [tuple(r) for r in S.structure_rows(both, spans).orderBy("doc_id", "seq").select("doc_id", "seq", "code", "description", "rev", "qty", "level").collect()]
+    assert rows == [("f", 4, "E1 01", "bolt  x", "A", 2.5, 1), ("f", 5, "E2", "nut", "", 0.0, 2), ("f", 6, "E3", "", "", 1.0, 0), ("g", 2, "E5", "screw", "A", 3.0, 1)]
+    assert S.structure_rows(both, spans.limit(0)).where("doc_id = 'f'").count() == 0
