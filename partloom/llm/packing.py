@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import before, written
+from .store import before, likely, written
 from .tokens import encoder, slices, tokenizer_path
 
 CAPACITY = 4096
@@ -338,7 +338,8 @@ def _checksums(parts: DataFrame, pieces: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) if c != "ids_crc32" else pa.array(sums, pa.int64()) for c in out.names], out.names)
 
     out = parts.schema
-    joined = parts.join(pieces.select("piece", "ids"), "piece")
+    # ids of pieces that were not cut stay where they are
+    joined = parts.join(likely(pieces.select("piece", "ids"), parts, "piece"), "piece")
     return joined.mapInArrow(check, out)
 
 
