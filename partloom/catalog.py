@@ -161,6 +161,25 @@ def link_pbs_bom(spark, d):
     return R.link_rows(view(spark, d, "pbs_rows"), view(spark, d, "bom_headers")).select("seq", "code", "rev", "status")
 
 
+# Every fifth list is there twice, and some codes end in X.
+_TWICE = "SELECT bom_id, bom_seq, code || CASE WHEN CAST(substr(code, 2) AS BIGINT) % 4 = 0 THEN 'X' ELSE '' END AS code, revision FROM bom_headers UNION ALL SELECT bom_id || '+', bom_seq + 5, code, revision FROM bom_headers WHERE CAST(substr(code, 2) AS BIGINT) % 5 = 0 AND CAST(substr(code, 2) AS BIGINT) % 4 <> 0"
+
+
+@_query(with_views("bom_headers", "pbs_rows") + f""", h AS ({_TWICE}), p AS (SELECT DISTINCT code, rev FROM pbs_rows WHERE code <> ''), i AS (SELECT code, revision, count(*) AS n FROM h GROUP BY ALL)
+SELECT p.code, p.rev, 'AMBIGUOUS' AS status, h.code AS candidate, h.revision, h.bom_id FROM p JOIN i ON i.code = p.code AND i.revision = p.rev AND i.n > 1 JOIN h ON h.code = p.code AND h.revision = p.rev
+UNION ALL SELECT p.code, p.rev, 'MISSING', h.code, h.revision, h.bom_id FROM p JOIN h ON regexp_extract(h.code, '[0-9]+') = regexp_extract(p.code, '[0-9]+') AND h.code <> p.code WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.code = p.code AND i.revision = p.rev)""")
+def link_candidates(spark, d):
+    h = spark.sql(_TWICE.replace("FROM bom_headers", "FROM {h}"), h=view(spark, d, "bom_headers"))
+    return R.link_candidates(view(spark, d, "pbs_rows"), h)
+
+
+@_query(_WALK + "SELECT DISTINCT parent_code, parent_rev, child_code, l.line_no AS pos, w.unit, l.kind, w.bom_id FROM walk w JOIN bom_lines l ON l.bom_id = w.bom_id AND l.line_no = CAST(right(w.k, 2) AS INTEGER) WHERE state = 'MISSING_QTY'")
+def missing_edge_rows(spark, d):
+    from .operators.reports import missing_edge_rows as rows
+
+    return rows(_exploded(spark, d).missing(), view(spark, d, "bom_lines"))
+
+
 _VARIANT = "(SELECT code || CASE WHEN CAST(substr(code, 2) AS BIGINT) % 4 = 0 THEN 'X' ELSE '' END AS code, revision, bom_id, bom_seq FROM bom_headers)"
 
 

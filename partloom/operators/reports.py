@@ -158,6 +158,13 @@ def alias_suspects(aliases: DataFrame, graph: DataFrame, headers: DataFrame) ->
     return j.select("base", "full", flag("base"), flag("full"), degree("base"), degree("full"))
 
 
+def missing_edge_rows(missing: DataFrame, lines: DataFrame) -> DataFrame:
+    """parent_code, parent_rev, child_code, pos, unit, kind, bom_id: each line without a quantity that an explosion met, once."""
+    met = missing.select("parent_code", "parent_rev", "child_code", "unit", "bom_id", F.element_at("dfs_key", -1).alias("pos")).distinct()
+    own = lines.select("bom_id", F.col("line_no").alias("pos"), "kind").distinct()
+    return met.join(own, ["bom_id", "pos"]).select("parent_code", "parent_rev", "child_code", "pos", "unit", "kind", "bom_id")
+
+
 def graph_cycles(graph: DataFrame) -> DataFrame:
     """head, length, path: a shortest cycle for every edge into the least code of a cyclic part, and every loop; of any length."""
     return cycle_witnesses(graph).select("head", "length", F.array_join("path", " > ").alias("path"))

@@ -26,6 +26,13 @@ def same_root(wanted: DataFrame, headers: DataFrame) -> DataFrame:
     return w.join(h, "root").where("code <> other").groupBy("code").agg(F.sort_array(F.collect_set("other")).alias("candidates"))
 
 
+def has_same_root(wanted: DataFrame, headers: DataFrame) -> DataFrame:
+    """code: those of ``wanted`` for which a header has the same digit root but another code; a root is one row, not all its pairs."""
+    w = wanted.select("code", digit_root(F.col("code")).alias("root")).where("root <> ''").distinct()
+    ends = header_index(headers).select("code", digit_root(F.col("code")).alias("root")).where("root <> ''").groupBy("root").agg(F.min("code").alias("least"), F.max("code").alias("most"))
+    return w.join(ends, "root").where("least <> code or most <> code").select("code")
+
+
 def resolve(wanted: DataFrame, headers: DataFrame, fallback: bool = True, use_max_rev: bool = True) -> DataFrame:
     """One row for each distinct (code, rev) of ``wanted``.
 
@@ -35,10 +42,10 @@ def resolve(wanted: DataFrame, headers: DataFrame, fallback: bool = True, use_ma
     w = wanted.select(norm(F.col("code")).alias("code"), norm(F.col("rev")).alias("rev")).where("code <> ''").distinct()
     strict = header_index(headers).groupBy("code", "revision").agg(F.min_by("bom_id", "bom_seq").alias("strict_id")).withColumnRenamed("revision", "rev")
     top = max_revision(headers).select("code", "n", F.col("bom_id").alias("top_id"), F.col("revision").alias("top_rev"))
-    near = same_root(w, headers)
+    near = has_same_root(w, headers).withColumn("near", F.lit(True))
     j = w.join(strict, ["code", "rev"], "left").join(top, "code", "left").join(near, "code", "left")
     n, known = F.coalesce("n", F.lit(0)), F.col("rev") != ""
-    hit, none = known & F.col("strict_id").isNotNull(), F.when(F.col("candidates").isNotNull(), "SUSPICIOUS_HEADER_MISMATCH").otherwise("MISSING_FILE")
+    hit, none = known & F.col("strict_id").isNotNull(), F.when(F.col("near").isNotNull(), "SUSPICIOUS_HEADER_MISMATCH").otherwise("MISSING_FILE")
     several = n > 1
     outcome = (
         F.when(hit, "OK")
@@ -63,6 +70,17 @@ def link_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return r.join(index, ["code", "rev"], "left").select("doc_id", "seq", "code", "rev", status.alias("status"), n.alias("n"), F.when(n == 1, F.col("bom_id")).alias("bom_id"))
 
 
+def link_candidates(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """code, rev, status, candidate, revision, bom_id: the lists that an AMBIGUOUS link could mean, and those of the same digit root for a MISSING one."""
+    links = link_rows(rows, headers).select("code", "rev", "status").distinct()
+    index = header_index(headers).select(F.col("code").alias("candidate"), "revision", "bom_id", digit_root(F.col("code")).alias("root"))
+    equal = links.where("status = 'AMBIGUOUS'").join(index, (F.col("code") == F.col("candidate")) & (F.col("rev") == F.col("revision")))
+    open_links = links.where("status = 'MISSING'").withColumn("own", digit_root(F.col("code"))).where("own <> ''")
+    near = open_links.join(index, (F.col("own") == F.col("root")) & (F.col("code") != F.col("candidate")))
+    columns = ["code", "rev", "status", "candidate", "revision", "bom_id"]
+    return equal.select(*columns).unionByName(near.select(*columns))
+
+
 def structure_revs(rows: DataFrame) -> DataFrame:
     """code, rev: the last non-empty revision of each code."""
     named = rows.select("seq", norm(F.col("code")).alias("code"), norm(F.col("rev")).alias("rev")).where("code <> '' and rev <> ''")
