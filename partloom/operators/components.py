@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 from ..plans.tables import stored
 
 
+def _inner_edges(edges: DataFrame) -> DataFrame:
+    """Edges whose parent is a child and whose child is a parent."""
+    held = edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+    return held.select("parent", "child")
+
+
 def trimmed(graph: DataFrame) -> DataFrame:
     """The edges (parent, child) left when codes without a parent or without a child are taken away again and again."""
     edges = stored(graph.select("parent", "child").distinct(), "cyclic")
     n = edges.count()
     while n:
-        held = edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-        edges = stored(held.select("parent", "child"), "cyclic")
+        edges = stored(_inner_edges(_inner_edges(edges)), "cyclic")  # two rounds a table
         left = edges.count()
         if left == n:
             break

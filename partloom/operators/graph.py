@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm
-from ..plans.tables import stored
+from ..plans.tables import ranked, stored
+from .components import strong_components
 from .resolve import header_index
 
 
@@ -58,17 +59,47 @@ def reach(graph: DataFrame, starts: DataFrame) -> DataFrame:
         seen = seen.unionByName(frontier)
 
 
+def reach_counts(graph: DataFrame, headers: DataFrame, starts: DataFrame) -> DataFrame:
+    """code, reachable: how many header codes each of ``starts`` (code) leads to, itself included.
+
+    Codes of one strongly connected part are one node.  Headers are numbered, and every node has bitmaps of
+    the headers below it, by blocks of 32,768; nodes whose children are done send theirs to their
+    parents.  So a level moves bitmaps along edges, and no pair of a start and a code is ever a row.
+    """
+    parts = strong_components(graph)
+
+    def node(df: DataFrame, column: str, name: str) -> DataFrame:
+        own = parts.select(F.col("code").alias(column), F.col("head").alias("__head"))
+        return df.join(own, column, "left").withColumn(name, F.coalesce("__head", column)).drop("__head")
+
+    edges = node(node(graph.select("parent", "child"), "parent", "above"), "child", "below")
+    edges = stored(edges.where("above <> below").select("above", "below").distinct(), "node-edges")
+    ends = stored(node(starts.select("code").distinct(), "code", "node"), "starts")
+    numbered = stored(header_index(headers).select("code").distinct().select("code", F.monotonically_increasing_id().alias("n")), "header-numbers")
+    block, bit = F.call_function("bitmap_bucket_number", "n"), F.call_function("bitmap_bit_position", "n")
+    bits = stored(node(numbered, "code", "node").select("node", block.alias("block"), bit.alias("bit")).groupBy("node", "block").agg(F.call_function("bitmap_construct_agg", "bit").alias("bits")), "reach-bits")
+    while True:
+        waiting = edges.select(F.col("above").alias("below")).distinct().withColumn("waits", F.lit(True))
+        marked = stored(edges.join(waiting, "below", "left"), "marked-edges")
+        ready, edges = marked.where("waits is null"), marked.where("waits").select("above", "below")
+        if ready.isEmpty():
+            break
+        sent = ready.join(bits.withColumnRenamed("node", "below"), "below").select(F.col("above").alias("node"), "block", "bits")
+        # what was sent everywhere is only kept for starts
+        wanted = marked.select(F.col("above").alias("node")).unionByName(ends.select("node")).distinct()
+        bits = stored(bits.join(wanted, "node", "left_semi").unionByName(sent).groupBy("node", "block").agg(F.call_function("bitmap_or_agg", "bits").alias("bits")), "reach-bits")
+    counted = ends.join(bits, "node", "left").groupBy("code").agg(F.sum(F.call_function("bitmap_count", "bits")).alias("n"))
+    return counted.select("code", F.coalesce("n", F.lit(0)).alias("reachable"))
+
+
 def rank_roots(graph: DataFrame, headers: DataFrame, folder_base: str = "") -> DataFrame:
     """code, folder_match, reachable (headers), outdegree, rank, score."""
     r = roots(graph, headers)
-    own = header_index(headers).select("code").distinct()
-    reached = reach(graph, r).join(own, "code", "left_semi").groupBy(F.col("start").alias("code")).agg(F.count("*").alias("reachable"))
+    reached = reach_counts(graph, headers, r)
     outs = graph.groupBy(F.col("parent").alias("code")).agg(F.count("*").alias("outdegree"))
     j = r.join(reached, "code", "left").join(outs, "code", "left").select("code", (F.col("code") == folder_base).cast("int").alias("folder_match"), F.coalesce("reachable", F.lit(0)).alias("reachable"), F.coalesce("outdegree", F.lit(0)).alias("outdegree"))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(F.desc("folder_match"), F.desc("reachable"), F.desc("outdegree"), "code"))
-    return j.select("*", (F.col("folder_match") * 1000000 + F.col("reachable") * 1000 + F.col("outdegree")).alias("score"), place.alias("rank"))
+    scored = j.withColumn("score", F.col("folder_match") * 1000000 + F.col("reachable") * 1000 + F.col("outdegree"))
+    return ranked(scored, [F.desc("folder_match"), F.desc("reachable"), F.desc("outdegree"), F.asc("code")])
 
 
 def where_used(edges: DataFrame) -> DataFrame:

@@ -58,3 +58,36 @@ def test_random_graphs_loops_and_none(spark):
     check(spark, {(f"n{r.randint(0, 25):02d}", f"n{r.randint(0, 25):02d}") for _ in range(34)} | {("a", "a"), ("b", "c"), ("c", "b"), ("c", "c"), ("z", "a")})
     assert C.cycle_witnesses(graph(spark, {("a", "b"), ("b", "c")})).count() == 0
     assert C.strong_components(graph(spark, {("a", "b")}).limit(0)).count() == 0
+
+
+def test_reach_counts_equal_plain_reach(spark):
+    from partloom.operators import graph as G
+
+    r = random.Random(3)
+    edges = {(f"N{r.randint(0, 40):02d}", f"N{r.randint(0, 40):02d}") for _ in range(60)}
+    headers = [(f"b{i}", i, f"N{i:02d}", "A") for i in range(0, 41, 2)] + [("x", 99, "ALONE", "A")]
+    own = {h[2] for h in headers}
+    out = defaultdict(set)
+    for a, b in edges:
+        out[a].add(b)
+    want = {}
+    for start in [*own, "N01", "NOTHING"]:
+        seen, todo = {start}, [start]
+        while todo:
+            for b in out[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        want[start] = len(seen & own)
+    g, h = graph(spark, edges), spark.createDataFrame(headers, "bom_id string, bom_seq long, code string, revision string")
+    got = G.reach_counts(g, h, spark.createDataFrame([(c,) for c in want], "code string"))
+    assert {x.code: x.reachable for x in got.collect()} == want
+
+
+def test_ranks_by_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from partloom.plans.tables import ranked
+
+    values = [random.Random(5).randint(0, 50) for _ in range(300)]
+    rows = ranked(spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(7), [F.desc("v"), F.asc("i")]).collect()
+    assert [(x.v, x.i) for x in sorted(rows, key=lambda x: x.rank)] == sorted([(v, i) for i, v in enumerate(values)], key=lambda x: (-x[0], x[1])) and {x.rank for x in rows} == set(range(1, 301))
