@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import alnum, leading_root, looks_like_document, norm
+from ..functions.keys import alnum, looks_like_document, norm
 from .resolve import header_index, link_rows, rev_conflicts
+from .similar import near_codes, variants
 
 TOLERANCE = 1e-4
 
@@ -136,31 +137,6 @@ def parent_child_mismatches(parents: DataFrame, headers: DataFrame, lines: DataF
     )
 
 
-def _near_codes(codes: DataFrame, known: DataFrame) -> DataFrame:
-    """code, other, d, ratio: spellings near each code, from the one pool that applies to it.
-
-    The pool is what has the same leading digits; without such, what begins with the same ten (of
-    shorter codes: eight) letters; without such, what differs by a letter put in, left out or
-    changed.  Pools are joins on a key, so no code is held against all others.
-    """
-    from .reports import sequence_ratio
-
-    start = lambda c: F.when(F.length(c) >= 10, F.substring(c, 1, 10)).otherwise(F.substring(c, 1, 8))
-    keyed = lambda df, c, kind, key: df.select(F.col(c), F.lit(kind).alias("kind"), key.alias("key")).where("key is not null and key <> ''")
-    short = lambda c: F.explode(F.array_append(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))), c))
-
-    def keys(df: DataFrame, c: str) -> DataFrame:
-        by_letter = df.where(F.col(c) != "").select(F.col(c), F.lit(3).alias("kind"), short(F.col(c)).alias("key")).where("key <> ''")
-        return keyed(df, c, 1, leading_root(F.col(c))).unionByName(keyed(df, c, 2, start(F.col(c)))).unionByName(by_letter).distinct()
-
-    pool = keys(codes, "code").join(keys(known.select(F.col("code").alias("other")).distinct(), "other"), ["kind", "key"]).select("code", "other", "kind").distinct()
-    first = pool.groupBy("code").agg(F.min("kind").alias("kind"))
-    pairs = pool.join(first, ["code", "kind"]).where("code <> other")
-    rated = pairs.withColumn("d", F.expr("levenshtein(code, other, 2)")).withColumn("ratio", sequence_ratio("code", "other"))
-    # difflib's close matches, of the last pool, have a ratio of .90
-    return rated.where((F.col("kind") < 3) | (F.col("ratio") >= 0.9)).where((F.col("d") >= 0) | (F.col("ratio") >= 0.92)).select("code", "other", F.when(F.col("d") >= 0, F.col("d")).otherwise(3).alias("d"), "ratio")
-
-
 def diagnose_unexploded(codes: DataFrame, effective: DataFrame, reached: DataFrame, occurring: DataFrame, exploded: DataFrame, revs: DataFrame, traced: DataFrame | None = None, missing_lists: DataFrame | None = None) -> DataFrame:
     """code, rev, reason, candidate, parent, parent_rev, pos, note of each unexploded code; the first rule that fits decides.
 
@@ -177,9 +153,8 @@ def diagnose_unexploded(codes: DataFrame, effective: DataFrame, reached: DataFra
     first = at.groupBy("code").agg(F.min(place).alias("first"), open_place.alias("open"))
     known = occurring.select("code").distinct()
     wanted = codes.select("code").distinct()
-    rooted = lambda df, c: df.select(F.col(c), leading_root(F.col(c)).alias("root"), F.regexp_extract(norm(F.col(c)), "^[0-9]{6,}(.*)$", 1).alias(f"{c}_end")).where("root is not null")
-    variant = rooted(wanted, "code").join(rooted(known.withColumnRenamed("code", "other"), "other"), "root").where("code <> other and code_end <> other_end").groupBy("code").agg(F.min(F.struct("other", "root", "code_end", "other_end")).alias("variant"))
-    typo = _near_codes(wanted, known).groupBy("code").agg(F.min(F.struct("d", (-F.col("ratio")).alias("ratio"), "other")).alias("typo"))
+    variant = variants(wanted, known)
+    typo = near_codes(wanted, known).groupBy("code").agg(F.min(F.struct("d", (-F.col("ratio")).alias("ratio"), "other")).alias("typo"))
     j = wanted.join(effective.select("code", "total"), "code", "left").join(reached.select("code").distinct().withColumn("hit", F.lit(True)), "code", "left")
     j = j.join(done, "code", "left").join(first, "code", "left").join(variant, "code", "left").join(typo, "code", "left").join(revs.select("code", "rev"), "code", "left")
     none = spark.createDataFrame([], "code string, unselectable boolean, asked string, taken string, fell boolean, ambiguous boolean")
