@@ -168,15 +168,35 @@ def pivotal_copies(sized: DataFrame, seed: int = 20240229, key: Sequence[str] =
     return out.withColumn("copies", F.col("__base") + F.col("__frac").cast("long")).drop("expected", "__base", "__frac", "__octave", "__salt")
 
 
+def _numbered_nulls(sizes: DataFrame) -> DataFrame:
+    """``sizes`` without __part and __place; __tie of a row of null id also tells its number among the rows equal to it.
+
+    Numbers run from 0 whatever the partitions, so the rows drawn are the same.  A window holds
+    what one partition has of a text, or one row of each partition.
+    """
+    same = ["source", "size", "__tie"]
+    nulls = sizes.where("doc_id is null")
+    parts = nulls.groupBy(*same, "__part").agg(F.count("*").alias("__n"))
+    base = F.coalesce(F.sum("__n").over(Window.partitionBy(*same).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = parts.select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("__tie").alias("__t"), F.col("__part").alias("__p"), base.alias("__base"))
+    own = F.row_number().over(Window.partitionBy(*same, "__part").orderBy("__place"))
+    met = nulls.withColumn("__own", own).join(bases, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")) & (F.col("__tie") == F.col("__t")) & (F.col("__part") == F.col("__p")))
+    tied = met.withColumn("__tie", F.xxhash64("__tie", F.col("__base") + F.col("__own")))
+    kept = [c for c in sizes.columns if c not in ("__part", "__place")]
+    return sizes.where("doc_id is not null").select(*kept).unionByName(tied.select(*kept))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of every row of ``docs``, and its columns ``carry``.
 
     A null text has size 0 and no copies; null sources form one source; null and repeated ids are
-    drawn row by row.  An empty table gives no rows.
+    drawn row by row, the same ones however the rows are partitioned.  An empty table gives no rows.
     """
-    # repeated ids are told apart by text, null ones by place, so that they too are dealt over all chunks
-    tie = F.xxhash64("text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    sizes = written(docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), tie.alias("__tie")), "mix-sizes")
+    # repeated ids are told apart by text, null ones by their number among equal rows, so that they too are dealt over all chunks
+    sizes = _numbered_nulls(written(docs.select(
+        *carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("__tie"),
+        F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__place"),
+    ), "mix-sizes"))
     targets = source_targets(sizes, weights, share, ceiling)
     joined = sizes.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     return pivotal_copies(written(joined.withColumn("expected", F.try_divide("target", F.col("source_size").cast("double"))), "mix-expected"), key=("doc_id", "__tie")).drop("__tie")

@@ -115,6 +115,16 @@ def test_mix_is_unbiased(spark):
     assert all(abs(mean[r[0]] - r[3]) < 0.85 for r in rows)
 
 
+def test_mix_of_null_ids_does_not_depend_on_partitions(spark):
+    docs = random_docs(spark, 300, seed=9, most=60)
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))).withColumn("text", F.when(F.col("doc_id").isNull() & (F.length("text") % 2 == 0), F.lit("one text that many rows of null id have")).otherwise(F.col("text")))
+    docs = docs.withColumn("source", F.when(F.length("text") % 5 != 0, F.col("source")))
+    drawn = [Counter((r.doc_id, r.source, r.size, r.copies) for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 2, 7)]
+    assert drawn[0] == drawn[1] == drawn[2] and sum(drawn[0].values()) == 300
+    equal = Counter(c for d, _, s, c in drawn[0].elements() if d is None and s == 9)
+    assert len(equal) > 1  # equal rows are still drawn one by one
+
+
 def test_mix_edge_cases(spark):
     docs = frame(spark)
     got = mixing.mix(docs).collect()
