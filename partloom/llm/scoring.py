@@ -170,6 +170,19 @@ def _read(data: bytes) -> np.ndarray:
     return out.view("<i8").reshape(-1)
 
 
+def _counted(values: np.ndarray) -> bytes:
+    """Whole numbers of which most are small: a byte each, 255 for those that follow in full, after how many there are."""
+    large = values >= 255
+    return int(len(values)).to_bytes(8, "little") + np.where(large, 255, values).astype(np.uint8).tobytes() + _ints(values[large])
+
+
+def _recounted(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = _read(data[8 + n :])
+    return out
+
+
 def _packed(ascending: np.ndarray) -> bytes:
     """Ascending whole numbers as their steps."""
     return _ints(np.diff(ascending, prepend=0))
@@ -292,7 +305,7 @@ def corpus_counts(batches: DataFrame, shares: int) -> DataFrame:
                 columns = [held.keys, *held.own_counts()]
                 starts = np.concatenate([[0], ends[:-1]])
                 full = np.flatnonzero(ends > starts)
-                cut = [[put(c[order[starts[i] : ends[i]]]) for i in full] for c, put in zip(columns, (np.ndarray.tobytes, *[_ints] * 4))]
+                cut = [[put(c[order[starts[i] : ends[i]]]) for i in full] for c, put in zip(columns, (np.ndarray.tobytes, *[_counted] * 4))]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), *[pa.array(c, pa.binary()) for c in cut]], ["share", "batch", "keys", *_SUMS])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
@@ -300,8 +313,8 @@ def corpus_counts(batches: DataFrame, shares: int) -> DataFrame:
         _, at = np.unique(np.frombuffer(b"".join(group["keys"]), "<u8"), return_inverse=True)
         out = {"batch": group["batch"], "share": group["share"]}
         for c in _SUMS:
-            sums = np.bincount(at, np.concatenate([_read(x) for x in group[c]]))[at].astype(np.int64)
-            out[c] = [_ints(x) for x in np.split(sums, np.cumsum(lengths)[:-1])]
+            sums = np.bincount(at, np.concatenate([_recounted(x) for x in group[c]]))[at].astype(np.int64)
+            out[c] = [_counted(x) for x in np.split(sums, np.cumsum(lengths)[:-1])]
         return pd.DataFrame(out)
 
     sums = ", ".join(f"{c} binary" for c in _SUMS)
@@ -324,7 +337,7 @@ def _scored(batches: DataFrame, answers: DataFrame, shares: int, totals: tuple[i
                     count = np.zeros(len(held.keys))
                     told = sorted(row["answers"], key=lambda x: x["share"])
                     if told:
-                        count[order] = np.concatenate([_read(x[c]) for x in told])
+                        count[order] = np.concatenate([_recounted(x[c]) for x in told])
                     counts.append(count)
                 background, target = held.losses(counts, totals, n)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held.lengths), pa.array(target), pa.array(background)], ["doc_id", "n_words", "target_loss", "background_loss"])

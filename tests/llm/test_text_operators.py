@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from cases import empty, frame, random_docs, words
 
 from partloom.llm import licenses, privacy, quality, scoring
@@ -143,14 +145,17 @@ def test_licences(spark):
     assert Counter(r.doc_id for r in licenses.scan(edge, model).collect()) == Counter(r.doc_id for r in edge.collect())
 
 
-def test_scoring_against_plain_counts(spark):
+@pytest.mark.parametrize("size", [20, None])
+def test_scoring_against_plain_counts(spark, size):
+    """With a listed vocabulary, and with that of the query: words that five rows hold."""
     docs = random_docs(spark, 40, seed=6, most=60)
     rows = {r.doc_id: (r.text or "").lower().split() for r in docs.collect()}
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(1, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
-    size = 20
     got = {r.doc_id: r for r in scoring.cross_entropy_difference(docs, labels, size).collect()}
     frequency = Counter(w for ws in rows.values() for w in ws)
-    vocab = [w for w, _ in sorted(frequency.items(), key=lambda x: (-x[1], x[0].encode()))[:size]]
+    in_rows = Counter(w for ws in rows.values() for w in set(ws))
+    vocab = [w for w, n in in_rows.items() if n >= scoring.LEAST_ROWS] if size is None else [w for w, _ in sorted(frequency.items(), key=lambda x: (-x[1], x[0].encode()))[:size]]
+    assert 0 < len(vocab) < len(frequency)
     numbers = {w: i for i, w in enumerate(vocab)}
     n = len(vocab)
     pairs = {i: list(zip([n + 1] + [numbers.get(w, n) for w in ws], [numbers.get(w, n) for w in ws])) for i, ws in rows.items()}
@@ -171,6 +176,12 @@ def test_scoring_against_plain_counts(spark):
         assert abs(got[i].difference - (want[0] - want[1])) < 1e-9
 
 
+def test_counts_as_bytes_come_back():
+    for values in ([], [0], [254, 255, 256, 0, 1 << 40], [7] * 1000, [1 << 33] * 3):
+        x = np.array(values, np.int64)
+        assert scoring._recounted(scoring._counted(x)).tolist() == values
+
+
 def test_scoring_edge_cases(spark):
     docs, none = frame(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert Counter(r.doc_id for r in scoring.cross_entropy_difference(docs, none).collect()) == Counter(r.doc_id for r in docs.collect())
