@@ -9,7 +9,9 @@ from .adapters import view, with_views
 from .functions import keys as K
 from .operators import explode as X
 from .operators import graph as G
+from .operators import report_rows as RR
 from .operators import reports as P
+from .operators import resolve as R
 from .operators import tree as T
 from .operators import views as V
 from .sources import grids as I
@@ -226,6 +228,52 @@ def master_misses(spark, d):
     return P.master_lookup(_over(spark, d, _ASKED, "part"), master, K.canonical_pn(F.col("code")))[1]
 
 
+# --- whole rows of reports -------------------------------------------------------------------
+
+@_query(_TRACES + """, wp AS (SELECT DISTINCT child_code, child_rev, parent_code, parent_rev FROM walk WHERE state = 'EDGE') SELECT tc.context, tc.expected_code, tc.expected_rev, COALESCE(wp.parent_code, '') AS source_parent_code, COALESCE(wp.parent_rev, '') AS source_parent_rev, tc.n_candidates, COALESCE(s.bid, '') AS selected_bom_id,
+tc.selected_code, tc.selected_rev, tc.outcome, tc.note, tc.suggestion, tc.suspicious FROM tc LEFT JOIN wp ON tc.context = 'EXPLODE_CHILD' AND wp.child_code = tc.expected_code AND wp.child_rev = tc.expected_rev LEFT JOIN strict s ON s.code = tc.selected_code AND s.revision = tc.selected_rev""")
+def resolution_trace_rows(spark, d):
+    return RR.trace_rows(_traced(spark, d), B._exploded(spark, d).edges(), view(spark, d, "bom_headers"))
+
+
+def _diagnosed_sql() -> str:
+    """The diagnosis as a table ``dx``, beside the chain breaks of the same explosion."""
+    walk, whole = B._walk_with_structure(), B._SQL["unexploded_diagnosis"]
+    ctes, last = whole[len(walk) :].rsplit("\nSELECT dg.code", 1)
+    return B._BREAKS.replace(B._STRICT_WALK, walk) + ctes + ", dx AS (SELECT dg.code" + last + ") "
+
+
+@_query(_diagnosed_sql() + """SELECT dx.*, CASE WHEN cl.code IS NULL THEN '' WHEN cl.dist = 0 THEN 'ROOT' ELSE 'CASCADE' END AS classification, CASE WHEN cl.code IS NULL THEN '' WHEN cl.dist = 0 THEN '1' ELSE '0' END AS root_chain_break,
+COALESCE(CAST(cl.dist AS VARCHAR), '') AS cascade_depth, CASE WHEN cl.dist > 0 THEN cl.root ELSE '' END AS not_reached_by_root FROM dx LEFT JOIN cl ON cl.code = dx.code""")
+def unexploded_diagnosis_rows(spark, d):
+    rows = view(spark, d, "pbs_rows")
+    e = B._exploded(spark, d)
+    classes = B.C.chain_breaks(T.level_parents(rows), T.effective_children(rows), e.edges().select(F.col("child_code").alias("code")), e.exploded())[1]
+    return RR.diagnosis_rows(B.unexploded_diagnosis(spark, d), classes)
+
+
+@_query(_REASONS + B._SIGHT + """, sv AS (SELECT code, arg_max(rev, seq) AS rev FROM pbs_rows WHERE code <> '' AND rev <> '' GROUP BY code), cn AS (SELECT pq.code, max(ch.n) AS n FROM pq JOIN ch ON ch.parent_seq = pq.seq GROUP BY pq.code)
+SELECT rs.code, CASE WHEN un.code IS NULL THEN '' ELSE COALESCE(sv.rev, '') END AS rev, CASE WHEN un.code IS NULL OR eff.n IS NULL THEN '' ELSE COALESCE(fst.parent, '') END AS parent, CASE WHEN un.code IS NULL OR eff.n IS NULL THEN '' ELSE COALESCE(fst.parent_rev, '') END AS parent_rev,
+CASE WHEN un.code IS NULL OR eff.n IS NULL THEN '' ELSE COALESCE(CAST(fst.pos AS VARCHAR), '') END AS pos, COALESCE(cn.n, 0) AS children, rs.impacted, rs.reason, rs.suggestion FROM rs LEFT JOIN un ON un.code = rs.code LEFT JOIN eff ON eff.code = rs.code LEFT JOIN fst ON fst.code = rs.code LEFT JOIN sv ON sv.code = rs.code LEFT JOIN cn ON cn.code = rs.code""")
+def chain_break_rows(spark, d):
+    from .plans.pipelines import occurrences_in_lists
+
+    rows, h, lines, e = view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), view(spark, d, "bom_lines"), _strict(spark, d)
+    open_codes, reached = B.C.unexploded(rows, h, e.exploded()), e.edges().select(F.col("child_code").alias("code"))
+    diagnosis = B.C.diagnose_unexploded(open_codes, T.effective_children(rows, "reset"), reached, occurrences_in_lists(lines, h), e.exploded(), R.structure_revs(rows))
+    return RR.break_rows(_reasons(spark, d), diagnosis, T.effective_children(rows))
+
+
+@_query(B._MISMATCH + """, lk AS (SELECT DISTINCT ln.parent, s.rev AS parent_rev, ln.bid AS bom_id FROM ln JOIN s ON s.seq = ln.seq), fr AS (SELECT code AS parent, max(seq) AS parent_seq FROM s GROUP BY code),
+l1 AS (SELECT parent, child, min(extra) AS extra FROM lv WHERE lev <= 1 GROUP BY ALL), l2 AS (SELECT parent, extra, min(CASE WHEN lev <= 1 THEN child END) AS one, min(CASE WHEN left(substr(child, 2), 6) = left(substr(extra, 2), 6) THEN child END) AS six FROM lv GROUP BY ALL),
+rr AS (SELECT mm.parent, CASE WHEN optional OR cascade THEN 'WARN' ELSE 'ERROR' END AS severity, CASE WHEN optional THEN 'CHILD_MISSING_IN_BOM_OPTIONAL' ELSE 'CHILD_MISSING_IN_BOM' END AS category, CASE WHEN cascade THEN 'CASCADE' ELSE 'ROOT' END AS place, mm.child AS structure_child, '' AS list_child, COALESCE('the list has ' || l1.extra || ', edits: 1', '') AS suggestion, CASE WHEN optional THEN 'quantity 0 in the structure' ELSE '' END AS note FROM mm LEFT JOIN l1 ON l1.parent = mm.parent AND l1.child = mm.child
+UNION ALL SELECT l2.parent, CASE WHEN c.cascade THEN 'WARN' ELSE 'ERROR' END, 'TYPO_SUSPECT_CHILD_MISMATCH', CASE WHEN c.cascade THEN 'CASCADE' ELSE 'ROOT' END, '', l2.extra, CASE WHEN one IS NOT NULL THEN 'write ' || one || ', edits: 1' ELSE 'may be ' || six || ', digits alike: 6' END, '' FROM l2 JOIN (SELECT DISTINCT parent, cascade FROM mm) c ON c.parent = l2.parent WHERE one IS NOT NULL OR six IS NOT NULL)
+SELECT severity, category, place, rr.parent, parent_rev, parent_seq, lk.bom_id, structure_child, list_child, COALESCE((SELECT string_agg(CAST(line_no AS VARCHAR), ';' ORDER BY line_no) FROM bom_lines b WHERE b.bom_id = lk.bom_id AND b.internal_code = rr.list_child AND b.kind <> 'DOCUMENT_REF'), '') AS positions, suggestion, note FROM rr JOIN lk ON lk.parent = rr.parent JOIN fr ON fr.parent = rr.parent""")
+def parent_child_mismatch_rows(spark, d):
+    rows, h, lines, e = B._findings(spark, d)
+    return RR.mismatch_rows(T.level_parents(rows, "skip"), h, lines, e.edges().select(F.col("parent_code").alias("code")), B.C.unexploded(rows, h, e.exploded()))
+
+
 # --- import file -----------------------------------------------------------------------------
 
 _RELEASES = "SELECT CASE WHEN r_regionkey = 1 THEN '' ELSE 'R1' END AS name, CASE WHEN r_regionkey = 2 THEN '2024/01/02' ELSE '2024-01-02 03:04:05' END AS parsed_at FROM region"

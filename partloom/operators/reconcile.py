@@ -113,12 +113,8 @@ def typo_suspects(differences: DataFrame) -> DataFrame:
     return near.groupBy("parent", "missing").agg(F.min(F.struct("distance", "extra")).alias("b")).select("parent", "missing", "b.extra", "b.distance")
 
 
-def parent_child_mismatches(parents: DataFrame, headers: DataFrame, lines: DataFrame, reached: DataFrame, unexploded_codes: DataFrame) -> DataFrame:
-    """parent, child, severity, category, place (ROOT or CASCADE), similar.
-
-    ``reached``: codes of the explosion's parents and its root.  A parent is CASCADE if it was not
-    reached, or if some code above it was not exploded.
-    """
+def judged_children(parents: DataFrame, headers: DataFrame, lines: DataFrame, reached: DataFrame, unexploded_codes: DataFrame) -> DataFrame:
+    """parent, child, optional, cascade, extra (a similar child of the list, or null) of structure children that the parent's list lacks."""
     from .tree import ancestors
 
     d = child_differences(parents, headers, lines)
@@ -128,12 +124,20 @@ def parent_child_mismatches(parents: DataFrame, headers: DataFrame, lines: DataF
     under = chain.join(unexploded_codes.select(F.col("code").alias("above")), "above", "left_semi").join(parents.select("doc_id", "seq", norm(F.col("code")).alias("parent")), ["doc_id", "seq"]).select("parent").distinct().withColumn("under", F.lit(True))
     j = missing.join(qty, "child", "left").join(typos.select("parent", F.col("missing").alias("child"), "extra"), ["parent", "child"], "left")
     j = j.join(reached.select(F.col("code").alias("parent")).distinct().withColumn("hit", F.lit(True)), "parent", "left").join(under, "parent", "left")
-    cascade = F.col("hit").isNull() | F.coalesce("under", F.lit(False))
-    optional = F.coalesce("q", F.lit(0.0)) == 0
+    return j.select("parent", "child", (F.coalesce("q", F.lit(0.0)) == 0).alias("optional"), (F.col("hit").isNull() | F.coalesce("under", F.lit(False))).alias("cascade"), "extra")
+
+
+def parent_child_mismatches(parents: DataFrame, headers: DataFrame, lines: DataFrame, reached: DataFrame, unexploded_codes: DataFrame) -> DataFrame:
+    """parent, child, severity, category, place (ROOT or CASCADE), similar.
+
+    ``reached``: codes of the explosion's parents and its root.  A parent is CASCADE if it was not
+    reached, or if some code above it was not exploded.
+    """
+    j = judged_children(parents, headers, lines, reached, unexploded_codes)
     return j.select(
-        "parent", "child", F.when(optional | cascade, "WARN").otherwise("ERROR").alias("severity"),
-        F.when(F.col("extra").isNotNull(), "TYPO_SUSPECT_CHILD_MISMATCH").when(optional, "CHILD_MISSING_IN_BOM_OPTIONAL").otherwise("CHILD_MISSING_IN_BOM").alias("category"),
-        F.when(cascade, "CASCADE").otherwise("ROOT").alias("place"), F.coalesce("extra", F.lit("")).alias("similar"),
+        "parent", "child", F.when(F.col("optional") | F.col("cascade"), "WARN").otherwise("ERROR").alias("severity"),
+        F.when(F.col("extra").isNotNull(), "TYPO_SUSPECT_CHILD_MISMATCH").when(F.col("optional"), "CHILD_MISSING_IN_BOM_OPTIONAL").otherwise("CHILD_MISSING_IN_BOM").alias("category"),
+        F.when(F.col("cascade"), "CASCADE").otherwise("ROOT").alias("place"), F.coalesce("extra", F.lit("")).alias("similar"),
     )
 
 

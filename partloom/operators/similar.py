@@ -153,3 +153,22 @@ def variants(codes: DataFrame, known: DataFrame) -> DataFrame:
     j = ends(codes, "code").join(one.join(two, "root", "left"), "root")
     pick = F.when(F.col("one.other_end") != F.col("code_end"), F.col("one")).otherwise(F.col("two"))
     return j.withColumn("p", pick).where("p is not null").select("code", F.struct(F.col("p.other").alias("other"), "root", "code_end", F.col("p.other_end").alias("other_end")).alias("variant"))
+
+
+def nearest_children(codes: DataFrame, others: DataFrame, least: int = 6) -> DataFrame:
+    """parent, code, other, distance, digits: for each code the nearest other code of its parent.
+
+    ``codes`` (parent, code), ``others`` (parent, other).  Nearest is what one edit makes of it, else
+    what has the longest common beginning of digits, of ``least`` or more (distance is null then);
+    ties by the least text.  A parent's others are looked up by key, not one by one.
+    """
+    cut = lambda df, c: df.select("parent", c, F.explode(F.array_distinct(F.concat(_without(F.col(c), 0), _without(F.col(c), 1)))).alias("__key"))
+    edited = cut(codes, "code").join(cut(others, "other"), ["parent", "__key"]).select("parent", "code", "other").distinct().withColumn("distance", F.expr("levenshtein(code, other, 1)"))
+    one = edited.where("distance >= 0").groupBy("parent", "code").agg(F.min(F.struct("distance", "other")).alias("one"))
+    bare = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    starts = lambda c: F.when(F.length(bare(c)) >= least, F.transform(F.sequence(F.lit(least), F.length(bare(c))), lambda i: F.substring(bare(c), F.lit(1), i)))
+    index = others.select("parent", "other", F.explode(starts(F.col("other"))).alias("start")).groupBy("parent", "start").agg(F.min("other").alias("other"))
+    asked = codes.select("parent", "code", F.explode(starts(F.col("code"))).alias("start")).join(index, ["parent", "start"])
+    two = asked.groupBy("parent", "code").agg(F.max_by(F.struct("other", F.length("start").alias("digits")), F.length("start")).alias("two"))
+    j = codes.select("parent", "code").distinct().join(one, ["parent", "code"], "left").join(two, ["parent", "code"], "left").where("one is not null or two is not null")
+    return j.select("parent", "code", F.coalesce("one.other", "two.other").alias("other"), F.col("one.distance").alias("distance"), F.when(F.col("one").isNull(), F.col("two.digits")).alias("digits"))
