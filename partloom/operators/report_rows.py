@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import looks_like_document, norm
@@ -10,7 +10,9 @@ from .reconcile import child_differences, judged_children
 from .resolve import header_index, link_rows
 from .similar import nearest_children
 
-_BLANK = F.lit("")
+
+def _blank() -> Column:
+    return F.lit("")
 
 
 def trace_rows(traced: DataFrame, edges: DataFrame, headers: DataFrame) -> DataFrame:
@@ -24,10 +26,10 @@ def trace_rows(traced: DataFrame, edges: DataFrame, headers: DataFrame) -> DataF
     said = F.concat("code", F.lit(" rev "), "revision", F.lit(" @ "), "bom_id")
     near = traced.select("expected_code", F.explode("suspicious").alias("code")).distinct().join(index, "code").groupBy("expected_code").agg(F.array_join(F.array_sort(F.collect_set(said)), " | ").alias("near"))
     j = traced.join(asked, ["context", "expected_code", "expected_rev"], "left").join(taken, ["selected_code", "selected_rev"], "left").join(near, "expected_code", "left")
-    filled = lambda c: F.coalesce(c, _BLANK).alias(c)
+    filled = lambda c: F.coalesce(c, _blank()).alias(c)
     return j.select(
         "context", "expected_code", "expected_rev", filled("source_parent_code"), filled("source_parent_rev"), "n_candidates", filled("selected_bom_id"),
-        "selected_code", "selected_rev", "outcome", "note", "suggestion", F.coalesce("near", _BLANK).alias("suspicious"),
+        "selected_code", "selected_rev", "outcome", "note", "suggestion", F.coalesce("near", _blank()).alias("suspicious"),
     )
 
 
@@ -37,8 +39,8 @@ def diagnosis_rows(diagnosis: DataFrame, classes: DataFrame) -> DataFrame:
     by = F.when(F.col("kind") == "CASCADE", F.col("root"))
     flag = F.when(F.col("kind") == "ROOT", "1").when(F.col("kind") == "CASCADE", "0")
     return diagnosis.join(c, "code", "left").select(
-        *diagnosis.columns, F.coalesce("kind", _BLANK).alias("classification"), F.coalesce(flag, _BLANK).alias("root_chain_break"),
-        F.coalesce(F.col("depth").cast("string"), _BLANK).alias("cascade_depth"), F.coalesce(by, _BLANK).alias("not_reached_by_root"),
+        *diagnosis.columns, F.coalesce("kind", _blank()).alias("classification"), F.coalesce(flag, _blank()).alias("root_chain_break"),
+        F.coalesce(F.col("depth").cast("string"), _blank()).alias("cascade_depth"), F.coalesce(by, _blank()).alias("not_reached_by_root"),
     )
 
 
@@ -46,7 +48,7 @@ def break_rows(reasons: DataFrame, diagnosis: DataFrame, effective: DataFrame) -
     """The nine columns of a chain break's root: its revision and place by its diagnosis, if it has one, its effective children, impact, reason and suggestion."""
     d = diagnosis.select("code", "rev", "parent", "parent_rev", "pos")
     j = reasons.join(d, "code", "left").join(effective.select("code", F.col("most").alias("children")), "code", "left")
-    filled = lambda c: F.coalesce(c, _BLANK).alias(c)
+    filled = lambda c: F.coalesce(c, _blank()).alias(c)
     return j.select("code", filled("rev"), filled("parent"), filled("parent_rev"), filled("pos"), F.coalesce("children", F.lit(0)).alias("children"), "impacted", "reason", "suggestion")
 
 
@@ -67,16 +69,16 @@ def mismatch_rows(parents: DataFrame, headers: DataFrame, lines: DataFrame, reac
     optional = F.col("optional")
     lacking = judged.join(similar, ["parent", "child"], "left").select(
         "parent", F.when(optional | F.col("cascade"), "WARN").otherwise("ERROR").alias("severity"), F.when(optional, "CHILD_MISSING_IN_BOM_OPTIONAL").otherwise("CHILD_MISSING_IN_BOM").alias("category"), place,
-        F.col("child").alias("structure_child"), _BLANK.alias("list_child"), F.coalesce(F.concat(F.lit("the list has "), "other", F.lit(", edits: "), F.col("distance").cast("string")), _BLANK).alias("suggestion"),
+        F.col("child").alias("structure_child"), _blank().alias("list_child"), F.coalesce(F.concat(F.lit("the list has "), "other", F.lit(", edits: "), F.col("distance").cast("string")), _blank()).alias("suggestion"),
         F.when(optional, "quantity 0 in the structure").otherwise("").alias("note"),
     )
     near = nearest_children(extra, missing).where(~looks_like_document(F.col("other")))
     said = F.when(F.col("distance").isNotNull(), F.concat(F.lit("write "), "other", F.lit(", edits: "), F.col("distance").cast("string"))).otherwise(F.concat(F.lit("may be "), "other", F.lit(", digits alike: "), F.col("digits").cast("string")))
     typos = near.join(judged.select("parent", "cascade").distinct(), "parent").select(
         "parent", F.when(F.col("cascade"), "WARN").otherwise("ERROR").alias("severity"), F.lit("TYPO_SUSPECT_CHILD_MISMATCH").alias("category"), place,
-        _BLANK.alias("structure_child"), F.col("code").alias("list_child"), said.alias("suggestion"), _BLANK.alias("note"),
+        _blank().alias("structure_child"), F.col("code").alias("list_child"), said.alias("suggestion"), _blank().alias("note"),
     )
     at = lines.where("kind <> 'DOCUMENT_REF'").groupBy("bom_id", norm(F.col("internal_code")).alias("list_child")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("line_no")), lambda n: n.cast("string")), ";").alias("positions"))
     return lacking.unionByName(typos).join(links, "parent").join(at, ["bom_id", "list_child"], "left").select(
-        "severity", "category", "place", "parent", "parent_rev", "parent_seq", "bom_id", "structure_child", "list_child", F.coalesce("positions", _BLANK).alias("positions"), "suggestion", "note",
+        "severity", "category", "place", "parent", "parent_rev", "parent_seq", "bom_id", "structure_child", "list_child", F.coalesce("positions", _blank()).alias("positions"), "suggestion", "note",
     )
