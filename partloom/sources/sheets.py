@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm, quantity, text
+from ..plans.tables import stored
 from .grids import alias_table, assembled_records, column_map, header_rows
 from .headers import STRUCTURE_NAMES, structure_blocks, totals_header
 
@@ -50,7 +51,8 @@ def before_gap(filled: DataFrame, start: DataFrame, skipped: DataFrame | None =
     marked = filled.select("file_id", "row", F.lit(1).alias("kind")).distinct().unionByName(start.select("file_id", "row", F.lit(2).alias("kind")))
     if skipped is not None:
         marked = marked.unionByName(skipped.select("file_id", "row", F.lit(0).alias("kind")).distinct())
-    marked = marked.join(start.select("file_id", F.col("row").alias("first")), "file_id").where("row >= first").groupBy("file_id", "row").agg(F.max("kind").alias("kind"), F.min("kind").alias("least"))
+    # a table: where all parts of a union are spread alike, a join takes their partitions for those of one
+    marked = stored(marked, "marked-rows").join(start.select("file_id", F.col("row").alias("first")), "file_id").where("row >= first").groupBy("file_id", "row").agg(F.max("kind").alias("kind"), F.min("kind").alias("least"))
     order = Window.partitionBy("file_id").orderBy("row")
     # a skipped row that is filled stays skipped; the start is the start
     counted = marked.withColumn("out", (F.col("least") == 0) & (F.col("kind") < 2)).withColumn("at", F.col("row") - F.sum(F.col("out").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -140,6 +142,7 @@ def _structure(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     first = lambda a, b: F.min(F.when(F.col("col").between(F.col(a), F.col(b)), F.struct("col", "value")))
     one = lambda c: F.max(F.when(F.col("col") == F.col(c), F.col("value")))
     rows = filled.groupBy("file_id", "row", "desc0").agg(first("code0", "code1").alias("c"), first("desc0", "desc1").alias("d"), one("rev_col").alias("rev"), one("qty_col").alias("q")).where("c is not null or d is not null")
+    rows = stored(rows, "structure-rows")
     kept = rows.join(before_gap(rows, good.select("file_id", F.col("header_row").alias("row")), most=MOST_EMPTY_STRUCTURE), ["file_id", "row"], "left_semi")
     blank = F.lit("")
     return kept.select(
@@ -152,8 +155,9 @@ def structure_rows(cells: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows of indented structures; files of which the columns between header cells give no row are read by merged spans.
 
     The level is the place of the description within its columns, 0 without one.  The structure
-    ends before 25 rows without code and description.
+    ends before 25 rows without code and description.  What is read more than once is a table.
     """
-    plain = _structure(cells, structure_blocks(cells))
-    rest = cells.join(plain.select(F.col("doc_id").alias("file_id")).distinct(), "file_id", "left_anti")
-    return plain.unionByName(_structure(rest, merged_blocks(rest, spans)))
+    cells, spans = stored(cells.select("file_id", "row", "col", "value"), "structure-cells"), stored(spans.select("file_id", "row0", "row1", "col0", "col1"), "spans")
+    plain = stored(_structure(cells, stored(structure_blocks(cells), "blocks")), "structure")
+    rest = stored(cells.join(plain.select(F.col("doc_id").alias("file_id")).distinct(), "file_id", "left_anti"), "structure-cells")
+    return plain.unionByName(_structure(rest, stored(merged_blocks(rest, spans), "blocks")))

@@ -1,5 +1,6 @@
 """Tables of sheets: where they begin and end, what joins, what is passed over."""
 
+from partloom import catalog_sources
 from partloom.operators.reconcile import load_totalization
 from partloom.sources import sheets as S
 
@@ -45,3 +46,13 @@ def test_a_structure_is_read_by_merged_spans_where_plain_columns_give_nothing(sp
     rows = [tuple(r) for r in S.structure_rows(both, spans).orderBy("doc_id", "seq").select("doc_id", "seq", "code", "description", "rev", "qty", "level").collect()]
     assert rows == [("f", 4, "E1 01", "bolt  x", "A", 2.5, 1), ("f", 5, "E2", "nut", "", 0.0, 2), ("f", 6, "E3", "", "", 1.0, 0), ("g", 2, "E5", "screw", "A", 3.0, 1)]
     assert S.structure_rows(both, spans.limit(0)).where("doc_id = 'f'").count() == 0
+
+
+def test_a_structure_of_a_union_whose_parts_are_spread_alike(spark):
+    """Joined by shuffles, marked rows and starts are spread alike; their union was held to have the partitions of one of them."""
+    cells = catalog_sources._over(spark, "/root/testdata/sf0.001", catalog_sources._MERGED_CELLS, "part")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert S._structure(cells, S.structure_blocks(cells)).count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
