@@ -14,7 +14,8 @@ from ..plans.tables import stored
 
 def _inner_edges(edges: DataFrame) -> DataFrame:
     """Edges whose parent is a child and whose child is a parent."""
-    held = edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+    # joined by shuffles: small files of codes are large in the driver's memory
+    held = edges.join(edges.select(F.col("child").alias("parent")).distinct().hint("merge"), "parent", "left_semi").join(edges.select(F.col("parent").alias("child")).distinct().hint("merge"), "child", "left_semi")
     return held.select("parent", "child")
 
 

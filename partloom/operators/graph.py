@@ -48,12 +48,14 @@ def roots(graph: DataFrame, headers: DataFrame) -> DataFrame:
 def reach(graph: DataFrame, starts: DataFrame) -> DataFrame:
     """start, code: all codes reachable from each start, itself included.
 
-    Each level is a table of its own, held against all before it; none is written twice.
+    Each level is a table of its own, held against all before it; none is written twice.  The graph is
+    read from a table at every level, and no level is sent to the driver.
     """
+    graph = stored(graph.select("parent", "child"), "graph").hint("merge")
     seen = frontier = stored(starts.select(F.col("code").alias("start"), "code").distinct(), "reach")
     while True:
-        step = frontier.join(graph, frontier["code"] == graph["parent"]).select("start", F.col("child").alias("code")).distinct()
-        frontier = stored(step.join(seen, ["start", "code"], "left_anti"), "reach")
+        step = frontier.hint("merge").join(graph, F.col("code") == F.col("parent")).select("start", F.col("child").alias("code")).distinct()
+        frontier = stored(step.join(seen.hint("merge"), ["start", "code"], "left_anti"), "reach")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
@@ -62,39 +64,41 @@ def reach(graph: DataFrame, starts: DataFrame) -> DataFrame:
 def reach_counts(graph: DataFrame, headers: DataFrame, starts: DataFrame) -> DataFrame:
     """code, reachable: how many header codes each of ``starts`` (code) leads to, itself included.
 
-    Codes of one strongly connected part are one node.  Headers are numbered, and every node has bitmaps of
-    the headers below it, by blocks of 32,768; nodes whose children are done send theirs to their
-    parents.  So a level moves bitmaps along edges, and no pair of a start and a code is ever a row.
+    Codes of one strongly connected part are one node.  Headers are numbered by code, and every node has the
+    headers below it as words of 64 bits, only those with a bit; nodes whose children are done send theirs to their
+    parents.  So a level moves words along edges, and no pair of a start and a code is ever a row.
+    Nothing here is broadcast: such tables are packed well, so the size of their files says little.
     """
     parts = strong_components(graph)
 
     def node(df: DataFrame, column: str, name: str) -> DataFrame:
         own = parts.select(F.col("code").alias(column), F.col("head").alias("__head"))
-        return df.join(own, column, "left").withColumn(name, F.coalesce("__head", column)).drop("__head")
+        return df.join(own.hint("merge"), column, "left").withColumn(name, F.coalesce("__head", column)).drop("__head")
 
     edges = node(node(graph.select("parent", "child"), "parent", "above"), "child", "below")
     edges = stored(edges.where("above <> below").select("above", "below").distinct(), "node-edges")
     ends = stored(node(starts.select("code").distinct(), "code", "node"), "starts")
-    numbered = stored(header_index(headers).select("code").distinct().select("code", F.monotonically_increasing_id().alias("n")), "header-numbers")
-    block, bit = F.call_function("bitmap_bucket_number", "n"), F.call_function("bitmap_bit_position", "n")
-    bits = stored(node(numbered, "code", "node").select("node", block.alias("block"), bit.alias("bit")).groupBy("node", "block").agg(F.call_function("bitmap_construct_agg", "bit").alias("bits")), "reach-bits")
+    numbered = ranked(header_index(headers).select("code").distinct(), [F.asc("code")]).select("code", (F.col("rank") - 1).alias("n"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n") % 64)
+    bits = stored(node(numbered, "code", "node").select("node", F.floor(F.col("n") / 64).alias("word"), bit.alias("bits")).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), "reach-bits")
     while True:
         waiting = edges.select(F.col("above").alias("below")).distinct().withColumn("waits", F.lit(True))
-        marked = stored(edges.join(waiting, "below", "left"), "marked-edges")
+        marked = stored(edges.join(waiting.hint("merge"), "below", "left"), "marked-edges")
         ready, edges = marked.where("waits is null"), marked.where("waits").select("above", "below")
         if ready.isEmpty():
             break
-        sent = ready.join(bits.withColumnRenamed("node", "below"), "below").select(F.col("above").alias("node"), "block", "bits")
+        sent = ready.hint("merge").join(bits.withColumnRenamed("node", "below"), "below").select(F.col("above").alias("node"), "word", "bits")
         # what was sent everywhere is only kept for starts
         wanted = marked.select(F.col("above").alias("node")).unionByName(ends.select("node")).distinct()
-        bits = stored(bits.join(wanted, "node", "left_semi").unionByName(sent).groupBy("node", "block").agg(F.call_function("bitmap_or_agg", "bits").alias("bits")), "reach-bits")
-    counted = ends.join(bits, "node", "left").groupBy("code").agg(F.sum(F.call_function("bitmap_count", "bits")).alias("n"))
+        bits = stored(bits.join(wanted.hint("merge"), "node", "left_semi").unionByName(sent).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), "reach-bits")
+    counted = ends.join(bits.hint("merge"), "node", "left").groupBy("code").agg(F.sum(F.bit_count("bits")).alias("n"))
     return counted.select("code", F.coalesce("n", F.lit(0)).alias("reachable"))
 
 
 def rank_roots(graph: DataFrame, headers: DataFrame, folder_base: str = "") -> DataFrame:
     """code, folder_match, reachable (headers), outdegree, rank, score."""
-    r = roots(graph, headers)
+    graph = stored(graph.select("parent", "child"), "graph")
+    r = stored(roots(graph, headers), "roots")
     reached = reach_counts(graph, headers, r)
     outs = graph.groupBy(F.col("parent").alias("code")).agg(F.count("*").alias("outdegree"))
     j = r.join(reached, "code", "left").join(outs, "code", "left").select("code", (F.col("code") == folder_base).cast("int").alias("folder_match"), F.coalesce("reachable", F.lit(0)).alias("reachable"), F.coalesce("outdegree", F.lit(0)).alias("outdegree"))

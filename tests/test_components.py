@@ -91,3 +91,19 @@ def test_ranks_by_ranges(spark):
     values = [random.Random(5).randint(0, 50) for _ in range(300)]
     rows = ranked(spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(7), [F.desc("v"), F.asc("i")]).collect()
     assert [(x.v, x.i) for x in sorted(rows, key=lambda x: x.rank)] == sorted([(v, i) for i, v in enumerate(values)], key=lambda x: (-x[0], x[1])) and {x.rank for x in rows} == set(range(1, 301))
+
+
+def test_reach_is_counted_by_words_that_are_not_broadcast(spark, monkeypatch):
+    """B leads to A, A to 70 more headers, C to the last of them: counts over several words; the driver holds none of them."""
+    from partloom.operators import graph as G
+
+    tables, real = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df, name: tables.append((name, df)) or real(df, name))
+    low = [f"X{i:02d}" for i in range(70)]
+    g = graph(spark, {("B", "A"), ("C", "X69")} | {("A", x) for x in low} | {("A", "no header")})
+    codes = spark.createDataFrame([(f"b{c}", i, c, "A", "") for i, c in enumerate(["A", "B", "C", *low])], "bom_id string, bom_seq long, code string, revision string, title string")
+    got = G.reach_counts(g, codes, codes.select("code").where("code in ('B', 'C')"))
+    assert {r.code: r.reachable for r in got.collect()} == {"B": 72, "C": 2}
+    bits = [df for name, df in tables if name == "reach-bits"]
+    assert len(bits) == 3 and dict(bits[-1].dtypes)["bits"] == "bigint"
+    assert "BroadcastHashJoin" not in bits[-1]._jdf.queryExecution().executedPlan().toString()
