@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def norm(c: Column) -> Column:
     """Upper case, without white space at the ends; null becomes empty."""
     return F.upper(F.regexp_replace(text(c), r"^\s+|\s+$", ""))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import alnum, canonical_pn, norm, text
+from ..functions.keys import alnum, canonical_pn, norm, once, text
 
 # Labels, header names by exact spelling, and header names by a part of the spelling, in order.
 CODE_LABELS = ("PN", "PARTNUMBER", "PARTNO")
@@ -146,7 +146,10 @@ def header_token(c: Column) -> Column:
 
 def header_name(c: Column) -> Column:
     """The column that a header cell names, by its spelling, else by a part of it; null for others."""
-    t = header_token(c)
+    return once(header_token(c), _named)
+
+
+def _named(t: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, part in reversed(HEADER_PARTS):
         out = F.when(F.rlike(t, F.lit(part)), name).otherwise(out)
@@ -158,7 +161,7 @@ def header_name(c: Column) -> Column:
 def text_flags(c: Column) -> Column:
     """Sorted names of what a text looks like beside a component: footer, signature, page marker."""
     clean = F.trim(F.regexp_replace(text(c), r"\s+", " "))
-    return F.array_compact(F.array(*[F.when(F.rlike(clean, F.lit(f"(?i){p}")), name) for name, p in sorted(SUSPICIOUS.items())]))
+    return once(clean, lambda t: F.array_compact(F.array(*[F.when(F.rlike(t, F.lit(f"(?i){p}")), name) for name, p in sorted(SUSPICIOUS.items())])))
 
 
 def row_flags(fields: list[Column], code: Column) -> Column:

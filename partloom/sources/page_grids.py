@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import once
 from ..plans.tables import stored
 from .headers import header_name, text_flags
 from .records import FIELDS, clean, column_of, position
@@ -52,8 +53,7 @@ def line_of(anchors: Column, top: Column) -> Column:
 
 def column_at(edges: Column, x: Column) -> Column:
     """The column (from 0) between two edges that holds x; null outside of all."""
-    k = F.size(F.filter(edges, lambda e: e <= x)) - 1
-    return F.when((k >= 0) & (k < F.size(edges) - 1), k)
+    return once(F.size(F.filter(edges, lambda e: e <= x)) - 1, lambda k: F.when((k >= 0) & (k < F.size(edges) - 1), k))
 
 
 def header_bands(words: DataFrame) -> DataFrame:
@@ -108,30 +108,40 @@ def page_state(words: DataFrame, usable: DataFrame, rules: DataFrame, pages: Dat
         F.array().cast(f"array<struct<page:int,status:string,edges:array<double>,map:{columns},high:double>>").alias("out"),
     )
 
+    words_of = lambda c, kind: F.coalesce(c, F.array().cast(f"array<struct<top:double,x0:double,x:double,{kind}:string>>"))
+
     def step(state: Column, p: Column) -> Column:
         continued = state["rows"] & F.coalesce(p["like"], F.lit(False))
         few = F.size(p["edges"]) < LEAST_RULES
         edges = F.when(few, F.when(continued & (F.size(state["edges"]) >= LEAST_RULES), state["edges"])).otherwise(p["edges"])
-        heads = F.coalesce(p["heads"], F.array().cast("array<struct<top:double,x0:double,x:double,name:string>>"))
-        placed = F.filter(F.transform(heads, lambda h: F.struct(h["name"].alias("name"), column_at(edges, h["x"]).alias("col"))), lambda h: h["col"].isNotNull())
-        inherit = continued & (F.size(state["map"]) > 0)
-        headless = p["high"].isNull()
-        mapped = F.when(headless, F.when(inherit & state["high"].isNotNull(), state["map"])).otherwise(placed)
-        coded = F.when(column_of(mapped, "code").isNotNull(), mapped).when(inherit, state["map"])
+        return once(F.struct(edges.alias("edges"), (continued & (F.size(state["map"]) > 0)).alias("inherit")), lambda own: with_header(state, p, own))
+
+    def with_header(state: Column, p: Column, own: Column) -> Column:
+        placed = F.filter(F.transform(words_of(p["heads"], "name"), lambda h: F.struct(h["name"].alias("name"), column_at(own["edges"], h["x"]).alias("col"))), lambda h: h["col"].isNotNull())
+        mapped = F.when(p["high"].isNull(), F.when(own["inherit"] & state["high"].isNotNull(), state["map"])).otherwise(placed)
+        return once(mapped, lambda m: with_code(state, p, own, m))
+
+    def with_code(state: Column, p: Column, own: Column, mapped: Column) -> Column:
+        coded = F.when(column_of(mapped, "code").isNotNull(), mapped).when(own["inherit"], state["map"])
         high = F.coalesce(p["high"], state["high"], F.lit(TABLE_TOP))
-        status = F.when(~p["filled"], "NO_WORDS").when(edges.isNull(), "FEW_RULES").when(mapped.isNull(), "NO_HEADER").when(coded.isNull(), "NO_CODE").otherwise("OK")
-        ok = status == "OK"
-        pos = F.coalesce(column_of(coded, "pos"), F.lit(-1))
+        return once(F.struct(coded.alias("map"), high.alias("high")), lambda found: with_status(state, p, own["edges"], mapped, found))
+
+    def with_status(state: Column, p: Column, edges: Column, mapped: Column, found: Column) -> Column:
+        status = F.when(~p["filled"], "NO_WORDS").when(edges.isNull(), "FEW_RULES").when(mapped.isNull(), "NO_HEADER").when(found["map"].isNull(), "NO_CODE").otherwise("OK")
+        pos = F.coalesce(column_of(found["map"], "pos"), F.lit(-1))
+        return once(F.struct(status.alias("status"), pos.alias("pos")), lambda at: after(state, p, edges, found, at))
 
+    def after(state: Column, p: Column, edges: Column, found: Column, at: Column) -> Column:
         def starts(w: Column) -> Column:
-            col = column_at(edges, w["x"])
-            return (w["top"] > high) & (w["top"] < p["height"] - FOOTER) & col.isNotNull() & ((col != pos) | F.rlike(w["text"], F.lit("(?i)^([0-9]{4}|null)$")))
+            col = once(column_at(edges, w["x"]), lambda c: c.isNotNull() & ((c != at["pos"]) | F.rlike(w["text"], F.lit("(?i)^([0-9]{4}|null)$"))))
+            return (w["top"] > found["high"]) & (w["top"] < p["height"] - FOOTER) & col
 
-        had = ok & F.exists(F.coalesce(p["all"], F.array().cast("array<struct<top:double,x0:double,x:double,text:string>>")), starts)
-        row = F.struct(p["page"].cast("int").alias("page"), status.alias("status"), F.when(ok, edges).alias("edges"), F.when(ok, coded).alias("map"), F.when(ok, high).alias("high"))
+        ok = at["status"] == "OK"
+        had = ok & F.exists(words_of(p["all"], "text"), starts)
+        row = F.struct(p["page"].cast("int").alias("page"), at["status"].alias("status"), F.when(ok, edges).alias("edges"), F.when(ok, found["map"]).alias("map"), F.when(ok, found["high"]).alias("high"))
         keep = lambda new, old: F.when(ok, new).otherwise(old)
         return F.struct(
-            keep(edges, state["edges"]).alias("edges"), keep(coded, state["map"]).alias("map"), keep(high, state["high"]).alias("high"),
+            keep(edges, state["edges"]).alias("edges"), keep(found["map"], state["map"]).alias("map"), keep(found["high"], state["high"]).alias("high"),
             F.coalesce(had, F.lit(False)).alias("rows"), F.concat(state["out"], F.array(row)).alias("out"),
         )
 
@@ -149,25 +159,28 @@ def grid_records(words: DataFrame, rules: DataFrame, pages: DataFrame) -> tuple[
     """
     kept = band_words(words, pages)
     state = stored(page_state(words, kept, rules, pages), "page-state")
-    usable = kept.join(state.where("status = 'OK'").drop("status"), _PAGE)
+    # columns by name and the long ones, looked up once for each page
+    columns = F.struct(*[column_of(F.col("map"), n).alias(n) for n in FIELDS]).alias("map")
+    long_columns = F.transform(F.filter("map", lambda m: m["name"].isin(*MERGED)), lambda m: m["col"]).alias("long_columns")
+    usable = kept.join(state.where("status = 'OK'").select(*_PAGE, "edges", "high", columns, long_columns), _PAGE)
     body = usable.where((F.col("top") > F.col("high")) & (F.col("top") < F.col("height") - FOOTER))
     body = body.withColumn("col", column_at(F.col("edges"), (F.col("x0") + F.col("x1")) / 2))
     anchors = body.groupBy(*_PAGE).agg(line_anchors(F.collect_set(F.col("top").cast("double")), F.lit(Y_TOLERANCE)).alias("anchors"))
-    placed = body.where("col is not null").join(anchors, _PAGE).select(*_PAGE, "map", line_of(F.col("anchors"), F.col("top")).alias("line"), "col", "x0", "text")
-    cells = placed.groupBy(*_PAGE, "map", "line", "col").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ").alias("text"))
-    at_pos = F.col("col") == F.coalesce(column_of(F.col("map"), "pos"), F.lit(-1))
-    lines = cells.groupBy(*_PAGE, "map", "line").agg(F.collect_list(F.struct("col", "text")).alias("cells"), F.bool_or(~at_pos).alias("payload"), F.bool_or(at_pos & F.rlike("text", F.lit("(?i)^([0-9]{4}|null)$"))).alias("starts"))
+    placed = body.where("col is not null").join(anchors, _PAGE).select(*_PAGE, "map", "long_columns", line_of(F.col("anchors"), F.col("top")).alias("line"), "col", "x0", "text")
+    cells = placed.groupBy(*_PAGE, "map", "long_columns", "line", "col").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ").alias("text"))
+    at_pos = F.col("col") == F.coalesce("map.pos", F.lit(-1))
+    lines = cells.groupBy(*_PAGE, "map", "long_columns", "line").agg(F.collect_list(F.struct("col", "text")).alias("cells"), F.bool_or(~at_pos).alias("payload"), F.bool_or(at_pos & F.rlike("text", F.lit("(?i)^([0-9]{4}|null)$"))).alias("starts"))
     order = Window.partitionBy(*_PAGE).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grouped = lines.where("payload or starts").withColumn("record", F.sum(F.col("starts").cast("int")).over(order))
     within = Window.partitionBy(*_PAGE, "record").orderBy("line")
     counted = grouped.withColumn("k", F.row_number().over(within)).withColumn("n", F.count("*").over(Window.partitionBy(*_PAGE, "record")))
     kept = counted.where((F.col("n") <= MOST_MERGED + 1) | (F.col("k") == F.col("n")))
-    each = kept.select(*_PAGE, "map", "record", "line", F.explode("cells").alias("c")).select(*_PAGE, "map", "record", "line", "c.*")
-    long = F.exists("map", lambda m: m["name"].isin(*MERGED) & (m["col"] == F.col("col")))
+    each = kept.select(*_PAGE, "map", "long_columns", "record", "line", F.explode("cells").alias("c")).select(*_PAGE, "map", "long_columns", "record", "line", "c.*")
+    long = F.array_contains("long_columns", F.col("col"))
     texts = F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"])
     merged = each.withColumn("long", long).groupBy(*_PAGE, "map", "record", "col", "long").agg(texts.alias("t"))
     merged = merged.select(*_PAGE, "map", "record", "col", clean(F.when(F.col("long"), F.array_join("t", "\n")).otherwise(F.col("t")[0])).alias("text"))
-    value = lambda n: F.coalesce(F.max(F.when(F.col("col") == column_of(F.col("map"), n), F.col("text"))), F.lit(""))
+    value = lambda n: F.coalesce(F.max(F.when(F.col("col") == F.col(f"map.{n}"), F.col("text"))), F.lit(""))
     records = merged.groupBy(*_PAGE, "record").agg(*[value(n).alias(FIELDS[n]) for n in FIELDS]).where("internal_code <> ''")
     pos = F.when(F.lower("pos") == "null", "").otherwise(position(F.col("pos")))
     empty = lambda c: F.nullif(F.col(c), F.lit(""))

@@ -56,3 +56,14 @@ def test_lines_are_anchored_at_their_first_top(spark):
     got = spark.range(1).select(G.line_anchors(F.array(*[F.lit(float(x)) for x in (5, 1, 3, 4, 7, 8)]), F.lit(3.0)).alias("a")).first().a
     assert got == [1.0, 5.0]
     assert run(spark, [(1, 200, ["Pos", "", "", "Descrizione", "", "Q.tà"]), *body(1, 10, 3)], pages=(1,))[1] == {1: "NO_CODE"}
+
+
+def test_words_are_named_from_one_token(spark):
+    """Names of columns came from a token that was worked out again for each spelling; the fold over pages repeated its parts likewise."""
+    from pyspark.sql import functions as F
+
+    from partloom.sources.headers import header_name
+
+    words = spark.createDataFrame([("Q.tà",), ("Codice / Code",), ("bolt",), ("",)], "text string").select(header_name(F.col("text")).alias("n"))
+    assert [r.n for r in words.collect()] == ["qty", "code", None, None]
+    assert words._jdf.queryExecution().analyzed().toString().count("translate(") == 1
