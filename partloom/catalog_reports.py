@@ -192,12 +192,9 @@ def alias_suspects(spark, d):
     return P.alias_suspects(G.base_aliases(renamed), B._graph(spark, d), renamed)
 
 
-# Parts by mutual reach; from the least code of each all ways inside it, of which the shortest to each edge back counts.
-@_query(B._GRAPH + """, r AS (SELECT parent AS a, child AS b FROM g UNION SELECT r.a, g.child FROM r JOIN g ON g.parent = r.b),
-c AS (SELECT x.a AS code, min(x.b) AS head FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a), e AS (SELECT g.parent, g.child, a.head FROM g JOIN c a ON a.code = g.parent JOIN c b ON b.code = g.child AND b.head = a.head),
-w AS (SELECT DISTINCT head, [head] AS p FROM c UNION ALL SELECT w.head, list_append(w.p, e.child) FROM w JOIN e ON e.head = w.head AND e.parent = w.p[len(w.p)] WHERE e.child <> w.head AND NOT list_contains(w.p, e.child)),
-k AS (SELECT w.head, list_append(w.p, w.head) AS p, row_number() OVER (PARTITION BY w.head, w.p[len(w.p)] ORDER BY len(w.p), w.p) AS n FROM w JOIN e ON e.head = w.head AND e.child = w.head AND e.parent = w.p[len(w.p)] WHERE e.parent <> e.child)
-SELECT head, CAST(len(p) - 1 AS INTEGER) AS length, array_to_string(p, ' > ') AS path FROM k WHERE n = 1 UNION ALL SELECT parent, 1, parent || ' > ' || parent FROM g WHERE parent = child""")
+# All simple cycles, each from its least code.
+@_query(B._GRAPH + """, r AS (SELECT [parent, child] AS p FROM g WHERE child >= parent UNION ALL SELECT list_append(r.p, g.child) FROM r JOIN g ON g.parent = r.p[len(r.p)] WHERE r.p[1] <> r.p[len(r.p)] AND (g.child = r.p[1] OR (g.child > r.p[1] AND NOT list_contains(r.p, g.child))))
+SELECT p[1] AS head, CAST(len(p) - 1 AS INTEGER) AS length, array_to_string(p, ' > ') AS path FROM r WHERE p[1] = p[len(p)]""")
 def graph_cycles(spark, d):
     return P.graph_cycles(B._graph(spark, d))
 

@@ -108,3 +108,29 @@ def cycle_witnesses(graph: DataFrame) -> DataFrame:
     long = closing.join(seen, ["code", "head"]).select("head", F.concat("path", F.array("head")).alias("path"))
     loops = edges.where("parent = child").select(F.col("parent").alias("head"), F.array("parent", "child").alias("path"))
     return long.unionByName(loops).select("head", (F.size("path") - 1).alias("length"), "path")
+
+
+def simple_cycles(graph: DataFrame) -> DataFrame:
+    """head, length, path: every cycle of the graph that meets no code twice, once, from its least code; of any length.
+
+    Ways go from the least code of each strongly connected part, inside it; then that code is taken away and
+    the rest falls into parts again.  There may be exponentially many cycles in a dense part: that is the job.
+    """
+    edges = stored(graph.select("parent", "child").distinct(), "cycle-edges")
+    found = edges.where("parent = child").select(F.col("parent").alias("head"), F.array("parent", "child").alias("path"))
+    edges = edges.where("parent <> child")
+    while True:
+        parts = strong_components(edges)
+        a, b = parts.select(F.col("code").alias("parent"), "head"), parts.select(F.col("code").alias("child"), F.col("head").alias("other"))
+        inner = stored(edges.join(a, "parent").join(b, "child").where("head = other").select("parent", "child", "head"), "inner-edges")
+        if inner.isEmpty():
+            return found.select("head", (F.size("path") - 1).alias("length"), "path")
+        onward = inner.where("child <> head")
+        ways = seen = stored(parts.where("code = head").select("head", "code", F.array("code").alias("path")), "ways")
+        while not ways.isEmpty():
+            step = ways.withColumnRenamed("code", "parent").join(onward, ["parent", "head"]).where(~F.array_contains("path", F.col("child")))
+            ways = stored(step.select("head", F.col("child").alias("code"), F.concat("path", F.array("child")).alias("path")), "ways")
+            seen = seen.unionByName(ways)
+        closing = inner.where("child = head").select(F.col("parent").alias("code"), "head")
+        found = found.unionByName(stored(seen.join(closing, ["code", "head"]).select("head", F.concat("path", F.array("head")).alias("path")), "cycles"))
+        edges = onward.where("parent <> head").select("parent", "child")

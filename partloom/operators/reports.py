@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.keys import digit_root, norm, strip_lookup_suffix
 from ..plans.tables import stored
-from .components import cycle_witnesses
+from .components import simple_cycles
 from .resolve import header_index, resolve, same_root
 
 
@@ -166,8 +166,8 @@ def missing_edge_rows(missing: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def graph_cycles(graph: DataFrame) -> DataFrame:
-    """head, length, path: a shortest cycle for every edge into the least code of a cyclic part, and every loop; of any length."""
-    return cycle_witnesses(graph).select("head", "length", F.array_join("path", " > ").alias("path"))
+    """head, length, path: every simple cycle of the list graph, from its least code; of any length."""
+    return simple_cycles(graph).select("head", "length", F.array_join("path", " > ").alias("path"))
 
 
 def code_tree(parents: DataFrame) -> DataFrame:

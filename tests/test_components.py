@@ -107,3 +107,10 @@ def test_reach_is_counted_by_words_that_are_not_broadcast(spark, monkeypatch):
     bits = [df for name, df in tables if name == "reach-bits"]
     assert len(bits) == 3 and dict(bits[-1].dtypes)["bits"] == "bigint"
     assert "BroadcastHashJoin" not in bits[-1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_simple_cycles_and_not_only_shortest_ones(spark):
+    """Two ways from A to the edge back: both are cycles, and so is one that does not pass by A."""
+    edges = {("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "A"), ("D", "C"), ("E", "E"), ("D", "F")}
+    rows = C.simple_cycles(graph(spark, edges)).collect()
+    assert sorted("".join(r.path) for r in rows) == ["ABDA", "ACDA", "CDC", "EE"] and all(r.length == len(r.path) - 1 for r in rows)
