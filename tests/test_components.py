@@ -114,3 +114,14 @@ def test_all_simple_cycles_and_not_only_shortest_ones(spark):
     edges = {("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "A"), ("D", "C"), ("E", "E"), ("D", "F")}
     rows = C.simple_cycles(graph(spark, edges)).collect()
     assert sorted("".join(r.path) for r in rows) == ["ABDA", "ACDA", "CDC", "EE"] and all(r.length == len(r.path) - 1 for r in rows)
+
+
+def test_reach_sends_no_level_to_the_driver(spark, monkeypatch):
+    from partloom.operators import graph as G
+
+    tables, real = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df, name: tables.append((name, df)) or real(df, name))
+    got = G.reach(graph(spark, {("A", "B"), ("B", "C"), ("C", "A"), ("D", "A")}), spark.createDataFrame([("A",)], "code string"))
+    assert {r.code for r in got.collect()} == {"A", "B", "C"}
+    levels = [df for name, df in tables if name == "reach"]
+    assert len(levels) == 4 and "BroadcastHashJoin" not in levels[-1]._jdf.queryExecution().executedPlan().toString()
