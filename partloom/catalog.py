@@ -595,7 +595,7 @@ def continuation_merge(spark, d):
 @_query("WITH v AS (SELECT l_returnflag AS file_id, l_extendedprice AS x FROM lineitem), g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY file_id ORDER BY x) > 20 THEN 1 ELSE 0 END AS b FROM v), c AS (SELECT file_id, x, sum(b) OVER (PARTITION BY file_id ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1 AS k FROM g) SELECT file_id, CAST(k AS BIGINT) AS cluster, count(*) AS n, min(x) AS low, max(x) AS high FROM c GROUP BY file_id, k")
 def x_cluster(spark, d):
     v = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("file_id"), F.col("l_extendedprice").alias("x"))
-    return I.clusters(v, "x", 20.0, ["file_id"]).groupBy("file_id", F.col("cluster").cast("bigint").alias("cluster")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return I.cluster_values(v, "x", 20.0, ["file_id"]).groupBy("file_id", F.col("cluster").cast("bigint").alias("cluster")).agg(F.sum("n").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
 @_query("SELECT CAST(n_nationkey AS STRING) AS word_id, n_regionkey AS col FROM nation")

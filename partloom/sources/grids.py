@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm, quantity
+from ..plans.tables import stored
 
 # Spellings of the columns of a component list.
 COLUMN_NAMES = {
@@ -80,8 +81,33 @@ def expanded_cells(rows: DataFrame, columns: list[str], joined: list[str]) -> Da
     return indexed.select("file_id", "row", (F.col("k") + 1).alias("part"), *[(rest(c) if c in joined else value(c)).alias(c) for c in columns])
 
 
+def cluster_values(values: DataFrame, column: str, tolerance: float, within: list[str]) -> DataFrame:
+    """within, column, n, cluster (from 1): a row for each different value; sorted values no further apart than ``tolerance`` are one cluster.
+
+    Ranges of the different values are marked apart, then moved by the gaps of the ranges before; one task of a
+    file adds up its ranges, which are as many as shuffle partitions, not its values.
+    """
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = values.groupBy(*within, column).agg(F.count("*").alias("n"))
+    ranges = stored(counted.repartitionByRange(parts, *within, column).withColumn("__range", F.spark_partition_id()), "cluster-ranges")
+    inside = Window.partitionBy(*within, "__range").orderBy(column)
+    # equal values differ by more only where their difference is no number: each row is then a gap
+    own = F.when(F.col(column) - F.col(column) > tolerance, F.col("n") - 1).otherwise(0)
+    marked = ranges.withColumn("__gap", F.when(F.col(column) - F.lag(column).over(inside) > tolerance, 1).otherwise(0) + own)
+    marked = marked.withColumn("__gaps", F.sum("__gap").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = marked.groupBy(*within, "__range").agg(F.min_by(column, F.struct(F.col(column))).alias("__first"), F.max_by(column, F.struct(F.col(column))).alias("__last"), F.sum("__gap").alias("__sum"))
+    along = Window.partitionBy(*within).orderBy("__range")
+    joint = ends.withColumn("__joint", F.when(F.col("__first") - F.lag("__last").over(along) > tolerance, 1).otherwise(0))
+    before = F.sum(F.col("__joint") + F.col("__sum")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__sum")
+    moved = joint.select(*[F.col(c).alias(f"__{c}") for c in within], F.col("__range").alias("__r"), before.alias("__before"))
+    same = F.col("__range") == F.col("__r")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return marked.join(moved, same).select(*within, column, "n", (F.col("__gaps") + F.col("__before") + 1).alias("cluster"))
+
+
 def clusters(values: DataFrame, column: str, tolerance: float, within: list[str]) -> DataFrame:
-    """``values`` with cluster (from 1) and center: sorted values no further apart than ``tolerance`` are one."""
+    """``values`` with cluster (from 1) and center, as ``cluster_values``, of groups as small as the words of a page."""
     order = Window.partitionBy(*within).orderBy(column)
     gap = F.when(F.col(column) - F.lag(column).over(order) > tolerance, 1).otherwise(0)
     marked = values.withColumn("__gap", gap).withColumn("cluster", F.sum("__gap").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)) + 1)
