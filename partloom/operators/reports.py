@@ -126,7 +126,8 @@ def header_audit(files: DataFrame, matches: DataFrame, headers: DataFrame, verif
     m = matches.select("path", F.col("target").alias("name_target"), "match_len", "strength", "score")
     h = headers.select("bom_id", F.col("code").alias("header_code"), F.col("revision").alias("header_rev"))
     v = verified.select("bom_id", "matched", "reason", F.col("target").alias("header_target"), F.col("match_len").alias("header_match_len"))
-    j = files.select("path", "bom_id").join(m, "path", "left").join(h, "bom_id", "left").join(v, "bom_id", "left")
+    # by shuffles: these tables grow with the files, and what Spark expects of their size is far too little
+    j = files.select("path", "bom_id").join(m.hint("merge"), "path", "left").join(h.hint("merge"), "bom_id", "left").join(v.hint("merge"), "bom_id", "left")
     return j.na.fill("", ["name_target", "header_code", "header_rev", "header_target"]).na.fill(0, ["match_len", "header_match_len"]).na.fill({"strength": "NO_MATCH", "reason": "NOT_OPENED", "matched": False, "score": 0.0})
 
 

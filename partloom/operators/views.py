@@ -73,7 +73,7 @@ def match_targets(files: DataFrame, targets: DataFrame, least: int = 6) -> DataF
         F.array(F.struct(rev.alias("key"), F.lit("STRONG").alias("strength")), F.struct(F.lit("").alias("key"), F.lit("MEDIUM").alias("strength")))
     )
     asked = files.select("path", F.explode(keys).alias("k"), digit_prefixes(F.col("name"), least).alias("p")).select("path", "k.key", "k.strength", F.explode("p").alias("prefix"))
-    found = asked.join(index, ["prefix", "key"])
+    found = asked.hint("merge").join(index.hint("merge"), ["prefix", "key"])  # both grow with the names: neither may be sent to every task
     n = F.length("prefix")
     best = F.min(F.struct((F.col("strength") != "STRONG").alias("weak"), (-n).alias("n"), F.col("best.target").alias("target"), F.col("best.rev").alias("rev"), "strength"))
     kept = found.groupBy("path").agg(best.alias("b")).select("path", "b.target", (-F.col("b.n")).alias("match_len"), "b.strength")
@@ -89,9 +89,9 @@ def verify_headers(headers: DataFrame, targets: DataFrame, least: int = 6) -> Da
     asked = headers.select("bom_id", hr.alias("hr"), keys.alias("keys"), digit_prefixes(F.col("code"), least).alias("p"))
     asked = asked.select("bom_id", "hr", F.explode("keys").alias("key"), "p").select("bom_id", "hr", "key", F.explode("p").alias("prefix"))
     fits = ~F.col("key").isin(_ANY, _SOME)
-    a = asked.join(index, ["prefix", "key"]).groupBy("bom_id").agg(
+    a = asked.hint("merge").join(index.hint("merge"), ["prefix", "key"]).groupBy("bom_id").agg(
         F.min(F.when(fits, F.struct((-F.length("prefix")).alias("n"), F.col("best.target").alias("target")))).alias("b"), F.bool_or((F.col("key") == _SOME) & (F.col("hr") == "")).alias("absent")
     )
-    out = headers.select("bom_id").join(a.withColumn("seen", F.lit(True)), "bom_id", "left")
+    out = headers.select("bom_id").join(a.withColumn("seen", F.lit(True)).hint("merge"), "bom_id", "left")
     reason = F.when(F.col("b").isNotNull(), "MATCH").when(F.col("seen").isNull(), "NO_NUMERIC_MATCH").when(F.col("absent"), "REV_MISSING").otherwise("REV_MISMATCH")
     return out.select("bom_id", F.col("b").isNotNull().alias("matched"), reason.alias("reason"), F.coalesce("b.target", F.lit("")).alias("target"), F.coalesce(-F.col("b.n"), F.lit(0)).alias("match_len"))

@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+from partloom.operators import reports as P
 from partloom.operators import views as V
 
 
@@ -49,3 +50,14 @@ def test_headers_against_all_targets(spark):
             want[bom] = ("NO_NUMERIC_MATCH" if not near else "REV_MISSING" if not hr else "REV_MISMATCH", "", 0)
     rows = V.verify_headers(spark.createDataFrame(headers, "bom_id string, code string, revision string"), spark.createDataFrame(targets, "target string, rev string")).collect()
     assert {x.bom_id: (x.reason, x.target, x.match_len) for x in rows} == want and all(x.matched == (x.reason == "MATCH") for x in rows)
+
+
+def test_names_and_headers_are_matched_without_sending_them_to_every_task(spark):
+    """Files, targets and headers grow with the names; Spark expects far too little of their size."""
+    files = spark.createDataFrame([("/f/123456 REV A.pdf", "123456 REV A.pdf", "b1")], "path string, name string, bom_id string")
+    targets = spark.createDataFrame([("E123456", "A")], "target string, rev string")
+    headers = spark.createDataFrame([("b1", "E123456", "A")], "bom_id string, code string, revision string")
+    matches, verified = V.match_targets(files, targets), V.verify_headers(headers, targets)
+    audit = P.header_audit(files, matches, headers, verified)
+    assert [(r.name_target, r.strength, r.matched) for r in audit.collect()] == [("E123456", "STRONG", True)]
+    assert "BroadcastHashJoin" not in audit._jdf.queryExecution().executedPlan().toString()
