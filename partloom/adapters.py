@@ -63,8 +63,10 @@ def tables_in(sql: str) -> list[str]:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view as a table; parts are joined by shuffles, as few columns of them are expected to be small however many there are."""
     sql = VIEWS[name]
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_in(sql)})
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return spark.sql(sql, **{t: read(t).hint("merge") if t == "part" else read(t) for t in tables_in(sql)})
 
 
 def duck(name: str) -> str:

@@ -14,7 +14,7 @@ from .resolve import header_index
 def list_graph(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """Distinct parent, child over all lines, whatever their kind or quantity."""
     parents = header_index(headers).select("bom_id", F.col("code").alias("parent"))
-    return lines.join(parents, "bom_id").select("parent", norm(F.col("internal_code")).alias("child")).where("child <> ''").distinct()
+    return lines.join(parents.hint("merge"), "bom_id").select("parent", norm(F.col("internal_code")).alias("child")).where("child <> ''").distinct()
 
 
 def base_aliases(headers: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def degrees(graph: DataFrame, headers: DataFrame, most: int | None = 5000) -> Da
 
 def roots(graph: DataFrame, headers: DataFrame) -> DataFrame:
     """Header codes that are nobody's child."""
-    return header_index(headers).select("code").distinct().join(graph.select(F.col("child").alias("code")).distinct(), "code", "left_anti")
+    return header_index(headers).select("code").distinct().join(graph.select(F.col("child").alias("code")).distinct().hint("merge"), "code", "left_anti")
 
 
 def reach(graph: DataFrame, starts: DataFrame) -> DataFrame:

@@ -141,10 +141,14 @@ def manufacturer_coverage(lines: DataFrame) -> DataFrame:
 
 def root_candidates(roots: DataFrame, graph: DataFrame, headers: DataFrame) -> DataFrame:
     """code, rev, indegree, parents, revs: lists that may be the root, one row for each of their revisions."""
-    parents = graph.groupBy(F.col("child").alias("code")).agg(F.array_join(F.sort_array(F.collect_set("parent")), ";").alias("parents"), F.count_distinct("parent").alias("indegree"))
-    h = header_index(headers).join(roots.select("code").distinct(), "code", "left_semi")
-    revs = h.groupBy("code").agg(F.array_join(F.sort_array(F.collect_set("revision")), ";").alias("revs"))
-    j = h.select("code", F.col("revision").alias("rev")).distinct().join(revs, "code").join(parents, "code", "left")
+    # only parents of the roots are gathered, not those of the whole graph.  All of this grows with the headers, so it is joined
+    # by shuffles; tables between keep the sorts of these joins, which have one key, out of one task
+    wanted = stored(roots.select("code").distinct(), "wanted-roots").hint("merge")
+    into = stored(graph.select(F.col("child").alias("code"), "parent").join(wanted, "code", "left_semi").distinct(), "root-parents")
+    parents = into.groupBy("code").agg(F.array_join(F.sort_array(F.collect_list("parent")), ";").alias("parents"), F.count("parent").alias("indegree"))
+    own = stored(header_index(headers).join(wanted, "code", "left_semi").select("code", F.col("revision").alias("rev")).distinct(), "root-revisions")
+    revs = own.groupBy("code").agg(F.array_join(F.sort_array(F.collect_list("rev")), ";").alias("revs"))
+    j = own.join(revs.hint("merge"), "code").join(parents.hint("merge"), "code", "left")
     return j.select("code", "rev", F.coalesce("indegree", F.lit(0)).alias("indegree"), F.coalesce("parents", F.lit("")).alias("parents"), "revs")
 
 

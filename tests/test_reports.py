@@ -74,3 +74,13 @@ def test_sheet_headers_fall_back_to_the_file_name(spark):
 def test_close_matches_by_ratio(spark):
     pairs = spark.createDataFrame([("QRSTUVWXYZ", "QRSTUVWXYZA"), ("ABCD", "DCBA")], "a string, b string")
     assert [round(r.r, 4) for r in pairs.select(P.sequence_ratio("a", "b").alias("r")).collect()] == [0.9524, 0.25]
+
+
+def test_only_parents_of_roots_are_gathered(spark, monkeypatch):
+    tables, real = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name: tables.append((name, real(df, name))) or tables[-1][1])
+    headers = spark.createDataFrame([("b1", 1, "R", "B"), ("b2", 2, "R", "A"), ("b3", 3, "C", "A")], "bom_id string, bom_seq long, code string, revision string")
+    edges = spark.createDataFrame([("R", "C"), ("X", "R"), ("W", "R"), ("X", "R"), ("C", "D")], "parent string, child string")
+    got = P.root_candidates(spark.createDataFrame([("R",)], "code string"), edges, headers)
+    assert sorted(tuple(r) for r in got.collect()) == [("R", "A", 2, "W;X", "A;B"), ("R", "B", 2, "W;X", "A;B")]
+    assert {name: df.count() for name, df in tables} == {"wanted-roots": 1, "root-parents": 2, "root-revisions": 2}
