@@ -493,17 +493,24 @@ SELECT dg.code, dg.rev, reason, CASE WHEN reason = 'MISSING_LINK' THEN '' ELSE d
  WHEN 'REACHED_SELECTION_FAIL' THEN CASE WHEN bits.m IS NULL AND NOT COALESCE(bits.fell, FALSE) THEN 'met as a child, never entered' ELSE concat_ws('; ', 'revision ' || bits.m, CASE WHEN bits.fell THEN 'fallback' END) END ELSE 'no list has it' END AS note
 FROM dg LEFT JOIN fst ON fst.code = dg.code LEFT JOIN opn ON opn.code = dg.code LEFT JOIN bits ON bits.code = dg.code""")
 def unexploded_diagnosis(spark, d):
+    return _diagnosed(spark, d, _exploded(spark, d))
+
+
+def _diagnosed(spark, d, e: X.Explosion):
     from .operators import reports as P
     from .plans.pipelines import occurrences_in_lists
 
-    rows, h, lines, e = _findings(spark, d)
+    rows, h, lines = view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), view(spark, d, "bom_lines")
     traced = P.traces(P.wanted_lists(e.edges(), ROOT), h)
     return C.diagnose_unexploded(C.unexploded(rows, h, e.exploded()), T.effective_children(rows, "reset"), e.edges().select(F.col("child_code").alias("code")), occurrences_in_lists(lines, h), e.exploded(), R.structure_revs(rows), traced, e.missing_lists())
 
 
-def _breaks(spark, d):
-    rows = view(spark, d, "pbs_rows")
-    e = X.explode(spark, view(spark, d, "bom_lines"), view(spark, d, "bom_headers"), ROOT, "A", view(spark, d, "structure_revs"), X.Policy(explode_unknown=True, fallback=False))
+def _strict(spark, d) -> X.Explosion:
+    return X.explode(spark, view(spark, d, "bom_lines"), view(spark, d, "bom_headers"), ROOT, "A", view(spark, d, "structure_revs"), X.Policy(explode_unknown=True, fallback=False))
+
+
+def _breaks(spark, d, e: X.Explosion | None = None):
+    rows, e = view(spark, d, "pbs_rows"), e or _strict(spark, d)
     return C.chain_breaks(T.level_parents(rows), T.effective_children(rows), e.edges().select(F.col("child_code").alias("code")), e.exploded())
 
 

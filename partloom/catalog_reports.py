@@ -72,8 +72,8 @@ tc AS (SELECT context, code AS expected_code, rev AS expected_rev, CASE WHEN n >
  CASE WHEN outcome = 'FALLBACK' THEN 'revision ' || CASE WHEN rev = '' THEN '-' ELSE rev END || ' asked, ' || revision || ' taken' ELSE '' END AS note, CASE outcome WHEN 'MISSING_FILE' THEN 'add the list' WHEN 'FALLBACK' THEN 'name the revision' ELSE '' END AS suggestion FROM tr) """
 
 
-def _traced(spark, d):
-    return P.traces(P.wanted_lists(B._exploded(spark, d).edges(), B.ROOT), view(spark, d, "bom_headers"))
+def _traced(spark, d, e: X.Explosion | None = None):
+    return P.traces(P.wanted_lists((e or B._exploded(spark, d)).edges(), B.ROOT), view(spark, d, "bom_headers"))
 
 
 @_query(_TRACES + "SELECT * FROM tc")
@@ -88,11 +88,7 @@ def rev_fallbacks(spark, d):
 
 @_query(B._STRICT_WALK + "SELECT DISTINCT child_code AS code FROM walk WHERE state = 'EDGE' AND next_bom_id IS NULL AND child_code IN (SELECT code FROM bom_headers)")
 def missing_sub_lists(spark, d):
-    return _strict(spark, d).missing_lists()
-
-
-def _strict(spark, d) -> X.Explosion:
-    return X.explode(spark, view(spark, d, "bom_lines"), view(spark, d, "bom_headers"), B.ROOT, "A", view(spark, d, "structure_revs"), X.Policy(explode_unknown=True, fallback=False))
+    return B._strict(spark, d).missing_lists()
 
 
 _REASONS = B._BREAKS + """, tq AS (SELECT DISTINCT child_code AS code, child_rev AS rev FROM walk WHERE state = 'EDGE'), nh AS (SELECT code, count(*) AS n FROM bom_headers GROUP BY code),
@@ -101,9 +97,10 @@ tb AS (SELECT code, arg_min(outcome, (outcome = 'OK', rev)) AS outcome FROM to1
 rs AS (SELECT rt.code, CAST(COALESCE(im.n, 0) AS BIGINT) AS impacted, CASE tb.outcome WHEN 'MISSING_FILE' THEN 'no sub-bom resolved (missing file)' WHEN 'AMBIGUOUS' THEN 'no sub-bom resolved (ambiguous)' WHEN 'OK' THEN 'no sub-bom resolved' ELSE 'unknown' END AS reason, CASE tb.outcome WHEN 'MISSING_FILE' THEN 'add the list' WHEN 'AMBIGUOUS' THEN 'name the revision' ELSE 'check the list''s header and the linking rule' END AS suggestion FROM rt LEFT JOIN im ON im.root = rt.code LEFT JOIN tb ON tb.code = rt.code) """
 
 
-def _reasons(spark, d):
-    traced = P.traces(P.wanted_lists(_strict(spark, d).edges(), B.ROOT, "A"), view(spark, d, "bom_headers"), False)
-    return P.break_reasons(B._breaks(spark, d)[0], traced)
+def _reasons(spark, d, e: X.Explosion | None = None):
+    e = e or B._strict(spark, d)
+    traced = P.traces(P.wanted_lists(e.edges(), B.ROOT, "A"), view(spark, d, "bom_headers"), False)
+    return P.break_reasons(B._breaks(spark, d, e)[0], traced)
 
 
 @_query(_REASONS + "SELECT * FROM rs")
@@ -230,7 +227,8 @@ def master_misses(spark, d):
 @_query(_TRACES + """, wp AS (SELECT DISTINCT child_code, child_rev, parent_code, parent_rev FROM walk WHERE state = 'EDGE') SELECT tc.context, tc.expected_code, tc.expected_rev, COALESCE(wp.parent_code, '') AS source_parent_code, COALESCE(wp.parent_rev, '') AS source_parent_rev, tc.n_candidates, COALESCE(s.bid, '') AS selected_bom_id,
 tc.selected_code, tc.selected_rev, tc.outcome, tc.note, tc.suggestion, tc.suspicious FROM tc LEFT JOIN wp ON tc.context = 'EXPLODE_CHILD' AND wp.child_code = tc.expected_code AND wp.child_rev = tc.expected_rev LEFT JOIN strict s ON s.code = tc.selected_code AND s.revision = tc.selected_rev""")
 def resolution_trace_rows(spark, d):
-    return RR.trace_rows(_traced(spark, d), B._exploded(spark, d).edges(), view(spark, d, "bom_headers"))
+    e = B._exploded(spark, d)
+    return RR.trace_rows(_traced(spark, d, e), e.edges(), view(spark, d, "bom_headers"))
 
 
 def _diagnosed_sql() -> str:
@@ -246,7 +244,7 @@ def unexploded_diagnosis_rows(spark, d):
     rows = view(spark, d, "pbs_rows")
     e = B._exploded(spark, d)
     classes = B.C.chain_breaks(T.level_parents(rows), T.effective_children(rows), e.edges().select(F.col("child_code").alias("code")), e.exploded())[1]
-    return RR.diagnosis_rows(B.unexploded_diagnosis(spark, d), classes)
+    return RR.diagnosis_rows(B._diagnosed(spark, d, e), classes)
 
 
 @_query(_REASONS + B._SIGHT + """, sv AS (SELECT code, arg_max(rev, seq) AS rev FROM pbs_rows WHERE code <> '' AND rev <> '' GROUP BY code), cn AS (SELECT pq.code, max(ch.n) AS n FROM pq JOIN ch ON ch.parent_seq = pq.seq GROUP BY pq.code)
@@ -255,10 +253,10 @@ CASE WHEN un.code IS NULL OR eff.n IS NULL THEN '' ELSE COALESCE(CAST(fst.pos AS
 def chain_break_rows(spark, d):
     from .plans.pipelines import occurrences_in_lists
 
-    rows, h, lines, e = view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), view(spark, d, "bom_lines"), _strict(spark, d)
+    rows, h, lines, e = view(spark, d, "pbs_rows"), view(spark, d, "bom_headers"), view(spark, d, "bom_lines"), B._strict(spark, d)
     open_codes, reached = B.C.unexploded(rows, h, e.exploded()), e.edges().select(F.col("child_code").alias("code"))
     diagnosis = B.C.diagnose_unexploded(open_codes, T.effective_children(rows, "reset"), reached, occurrences_in_lists(lines, h), e.exploded(), R.structure_revs(rows))
-    return RR.break_rows(_reasons(spark, d), diagnosis, T.effective_children(rows))
+    return RR.break_rows(_reasons(spark, d, e), diagnosis, T.effective_children(rows))
 
 
 @_query(B._MISMATCH + """, lk AS (SELECT DISTINCT ln.parent, s.rev AS parent_rev, ln.bid AS bom_id FROM ln JOIN s ON s.seq = ln.seq), fr AS (SELECT code AS parent, max(seq) AS parent_seq FROM s GROUP BY code),

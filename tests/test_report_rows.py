@@ -54,3 +54,22 @@ def test_diagnosis_and_break_rows(spark):
     reasons = spark.createDataFrame([("A", 1, "unknown", "s"), ("N", 0, "unknown", "s")], "code string, impacted long, reason string, suggestion string")
     effective = spark.createDataFrame([("A", 3, 5)], "code string, most long, total long")
     assert sorted(tuple(r) for r in RR.break_rows(reasons, diagnosis, effective).collect()) == [("A", "r", "P", "q", "10", 3, 1, "unknown", "s"), ("N", "", "", "", "", 0, 0, "unknown", "s")]
+
+
+def test_a_report_explodes_once(spark, monkeypatch):
+    """Every explosion is a walk through all lists; what a report derives from one is derived from the same tables."""
+    from partloom import catalog_reports
+    from partloom.operators import explode as X
+
+    calls, real = [], X.explode
+
+    def once(*args, **options):
+        calls.append(calls[0] if calls else real(*args, **options))
+        return calls[0]
+
+    monkeypatch.setattr(X, "explode", once)
+    for name in ("chain_break_rows", "top_chain_breaks", "resolution_trace_rows", "unexploded_diagnosis_rows"):
+        del calls[1:]
+        before = len(calls)
+        catalog_reports.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(calls) - before == 1, name
