@@ -104,11 +104,20 @@ def adjacency(lines: DataFrame, headers: DataFrame, revs: DataFrame | None, poli
         chosen = chosen.withColumn("child_rev", rev).withColumn("child_code", canonical_pn(F.col("internal_code"), rev))
     else:
         chosen = chosen.withColumn("child_rev", F.coalesce("structure_rev", F.lit("")))
-    wanted = chosen.select(F.col("child_code").alias("code"), F.col("child_rev").alias("rev"))
+    # a table: the lines are read three times from here, and their own plan is a long one
+    chosen = stored(chosen.select("bom_id", "line_no", "child_code", "child_rev", F.col("qty").cast(policy.kind).alias("line_qty"), unit(F.col("unit")).alias("unit")), "chosen-lines")
+    wanted = stored(chosen.select(F.col("child_code").alias("code"), F.col("child_rev").alias("rev")).distinct(), "wanted-lists")
     solved = resolve(wanted, headers, policy.fallback, policy.use_max_rev).select(F.col("code").alias("child_code"), F.col("rev").alias("child_rev"), F.col("bom_id").alias("next_bom_id"), "outcome")
-    out = chosen.join(solved, ["child_code", "child_rev"], "left")
+    out = chosen.join(solved.hint("merge"), ["child_code", "child_rev"], "left")
     parents = header_index(headers).select("bom_id", F.col("code").alias("parent_code"), F.col("revision").alias("parent_rev"))
-    return out.join(parents, "bom_id").select("bom_id", "parent_code", "parent_rev", "line_no", "child_code", "child_rev", F.col("qty").cast(policy.kind).alias("line_qty"), unit(F.col("unit")).alias("unit"), "next_bom_id", "outcome")
+    return out.join(parents.hint("merge"), "bom_id").select("bom_id", "parent_code", "parent_rev", "line_no", "child_code", "child_rev", "line_qty", "unit", "next_bom_id", "outcome")
+
+
+def _start(spark: SparkSession, headers: DataFrame, root_code: str, root_rev: str, policy: Policy) -> DataFrame:
+    """The list of the root; other codes decide nothing but why there is none."""
+    root = spark.createDataFrame([(root_code, root_rev)], "code string, rev string")
+    own = headers.join(F.broadcast(root.select(norm(F.col("code")).alias("code"))), "code", "left_semi")
+    return resolve(root, own, policy.fallback and not (root_rev and policy.root_strict_rev), policy.use_max_rev)
 
 
 def explode(spark: SparkSession, lines: DataFrame, headers: DataFrame, root_code: str, root_rev: str = "", revs: DataFrame | None = None, policy: Policy = Policy()) -> Explosion:
@@ -117,9 +126,9 @@ def explode(spark: SparkSession, lines: DataFrame, headers: DataFrame, root_code
     A root that no list resolves gives empty tables.  A child that is already on the path closes a
     cycle and is not entered.
     """
+    headers = stored(header_index(headers), "headers")
     edges = stored(adjacency(lines, headers, revs, policy), "adjacency")
-    root = spark.createDataFrame([(root_code, root_rev)], "code string, rev string")
-    start = resolve(root, headers, policy.fallback and not policy.root_strict_rev, policy.use_max_rev) if root_rev else resolve(root, headers, policy.fallback, policy.use_max_rev)
+    start = _start(spark, headers, root_code, root_rev, policy)
     frontier = start.where("bom_id is not null").select(
         F.col("bom_id"), F.lit(1).cast(policy.kind).alias("multiplier"), F.array("code").alias("path"), F.array().cast("array<int>").alias("dfs_key")
     )
@@ -183,9 +192,9 @@ def explode_sums(spark: SparkSession, lines: DataFrame, headers: DataFrame, root
     the lists outside of cyclic parts plus the simple paths inside them.  Products are summed before
     they are multiplied on, which gives the same totals while quantities have at most 12 decimals.
     """
+    headers = stored(header_index(headers), "headers")
     edges = stored(adjacency(lines, headers, revs, policy), "adjacency")
-    root = spark.createDataFrame([(root_code, root_rev)], "code string, rev string")
-    start = resolve(root, headers, policy.fallback and not policy.root_strict_rev, policy.use_max_rev) if root_rev else resolve(root, headers, policy.fallback, policy.use_max_rev)
+    start = _start(spark, headers, root_code, root_rev, policy)
     start = stored(start.where("bom_id is not null").select("code", "bom_id"), "start")
     entered = edges.where("next_bom_id is not null").select(F.col("child_code").alias("parent"), F.col("next_bom_id").alias("bom_id")).unionByName(start.withColumnRenamed("code", "parent")).distinct()
     parts = strong_components(entered.join(edges, "bom_id").select("parent", F.col("child_code").alias("child")))

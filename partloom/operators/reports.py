@@ -31,6 +31,8 @@ def traces(wanted: DataFrame, headers: DataFrame, fallback: bool = True, use_max
     the same digit root, sorted.  One row for each distinct question.
     """
     w = wanted.select("context", norm(F.col("code")).alias("code"), norm(F.col("rev")).alias("rev")).where("code <> ''").distinct()
+    # tables: questions and headers are read several times, and come from long plans
+    w, headers = stored(w, "questions"), stored(header_index(headers), "headers")
     solved = resolve(w, headers, fallback, use_max_rev)
     near = same_root(w, headers).withColumnRenamed("candidates", "suspicious")
     j = w.join(solved, ["code", "rev"]).join(near, "code", "left")

@@ -73,3 +73,11 @@ def test_a_report_explodes_once(spark, monkeypatch):
         before = len(calls)
         catalog_reports.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert len(calls) - before == 1, name
+
+
+def test_a_root_is_resolved_from_its_own_lists(spark):
+    from partloom.operators import explode as X
+
+    headers = spark.createDataFrame([("b1", 1, "R", "A"), ("b2", 2, "R", "B"), ("b3", 3, "S", "C")], "bom_id string, bom_seq long, code string, revision string")
+    start = lambda rev, strict: [r.bom_id for r in X._start(spark, headers, "r", rev, X.Policy(root_strict_rev=strict)).collect()]
+    assert (start("A", True), start("Z", True), start("Z", False), start("", True)) == (["b1"], [None], ["b2"], ["b2"])
