@@ -2,9 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; the result
 is written as Parquet and read again as the next one's ``docs``.  All but the last return the
-columns of ``documents``.  Decisions are made for each row: rows are numbered as they come in, so
-null and repeated ids keep or lose no other row, and columns may have any name.  Empty tables
-pass through every stage.
+columns of ``documents``.  Decisions are made for each row: rows are numbered as they come in (or,
+in the quality rules, judged where they are), so null and repeated ids keep or lose no other row, and
+columns may have any name.  Empty tables pass through every stage.  Tables on the way to a stage's decisions
+are deleted once these are stored, and small decisions go to the rows packed into bits, so texts stay put.
 """
 
 from __future__ import annotations
@@ -13,15 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.llm import mixing, near_dups, packing, privacy, quality
-from partloom.llm.store import fresh_dir, numbered, written
+from partloom.llm.store import decided, fresh_dir, numbered, told
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep; null texts and such of few words go."""
-    rows = numbered(docs)
-    rated = quality.rate(rows.select(F.col("row").alias("doc_id"), "doc.text", "doc.lang"))
-    bad = written(rated.where(~F.col("kept")).select(F.col("doc_id").alias("row")), "rejected")
-    return rows.join(bad, "row", "left_anti").select("doc.*")
+    return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +35,9 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it (0 to 2 times); texts without words go."""
     rows = numbered(docs)
-    mixed = mixing.mix(rows.select("row", "doc.doc_id", "doc.source", "doc.text"), carry=["row"])
-    taken = written(mixed.where(F.col("copies") > 0).select("row", "copies"), "copies")
-    repeated = rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    sized = rows.select("row", "doc.doc_id", "doc.source", "doc.text")
+    taken = decided(lambda: mixing.mix(sized, carry=["row"]).where(F.col("copies") > 0).select("row", "copies"), "copies")
+    repeated = told(rows, taken, "copies", bits=2).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return repeated.select("doc.*")
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import dropped, likely, numbered, written
+from .store import decided, dropped, likely, numbered, told, written
 from .tokens import slices
 
 WORDS = 5
@@ -345,9 +345,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     All columns stay, whatever their names.  A class whose rows all have a null doc_id keeps one of them.
     """
     rows = numbered(docs)
-    _, roots = _classes(rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text")), SIMILARITY, ROUNDS)
-    kept = written(roots.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "kept")
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+
+    def first() -> DataFrame:
+        _, roots = _classes(rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text")), SIMILARITY, ROUNDS)
+        return roots.groupBy("root").agg(F.min("first").alias("first")).select("first.row", F.lit(1).alias("kept"))
+
+    return told(rows, decided(first, "kept"), "kept").where("kept = 1").select("doc.*")
 
 
 def op10_bagminhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import let, numbered, written
+from .store import decided, let, numbered, told, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
@@ -189,9 +189,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     n_chars, where there is one, follows a changed text.
     """
     rows = numbered(docs)
-    found = find_personal(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))).where(F.size("spans") > 0)
-    found = written(found.select(F.col("doc_id").alias("row"), "spans"), "sanitise-spans")
-    joined = rows.join(found, "row", "left")
+    texts = rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
+    found = decided(lambda: find_personal(texts).where(F.size("spans") > 0).select(F.col("doc_id").alias("row"), "spans"), "sanitise-spans")
+    # only texts with spans travel to them
+    marked = told(rows, found.select("row", F.lit(1).alias("spotted")), "spotted")
+    clean = marked.where("spotted = 0").select("row", "doc", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
+    joined = clean.unionByName(marked.where("spotted = 1").select("row", "doc").join(found, "row"))
     old = F.col("doc.text")
     changed = {"text": F.when(F.col("spans").isNull(), old).otherwise(redacted(old, F.col("spans")))}
     if "n_chars" in docs.columns:
