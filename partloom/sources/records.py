@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import stored
 from .headers import header_name
 
 # Names of columns and the fields they fill, types of documents, patterns of tokens.
@@ -74,7 +75,8 @@ def table_records(cells: DataFrame, carry: bool = False) -> DataFrame:
     kept = cells.select("file_id", "page", "table_no", "row", F.struct("col", cell_lines(F.col("value")).alias("lines")).alias("cell"))
     rows = kept.groupBy("file_id", "page", "table_no", "row").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
     said = F.array_join(F.flatten(F.transform("cells", lambda x: x["lines"])), " ")
-    rows = rows.withColumn("named", F.when(is_table_header(said), _named(F.col("cells"))))
+    # read twice, so a table: cells are shuffled into rows once
+    rows = stored(rows.withColumn("named", F.when(is_table_header(said), _named(F.col("cells")))), "table-rows")
     # one row for each table: its header, or the last one before it
     tables = rows.groupBy("file_id", "page", "table_no").agg(F.min_by("named", F.when(F.col("named").isNotNull(), F.col("row"))).alias("named"), F.min(F.when(F.col("named").isNotNull(), F.col("row"))).alias("at"))
     usable = F.when(column_of(F.col("named"), "code").isNotNull(), F.col("named"))
@@ -82,10 +84,12 @@ def table_records(cells: DataFrame, carry: bool = False) -> DataFrame:
         earlier = Window.partitionBy("file_id").orderBy("page", "table_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         usable = F.coalesce(usable, F.when(F.col("at").isNull(), F.last(usable, ignorenulls=True).over(earlier)))
     heads = tables.select("file_id", "page", "table_no", usable.alias("map"), "at").where("map is not null")
+    # the columns are sought once for a table; stored, heads have a known size, and rows need not move to few of them
+    heads = stored(heads.select("file_id", "page", "table_no", "at", *[column_of(F.col("map"), n).alias(f"at_{n}") for n in FIELDS]), "table-heads")
     body = rows.drop("named").join(heads, ["file_id", "page", "table_no"]).where(F.col("at").isNull() | (F.col("row") > F.col("at")))
 
     def lines(name: str) -> Column:
-        at = column_of(F.col("map"), name)
+        at = F.col(f"at_{name}")
         found = F.get(F.transform(F.filter("cells", lambda x: x["col"] == at), lambda x: x["lines"]), F.lit(0))
         return F.when(at.isNotNull(), F.coalesce(found, F.array().cast("array<string>"))).alias(name)
 

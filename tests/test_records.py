@@ -99,3 +99,10 @@ def test_text_lines_equal_plain_parsing(spark):
     for x in found.orderBy("file_id", "page", "line_no").collect():
         rows.setdefault(x.file_id, []).append((x.pos, x.type, x.internal_code, x.rev, x.description, x.um, x.qty))
     assert {k: v for k, v in expected.items() if v} == rows and sum(map(len, rows.values())) >= 100
+
+
+def test_cells_are_made_rows_once(spark):
+    cells = spark.createDataFrame([("f", 1, 1, r, c, v) for r, values in enumerate([("Pos", "Code", "Qty"), ("1", "A1", "2")]) for c, v in enumerate(values)], "file_id string, page int, table_no int, row int, col int, value string")
+    got = R.table_records(cells, True)
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(x.pos, x.internal_code, x.qty) for x in got.collect()] == [("0001", "A1", "2")]
