@@ -275,7 +275,8 @@ def root_inference(spark, d):
 @_query(_GRAPH + ", r AS (SELECT 'E0000002' AS code UNION SELECT g.child FROM r JOIN g ON g.parent = r.code) SELECT count(*) AS reachable FROM r WHERE code IN (SELECT code FROM bom_headers)")
 def reachable_count(spark, d):
     got = G.reach(_graph(spark, d), spark.createDataFrame([("E0000002",)], "code string"))
-    return got.join(R.header_index(view(spark, d, "bom_headers")).select("code").distinct(), "code", "left_semi").agg(F.count("*").alias("reachable"))
+    # joined by shuffles, as the codes would go through the driver to be broadcast
+    return got.join(R.header_index(view(spark, d, "bom_headers")).select("code").distinct().hint("merge"), "code", "left_semi").agg(F.count("*").alias("reachable"))
 
 
 @_query(_FOREST + """, rt AS (SELECT DISTINCT code FROM bom_headers WHERE code NOT IN (SELECT child FROM g)),

@@ -125,3 +125,10 @@ def test_reach_sends_no_level_to_the_driver(spark, monkeypatch):
     assert {r.code for r in got.collect()} == {"A", "B", "C"}
     levels = [df for name, df in tables if name == "reach"]
     assert len(levels) == 4 and "BroadcastHashJoin" not in levels[-1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reachable_count_broadcasts_nothing(spark):
+    from partloom import catalog
+
+    plan = catalog.queries()["reachable_count"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
