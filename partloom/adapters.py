@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.tables import stored
+
 
 def _code(key: str) -> str:
     return f"('E' || lpad(CAST({key} AS STRING), 7, '0'))"
@@ -69,6 +71,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{t: read(t).hint("merge") if t == "part" else read(t) for t in tables_in(sql)})
 
 
+def lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The views of lines and of headers; headers, which lines name twice, are worked out once, as a table."""
+    headers = stored(view(spark, sf_dir, "bom_headers"), "bom-headers")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").hint("merge")
+    sql = VIEWS["bom_lines"].replace(f"({VIEWS['bom_headers']})", "{headers}")
+    return spark.sql(sql, part=part, headers=headers.hint("merge")), headers
+
+
 def duck(name: str) -> str:
     """The view as a common table expression of DuckDB."""
     sql = VIEWS[name]

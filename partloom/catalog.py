@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .adapters import view, with_views
+from .adapters import lists, view, with_views
 from .functions import keys as K
 from .operators import explode as X
 from .operators import graph as G
@@ -68,11 +68,15 @@ walk AS (
 
 
 def _exploded(spark, d) -> X.Explosion:
-    return X.explode(spark, view(spark, d, "bom_lines"), view(spark, d, "bom_headers"), ROOT, "", view(spark, d, "structure_revs"), POLICY)
+    return X.explode(spark, *lists(spark, d), ROOT, "", view(spark, d, "structure_revs"), POLICY)
+
+
+def _reached(spark, d) -> X.Reach:
+    return X.explode_reach(spark, *lists(spark, d), ROOT, "", view(spark, d, "structure_revs"), POLICY)
 
 
 def _summed(spark, d) -> X.Sums:
-    return X.explode_sums(spark, view(spark, d, "bom_lines"), view(spark, d, "bom_headers"), ROOT, "", view(spark, d, "structure_revs"), POLICY)
+    return X.explode_sums(spark, *lists(spark, d), ROOT, "", view(spark, d, "structure_revs"), POLICY)
 
 
 def _whole(c):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import catalog as B
-from .adapters import view, with_views
+from .adapters import lists, view, with_views
 from .functions import keys as K
 from .operators import explode as X
 from .operators import graph as G
@@ -50,8 +50,9 @@ PAGE_POLICY = X.Policy(explode_documents=True, explode_unknown=True, explode_pro
 
 
 def _paged(spark, d) -> X.Explosion:
-    keyed = view(spark, d, "bom_headers").withColumn("code", K.canonical_pn(F.col("code"), F.col("revision")))
-    return X.explode(spark, view(spark, d, "bom_lines"), keyed, B.ROOT + "-A", "", view(spark, d, "page_revs"), PAGE_POLICY)
+    lines, headers = lists(spark, d)
+    keyed = headers.withColumn("code", K.canonical_pn(F.col("code"), F.col("revision")))
+    return X.explode(spark, lines, keyed, B.ROOT + "-A", "", view(spark, d, "page_revs"), PAGE_POLICY)
 
 
 @_query(_PAGES + "SELECT depth, array_to_string(path, '>') AS path, parent_code, child_code, child_rev, CASE WHEN state = 'EDGE' THEN CAST(qty AS BIGINT) ELSE 0 END AS qty, state, outcome FROM walk WHERE state IN ('EDGE', 'MISSING_QTY')")
@@ -73,7 +74,10 @@ tc AS (SELECT context, code AS expected_code, rev AS expected_rev, CASE WHEN n >
 
 
 def _traced(spark, d, e: X.Explosion | None = None):
-    return P.traces(P.wanted_lists((e or B._exploded(spark, d)).edges(), B.ROOT), view(spark, d, "bom_headers"))
+    if e is not None:
+        return P.traces(P.wanted_lists(e.edges(), B.ROOT), e.headers)
+    reach = B._reached(spark, d)
+    return P.traces(P.wanted_lists(reach.met, B.ROOT), reach.headers)
 
 
 @_query(_TRACES + "SELECT * FROM tc")

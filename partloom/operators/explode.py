@@ -92,8 +92,8 @@ def eligible_lines(lines: DataFrame, policy: Policy) -> DataFrame:
     return lines.where((norm(F.col("internal_code")) != "") & fits)
 
 
-def adjacency(lines: DataFrame, headers: DataFrame, revs: DataFrame | None, policy: Policy) -> DataFrame:
-    """Eligible lines with child key, own quantity and the list that the child resolves to."""
+def _resolved_lines(lines: DataFrame, headers: DataFrame, revs: DataFrame | None, policy: Policy) -> tuple[DataFrame, DataFrame]:
+    """Eligible lines with child key, own quantity and the list that the child resolves to; the distinct (code, rev) of their children."""
     chosen = eligible_lines(lines, policy).withColumn("child_code", norm(F.col("internal_code")))
     if revs is not None:
         chosen = chosen.join(revs.select(F.col("code").alias("child_code"), F.col("rev").alias("structure_rev")), "child_code", "left")
@@ -108,7 +108,12 @@ def adjacency(lines: DataFrame, headers: DataFrame, revs: DataFrame | None, poli
     chosen = stored(chosen.select("bom_id", "line_no", "child_code", "child_rev", F.col("qty").cast(policy.kind).alias("line_qty"), unit(F.col("unit")).alias("unit")), "chosen-lines")
     wanted = stored(chosen.select(F.col("child_code").alias("code"), F.col("child_rev").alias("rev")).distinct(), "wanted-lists")
     solved = resolve(wanted, headers, policy.fallback, policy.use_max_rev).select(F.col("code").alias("child_code"), F.col("rev").alias("child_rev"), F.col("bom_id").alias("next_bom_id"), "outcome")
-    out = chosen.join(solved.hint("merge"), ["child_code", "child_rev"], "left")
+    return chosen.join(solved.hint("merge"), ["child_code", "child_rev"], "left"), wanted
+
+
+def adjacency(lines: DataFrame, headers: DataFrame, revs: DataFrame | None, policy: Policy) -> DataFrame:
+    """Eligible lines with their parent, child key, own quantity and the list that the child resolves to."""
+    out, _ = _resolved_lines(lines, headers, revs, policy)
     parents = header_index(headers).select("bom_id", F.col("code").alias("parent_code"), F.col("revision").alias("parent_rev"))
     return out.join(parents.hint("merge"), "bom_id").select("bom_id", "parent_code", "parent_rev", "line_no", "child_code", "child_rev", "line_qty", "unit", "next_bom_id", "outcome")
 
@@ -116,8 +121,9 @@ def adjacency(lines: DataFrame, headers: DataFrame, revs: DataFrame | None, poli
 def _start(spark: SparkSession, headers: DataFrame, root_code: str, root_rev: str, policy: Policy) -> DataFrame:
     """The list of the root; other codes decide nothing but why there is none."""
     root = spark.createDataFrame([(root_code, root_rev)], "code string, rev string")
-    own = headers.join(F.broadcast(root.select(norm(F.col("code")).alias("code"))), "code", "left_semi")
-    return resolve(root, own, policy.fallback and not (root_rev and policy.root_strict_rev), policy.use_max_rev)
+    # tables of few rows: all lists are read once, and what is joined with the root is seen to be small
+    own = stored(headers.join(F.broadcast(root.select(norm(F.col("code")).alias("code"))), "code", "left_semi"), "root-lists")
+    return stored(resolve(root, own, policy.fallback and not (root_rev and policy.root_strict_rev), policy.use_max_rev), "start")
 
 
 def explode(spark: SparkSession, lines: DataFrame, headers: DataFrame, root_code: str, root_rev: str = "", revs: DataFrame | None = None, policy: Policy = Policy()) -> Explosion:
@@ -195,7 +201,7 @@ def explode_sums(spark: SparkSession, lines: DataFrame, headers: DataFrame, root
     headers = stored(header_index(headers), "headers")
     edges = stored(adjacency(lines, headers, revs, policy), "adjacency")
     start = _start(spark, headers, root_code, root_rev, policy)
-    start = stored(start.where("bom_id is not null").select("code", "bom_id"), "start")
+    start = start.where("bom_id is not null").select("code", "bom_id")
     entered = edges.where("next_bom_id is not null").select(F.col("child_code").alias("parent"), F.col("next_bom_id").alias("bom_id")).unionByName(start.withColumnRenamed("code", "parent")).distinct()
     parts = strong_components(entered.join(edges, "bom_id").select("parent", F.col("child_code").alias("child")))
     parts = stored(parts.select(F.col("code").alias("child_code"), F.col("head").alias("child_part")), "parts")
@@ -228,6 +234,46 @@ def explode_sums(spark: SparkSession, lines: DataFrame, headers: DataFrame, root
     return Sums(met, headers)
 
 
+@dataclass
+class Reach:
+    """What an explosion meets, without paths; ``met`` has a row for each (child_code, child_rev) of its edges."""
+
+    met: DataFrame
+    headers: DataFrame
+
+
+#: A frontier of more lists is joined by shuffles: small files of lists are large in the driver's memory.
+_FEW = 100_000
+
+
+def explode_reach(spark: SparkSession, lines: DataFrame, headers: DataFrame, root_code: str, root_rev: str = "", revs: DataFrame | None = None, policy: Policy = Policy()) -> Reach:
+    """The distinct children of the edges of ``explode``: a list is entered once, however many paths lead to it.
+
+    Where a path comes back to a code that leads to one list only, the way between can be left out
+    and what follows is met all the same.  So a way remembers just the root and codes asked for in
+    several revisions; a list is entered once for each set of those.
+    """
+    headers = stored(header_index(headers), "headers")
+    resolved, wanted = _resolved_lines(lines, headers, revs, policy)
+    several = wanted.groupBy(F.col("code").alias("child_code")).agg(F.count("*").alias("n")).where("n > 1").select("child_code", F.lit(True).alias("several"))
+    edges = resolved.where("line_qty > 0").select("bom_id", "child_code", "child_rev", "next_bom_id")
+    # most structures name one revision for a code; all lines are joined only where some name more
+    marked = edges.withColumn("several", F.lit(None).cast("boolean")) if several.isEmpty() else edges.join(several.hint("merge"), "child_code", "left")
+    edges = stored(marked.select("bom_id", "child_code", "child_rev", "next_bom_id", F.coalesce("several", F.lit(False)).alias("several")), "reach-edges")
+    start = _start(spark, headers, root_code, root_rev, policy)
+    onward = edges.where("next_bom_id is not null")
+    frontier = stored(start.where("bom_id is not null").select("bom_id", F.array("code").alias("way")), "reached")
+    seen, n = frontier, frontier.count()
+    met = lambda at, lines: at.join(lines, "bom_id").where(~F.array_contains("way", F.col("child_code")))
+    while n:
+        way = F.when(F.col("several"), F.array_sort(F.concat("way", F.array("child_code")))).otherwise(F.col("way"))
+        step = met(frontier if n <= _FEW else frontier.hint("merge"), onward).select(F.col("next_bom_id").alias("bom_id"), way.alias("way")).distinct()
+        frontier = stored(step.join(seen.hint("merge"), ["bom_id", "way"], "left_anti"), "reached")
+        n = frontier.count()
+        seen = seen.unionByName(frontier)
+    return Reach(met(seen.hint("merge"), edges).select("child_code", "child_rev").distinct(), headers)
+
+
 def explode_totals(edges: DataFrame, root: DataFrame) -> DataFrame:
     """code, qty, visits, max_depth by levels of summed codes, without paths.
 
