@@ -38,12 +38,16 @@ def alnum(c: Column) -> Column:
 
 def canonical_pn(code: Column, suffix: Column | None = None) -> Column:
     """Part number with its two-digit suffix behind a dash; a given suffix replaces the parsed one."""
-    c = F.regexp_replace(norm(code), r"\s+", " ")
-    s = norm(suffix) if suffix is not None else F.lit("")
+    cleaned = F.struct(F.regexp_replace(norm(code), r"\s+", " ").alias("code"), (norm(suffix) if suffix is not None else F.lit("")).alias("suffix"))
+    return once(cleaned, lambda v: _shaped_pn(v["code"], v["suffix"]))
+
+
+def _shaped_pn(c: Column, s: Column) -> Column:
     spaced, compact = r"^([A-Z]{1,3}[0-9]{4,})[\s\-_/.]+([0-9]{2})$", r"^([A-Z]{1,3}[0-9]{7,})([0-9]{2})$"
     ending = lambda p: F.concat(F.regexp_extract(c, p, 1), F.lit("-"), F.when(s != "", s).otherwise(F.regexp_extract(c, p, 2)))
-    parts = F.array_join(F.filter(F.split(c, r"[\s\-_/.]+"), lambda x: x != ""), "-")
-    plain = F.when((parts == "") | (s == "") | (parts == s) | F.endswith(parts, F.concat(F.lit("-"), s)), parts).otherwise(F.concat(parts, F.lit("-"), s))
+    joined = F.array_join(F.filter(F.split(c, r"[\s\-_/.]+"), lambda x: x != ""), "-")
+    whole = lambda parts: (parts == "") | (s == "") | (parts == s) | F.endswith(parts, F.concat(F.lit("-"), s))
+    plain = once(joined, lambda parts: F.when(whole(parts), parts).otherwise(F.concat(parts, F.lit("-"), s)))
     return F.when(F.rlike(c, F.lit(spaced)), ending(spaced)).when(F.rlike(c, F.lit(compact)), ending(compact)).otherwise(plain)
 
 
@@ -56,7 +60,10 @@ def unit(c: Column, names: dict[str, str] = UNIT_NAMES) -> Column:
 
 def rev_order(rev: Column) -> Column:
     """Struct whose order is that of revisions: empty, irregular, then letters and number."""
-    r = norm(rev)
+    return once(norm(rev), _rev_struct)
+
+
+def _rev_struct(r: Column) -> Column:
     regular = F.rlike(r, F.lit("^[A-Z]*[0-9]*$"))
     return F.struct(
         F.when(r == "", 0).when(regular, 2).otherwise(1).alias("kind"),

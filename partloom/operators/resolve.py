@@ -26,11 +26,9 @@ def same_root(wanted: DataFrame, headers: DataFrame) -> DataFrame:
     return w.join(h, "root").where("code <> other").groupBy("code").agg(F.sort_array(F.collect_set("other")).alias("candidates"))
 
 
-def has_same_root(wanted: DataFrame, headers: DataFrame) -> DataFrame:
-    """code: those of ``wanted`` for which a header has the same digit root but another code; a root is one row, not all its pairs."""
-    w = wanted.select("code", digit_root(F.col("code")).alias("root")).where("root <> ''").distinct()
-    ends = header_index(headers).select("code", digit_root(F.col("code")).alias("root")).where("root <> ''").groupBy("root").agg(F.min("code").alias("least"), F.max("code").alias("most"))
-    return w.join(ends, "root").where("least <> code or most <> code").select("code")
+def _root_ends(headers: DataFrame) -> DataFrame:
+    """root, least, most: the ends of the header codes of each digit root: one row, not all its pairs."""
+    return header_index(headers).select("code", digit_root(F.col("code")).alias("root")).where("root <> ''").groupBy("root").agg(F.min("code").alias("least"), F.max("code").alias("most"))
 
 
 def resolve(wanted: DataFrame, headers: DataFrame, fallback: bool = True, use_max_rev: bool = True) -> DataFrame:
@@ -42,10 +40,10 @@ def resolve(wanted: DataFrame, headers: DataFrame, fallback: bool = True, use_ma
     w = wanted.select(norm(F.col("code")).alias("code"), norm(F.col("rev")).alias("rev")).where("code <> ''").distinct()
     strict = header_index(headers).groupBy("code", "revision").agg(F.min_by("bom_id", "bom_seq").alias("strict_id")).withColumnRenamed("revision", "rev")
     top = max_revision(headers).select("code", "n", F.col("bom_id").alias("top_id"), F.col("revision").alias("top_rev"))
-    near = has_same_root(w, headers).withColumn("near", F.lit(True))
-    j = w.join(strict, ["code", "rev"], "left").join(top, "code", "left").join(near, "code", "left")
+    # joined once by the root; codes without one are spread by keys of their own, which no root equals
+    j = w.join(strict, ["code", "rev"], "left").join(top, "code", "left").withColumn("root", F.coalesce(F.nullif(digit_root(F.col("code")), F.lit("")), F.concat(F.lit("#"), "code"))).join(_root_ends(headers), "root", "left")
     n, known = F.coalesce("n", F.lit(0)), F.col("rev") != ""
-    hit, none = known & F.col("strict_id").isNotNull(), F.when(F.col("near").isNotNull(), "SUSPICIOUS_HEADER_MISMATCH").otherwise("MISSING_FILE")
+    hit, none = known & F.col("strict_id").isNotNull(), F.when(F.expr("least <> code or most <> code"), "SUSPICIOUS_HEADER_MISMATCH").otherwise("MISSING_FILE")
     several = n > 1
     outcome = (
         F.when(hit, "OK")
