@@ -40,6 +40,8 @@ UNKNOWN, BOUNDARY = -2, -1
 _DISTINCT = 200_000  # words that a task counts before it hands them on
 _TOKENS = 1_000_000
 _TEXTS = 500  # texts that are hashed together
+_ENTRIES = 100_000  # bigrams of rows that are scored together
+_IN_FILE = 2  # batches in a file: readers and writers hold whole files of such long rows
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -269,25 +271,47 @@ class _Batch:
             contexts.append(np.concatenate([np.zeros(self.n_pairs), np.bincount(self.first, pairs, self.n_words)]).astype(np.int64))
         return out + contexts
 
-    def losses(self, counts: list[np.ndarray], totals: tuple[int, int], n: int) -> list[np.ndarray]:
-        """Background and target loss of each row, from the corpus counts of the keys; its own counts are taken out."""
-        out, p, w = [], self.n_pairs, self.n_words
-        a, b = self.first[self.pair], self.second[self.pair]
+    def _losses(self, own: slice, first: int, last: int, gone: np.ndarray, count: np.ndarray, as_context: np.ndarray, total: int, n: int) -> np.ndarray:
+        """Losses of the rows from ``first`` to ``last``, whose entries are ``own``, under one model; rows that are ``gone`` are taken out of it."""
+        p, pair, times, doc = self.n_pairs, self.pair[own], self.times[own], self.doc[own]
+        a, b, row = self.first[pair], self.second[pair], doc - first
 
         def within(word: np.ndarray) -> np.ndarray:
             """How often the entry's row has the entry's word."""
-            _, at = np.unique(self.doc * w + word, return_inverse=True)
-            return np.bincount(at, self.times)[at]
+            _, at = np.unique(row * self.n_words + word, return_inverse=True)
+            return np.bincount(at, times)[at]
 
         own_a, own_b = (within(x) if len(x) else np.zeros(0) for x in (a, b))
-        for count, as_context, total, gone in zip(counts[:2], counts[2:], totals, (np.ones(len(self.target), bool), self.target)):
-            less = gone[self.doc]
-            unigram = (count[p:][b] - own_b * less + 1) / (total + n + 1 - self.lengths[self.doc] * less)
-            context, both = as_context[p:][a] - own_a * less, count[:p][self.pair] - self.times * less
-            out.append(np.bincount(self.doc, self.times * (np.log(context + PRIOR) - np.log(both + PRIOR * unigram)), len(self.lengths)))
+        less = gone[doc]
+        unigram = (count[p:][b] - own_b * less + 1) / (total + n + 1 - self.lengths[doc] * less)
+        context, both = as_context[p:][a] - own_a * less, count[:p][pair] - times * less
+        return np.bincount(row, times * (np.log(context + PRIOR) - np.log(both + PRIOR * unigram)), last - first)
+
+    def losses(self, counts: list[np.ndarray], totals: tuple[int, int], n: int) -> list[np.ndarray]:
+        """Background and target loss of each row, from the corpus counts of the keys; its own counts are taken out.
+
+        Rows are scored in runs of about _ENTRIES entries, as each of the many steps makes a new array of them.
+        """
+        gone = (np.ones(len(self.target), bool), self.target)
+        out = [np.zeros(len(self.lengths)) for _ in gone]
+        starts = np.searchsorted(self.doc, np.arange(len(self.lengths) + 1))
+        first = 0
+        while first < len(self.lengths):
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + _ENTRIES, "right")) - 1)
+            own = slice(starts[first], starts[last])
+            for sums, less, *corpus in zip(out, gone, counts[:2], counts[2:], totals):
+                sums[first:last] = self._losses(own, first, last, less, *corpus, n)
+            first = last
         return out
 
 
+def _rows(parts: Iterator) -> Iterator[dict]:
+    """The rows of Arrow batches one by one, for steps that keep nothing of a row when the next comes."""
+    for part in parts:
+        for i in range(part.num_rows):
+            yield part.slice(i, 1).to_pylist()[0]
+
+
 #: Of a key, its counts in all and in target rows, and those as a context.
 _SUMS = ("n_all", "n_target", "c_all", "c_target")
 
@@ -298,15 +322,18 @@ def corpus_counts(batches: DataFrame, shares: int) -> DataFrame:
     def ask(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in rows:
-            for row in part.to_pylist():
-                held = _Batch(row)
-                order, ends = held.dealt(shares)
-                columns = [held.keys, *held.own_counts()]
-                starts = np.concatenate([[0], ends[:-1]])
-                full = np.flatnonzero(ends > starts)
-                cut = [[put(c[order[starts[i] : ends[i]]]) for i in full] for c, put in zip(columns, (np.ndarray.tobytes, *[_counted] * 4))]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), *[pa.array(c, pa.binary()) for c in cut]], ["share", "batch", "keys", *_SUMS])
+        def asked(row: dict):
+            held = _Batch(row)
+            order, ends = held.dealt(shares)
+            columns = [held.keys, *held.own_counts()]
+            del held
+            starts = np.concatenate([[0], ends[:-1]])
+            full = np.flatnonzero(ends > starts)
+            cut = [pa.array([put(c[order[starts[i] : ends[i]]]) for i in full], pa.binary()) for c, put in zip(columns, (np.ndarray.tobytes, *[_counted] * 4))]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), *cut], ["share", "batch", "keys", *_SUMS])
+
+        for row in _rows(rows):
+            yield asked(row)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         lengths = np.array([len(k) // 8 for k in group["keys"]])
@@ -328,19 +355,21 @@ def _scored(batches: DataFrame, answers: DataFrame, shares: int, totals: tuple[i
     def score(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in rows:
-            for row in part.to_pylist():
-                held = _Batch(row)
-                order, _ = held.dealt(shares)
-                counts = []
-                for c in _SUMS:
-                    count = np.zeros(len(held.keys))
-                    told = sorted(row["answers"], key=lambda x: x["share"])
-                    if told:
-                        count[order] = np.concatenate([_recounted(x[c]) for x in told])
-                    counts.append(count)
-                background, target = held.losses(counts, totals, n)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held.lengths), pa.array(target), pa.array(background)], ["doc_id", "n_words", "target_loss", "background_loss"])
+        def scored(row: dict):
+            held = _Batch(row)
+            order, _ = held.dealt(shares)
+            told = sorted(row["answers"], key=lambda x: x["share"])
+            counts = []
+            for c in _SUMS:
+                count = np.zeros(len(held.keys))
+                if told:
+                    count[order] = np.concatenate([_recounted(x[c]) for x in told])
+                counts.append(count)
+            background, target = held.losses(counts, totals, n)
+            return pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held.lengths), pa.array(target), pa.array(background)], ["doc_id", "n_words", "target_loss", "background_loss"])
+
+        for row in _rows(rows):
+            yield scored(row)
 
     gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("share", *_SUMS)).alias("answers"))
     return batches.join(gathered, "batch").mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double")
@@ -365,7 +394,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | Non
     told, known = _known_slots(counted) if size is None else _known_listed(counted, vocabulary(docs, size))
     sizes = told.agg(F.count_if("known").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS[1:]]).first()
     dropped(counted)
-    batches = written(batches_of(marked, known), "batches")
+    batches = written(batches_of(marked, known), "batches", _IN_FILE)
     shares = max(1, -(-(batches.agg(F.sum("n_keys")).first()[0] or 0) // SHARE))
     answers = written(corpus_counts(batches, shares), "corpus-counts")
     scored = written(_scored(batches, answers, shares, (sizes["n_all"], sizes["n_target"]), sizes["n"]), "scored")

@@ -2,11 +2,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from cases import empty, frame, random_docs, words
+from pyspark.sql import functions as F
 
 from partloom.llm import licenses, privacy, quality, scoring
 
@@ -199,6 +201,45 @@ def test_scoring_knows_words_beyond_the_most_frequent(spark):
     assert got[200] < got[201] - 0.1  # "tundra" and "savanna" come after 3,002 words more frequent or equal
 
 
+def test_scoring_stores_few_batches_in_a_file(spark, monkeypatch):
+    """Writers and readers of a file hold all its rows, and a batch is a row of several MB."""
+    rows = [(i, words(i % 7, i)) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, quality int")
+    want = sorted(scoring.cross_entropy_difference(docs, labels).collect())
+    files, written = [], scoring.written
+
+    def noted(df, name, *rest):
+        table = written(df, name, *rest)
+        if name == "batches":
+            files.extend(r["count"] for r in table.groupBy(F.input_file_name()).count().collect())
+        return table
+
+    monkeypatch.setattr(scoring, "written", noted)
+    monkeypatch.setattr(scoring, "_TOKENS", 1000)
+    got = sorted(scoring.cross_entropy_difference(docs, labels).collect())
+    assert sum(files) >= 10 and max(files) <= 2  # one task wrote them all
+    assert len(got) == len(want) == 5000 and all(a[:2] == b[:2] and np.allclose(a[2:], b[2:], rtol=0, atol=1e-9) for a, b in zip(got, want))
+
+
+def test_scoring_a_batch_takes_little_memory(spark, monkeypatch):
+    r = random.Random(4)
+    texts = ["" if i % 9 == 0 else " ".join(f"w{r.randint(0, 3000)}" for _ in range(r.randint(1, 300))) for i in range(3000)]
+    marked = spark.createDataFrame([(i, t, i % 3 == 0) for i, t in enumerate(texts)], "doc_id long, text string, target boolean").coalesce(1)
+    (row,) = scoring.batches_of(marked, lambda h: h % 5 != 0).collect()
+    batch = scoring._Batch(row.asDict())
+    counts = [2 * c.astype(float) for c in batch.own_counts()]
+    totals = int(counts[0][batch.n_pairs :].sum()), int(counts[1][batch.n_pairs :].sum())
+    tracemalloc.start()
+    got = batch.losses(counts, totals, 2000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(batch.times) > 300_000 and peak < 24 * len(batch.times)  # no three arrays of all its entries
+    for entries in (1, 1 << 40):
+        monkeypatch.setattr(scoring, "_ENTRIES", entries)
+        assert all((a == b).all() for a, b in zip(got, batch.losses(counts, totals, 2000)))
+
+
 def test_privacy_judges_entities_of_one_context(spark):
     rows = [(0, f"{words(60, 1)} zanzibar wrote one@ex.com mail {words(60, 2)}", 0)]
     rows += [(i, words(60, i) + " wrote mail", 0) for i in range(10, 310)]
