@@ -271,45 +271,36 @@ class _Batch:
             contexts.append(np.concatenate([np.zeros(self.n_pairs), np.bincount(self.first, pairs, self.n_words)]).astype(np.int64))
         return out + contexts
 
-    def _losses(self, own: slice, first: int, last: int, gone: np.ndarray, count: np.ndarray, as_context: np.ndarray, total: int, n: int) -> np.ndarray:
-        """Losses of the rows from ``first`` to ``last``, whose entries are ``own``, under one model; rows that are ``gone`` are taken out of it."""
-        p, pair, times, doc = self.n_pairs, self.pair[own], self.times[own], self.doc[own]
-        a, b, row = self.first[pair], self.second[pair], doc - first
-
-        def within(word: np.ndarray) -> np.ndarray:
-            """How often the entry's row has the entry's word."""
-            _, at = np.unique(row * self.n_words + word, return_inverse=True)
-            return np.bincount(at, times)[at]
-
-        own_a, own_b = (within(x) if len(x) else np.zeros(0) for x in (a, b))
-        less = gone[doc]
-        unigram = (count[p:][b] - own_b * less + 1) / (total + n + 1 - self.lengths[doc] * less)
-        context, both = as_context[p:][a] - own_a * less, count[:p][pair] - times * less
-        return np.bincount(row, times * (np.log(context + PRIOR) - np.log(both + PRIOR * unigram)), last - first)
-
     def losses(self, counts: list[np.ndarray], totals: tuple[int, int], n: int) -> list[np.ndarray]:
         """Background and target loss of each row, from the corpus counts of the keys; its own counts are taken out.
 
         Rows are scored in runs of about _ENTRIES entries, as each of the many steps makes a new array of them.
         """
-        gone = (np.ones(len(self.target), bool), self.target)
-        out = [np.zeros(len(self.lengths)) for _ in gone]
         starts = np.searchsorted(self.doc, np.arange(len(self.lengths) + 1))
-        first = 0
+        out, first = [np.zeros(len(self.lengths)) for _ in totals], 0
         while first < len(self.lengths):
             last = max(first + 1, int(np.searchsorted(starts, starts[first] + _ENTRIES, "right")) - 1)
-            own = slice(starts[first], starts[last])
-            for sums, less, *corpus in zip(out, gone, counts[:2], counts[2:], totals):
-                sums[first:last] = self._losses(own, first, last, less, *corpus, n)
+            for sums, told in zip(out, self._losses(first, last, slice(starts[first], starts[last]), counts, totals, n)):
+                sums[first:last] = told
             first = last
         return out
 
+    def _losses(self, first: int, last: int, own: slice, counts: list[np.ndarray], totals: tuple[int, int], n: int) -> Iterator[np.ndarray]:
+        """``losses`` of the rows from ``first`` to ``last``, whose entries are ``own``."""
+        p, pair, times, doc = self.n_pairs, self.pair[own], self.times[own], self.doc[own]
+        a, b, row = self.first[pair], self.second[pair], doc - first
+
+        def within(word: np.ndarray) -> np.ndarray:
+            """How often the entry's row has the entry's word."""
+            _, at = np.unique(row * self.n_words + word, return_inverse=True)
+            return np.bincount(at, times)[at]
 
-def _rows(parts: Iterator) -> Iterator[dict]:
-    """The rows of Arrow batches one by one, for steps that keep nothing of a row when the next comes."""
-    for part in parts:
-        for i in range(part.num_rows):
-            yield part.slice(i, 1).to_pylist()[0]
+        own_a, own_b = (within(x) if len(x) else np.zeros(0) for x in (a, b))
+        for count, as_context, total, gone in zip(counts[:2], counts[2:], totals, (np.ones(len(self.target), bool), self.target)):
+            less = gone[doc]
+            unigram = (count[p:][b] - own_b * less + 1) / (total + n + 1 - self.lengths[doc] * less)
+            context, both = as_context[p:][a] - own_a * less, count[:p][pair] - times * less
+            yield np.bincount(row, times * (np.log(context + PRIOR) - np.log(both + PRIOR * unigram)), last - first)
 
 
 #: Of a key, its counts in all and in target rows, and those as a context.
@@ -332,8 +323,9 @@ def corpus_counts(batches: DataFrame, shares: int) -> DataFrame:
             cut = [pa.array([put(c[order[starts[i] : ends[i]]]) for i in full], pa.binary()) for c, put in zip(columns, (np.ndarray.tobytes, *[_counted] * 4))]
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), *cut], ["share", "batch", "keys", *_SUMS])
 
-        for row in _rows(rows):
-            yield asked(row)
+        for part in rows:
+            for i in range(part.num_rows):  # nothing of a row is kept when the next comes
+                yield asked(part.slice(i, 1).to_pylist()[0])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         lengths = np.array([len(k) // 8 for k in group["keys"]])
@@ -352,27 +344,24 @@ def corpus_counts(batches: DataFrame, shares: int) -> DataFrame:
 def _scored(batches: DataFrame, answers: DataFrame, shares: int, totals: tuple[int, int], n: int) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (sums) of every row."""
 
-    def score(rows: Iterator) -> Iterator:
+    def score(batch, answer):
         import pyarrow as pa
 
-        def scored(row: dict):
-            held = _Batch(row)
-            order, _ = held.dealt(shares)
-            told = sorted(row["answers"], key=lambda x: x["share"])
-            counts = []
-            for c in _SUMS:
-                count = np.zeros(len(held.keys))
-                if told:
-                    count[order] = np.concatenate([_recounted(x[c]) for x in told])
-                counts.append(count)
-            background, target = held.losses(counts, totals, n)
-            return pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held.lengths), pa.array(target), pa.array(background)], ["doc_id", "n_words", "target_loss", "background_loss"])
-
-        for row in _rows(rows):
-            yield scored(row)
-
-    gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("share", *_SUMS)).alias("answers"))
-    return batches.join(gathered, "batch").mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double")
+        (row,) = batch.to_pylist()
+        held = _Batch(row)
+        order, _ = held.dealt(shares)
+        by_share = np.argsort(answer["share"].to_numpy())
+        counts = []
+        for c in _SUMS:
+            told, count = answer[c].to_pylist(), np.zeros(len(held.keys))
+            if told:
+                count[order] = np.concatenate([_recounted(told[i]) for i in by_share])
+            counts.append(count)
+        background, target = held.losses(counts, totals, n)
+        return pa.Table.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held.lengths), pa.array(target), pa.array(background)], ["doc_id", "n_words", "target_loss", "background_loss"])
+
+    both = batches.groupBy("batch").cogroup(answers.groupBy("batch"))
+    return both.applyInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | None = None) -> DataFrame:
